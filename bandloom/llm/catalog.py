@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import op9_minhash
+from . import op7_mixing, op8_positional, op9_minhash, op10_bitplanes
 
-QUERIES = {"op9_minhash": op9_minhash.query}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op7_mixing": op7_mixing.query,
+    "op8_positional": op8_positional.query,
+    "op9_minhash": op9_minhash.query,
+    "op10_bitplanes": op10_bitplanes.query,
+}
+ORACLES: dict[str, str] = {"op7_mixing": op7_mixing.ORACLE}
