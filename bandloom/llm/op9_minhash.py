@@ -8,9 +8,10 @@ Jaccard similarity of the full shingle sets confirms them.
   least half of a sketch, but for a chance below 1e-5 at k = 64. So a class needs only its rarest
   ``k/2 + 1`` retained values as list entries (the prefix filter); values that only one class retains
   count as entries but need no list. What many texts share is frequent and seldom enters a prefix.
-* A list is first tested as a star: each member against the list's least member. What the confirmed links
-  leave in different components is then paired across components, and only there. So a group of n near
-  copies costs about n tests, and no link between components is lost.
+* Each list has a hub, its member whose retained values are the most frequent ones: the most central of the
+  copies. All members are tested against their hubs, as a star. What the confirmed links leave in different
+  components is then paired inside a hub's group, across components and only there, by sketches of
+  ``WIDE`` values. So a group of n near copies costs about n tests, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import WordHashes, ascii_words, bounded, materialize, shingle_set
 
+#: Retained values in the sketches that compare what stars left apart; texts of fewer shingles are compared exactly.
+WIDE = 256
 #: Members that are verified against one hub in one group.
 CHUNK = 256
 #: Ids that may be broadcast to pick texts for the exact check; more are joined by a shuffle.
@@ -51,16 +54,17 @@ def _sketches(k: int, n: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, most: int | None = None):
+    """The shingle set of each text by its node: as bytes, or its ``most`` least hashes as an array."""
+
     def run(batches):
         table = WordHashes()
         for b in batches:
             for text in b.column(0).to_pylist():
                 if words := ascii_words(text):
-                    full = shingle_set(table.array(words), n).tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([xxhash.xxh3_128_digest(b" ".join(words))], pa.binary()), pa.array([full], pa.binary())], ["node", "full"]
-                    )
+                    full = shingle_set(table.array(words), n)
+                    full = pa.array([full.tobytes()], pa.binary()) if most is None else pa.array([full[:most]], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b" ".join(words))], pa.binary()), full], ["node", "full"])
 
     return run
 
@@ -83,30 +87,41 @@ def _confirm(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets are alike; u is the hub whose set is sent once per chunk."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    picked = materialize(nodes.join(ids, "node").select("doc_id"), "picked")
-    texts = docs.join(bounded(picked, PICKED), "doc_id", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(_sets(n), "node binary, full binary").dropDuplicates(["node"]), "sets")
+def _texts_of(reps: DataFrame, docs: DataFrame, cands: DataFrame, run, kind: str) -> DataFrame:
+    """``(rid, full)`` of the classes ``reps(rid)``, from one text of each."""
+    wanted = materialize(reps.join(cands, "rid").select("rid", "doc_id", "node"), "wanted")
+    texts = docs.join(bounded(wanted.select("doc_id").distinct(), PICKED), "doc_id", "left_semi").select("text")
+    made = texts.mapInArrow(run, f"node binary, full {kind}")
+    return materialize(made.join(bounded(wanted, PICKED), "node").groupBy("rid").agg(F.first("full").alias("full")), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, cands: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets are alike; the set of u is sent once per CHUNK pairs."""
+    pairs = materialize(pairs, "pairs")
+    sets = _texts_of(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, cands, _sets(n), "binary")
     chunks = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "u").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
-    members = dealt.join(sets, F.col("v") == F.col("node")).select("u", "chunk", "v", "full", F.lit(None).cast("binary").alias("hub_full"))
+    members = dealt.join(sets, F.col("v") == F.col("rid")).select("u", "chunk", "v", "full", F.lit(None).cast("binary").alias("hub_full"))
     hubs = (
-        dealt.select("u", "chunk").distinct().join(sets, F.col("u") == F.col("node"))
+        dealt.select("u", "chunk").distinct().join(sets, F.col("u") == F.col("rid"))
         .select("u", "chunk", F.col("u").alias("v"), F.lit(None).cast("binary").alias("full"), F.col("full").alias("hub_full"))
     )
-    return members.unionByName(hubs).groupBy("u", "chunk").applyInArrow(_confirm(similarity), "u binary, v binary")
+    return members.unionByName(hubs).groupBy("u", "chunk").applyInArrow(_confirm(similarity), "u long, v long")
 
 
-def _alike(a: str, b: str, k: int, similarity: float) -> F.Column:
-    """Whether two sketches may belong to alike sets: by size, and by what their union's sketch tells."""
-    top = lambda x: f"if({x}.size > {k}, element_at({x}.sketch, -1), 9223372036854775807)"
-    return F.expr(
-        f"least({a}.size, {b}.size) >= {similarity} * greatest({a}.size, {b}.size) AND "
-        f"size(filter(array_intersect({a}.sketch, {b}.sketch), x -> x <= least({top(a)}, {top(b)}))) >= "
-        f"{similarity - 0.25} * size(filter(array_union({a}.sketch, {b}.sketch), x -> x <= least({top(a)}, {top(b)})))"
+def _alike(k: int, similarity: float, sketch: str = "sketch") -> str:
+    """Whether sketches of a and b may belong to alike sets: by size, and by what tells the union's sketch.
+
+    Up to the least end of a cut sketch both sketches are whole, so there their union is a random sample of the
+    sets' union. It is given 4.5 standard deviations, and none if both sets are whole.
+    """
+    end = lambda x: f"if({x}.size > {k}, element_at({x}.{sketch}, -1), 9223372036854775807)"
+    till = lambda v: f"size(filter({v}, x -> x <= least({end('a')}, {end('b')})))"
+    both = till(f"array_intersect(a.{sketch}, b.{sketch})")
+    least = f"if(greatest(a.size, b.size) <= {k}, {similarity}D, {similarity - 4.5 * (similarity * (1 - similarity) / k) ** 0.5}D)"
+    return (
+        f"least(a.size, b.size) >= {similarity}D * greatest(a.size, b.size) AND "
+        f"{both} * (1 + {least}) >= {least} * ({till(f'a.{sketch}')} + {till(f'b.{sketch}')}) - 1e-9D"
     )
 
 
@@ -119,44 +134,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = materialize(docs.mapInArrow(_sketches(k, shingle), "doc_id long, node binary, size long, sketch array<long>"), "sketches")
-    classes = base.where("node is not null and doc_id is not null")
-    ids = classes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # One sketch per class: the row of its least doc_id (rows with that id and another text are other nodes).
-    reps = classes.join(ids, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "size", "sketch")
-    entries = reps.select("node", F.explode("sketch").alias("value"))
+    reps = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    # The number of a class is fixed once the table is written.
+    reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")
+    entries = reps.select("rid", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    many = entries.join(shared, "value").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("many"), F.sum(F.log2("df")).alias("central"))
     # The rarest values come first: those of one class, then by (df, value); half the sketch and one are needed.
-    need = F.expr("size(sketch) - cast(ceil(size(sketch) / 2) as int) + 1 - (size(sketch) - size(many))")
-    prefix = (
-        entries.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("many"))
-        .join(reps, "node").withColumn("need", need).where("need > 0")
-        .select("node", "size", "sketch", F.explode(F.slice("many", F.lit(1), F.col("need"))).alias("e"))
-        .select("node", "size", "sketch", F.col("e.value").alias("value"))
-    )
-    lists = materialize(prefix, "lists")
-    hubs = lists.groupBy("value").agg(F.min_by(F.struct("node", "size", "sketch"), "node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = lists.select("value", F.struct("node", "size", "sketch").alias("b")).join(hubs, "value")
-    stars = stars.where("a.node <> b.node").where(_alike("a", "b", k, similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    stars = materialize(stars.distinct(), "star-pairs")
-    first = materialize(_verified(stars, docs, ids, shingle, similarity), "links")
-    roots = components(first)
-    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-    placed = materialize(placed.join(split, "value"), "placed")
-    largest = placed.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    sides = placed.join(largest, "value").select("value", "root", "most", F.struct("node", "size", "sketch").alias("x"))
-    left = sides.where("root <> most").select("value", F.col("root").alias("root_a"), F.col("x").alias("a"))
-    right = sides.select("value", F.col("root").alias("root_b"), "most", F.col("x").alias("b"))
-    rest = left.join(right, "value").where("root_a <> root_b and (root_b = most or a.node < b.node)").where(_alike("a", "b", k, similarity))
-    rest = rest.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = _verified(rest.join(tested, ["u", "v"], "left_anti"), docs, ids, shingle, similarity)
-    roots = components(first.unionByName(more))
-    named = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = reps.select("rid", F.least(F.col("size"), F.lit(k)).cast("int").alias("held"))
+    need = F.col("held") - F.ceil(F.col("held") / 2).cast("int") + 1 - (F.col("held") - F.size("many"))
+    first = materialize(many.join(held, "rid").withColumn("need", need).where("need > 0").select("rid", "central", F.slice("many.value", F.lit(1), F.col("need")).alias("values")), "prefixes")
+    cands = materialize(reps.join(bounded(first.select("rid"), PICKED), "rid"), "candidates")
+    lists = first.select("rid", "central", F.explode("values").alias("value"))
+    hubs = lists.groupBy("value").agg(F.max_by("rid", F.struct("central", "rid")).alias("u"), F.count("*").alias("n")).where("n > 1").select("value", "u")
+    stars = materialize(lists.join(hubs, "value").where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
+    side = lambda name: cands.select(F.col("rid").alias(f"{name}_rid"), F.struct("size", "sketch").alias(name))
+    near = stars.join(side("a"), F.col("u") == F.col("a_rid")).join(side("b"), F.col("v") == F.col("b_rid")).where(_alike(k, similarity)).select("u", "v")
+    links = materialize(_verified(near, docs, cands, shingle, similarity), "links")
+    roots = components(links)
+    groups = stars.select("u", F.col("v").alias("rid")).unionByName(stars.select("u", F.col("u").alias("rid")).distinct())
+    groups = materialize(groups.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "groups")
+    sizes = groups.groupBy("u", "root").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("u").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("most")).where("roots > 1").select("u", "most")
+    # The hub itself has been tested against all of its group.
+    apart = materialize(groups.where("rid <> u").join(split, "u"), "apart")
+    wide = _texts_of(apart.select("rid").distinct(), docs, cands, _sets(shingle, WIDE), "array<long>").withColumnRenamed("full", "wide")
+    known = materialize(cands.join(wide, "rid").select("rid", F.struct("size", "sketch", "wide").alias("x")), "wide")
+    rows = apart.join(known, "rid")
+    left = rows.where("root <> most").select("u", F.col("rid").alias("a_rid"), F.col("root").alias("a_root"), F.col("x").alias("a"))
+    right = rows.select("u", "most", F.col("rid").alias("b_rid"), F.col("root").alias("b_root"), F.col("x").alias("b"))
+    rest = left.join(right, "u").where("a_root <> b_root and (b_root = most or a_rid < b_rid)").where(_alike(k, similarity)).where(_alike(WIDE, similarity, "wide"))
+    rest = rest.select(F.least("a_rid", "b_rid").alias("u"), F.greatest("a_rid", "b_rid").alias("v")).distinct()
+    roots = components(links.unionByName(_verified(rest, docs, cands, shingle, similarity)))
+    named = reps.select("rid", "node", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
-    out = base.join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)).alias("kept"))
+    out = base.select("doc_id", "size", "node").join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    out = out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
