@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import op7_mixing, op8_positional, op9_minhash, op10_bitplanes
+from . import op1_weak_pii, op2_language, op6_randomness, op7_mixing, op8_positional, op9_minhash, op10_bitplanes
 
 QUERIES = {
+    "op1_weak_pii": op1_weak_pii.query,
+    "op2_language": op2_language.query,
+    "op6_randomness": op6_randomness.query,
     "op7_mixing": op7_mixing.query,
     "op8_positional": op8_positional.query,
     "op9_minhash": op9_minhash.query,
