@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import op1_weak_pii, op2_language, op6_randomness, op7_mixing, op8_positional, op9_minhash, op10_bitplanes
+from . import op1_weak_pii, op2_language, op3_forest, op4_templates, op5_suffixes, op6_randomness, op7_mixing, op8_positional, op9_minhash, op10_bitplanes
 
 QUERIES = {
     "op1_weak_pii": op1_weak_pii.query,
     "op2_language": op2_language.query,
+    "op3_forest": op3_forest.query,
+    "op4_templates": op4_templates.query,
+    "op5_suffixes": op5_suffixes.query,
     "op6_randomness": op6_randomness.query,
     "op7_mixing": op7_mixing.query,
     "op8_positional": op8_positional.query,
     "op9_minhash": op9_minhash.query,
     "op10_bitplanes": op10_bitplanes.query,
 }
-ORACLES: dict[str, str] = {"op7_mixing": op7_mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_templates": op4_templates.ORACLE, "op7_mixing": op7_mixing.ORACLE}

@@ -155,18 +155,41 @@ def _predicted(shared):
     return run
 
 
+def _held_out(id_col: str):
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
+
+
+def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.where(~_held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score``.
 
     held_out: crc32 of doc_id as text is divisible by 5; such rows, and rows without doc_id, are never learned
     from. Texts without a letter, and all texts if nothing can be learned, are ``und`` with score 0.
     """
-    held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held.alias("held_out"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.where("not held_out")))
+    model = docs.sparkSession.sparkContext.broadcast(fit(_learnable(docs, id_col, text_col, lang_col)))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _held_out(id_col).alias("held_out"))
     out = docs.select("doc_id", "text", "held_out").mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double, held_out boolean")
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def _accepted(shared, floor: float, at: int):
+    def run(batches):
+        model, letters = shared.value, _letters()
+        for b in batches:
+            keep = [model is not None and has_letter(t) and float(softmax(model.logits(counts(t, letters)).astype(np.float64) / model.temperature).max()) >= floor for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def accept(docs: DataFrame, floor: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and a language of probability ``floor`` at least."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(_learnable(docs, id_col, text_col, lang_col)))
+    return docs.mapInArrow(_accepted(model, floor, docs.columns.index(text_col)), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

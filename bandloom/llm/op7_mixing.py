@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded, materialize
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 BUDGET, MOST = 1.5, 2.0
 BITS, LEVELS = 12, 5
+#: Sources whose quotas may be broadcast; more are joined by a shuffle.
+SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -45,18 +47,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return df.select("source", "source_size", F.coalesce(F.least("full", F.col("weight") * F.col("level")), F.col("full")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``.
+def _size(text_col: str):
+    return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
-    Every document is taken floor(target / source size) times, and those whose hash is under the source's
-    threshold once more (never more than twice). The hash is of doc_id, so copies under other ids differ.
-    Rows that repeat doc_id go together, and are taken if that is nearer to the target. Null sources are a
-    source of their own; null texts have size 0 and take nothing.
-    """
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), place.alias("place"))
-    rows = materialize(rows, "sizes")
+
+def _place(id_col: str):
+    """60 bits of a hash of the id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _copies():
+    more = F.when((F.col("base") < 2) & (F.col("place") < F.coalesce("under", F.lit(1 << 62))), 1).otherwise(0)
+    return F.col("base") + more
+
+
+def quotas(rows: DataFrame) -> DataFrame:
+    """From ``(source, size, place)``: ``(source, source_size, target, base, under)`` - each document is taken base
+    times, and once more if its place is under the threshold ``under`` (null: any place)."""
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     goals = goals.withColumn("base", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(2))).otherwise(0).cast("long"))
     goals = materialize(goals.withColumn("want", F.col("target") - F.col("base") * F.col("source_size")), "goals")
@@ -73,10 +80,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         edge = sums.select("source", (F.col("low") + F.col("b.bucket") * F.lit(width)).alias("low"), (F.col("want") - F.col("b.till") + F.col("b.n")).alias("want"), F.col("b.n").alias("n"))
         edge = materialize(edge, f"edge{level}")
     last = edge.select("source", F.when(F.col("want") * 2 > F.col("n"), F.col("low") + 1).otherwise(F.col("low")).alias("under"))
-    goals = goals.join(last.withColumnRenamed("source", "s"), goals.source.eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "base", "under")
-    joined = rows.withColumnRenamed("source", "of").join(goals, F.col("of").eqNullSafe(F.col("source")))
-    more = F.when((F.col("base") < 2) & (F.col("place") < F.coalesce("under", F.lit(1 << 62))), 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + more)).alias("taken"))
+    last = last.withColumnRenamed("source", "s")
+    return materialize(goals.join(last, goals.source.eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "base", "under"), "quotas")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``.
+
+    Every document is taken floor(target / source size) times, and those whose hash is under the source's
+    threshold once more (never more than twice). The hash is of doc_id, so copies under other ids differ.
+    Rows that repeat doc_id go together, and are taken if that is nearer to the target. Null sources are a
+    source of their own; null texts have size 0 and take nothing.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), _place(id_col).alias("place"))
+    rows = materialize(rows, "sizes")
+    joined = rows.withColumnRenamed("source", "of").join(quotas(rows), F.col("of").eqNullSafe(F.col("source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them."""
+    rows = materialize(docs.select(F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), _place(id_col).alias("place")), "sizes")
+    plan = quotas(rows).select(F.col("source").alias("_source"), "base", "under")
+    if clash := {"_source", "base", "under", "place"} & set(docs.columns):
+        raise ValueError(f"rename the columns {sorted(clash)}")
+    taken = docs.withColumn("place", _place(id_col)).join(bounded(plan, SOURCES), F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
+    return taken.withColumn("place", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

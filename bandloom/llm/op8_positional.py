@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded, materialize
 
 SEGMENT_WORDS = 1_000_000
 BLOCK_BYTES = 32_000_000
+#: Contaminated ids that may be broadcast to drop documents; more are joined by a shuffle.
+PICKED = 1_000_000
 #: Bytes that end a word become blanks, A-Z become a-z, all bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 INDEX = "segment string, doc_ids array<bigint>, starts array<int>, sizes array<int>, terms binary, ends array<int>, gaps binary"
@@ -186,5 +188,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of an item occurs (nor in rows of the same doc_id)."""
+    gone = materialize(contamination(docs, items, window).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(bounded(gone, PICKED), "doc_id", "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
