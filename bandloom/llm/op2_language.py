@@ -48,10 +48,10 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def vector(total: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the TF-IDF vector of length 1; the last place is a constant."""
-    at = np.flatnonzero(total)
-    x = np.log1p(total[at]) * idf[at]
+def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the TF-IDF vector of length 1 from the counts ``n`` at the places ``at``; the last
+    place is a constant."""
+    x = np.log1p(n) * idf[at]
     return np.append(at, BUCKETS), np.append(x / max(math.sqrt(float(x @ x)), 1e-12), 1.0)
 
 
@@ -68,15 +68,17 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, total: np.ndarray) -> np.ndarray:
-        at, x = vector(total, self.idf)
+        at = np.flatnonzero(total)
+        at, x = vector(at, total[at], self.idf)
         return x @ self.weights[at]
 
 
 def train(rows: list[tuple[str, np.ndarray]], idf: np.ndarray) -> Model:
-    """rows: (lang, n-gram counts) in a fixed order; every fifth is kept for the temperature."""
+    """rows: (lang, buckets and their n-gram counts as two rows) in a fixed order; every fifth is kept for the
+    temperature."""
     langs = sorted({lang for lang, _ in rows})
     place = {lang: i for i, lang in enumerate(langs)}
-    data = [(*vector(total, idf), place[lang]) for lang, total in rows]
+    data = [(*vector(some[0].astype(np.int64), some[1], idf), place[lang]) for lang, some in rows]
     fit, held = [d for i, d in enumerate(data) if i % 5] or data, [d for i, d in enumerate(data) if not i % 5]
     z, n = np.zeros((BUCKETS + 1, len(langs))), np.zeros((BUCKETS + 1, len(langs)))
 
@@ -109,10 +111,15 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, BUCKETS)), pa.array(np.append(df[at], docs))], ["bucket", "n"])
 
 
+def _sparse(total: np.ndarray) -> bytes:
+    at = np.flatnonzero(total)
+    return np.stack([at, total[at]]).astype("<u4").tobytes()
+
+
 def _sampled(batches):
     letters = _letters()
     for b in batches:
-        raw = [counts(t, letters).astype("<u4").tobytes() if has_letter(t) else None for t in b.column(2).to_pylist()]
+        raw = [_sparse(counts(t, letters)) if has_letter(t) else None for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["place", "lang", "raw"])
 
 
@@ -133,7 +140,7 @@ def fit(docs: DataFrame) -> Model | None:
     shares = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1 << 30, (each << 30) // n))])
     sample = rows.where(F.col("place") < shares[F.col("lang")]).select("place", "lang", "text").mapInArrow(_sampled, "place long, lang string, raw binary")
     found = sorted((r.place, r.lang, bytes(r.raw)) for r in sample.where("raw is not null").collect())
-    return train([(lang, np.frombuffer(raw, "<u4")) for _, lang, raw in found], idf) if found else None
+    return train([(lang, np.frombuffer(raw, "<u4").reshape(2, -1)) for _, lang, raw in found], idf) if found else None
 
 
 def _predicted(shared):
