@@ -1,12 +1,396 @@
-"""The queries of the band engine by name, each with its DuckDB form where SQL can express it."""
+"""The registered queries over the driver's tables, and the same in DuckDB's SQL where SQL can say it.
+
+Every query runs over its whole tables. Results are long rows of scalars; measures are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bandloom.functions.quantiles import BANDS, GRID, literal, with_levels
+from bandloom.operators import calibration, features, misfit, scores, voices, whatif
+from bandloom.plans import backtest, requests
+from bandloom.sources import panels
+
+PLACES = 6
+
+
+def _r(name: str, places: int = PLACES):
+    return F.round(F.col(name).cast("double"), places).alias(name)
+
+
+def _rows(spark: SparkSession, sf_dir: str, name: str, trim: bool = True) -> DataFrame:
+    hist, season = panels.load(spark, sf_dir, name)
+    return panels.panel(panels.trimmed(hist) if trim else hist, season)
+
+
+def _context(spark, sf_dir, name, horizons, last, burn=0, step=1, ahead=1) -> backtest.Context:
+    hist, season = panels.load(spark, sf_dir, name)
+    return backtest.Context(hist, voices.origins(hist, last, burn, step, ahead), horizons, season, exact=False)
+
+
+def _long(bands: DataFrame, levels: list[float]) -> DataFrame:
+    """A row per level: its number from 1, and the quantile."""
+    df = bands.select("series", "origin", "h", F.posexplode("q").alias("k", "q"))
+    return df.select("series", "origin", F.col("h").cast("int").alias("h"), (F.col("k") + 1).cast("int").alias("level"), _r("q"))
+
+
+def panel_query(name: str):
+    return lambda s, d: _rows(s, d, name, trim=False).select("series", "t", "moy", _r("y", 4))
+
+
+def trim_query(name: str):
+    return lambda s, d: _rows(s, d, name).select("series", "i", "t", _r("y", 4))
+
+
+def recipe_query(h: int, seasonal: bool = False):
+    made, columns = (features.seasonal_recipe, features.SEASONAL) if seasonal else (features.recipe, features.RECIPE)
+    return lambda s, d: made(_rows(s, d, "supplier_qty"), h).select("series", "t", "idx", "moy", *[_r(c) for c in columns[2:]], _r("label"))
+
+
+def trailing_query(s, d):
+    return features.trailing_sum(_rows(s, d, "supplier_qty"), 12).select("series", "t", _r("y", 4))
+
+
+def fill_query(s, d):
+    rows = features.filled(features.recipe(_rows(s, d, "supplier_qty"), 3), ["lag1", "mean3", "lag12"], ["series"])
+    return rows.select("series", "t", *[_r(c) for c in ("lag1", "mean3", "lag12")])
+
+
+def scale_query(s, d):
+    return features.scales(_rows(s, d, "supplier_qty")).select("series", _r("scale"))
+
+
+def naive_query(name: str, h: int, last: int):
+    def run(s, d):
+        c = _context(s, d, name, [h], last, ahead=h)
+        return _long(voices.seasonal_naive(c.hist, c.at, [h], BANDS, c.season), BANDS)
+
+    return run
+
+
+def regression_query(s, d):
+    c = _context(s, d, "supplier_qty", [1], 3)
+    return _long(voices.regression(c.rows, c.at, 1, BANDS), BANDS)
+
+
+def blend_query(s, d):
+    c = _context(s, d, "supplier_qty", [1], 3)
+    return _long(voices.blend([voices.seasonal_naive(c.hist, c.at, [1], BANDS), voices.regression(c.rows, c.at, 1, BANDS)]), BANDS)
+
+
+NUMBERS = ["wql", "coverage80", "coverage90", "width80", "pit_ks", "wql_vs_naive"]
+
+
+def _scored(df: DataFrame, keys: list[str]) -> DataFrame:
+    return scores.score(df, keys).select(*keys, "n", *[_r(c, 5) for c in NUMBERS])
+
+
+def walk_query(name: str):
+    def run(s, d):
+        hist, season = panels.load(s, d, name)
+        return _scored(backtest.walk(hist, ["seasonal_naive", "regression"], 6, 0, 1, season), ["voice"])
+
+    return run
+
+
+def project_query(s, d):
+    hist, season = panels.load(s, d, "supplier_qty")
+    return _scored(backtest.project(hist, ["seasonal_naive"], 12, 2, season), ["voice", "h"])
+
+
+def totals_query(s, d):
+    hist, season = panels.load(s, d, "supplier_qty")
+    df = scores.score(backtest.totals(hist, "seasonal_naive", 12, 2, season))
+    return df.select("voice", "n", *[_r(c, 5) for c in NUMBERS[:4]])
+
+
+def _past(s, d) -> tuple[DataFrame, backtest.Context]:
+    c = _context(s, d, "supplier_qty", [1, 3], 12, ahead=3)
+    return calibration.pits(voices.seasonal_naive(c.hist, c.at, [1, 3], GRID, c.season), c.rows, exact=False), c
+
+
+def histogram_query(s, d):
+    return calibration.histogram(_past(s, d)[0], ["h"])
+
+
+def record_query(s, d):
+    past, c = _past(s, d)
+    return calibration.record_as_of(past, c.at).select("origin", F.col("h").cast("int").alias("h"), "bin", F.col("n").cast("long").alias("n"))
+
+
+def levels_query(s, d):
+    record = calibration.as_counts(calibration.record_as_of(*(lambda p: (p[0], p[1].at))(_past(s, d))), ["origin", "h"])
+    read = with_levels(record, F.col("counts"), BANDS).select("origin", F.col("h").cast("int").alias("h"), F.posexplode("levels").alias("k", "read_at"))
+    return read.select("origin", "h", (F.col("k") + 1).cast("int").alias("level"), _r("read_at"))
+
+
+def voice_walk_query(names: list[str]):
+    """Voices that SQL can't follow: Python fits, or draws among ties."""
+
+    def run(s, d):
+        hist, season = panels.load(s, d, "supplier_qty")
+        return _scored(backtest.walk(hist, names, 6, 6, 1, season), ["voice"])
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+    return run
+
+
+def _world(s, d) -> DataFrame:
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    sums = li.groupBy(F.col("l_suppkey").alias("member"), panels.month("l_shipdate").alias("t")).agg(F.sum("l_extendedprice").alias("revenue"), F.sum("l_quantity").alias("volume"))
+    return sums.where("volume > 0").select("member", "t", (F.col("revenue") / F.col("volume")).alias("price"), "revenue")
+
+
+CUT = 2000 * 12
+
+
+def usual_query(s, d):
+    return whatif.usual(_world(s, d), CUT).select("member", _r("size", 2), _r("usual", 4))
+
+
+def replay_query(s, d):
+    df = whatif.pulled(_world(s, d), CUT)
+    return df.select("member", "t", "factor", _r("price", 9), _r("truth", 4), _r("replay", 4))
+
+
+def support_query(s, d):
+    world = _world(s, d)
+    return whatif.support(world, CUT, whatif.pulled(world, CUT)).select("factor", _r("in_support"))
+
+
+def grade_query(s, d):
+    return whatif.grade(_world(s, d), CUT).select("factor", *[_r(c) for c in ("true_move", "replay_off", "median_off")])
+
+
+def misfit_pair_query(s, d):
+    orders = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("o_cust"))
+    return misfit.misfit(orders, "o_orderkey", ["o_totalprice", "o_cust"]).select("o_orderkey", _r("score"), _r("share_o_totalprice"), _r("share_o_cust"))
+
+
+def misfit_folds_query(s, d):
+    line = s.read.parquet(f"{d}/lineitem.parquet")
+    keyed = line.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return misfit.misfit(keyed, "line", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], folds=5)
+
+
+def turns_query(s, d):
+    line = s.read.parquet(f"{d}/lineitem.parquet")
+    jobs = line.groupBy(F.col("l_suppkey").alias("caller"), F.col("l_orderkey").alias("seq")).agg(F.sum("l_quantity").cast("long").alias("n_cells"))
+    # One order may have jobs of several callers: the caller breaks the tie of arrival.
+    jobs = jobs.withColumn("seq", F.col("seq") * 1_000_000 + F.col("caller"))
+    return requests.turns(jobs, 131_072)
+
+
+def _requests(s, d) -> DataFrame:
+    """One JSON request per supplier, about its own history."""
+    hist = panels.trimmed(panels.load(s, d, "supplier_qty")[0])
+    known = F.filter("ys", lambda y: y.isNotNull())
+    row = lambda i: F.array(i.cast("double"), F.get(known, i - 1))
+    steps = F.sequence(F.lit(1), F.size(known) - 1)
+    read = F.struct(F.transform(steps, row).alias("train_x"), F.transform(steps, lambda i: F.get(known, i)).alias("train_y"), F.array(row(F.size(known))).alias("test_x"), F.array(F.get(known, F.lit(0))).alias("actual"), F.col("ys").alias("history"))
+    body = F.struct(F.lit("driver").alias("caller"), F.col("series").cast("string").alias("request_id"), literal(BANDS).alias("alphas"), F.array(F.lit("linear"), F.lit("seasonal_naive")).alias("voices"), F.array(read).alias("reads"))
+    return hist.where(F.size(known) > 1).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def validation_query(s, d):
+    checked = requests.checked(requests.parsed(_requests(s, d)))
+    cost = F.aggregate(F.transform("reads", lambda r: requests.cells(r, F.col("members"))), F.lit(0), lambda a, x: a + x)
+    return checked.select("request_id", F.col("refusal.status").alias("status"), F.col("refusal.reason").alias("reason"), cost.cast("long").alias("n_cells"))
+
+
+def answers_query(s, d):
+    return requests.answers(requests.checked(requests.parsed(_requests(s, d))))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Scores of a walk over the last half year on the panel of return flags."""
+    return walk_query("flag_qty")(spark, sf_dir)
+
+
+QUERIES = {
+    "panel_supplier_qty": panel_query("supplier_qty"),
+    "panel_nation_sales": panel_query("nation_sales"),
+    "panel_flag_qty": panel_query("flag_qty"),
+    "panel_event_hours": panel_query("event_hours"),
+    "trim_nation_sales": trim_query("nation_sales"),
+    **{f"recipe_h{h}": recipe_query(h) for h in (1, 3, 6, 12, 13)},
+    **{f"seasonal_recipe_h{h}": recipe_query(h, True) for h in (6, 13)},
+    "trailing_sum_12": trailing_query,
+    "fill_median": fill_query,
+    "scale_last12": scale_query,
+    "naive_h1": naive_query("supplier_qty", 1, 3),
+    "naive_h12": naive_query("supplier_qty", 12, 2),
+    "naive_h18": naive_query("nation_sales", 18, 2),
+    "naive_hourly": naive_query("event_hours", 6, 3),
+    "regression_voice": regression_query,
+    "blend_mean": blend_query,
+    "walk_scores": walk_query("supplier_qty"),
+    "walk_scores_flags": walk_query("flag_qty"),
+    "project_scores": project_query,
+    "total_scores": totals_query,
+    "pit_histogram": histogram_query,
+    "record_as_of_origin": record_query,
+    "calibrated_levels": levels_query,
+    "walk_linear_blend": voice_walk_query(["seasonal_naive", "walk:linear", "blend:seasonal_naive+walk:linear"]),
+    "walk_pooled": voice_walk_query(["seasonal_naive", "pooled", "seasonal:linear"]),
+    "walk_calibrated": voice_walk_query(["seasonal_naive", "cal:seasonal_naive"]),
+    "whatif_size_usual": usual_query,
+    "whatif_replay": replay_query,
+    "whatif_support": support_query,
+    "whatif_grade": grade_query,
+    "misfit_pair": misfit_pair_query,
+    "misfit_folds": misfit_folds_query,
+    "request_validation": validation_query,
+    "request_answers": answers_query,
+    "queue_round_robin": turns_query,
+}
+
+# ---- DuckDB ----
+
+_MONTH = "(year({0}) * 12 + month({0}) - 1)::BIGINT"
+_FACTS = {
+    "supplier_qty": ("l_suppkey", _MONTH.format("l_shipdate"), "sum(l_quantity)", "lineitem", True, 12),
+    "flag_qty": ("l_returnflag || l_linestatus", _MONTH.format("l_shipdate"), "sum(l_quantity)", "lineitem", True, 12),
+    "nation_sales": ("c_nationkey::BIGINT", _MONTH.format("o_orderdate"), "sum(o_totalprice)", "orders JOIN customer ON o_custkey = c_custkey", True, 12),
+    "event_hours": ("event_type", "floor(epoch(ts) / 3600)::BIGINT", "count(*)::DOUBLE", "events", False, 24),
+}
+
+
+def _panel(name: str) -> str:
+    """CTEs p (series, t, moy, y) and tr (trimmed: also i) of a panel."""
+    series, t, y, table, drop, season = _FACTS[name]
+    cut = "WHERE t < (SELECT max(t) FROM f0)" if drop else ""
+    return f"""f0 AS (SELECT {series} AS series, {t} AS t, {y} AS y FROM {table} GROUP BY 1, 2), f AS (SELECT * FROM f0 {cut}),
+e AS (SELECT series, min(t) AS first, max(t) AS last FROM f GROUP BY series),
+m AS (SELECT last, min(first) AS start FROM e GROUP BY last ORDER BY count(*) DESC, last LIMIT 1),
+p AS (SELECT e.series, g.t, (g.t % {season} + 1)::INT AS moy, f.y FROM e JOIN m USING (last) CROSS JOIN (SELECT unnest(generate_series(m.start, m.last)) AS t FROM m) g LEFT JOIN f ON f.series = e.series AND f.t = g.t),
+st AS (SELECT series, min(t) AS start FROM p WHERE y IS NOT NULL GROUP BY series),
+tr AS (SELECT p.*, (t - start)::INT AS i FROM p JOIN st USING (series) WHERE t >= start)"""
+
+
+def _ahead(h: int, season: int = 12) -> str:
+    """CTE x: tr and h periods more."""
+    return f"""x AS (SELECT series, i, t, moy, y FROM tr UNION ALL
+SELECT series, (n + k)::INT, start + n + k, ((start + n + k) % {season} + 1)::INT, NULL FROM (SELECT series, count(*) AS n, min(t) AS start FROM tr GROUP BY series) CROSS JOIN (SELECT unnest(range({h})) AS k))"""
+
+
+def _recipe(h: int, seasonal: bool = False) -> str:
+    at = lambda k: f"(SELECT b.y FROM x b WHERE b.series = a.series AND b.i = a.i - {k})"
+    mean = lambda k, n: f"(SELECT avg(b.y) FROM x b WHERE b.series = a.series AND b.i BETWEEN a.i - {k + n - 1} AND a.i - {k})"
+    if seasonal:
+        back = -(-h // 12) * 12
+        cols = {"same_month": at(back), "same_month_prev": at(back + 12), "level12": mean(h, 12), "level12_prev": mean(h + 12, 12), "last": at(h)}
+    else:
+        cols = {"lag1": at(h), "mean3": mean(h, 3), "lag12": at(12) if h <= 12 else "NULL::DOUBLE"}
+    told = ", ".join(f"round({v}, {PLACES}) AS {k}" for k, v in cols.items())
+    return f"WITH {_panel('supplier_qty')}, {_ahead(h)} SELECT series, t, i AS idx, moy, {told}, round(y, {PLACES}) AS label FROM x a WHERE i >= {h}"
+
+
+def _origins(last: int, step: int = 1, ahead: int = 1) -> str:
+    return f"o AS (SELECT (SELECT max(t) + 1 FROM p) - {ahead} - {step} * k AS origin FROM (SELECT unnest(range({last})) AS k))"
+
+
+def _naive(horizons: str, levels: list[float], season: int = 12, rows: str = "tr") -> str:
+    """CTE nq (series, origin, h, level, q); needs o and the rows (series, i, t, y)."""
+    return f"""hh AS (SELECT unnest({horizons}) AS h),
+s0 AS (SELECT series, min(t) AS start FROM {rows} GROUP BY series),
+a0 AS (SELECT series, origin, h, origin - start AS n, CASE WHEN origin - start > {season + 5} AND h <= {season} THEN {season} ELSE h END AS lag FROM s0, o, hh WHERE origin > start),
+a1 AS (SELECT a0.*, r.y AS anchor FROM a0 JOIN {rows} r ON r.series = a0.series AND r.i = n + h - 1 - lag WHERE n > lag + 5 AND r.y IS NOT NULL),
+mv AS (SELECT a1.series, a1.origin, a1.h, any_value(anchor) AS anchor, quantile_cont(v.y - w.y, {levels}) AS qs FROM a1 JOIN {rows} v ON v.series = a1.series AND v.i < n JOIN {rows} w ON w.series = v.series AND w.i = v.i - lag WHERE v.y - w.y IS NOT NULL GROUP BY 1, 2, 3),
+nq AS (SELECT series, origin, h::INT AS h, unnest(range(1, {len(levels) + 1}))::INT AS level, anchor + unnest(qs) AS q FROM mv)"""
+
+
+def _regression(levels: list[float]) -> str:
+    """CTE rq like nq: a regression on the value one period before."""
+    return f"""rx AS (SELECT a.series, a.t, b.y AS lag1, a.y AS label FROM (SELECT * FROM tr UNION ALL SELECT series, max(t) + 1, NULL, NULL, (max(i) + 1)::INT FROM tr GROUP BY series) a JOIN tr b ON b.series = a.series AND b.i = a.i - 1),
+rt AS (SELECT rx.*, origin FROM rx JOIN o ON rx.t < origin WHERE lag1 IS NOT NULL AND label IS NOT NULL),
+rf AS (SELECT series, origin, regr_slope(label, lag1) AS b, regr_intercept(label, lag1) AS a FROM rt GROUP BY 1, 2 HAVING count(*) >= {voices.MIN_TRAIN} AND var_pop(lag1) > 0),
+rr AS (SELECT series, origin, any_value(a) AS a, any_value(b) AS b, quantile_cont(label - a - b * lag1, {levels}) AS rest FROM rt JOIN rf USING (series, origin) GROUP BY 1, 2),
+rq AS (SELECT series, origin, 1::INT AS h, unnest(range(1, {len(levels) + 1}))::INT AS level, a + b * lag1 + unnest(rest) AS q FROM rr JOIN rx USING (series) WHERE rx.t = origin AND lag1 IS NOT NULL)"""
+
+
+_LONG = f"series, origin, h, level, round(q, {PLACES}) AS q"
+
+
+def _graded(points: str, voices_n: int, keys: str = "voice", floor: bool = True, ks: bool = True) -> str:
+    """CTEs to scores from ``pts`` rows (voice, series, origin, h, level, q, y)."""
+    lv = lambda a: f"max(CASE WHEN level = {round(a * 100)} THEN q END)"
+    pin = " + ".join(f"greatest({a} * (y - q{round(a * 100)}), {a - 1} * (y - q{round(a * 100)}))" for a in BANDS)
+    other = keys.replace("voice, ", "").replace("voice", "")
+    return f"""{points}, w0 AS (SELECT voice, series, origin, h, y, {", ".join(f"{lv(a)} AS q{round(a * 100)}" for a in BANDS)}, sum((q < y)::INT) / 100.0::DOUBLE AS pit FROM pts GROUP BY voice, series, origin, h, y),
+w1 AS (SELECT * FROM w0 QUALIFY count(*) OVER (PARTITION BY series, origin, h) = {voices_n}),
+kr AS (SELECT {keys}, pit, row_number() OVER (PARTITION BY {keys} ORDER BY pit) AS k, count(*) OVER (PARTITION BY {keys}) AS n FROM w1),
+ks AS (SELECT {keys}, max(greatest(k::DOUBLE / n - pit, pit - (k - 1)::DOUBLE / n)) AS pit_ks FROM kr GROUP BY {keys}),
+g AS (SELECT {keys}, count(*) AS n, 2 * sum({pin}) / (greatest(sum(abs(y)), 1e-12) * 5) AS wql, avg((y BETWEEN q10 AND q90)::INT) AS coverage80, avg((y BETWEEN q5 AND q95)::INT) AS coverage90, sum(q90 - q10) / nullif(sum(abs(y)), 0) AS width80 FROM w1 GROUP BY {keys})
+SELECT {keys}, n, round(wql, 5) AS wql, round(coverage80, 5) AS coverage80, round(coverage90, 5) AS coverage90, round(width80, 5) AS width80{", round(pit_ks, 5) AS pit_ks" if ks else ""}{f", round(wql / max(CASE WHEN voice = 'seasonal_naive' THEN wql END) OVER ({'PARTITION BY ' + other if other else ''}), 5) AS wql_vs_naive" if floor else ""}
+FROM g JOIN ks USING ({keys})"""
+
+
+def _walk(name: str) -> str:
+    pts = "pts AS (SELECT v.*, tr.y FROM (SELECT 'seasonal_naive' AS voice, * FROM nq UNION ALL SELECT 'regression', * FROM rq) v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE tr.y IS NOT NULL)"
+    return f"WITH {_panel(name)}, {_origins(6)}, {_naive('[1]', GRID)}, {_regression(GRID)}, {_graded(pts, 2)}"
+
+
+_H12 = "range(1, 13)"
+_PTS = "pts AS (SELECT 'seasonal_naive' AS voice, v.*, tr.y FROM nq v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE tr.y IS NOT NULL)"
+_PROJECT = f"WITH {_panel('supplier_qty')}, {_origins(2, 12, 12)}, {_naive(_H12, GRID)}, {_graded(_PTS, 1, 'voice, h')}"
+_TOTALS = f"""WITH {_panel('supplier_qty')}, {_origins(2, 12, 12)}, {_naive(_H12, GRID)},
+su AS (SELECT 'total_summed' AS voice, v.series, v.origin, 12 AS h, level, sum(q) AS q, sum(tr.y) AS y FROM nq v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE tr.y IS NOT NULL GROUP BY ALL HAVING count(*) = 12),
+ys AS (SELECT series, i, t, CASE WHEN count(y) OVER b = 12 THEN sum(y) OVER b END AS y FROM tr WINDOW b AS (PARTITION BY series ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+y0 AS (SELECT series, min(t) AS from_t FROM ys WHERE y IS NOT NULL GROUP BY series), yt AS (SELECT series, (t - from_t)::INT AS i, t, y FROM ys JOIN y0 USING (series) WHERE t >= from_t),
+d AS (SELECT * FROM (WITH {_naive("[12]", GRID, 12, "yt")} SELECT nq.*, yt.y FROM nq JOIN yt ON yt.series = nq.series AND yt.t = nq.origin + 11 WHERE yt.y IS NOT NULL)),
+{_graded("pts AS (SELECT voice, series, origin, h, level, q, y FROM su UNION ALL SELECT 'total_direct', series, origin, h, level, q, y FROM d)", 0, floor=False, ks=False).replace(" QUALIFY count(*) OVER (PARTITION BY series, origin, h) = 0", "")}"""
+_PAST = f"""WITH {_panel('supplier_qty')}, {_origins(12, 1, 3)}, {_naive('[1, 3]', GRID)},
+pit AS (SELECT v.series, v.origin, v.h, sum((q < y)::INT) / 100.0::DOUBLE AS p FROM nq v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE y IS NOT NULL GROUP BY 1, 2, 3),
+b0 AS (SELECT *, least(floor(p * 100)::INT, 99) AS b FROM pit),
+bins AS (SELECT series, origin, h, (b - (p < b * 0.01::DOUBLE)::INT + (b <> 99 AND p >= (b + 1) * 0.01::DOUBLE)::INT)::INT AS bin FROM b0)"""
+_RECORD = "rec AS (SELECT o.origin, h, bin, count(*) AS n FROM bins JOIN o ON bins.origin + h <= o.origin GROUP BY 1, 2, 3)"
+_LEVELS = f"""{_PAST}, {_RECORD}, keys AS (SELECT DISTINCT origin, h FROM rec),
+c AS (SELECT origin, h, b.bin, coalesce(n, 0) + 1e-9::DOUBLE AS n FROM keys CROSS JOIN (SELECT unnest(range(100)) AS bin) b LEFT JOIN rec USING (origin, h, bin)),
+s AS (SELECT origin, h, bin, n / sum(n) OVER k AS w, sum(n) OVER (PARTITION BY origin, h ORDER BY bin) / sum(n) OVER k AS hi FROM c WINDOW k AS (PARTITION BY origin, h)),
+t AS (SELECT origin, h, sum(n) AS total FROM rec GROUP BY 1, 2), a AS (SELECT unnest({BANDS}) AS alpha, unnest(range(1, 6))::INT AS level)
+SELECT origin, h, level, round(CASE WHEN any_value(total) < 100 THEN any_value(alpha) ELSE arg_min((bin + (alpha - (hi - w)) / w) / 100.0::DOUBLE, bin) END, {PLACES}) AS read_at FROM t JOIN s USING (origin, h) CROSS JOIN a WHERE hi >= alpha GROUP BY 1, 2, 3"""
+_WORLD = f"wd AS (SELECT l_suppkey AS member, {_MONTH.format('l_shipdate')} AS t, sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_extendedprice) AS revenue FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) > 0)"
+_USUAL = f"us AS (SELECT member, avg(revenue) AS size, exp(avg(ln(price))) AS usual FROM wd WHERE t < {CUT} GROUP BY 1)"
+_PULLED = f"pu AS (SELECT member, t, factor, price * factor AS price, revenue * pow(factor, {1 - whatif.ELASTICITY}) AS truth, revenue * factor AS replay FROM wd, (SELECT unnest({whatif.FACTORS}::DOUBLE[]) AS factor) WHERE t >= {CUT})"
+_PAIR = f"""WITH d AS (SELECT o_orderkey, o_totalprice AS x, o_custkey::DOUBLE AS y FROM orders),
+s AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM d),
+l AS (SELECT o_orderkey, x - mx AS dx, y - my AS dy, vx, vy, c, vy - c * c / vx AS vyx, vx - c * c / vy AS vxy FROM d, s),
+n AS (SELECT o_orderkey, -0.5 * ln(2 * pi() * vx) - dx * dx / (2 * vx) AS fx, -0.5 * ln(2 * pi() * vy) - dy * dy / (2 * vy) AS fy,
+ -0.5 * ln(2 * pi() * vyx) - pow(dy - c / vx * dx, 2) / (2 * vyx) AS fyx, -0.5 * ln(2 * pi() * vxy) - pow(dx - c / vy * dy, 2) / (2 * vxy) AS fxy FROM l)
+SELECT o_orderkey, round((fx + fyx + fy + fxy) / 2, {PLACES}) AS score, round((fx + fxy) / 2, {PLACES}) AS share_o_totalprice, round((fy + fyx) / 2, {PLACES}) AS share_o_cust FROM n"""
+
+
+def _panel_oracle(name: str) -> str:
+    return f"WITH {_panel(name)} SELECT series, t, moy, round(y, 4) AS y FROM p"
+
+
+ORACLES = {
+    **{f"panel_{n}": _panel_oracle(n) for n in _FACTS},
+    "trim_nation_sales": f"WITH {_panel('nation_sales')} SELECT series, i, t, round(y, 4) AS y FROM tr",
+    **{f"recipe_h{h}": _recipe(h) for h in (1, 3, 6, 12, 13)},
+    **{f"seasonal_recipe_h{h}": _recipe(h, True) for h in (6, 13)},
+    "trailing_sum_12": f"WITH {_panel('supplier_qty')} SELECT series, t, round(CASE WHEN count(y) OVER b = 12 THEN sum(y) OVER b END, 4) AS y FROM tr WINDOW b AS (PARTITION BY series ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)",
+    "fill_median": f"WITH r AS ({_recipe(3)}), m AS (SELECT series, coalesce(quantile_cont(lag1, 0.5), 0) AS l1, coalesce(quantile_cont(mean3, 0.5), 0) AS m3, coalesce(quantile_cont(lag12, 0.5), 0) AS l12 FROM r GROUP BY 1) SELECT series, t, round(coalesce(lag1, l1), {PLACES}) AS lag1, round(coalesce(mean3, m3), {PLACES}) AS mean3, round(coalesce(lag12, l12), {PLACES}) AS lag12 FROM r JOIN m USING (series)",
+    "scale_last12": f"WITH {_panel('supplier_qty')} SELECT series, round(coalesce(nullif(avg(abs(y)) FILTER (WHERE i > z - 12), 0), 1), {PLACES}) AS scale FROM (SELECT *, max(i) OVER (PARTITION BY series) AS z FROM tr) GROUP BY series",
+    "naive_h1": f"WITH {_panel('supplier_qty')}, {_origins(3)}, {_naive('[1]', BANDS)} SELECT {_LONG} FROM nq",
+    "naive_h12": f"WITH {_panel('supplier_qty')}, {_origins(2, 1, 12)}, {_naive('[12]', BANDS)} SELECT {_LONG} FROM nq",
+    "naive_h18": f"WITH {_panel('nation_sales')}, {_origins(2, 1, 18)}, {_naive('[18]', BANDS)} SELECT {_LONG} FROM nq",
+    "naive_hourly": f"WITH {_panel('event_hours')}, {_origins(3, 1, 6)}, {_naive('[6]', BANDS, 24)} SELECT {_LONG} FROM nq",
+    "regression_voice": f"WITH {_panel('supplier_qty')}, {_origins(3)}, {_regression(BANDS)} SELECT {_LONG} FROM rq",
+    "blend_mean": f"WITH {_panel('supplier_qty')}, {_origins(3)}, {_naive('[1]', BANDS)}, {_regression(BANDS)} SELECT series, origin, h, level, round((nq.q + rq.q) / 2, {PLACES}) AS q FROM nq JOIN rq USING (series, origin, h, level)",
+    "walk_scores": _walk("supplier_qty"),
+    "walk_scores_flags": _walk("flag_qty"),
+    "project_scores": _PROJECT,
+    "total_scores": _TOTALS,
+    "pit_histogram": f"{_PAST} SELECT h, bin, count(*) AS n FROM bins GROUP BY 1, 2",
+    "record_as_of_origin": f"{_PAST}, {_RECORD} SELECT origin, h, bin, n FROM rec",
+    "calibrated_levels": _LEVELS,
+    "whatif_size_usual": f"WITH {_WORLD}, {_USUAL} SELECT member, round(size, 2) AS size, round(usual, 4) AS usual FROM us",
+    "whatif_replay": f"WITH {_WORLD}, {_PULLED} SELECT member, t, factor, round(price, 9) AS price, round(truth, 4) AS truth, round(replay, 4) AS replay FROM pu",
+    "whatif_support": f"WITH {_WORLD}, {_PULLED}, z AS (SELECT min(price) AS lo, max(price) AS hi FROM wd WHERE t < {CUT}) SELECT factor, round(avg((price BETWEEN lo AND hi)::INT), {PLACES}) AS in_support FROM pu, z GROUP BY 1",
+    "whatif_grade": f"WITH {_WORLD}, {_USUAL}, {_PULLED}, fit AS (SELECT regr_slope(ln(revenue / size), ln(price / usual)) AS b, regr_intercept(ln(revenue / size), ln(price / usual)) AS a FROM wd JOIN us USING (member) WHERE t < {CUT}) SELECT factor, round(pow(factor, {1 - whatif.ELASTICITY}), {PLACES}) AS true_move, round(avg(abs(replay - truth) / truth), {PLACES}) AS replay_off, round(avg(abs(size * exp(a + b * ln(price / usual)) - truth) / truth), {PLACES}) AS median_off FROM pu JOIN us USING (member), fit GROUP BY 1",
+    "misfit_pair": _PAIR,
+    "queue_round_robin": "WITH j AS (SELECT l_suppkey AS caller, l_orderkey * 1000000 + l_suppkey AS seq, sum(l_quantity)::BIGINT AS n_cells FROM lineitem GROUP BY 1, l_orderkey), r AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY seq)::INT AS round FROM j) SELECT caller, seq, n_cells, round, ((sum(n_cells) OVER (ORDER BY round, seq) - 1) // 131072)::BIGINT AS cycle FROM r",
+}
