@@ -42,11 +42,11 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = F.coalesce(F.transform(F.split(F.col(text_col).cast("string"), "\n", -1), masked), F.array().cast("array<string>"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.array_distinct(F.filter(F.transform("lines", path), lambda p: p.isNotNull())).alias("paths"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.array_distinct(F.filter(F.transform("lines", path), lambda p: p.isNotNull())).alias("paths"))
     own = materialize(own, "lines")
     leaves = own.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("path")
     leaves = materialize(leaves, "leaves")
-    seen = docs.select(F.explode(F.array_distinct("lines")).alias("line")).withColumn("path", path(F.col("line"))).where("path is not null")
+    seen = own.select(F.explode(F.array_distinct("lines")).alias("line")).withColumn("path", path(F.col("line"))).where("path is not null")
     kinds = seen.join(bounded(leaves, HELD), "path", "left_semi").groupBy("path", "line").agg(F.count("*").alias("n"))
     kinds = materialize(kinds, "kinds")
     tokens = kinds.select(F.xxhash64("line").alias("hash"), F.xxhash64("path").alias("leaf"), "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
