@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +106,17 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, raw.split()))
 
 
+@lru_cache(maxsize=1)
+def chunk_ids(spec: str) -> ChunkIds:
+    """Kept by a Python worker from task to task; what it holds is bounded by MEMO_WORDS."""
+    return ChunkIds(spec)
+
+
 def _written(spec, end_id: int, bits: bool):
     kind = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, end = ChunkIds(spec.value), np.array([end_id], "<u4").tobytes()
+        chunks, end = chunk_ids(spec.value), np.array([end_id], "<u4").tobytes()
         part, shard, ids, counts, flat = TaskContext.get().partitionId(), 0, [], [], []
         total = 0
 
