@@ -13,9 +13,11 @@ The documents are range partitioned and sorted by doc_id, so parts and shards fo
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import MEMO_WORDS, materialize
+from .shared import materialize
 
 BLOCK = 65_536
 SHARD_IDS = 2_000_000
@@ -79,23 +81,55 @@ def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, counts, ids
 
 
-class ChunkIds(dict):
-    """Ids (little-endian uint32) of what stands between white space; the tokenizer drops white space and
-    never joins over it. A closing mark after an ASCII letter is a piece of its own to the tokenizer."""
+#: A word of ASCII small letters and Latin-1 letters.
+LATIN = re.compile(rb"[a-z]*(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][a-z]*)*")
+#: Marks between such a letter and white space are a piece of their own to the tokenizer.
+MARKED = re.compile(rb"[#$%&)*+,.:;=?@!-](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[#$%&)*+,.:;=?@!-]*(?=[ \t-\r]|\Z)")
+#: Byte-level vocabularies write a byte that doesn't print as the next free character from 256 on.
+HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(HIDDEN)}
+#: Pieces whose ids a task keeps, about 50 MB, before it starts anew.
+MEMO_PIECES = 300_000
+
+
+class Encoder:
+    """Ids (little-endian uint32) of what stands between white space; the tokenizer drops white space and never
+    joins over it. A word of Latin letters goes straight to the tokenizer's model, without the steps before it,
+    if probes show that its ids and those of marks after it are the same; all else takes the whole way."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
+        probes = [w.encode() for w in ("a", "the", "straße", "été", "Ñandú", "Àÿí", "internationalisation", "xqzvtheshent")]
+        self.direct = all(self.word(w) == self.whole(w) and self.word(w) + self.whole(m) == self.whole(w + m) for w in probes for m in (b".", b"$$$", b"!),"))
+
+    def whole(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, chunk: bytes) -> bytes:
+        text = chunk.decode() if chunk.isascii() else chunk.decode().lower().encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def encoder(spec: str) -> Encoder:
+    """Kept by a Python worker from task to task."""
+    return Encoder(spec)
+
+
+class ChunkIds(dict):
+    """The ids of a task's chunks, each found once; at most MEMO_PIECES are kept."""
+
+    def __init__(self, found: Encoder):
+        self.found = found
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in b".,;:!?" and chunk[-2:-1].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
-        else:
-            ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_PIECES:
             self.clear()
-        self[chunk] = ids
+        ids = self[chunk] = self.found.word(chunk) if self.found.direct and LATIN.fullmatch(chunk) else self.found.whole(chunk)
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -103,20 +137,16 @@ class ChunkIds(dict):
         # The tokenizer lower-cases. Doing it before it is the same unless marks compose or special tokens are spelt out.
         if not (b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw):
             raw = raw.lower()
+            if self.found.direct:
+                raw = MARKED.sub(rb" \g<0>", raw)
         return b"".join(map(self.__getitem__, raw.split()))
 
 
-@lru_cache(maxsize=1)
-def chunk_ids(spec: str) -> ChunkIds:
-    """Kept by a Python worker from task to task; what it holds is bounded by MEMO_WORDS."""
-    return ChunkIds(spec)
-
-
 def _written(spec, end_id: int, bits: bool):
     kind = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, end = chunk_ids(spec.value), np.array([end_id], "<u4").tobytes()
+        chunks, end = ChunkIds(encoder(spec.value)), np.array([end_id], "<u4").tobytes()
         part, shard, ids, counts, flat = TaskContext.get().partitionId(), 0, [], [], []
         total = 0
 

@@ -135,6 +135,15 @@ def test_plane_files_round_trip(spark, monkeypatch, shard):
         assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_ids_equal_the_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, chunks = Tokenizer.from_file(path), op10_bitplanes.ChunkIds(op10_bitplanes.encoder(open(path, encoding="utf-8").read()))
+    assert chunks.found.direct
+    texts = ["Hello, World!! it's don't. l'été; ÉTÉ$$$ straße... 5, $, x--y (z). a's, 'tis", "Ñandú### ÿ? ×, a×. ÷ e\u0301, e\u0301. Å! \u212b, ﬁn, a.\u00a0b, c.\u2003d, <|endoftext|>. Aa,", "", " , . ", "a,", "é.\x1cb,\x85c"]
+    for t in texts:
+        assert chunks.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes(bits):
     ids = np.random.default_rng(1).integers(0, 2**32, 70_001).astype("<u4")
