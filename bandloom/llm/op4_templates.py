@@ -8,6 +8,8 @@ documents are dropped. All of it is counting: leaves, tokens and templates are a
 before each shuffle, equal lines are counted once, and no leaf's lines ever meet in one task.
 
 A document counts once for each of its distinct lines. Lines of fewer than ``MIN_TOKENS`` tokens are never dropped.
+So it stands in the SQL of ``op4_templates``. ``whole`` (``op4_whole_lines``, with SQL of its own) has every line that
+is not empty in the tree: the path of a short line is the whole masked line, which must recur as it is.
 """
 
 from __future__ import annotations
@@ -35,18 +37,25 @@ def path(line: Column) -> Column:
     return F.when(n >= MIN_TOKENS, F.concat_ws(" ", n, F.substring_index(line, " ", LEAD)))
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def whole_path(line: Column) -> Column:
+    """As path, but a short line is its own path; null for empty lines only."""
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    return F.coalesce(path(line), F.when(line != "", F.concat_ws(" ", n, line)))
+
+
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_lines, dropped`` (ascending numbers, from 0, of dropped lines).
 
     Lines end at ``\\n``. A null text has no lines; an empty one has an empty line, which is kept.
     """
     lines = F.coalesce(F.transform(F.split(F.col(text_col).cast("string"), "\n", -1), masked), F.array().cast("array<string>"))
+    way = whole_path if whole else path
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.array_distinct(F.filter(F.transform("lines", path), lambda p: p.isNotNull())).alias("paths"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.array_distinct(F.filter(F.transform("lines", way), lambda p: p.isNotNull())).alias("paths"))
     own = materialize(own, "lines")
     leaves = own.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("path")
     leaves = materialize(leaves, "leaves")
-    seen = own.select(F.explode(F.array_distinct("lines")).alias("line")).withColumn("path", path(F.col("line"))).where("path is not null")
+    seen = own.select(F.explode(F.array_distinct("lines")).alias("line")).withColumn("path", way(F.col("line"))).where("path is not null")
     kinds = seen.join(bounded(leaves, HELD), "path", "left_semi").groupBy("path", "line").agg(F.count("*").alias("n"))
     kinds = materialize(kinds, "kinds")
     tokens = kinds.select(F.xxhash64("line").alias("hash"), F.xxhash64("path").alias("leaf"), "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
@@ -65,11 +74,15 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = drop_templates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def query(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    df = drop_templates(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=whole)
     return df.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 
+def whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(spark, sf_dir, whole=True)
+
+
 ORACLE = rf"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 m AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), '[^\x20]*[0-9][^\x20]*', '{VARIABLE}', 'g') AS line FROM raw),
@@ -87,3 +100,21 @@ hit AS (SELECT doc_id, count(*) AS n_dropped, string_agg(i::VARCHAR, ',' ORDER B
 SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(dropped, '') AS dropped
 FROM documents d LEFT JOIN hit USING (doc_id)
 """
+
+WHOLE_ORACLE = rf"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+m AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), '[^\x20]*[0-9][^\x20]*', '{VARIABLE}', 'g') AS line FROM raw),
+k AS (SELECT doc_id, i, line, string_split(line, ' ') AS t FROM m WHERE line <> ''),
+p AS (SELECT *, len(t) || ' ' || array_to_string(CASE WHEN len(t) >= {MIN_TOKENS} THEN t[1:{LEAD}] ELSE t END, ' ') AS path FROM k),
+leaves AS (SELECT path FROM p GROUP BY path HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+kinds AS (SELECT path, line, any_value(t) AS t, count(DISTINCT doc_id) AS n FROM p WHERE path IN (SELECT path FROM leaves) GROUP BY path, line),
+tok AS (SELECT path, line, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM kinds),
+com AS (SELECT path, pos, token FROM tok GROUP BY path, pos, token HAVING sum(n) >= {MIN_DOCS}),
+fix AS (SELECT tok.path, line, n, tok.pos, CASE WHEN tok.pos <= {LEAD} OR com.token IS NOT NULL THEN tok.token ELSE '{VARIABLE}' END AS f FROM tok LEFT JOIN com USING (path, pos, token)),
+built AS (SELECT path, line, n, string_agg(f, ' ' ORDER BY pos) AS template FROM fix GROUP BY path, line, n HAVING sum((f <> '{VARIABLE}')::INT) >= count(*) * {FIXED}),
+rec AS (SELECT path, template FROM built GROUP BY path, template HAVING sum(n) >= {MIN_DOCS}),
+gone AS (SELECT DISTINCT line FROM built JOIN rec USING (path, template)),
+hit AS (SELECT doc_id, count(*) AS n_dropped, string_agg(i::VARCHAR, ',' ORDER BY i) AS dropped FROM m WHERE line IN (SELECT line FROM gone) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(dropped, '') AS dropped
+FROM documents d LEFT JOIN hit USING (doc_id)
+"""

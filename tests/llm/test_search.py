@@ -56,6 +56,17 @@ def test_templates_cases(spark):
     assert op4_templates.drop_templates(documents(spark, [])).count() == 0 and len(op4_templates.drop_templates(documents(spark)).collect()) == 14
 
 
+def test_whole_lines_equal_sql(spark):
+    assert same(op4_templates.whole_query(spark, SMALL), SMALL, op4_templates.WHOLE_ORACLE) == ""
+
+
+def test_whole_lines_drop_short_ones(spark):
+    rows = [(i, f"All rights reserved.\n\npage {i}\n{i}\nown{'abcdefgh'[i]} line", "en", "a") for i in range(8)] + [(100, "Les.\n\nall rights reserved.", "en", "a")]
+    got = {r.doc_id: (r.n_lines, r.dropped) for r in op4_templates.drop_templates(documents(spark, rows), whole=True).collect()}
+    # Empty lines, lone numbers (nothing fixed) and lines of one document stay.
+    assert all(got[i] == (5, [0, 2]) for i in range(8)) and got[100] == (3, [])
+
+
 def repeats(rows, n=op5_suffixes.MIN_WORDS):
     words = [(i, (t or "").encode().lower().split()) for i, (_, t) in enumerate(rows)]
     seen = {}
