@@ -67,6 +67,20 @@ def test_whole_lines_drop_short_ones(spark):
     assert all(got[i] == (5, [0, 2]) for i in range(8)) and got[100] == (3, [])
 
 
+def test_whole_lines_need_evidence_and_documents(spark):
+    # The same three words open a line of five words in eight documents; all else is each line's own.
+    rows = [(i, f"Was erlytion that. {c}are {c}for.\nmany words open a line {c}here", "en", "a") for i, c in enumerate("abcdefgh")]
+    # Five lines of one document and one of each of three others are four documents.
+    rows += [(100, "\n".join(f"list of the things here named {c}one" for c in "abcde"), "en", "a")]
+    rows += [(101 + i, f"list of the things here named {c}one", "en", "a") for i, c in enumerate("fgh")]
+    # "tall" stands in six lines, but of two documents: it is no fixed token.
+    rows += [(200, "\n".join(f"item of the shop is {c} tall" for c in "abcde"), "en", "a")]
+    rows += [(201 + i, f"item of the shop is {c} {w}", "en", "a") for i, (c, w) in enumerate(zip("fghi", ("tall", "wide", "deep", "thin"), strict=True))]
+    got = {r.doc_id: r.dropped for r in op4_templates.drop_templates(documents(spark, rows), whole=True).collect()}
+    assert all(got[i] == [1] for i in range(8)) and not any(got[100 + i] for i in range(4))
+    assert got[200] == [0, 1, 2, 3, 4] and all(got[201 + i] == [0] for i in range(4))
+
+
 def repeats(rows, n=op5_suffixes.MIN_WORDS):
     words = [(i, (t or "").encode().lower().split()) for i, (_, t) in enumerate(rows)]
     seen = {}
