@@ -8,10 +8,12 @@ left out first, by counting hashes. The others are sorted by their words over al
 partitioned suffix array), each is compared with its sorted neighbours of other texts, also across the
 partitions' edges, and the match is extended to the right and, by the words before, to the left.
 
+Neighbours in the order that share the right side may part at once on the left and hide a third text that
+shares both. So the windows of MIN_WORDS words that hold a shared core are also counted, by hash: they start at
+most WINDOW - 1 words before it, and every repeated window is one of them. Those that two texts have are repeated,
+so every repeated passage of MIN_WORDS words is found. What is reported is always repeated (but for equal 64-bit hashes).
+
 Texts with equal words are one text here; if there are two such documents their whole text is repeated.
-A passage of MIN_WORDS + WINDOW - 1 words that two texts share is always found (its right side alone is long
-enough); of shorter ones only some may be missed, where a neighbour in the order shares the right side
-but not the left one. What is reported is always repeated.
 """
 
 from __future__ import annotations
@@ -77,19 +79,25 @@ def _cores(batches):
 
 
 SUFFIX = pa.schema([("rid", pa.int64()), ("pos", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])
+#: With the hashes of the windows that hold the core, from the word ``since`` on; no window is in two rows of a text.
+WINDOWS = SUFFIX.append(pa.field("since", pa.int32())).append(pa.field("windows", pa.list_(pa.int64())))
 
 
 def _suffixes(batches):
-    """The MIN_WORDS words from each wanted position on, and the LEFT words before it, nearest first."""
+    """The MIN_WORDS words from each wanted position on, the LEFT words before it, nearest first, and its windows."""
     table = WordHashes()
     for b in batches:
         rows = []
         for text, rid, places, node in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             words = ascii_words(text)
             if xxhash.xxh3_128_digest(b" ".join(words)) == node:
-                h = (table.array(words) >> np.uint64(32)).astype(">u4")
-                rows += [(rid, p, h[p : p + MIN_WORDS].tobytes(), h[max(0, p - LEFT) : p][::-1].tobytes()) for p in places]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, SUFFIX, strict=True)], schema=SUFFIX)
+                full = table.array(words)
+                h, runs, free = (full >> np.uint64(32)).astype(">u4"), run_hashes(full, MIN_WORDS).view(np.int64), 0
+                for p in places:
+                    free = max(free, p - WINDOW + 1)
+                    rows.append((rid, p, h[p : p + MIN_WORDS].tobytes(), h[max(0, p - LEFT) : p][::-1].tobytes(), free, runs[free : p + 1]))
+                    free = p + 1
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, WINDOWS, strict=True)], schema=WINDOWS)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -157,14 +165,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = texts.select("rid", F.explode(F.arrays_zip("cores", "places")).alias("s")).select("rid", F.col("s.cores").alias("core"), F.col("s.places").alias("pos"))
     wanted = wanted.join(shared, "core", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("places"))
     wanted = materialize(wanted.join(texts.select("rid", "doc_id", "node"), "rid"), "wanted")
-    suffixes = docs.join(bounded(wanted, PICKED), "doc_id").select("text", "rid", "places", "node").mapInArrow(_suffixes, "rid long, pos int, right binary, left binary")
+    suffixes = docs.join(bounded(wanted, PICKED), "doc_id").select("text", "rid", "places", "node").mapInArrow(_suffixes, "rid long, pos int, right binary, left binary, since int, windows array<long>")
     suffixes = materialize(suffixes, "suffixes")
-    ordered = suffixes.repartitionByRange("right", "left", "rid", "pos").sortWithinPartitions("right", "left", "rid", "pos")
+    windows = suffixes.select("rid", "since", F.posexplode("windows").alias("at", "window"))
+    twice = materialize(windows.groupBy("window").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("window"), "windows")
+    told_twice = windows.join(twice, "window", "left_semi").select("rid", (F.col("since") + F.col("at")).alias("start"))
+    told_twice = told_twice.withColumn("stop", F.col("start") + MIN_WORDS)
+    ordered = suffixes.select(*SUFFIX.names).repartitionByRange("right", "left", "rid", "pos").sortWithinPartitions("right", "left", "rid", "pos")
     found = materialize(ordered.mapInArrow(_compared, "rid long, start int, stop int, part int, end int, pos int, right binary, left binary"), "matches")
     ends = found.where("end is not null").select("part", "end", F.struct("rid", "pos", "right", "left").alias("s"))
     over = W.orderBy("part", "end")  # two rows a partition
     edges = ends.select("part", F.lag("part").over(over).alias("before"), F.lag("s").over(over).alias("a"), F.col("s").alias("b")).where("before <> part").select("a", "b")
     spans = found.where("start is not null").select("rid", "start", "stop").unionByName(edges.mapInArrow(_edges, "rid long, start int, stop int")).distinct()
+    spans = spans.unionByName(told_twice)
     merged = F.expr("""aggregate(array_sort(collect_list(struct(start, stop))), cast(array() as array<struct<start:int,stop:int>>), (a, s) ->
         CASE WHEN size(a) = 0 OR element_at(a, -1).stop < s.start THEN concat(a, array(s)) WHEN element_at(a, -1).stop >= s.stop THEN a
         ELSE concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, s.stop AS stop))) END)""")

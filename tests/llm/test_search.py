@@ -110,6 +110,23 @@ def test_repeated_passages(spark):
     assert found >= 0.99 * total and total > 2000
 
 
+def test_repeated_passages_behind_a_crowd_of_short_ones(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 90_000, n)]
+    rows = []
+    for n in (50, 52, 55, 60):
+        passage = word(n)
+        first = int(op5_suffixes.minimisers(op5_suffixes.WordHashes().array([w.encode() for w in passage + word(30)]))[0])
+        # The crowd has the core and what follows, and never the words before it.
+        rows += [" ".join(word(20) + passage + word(20)) for _ in range(2)]
+        rows += [" ".join(word(20) + passage[first:] + word(20)) for _ in range(300)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.stop)} for r in op5_suffixes.repeated_passages(docs).collect()}
+    want = dict(zip((d for d, _ in rows), repeats(rows), strict=True))
+    assert got == want and sum(map(len, want.values())) >= 2 * (50 + 52 + 55 + 60)
+
+
 def test_repeated_passages_cases(spark):
     got = {}
     for r in op5_suffixes.repeated_passages(documents(spark)).collect():
