@@ -1,12 +1,13 @@
 """Secrets by strict patterns and a randomness test battery, in DataFrame functions only.
 
 Base spans come from the patterns and always stay. Further candidates are long tokens whose characters fit
-an encoding (upper-case hex, base32, base64). Under the hypothesis that a token is random in its
+an encoding (hex, base32, base64, or lower-case letters and digits). Under the hypothesis that a token is random in its
 encoding, three tests are made: chi-squared of uniform use of the alphabet (Wilson-Hilferty), runs above and
 below the middle of the alphabet, and serial correlation of neighbours. The least of the three p-values, times
 three, is the token's p-value: random tokens spread evenly over (0, 1], structured ones crowd near 0.
 Per length band, the number of random tokens is taken from the upper half of the p-values of all
-documents; the threshold is the least at which the estimated share of structured tokens among those
+documents, each distinct token once however often it is copied; a band of fewer than ``FEW`` distinct tokens takes
+the estimate, and so the threshold, of all bands together. The threshold is the least at which the estimated share of structured tokens among those
 accepted stays within ``FALSE_SHARE``. Short bands, whose tests see less, so get stricter thresholds.
 """
 
@@ -22,9 +23,12 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{16,}+"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
-#: Alphabets by name, the narrowest first; a token takes the first that has all its characters.
-ALPHABETS = (("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
+#: Alphabets by name, the narrowest first in either case; a token takes the first that has all its characters.
+ALPHABETS = (("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
+             ("hex_lower", "0123456789abcdef"), ("base32_lower", "abcdefghijklmnopqrstuvwxyz234567"), ("base36_lower", "abcdefghijklmnopqrstuvwxyz0123456789"))
 FALSE_SHARE, BANDS, BINS = 0.05, (20, 28, 40, 64, 128), 50
+#: Bands of fewer distinct tokens take the threshold of ALL bands together.
+FEW, ALL = 20, -1
 
 
 def spans(text: Column, pattern: str, kind: int) -> Column:
@@ -53,11 +57,12 @@ def _upper_tail(z: Column) -> Column:
 def battery(df: DataFrame, token: str = "token") -> DataFrame:
     """Adds ``encoding, n, p_uniform, p_runs, p_serial, p`` to rows with a token; p is null without encoding.
 
-    base64 tokens must hold both cases and a digit, the others a letter and a digit: words are no encoding.
+    base64 tokens must hold both cases and a digit, the others a letter of their case and a digit: words are no encoding.
     """
     raw = F.regexp_replace(token, "=+$", "")
-    mixed = raw.rlike("[0-9]") & raw.rlike("[A-Z]")
-    names = F.coalesce(*[F.when(raw.rlike(f"^[{letters.replace('-', '')}{'-' if '-' in letters else ''}]+$") & mixed & (raw.rlike("[a-z]") if name == "base64" else F.lit(True)), F.lit(name)) for name, letters in ALPHABETS])
+    lower, upper = raw.rlike("[a-z]"), raw.rlike("[A-Z]")
+    cases = lambda name: lower & upper if name == "base64" else lower if name.endswith("lower") else upper
+    names = F.coalesce(*[F.when(raw.rlike(f"^[{letters.replace('-', '')}{'-' if '-' in letters else ''}]+$") & raw.rlike("[0-9]") & cases(name), F.lit(name)) for name, letters in ALPHABETS])
     letters = F.coalesce(*[F.when(F.col("encoding") == name, F.lit(a)) for name, a in ALPHABETS])
     df = df.withColumn("encoding", names).withColumn("letters", letters).withColumn("raw", raw)
     df = df.withColumn("at", F.when(F.col("encoding").isNotNull(), F.transform(F.split("raw", "(?!^)"), lambda c: F.instr(F.col("letters"), c).cast("double"))))
@@ -80,12 +85,20 @@ def battery(df: DataFrame, token: str = "token") -> DataFrame:
 
 
 def thresholds(tokens: DataFrame) -> DataFrame:
-    """``(band, floor)`` from rows ``(n, p)`` of all tokens: tokens of the band with p above floor are accepted."""
-    bins = tokens.where("p is not null").groupBy(_band().alias("band"), F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).cast("int").alias("bin")).agg(F.count("*").alias("m"))
+    """``(band, floor)`` from rows ``(token, n, p)`` of all tokens: tokens of the band with p above floor are accepted.
+
+    Equal tokens are one test. Every band with a p-value has a floor; it is 1 (none accepted) if no bin is good enough.
+    """
+    tests = tokens.where("p is not null").select("token", "n", "p").distinct()
+    tests = tests.select(F.explode(F.array(_band(), F.lit(ALL))).alias("band"), F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).cast("int").alias("bin"))
+    bins = tests.groupBy("band", "bin").agg(F.count("*").alias("m"))
     bins = bins.withColumn("half", F.sum(F.when(F.col("bin") >= BINS // 2, F.col("m")).otherwise(0)).over(W.partitionBy("band")))
     bins = bins.withColumn("accepted", F.sum("m").over(W.partitionBy("band").orderBy(F.desc("bin"))))
     wrong = 1 - 2 * F.col("half") * (1 - F.col("bin") / F.lit(float(BINS))) / F.col("accepted")
-    return bins.where((wrong <= FALSE_SHARE) & (F.col("half") > 0)).groupBy("band").agg((F.min("bin") / F.lit(float(BINS))).alias("floor"))
+    good = (wrong <= FALSE_SHARE) & (F.col("half") > 0)
+    floors = bins.groupBy("band").agg((F.coalesce(F.min(F.when(good, F.col("bin"))), F.lit(BINS)) / F.lit(float(BINS))).alias("floor"), F.sum("m").alias("total"))
+    floors = floors.withColumn("of_all", F.max(F.when(F.col("band") == ALL, F.col("floor"))).over(W.partitionBy()))  # a row per band
+    return floors.where(F.col("band") != ALL).select("band", F.when(F.col("total") < FEW, F.col("of_all")).otherwise(F.col("floor")).alias("floor"))
 
 
 def _band() -> Column:
@@ -101,12 +114,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     assigned = F.filter(spans(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 12)
     access = F.filter(spans(text, ACCESS, 1), lambda s: F.length(s["found"]) >= 18)
     base = F.concat(assigned, access, spans(text, HEX, 2))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), base.alias("base"), F.filter(spans(text, TOKEN, 3), lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Z]")).alias("more"))
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), base.alias("base"), F.filter(spans(text, TOKEN, 3), lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]")).alias("more"))
     free = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     df = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))).alias("base"), free.alias("more"))
     df = materialize(df, "tokens")
     tokens = battery(df.select("row", F.explode("more").alias("s")).select("row", "s.start", "s.kind", "s.stop", F.col("s.found").alias("token"))).withColumn("band", _band())
-    tokens = materialize(tokens.select("row", "start", "kind", "stop", "n", "band", "p"), "battery")
+    tokens = materialize(tokens.where("p is not null").select("row", "start", "kind", "stop", "token", "n", "band", "p"), "battery")
     added = tokens.join(thresholds(tokens), "band").where("p > floor").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("added"))
     out = df.select("row", "doc_id", "base").join(added, "row", "left")
     return out.select("doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,stop:int>>")))).alias("found"))

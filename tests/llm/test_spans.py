@@ -97,6 +97,27 @@ def test_battery_tells_random_from_structured(spark):
     assert sum(got[i] for i in range(300)) > 240 and sum(got[i] for i in range(300, 650)) < 15
 
 
+def test_thresholds_count_distinct_tokens_and_keep_small_bands(spark):
+    even = [(f"t{i}", 30, (i + 0.5) / 100) for i in range(100)]
+    floor = lambda rows: {r.band: r.floor for r in op6_randomness.thresholds(spark.createDataFrame(rows, "token string, n int, p double")).collect()}
+    alone = floor(even)
+    assert alone[28] < 0.1
+    assert floor(even + [("copied", 30, 0.3)] * 5000)[28] < 0.1
+    crowd = [(f"s{i}", 30, 0.001) for i in range(900)]
+    assert floor(even + crowd + [("copied", 30, 0.8)] * 5000)[28] > 0
+    # One token of another band takes the share of all bands; a large band without any random token accepts none.
+    few = floor(even + [("one", 50, 0.3)] + [(f"x{i}", 130, 0.01) for i in range(40)])
+    assert few[40] <= 0.3 and few[128] == 1
+
+
+def test_lower_case_encodings(spark):
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz234567")
+    random = ["".join(rng.choice(letters, 48)) + "a2z" for _ in range(200)]
+    got = [len(r.found) for r in op6_randomness.find_secrets(documents(spark, [(i, f"see {t} here", "en", "a") for i, t in enumerate(random)])).collect()]
+    assert sum(got) > 160
+
+
 def test_language(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = op2_language.query(spark, SMALL).collect()
