@@ -9,9 +9,12 @@ Jaccard similarity of the full shingle sets confirms them.
   ``k/2 + 1`` retained values as list entries (the prefix filter); values that only one class retains
   count as entries but need no list. What many texts share is frequent and seldom enters a prefix.
 * Each list has a hub, its member whose retained values are the most frequent ones: the most central of the
-  copies. All members are tested against their hubs, as a star. What the confirmed links leave in different
-  components is then paired inside a hub's group, across components and only there, by sketches of
-  ``WIDE`` values. So a group of n near copies costs about n tests, and no link between components is lost.
+  copies. All members are tested against their hubs, as a star. So a group of n near copies costs about n tests.
+* What confirmed links leave in different components of a group is searched again, by its full sets and for links
+  between components only (``_between``). The values are ordered by how many of these texts hold them, those
+  of a single component first; alike texts then share one of the first quarter of their values, and the smaller of two
+  one of its first seventh. A passage that many otherwise different texts share comes last in that order, so
+  that such a group yields lists without pairs, whatever its size. Lists are dealt in chunks.
 """
 
 from __future__ import annotations
@@ -19,16 +22,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WordHashes, ascii_words, bounded, materialize, shingle_set
+from .shared import WordHashes, ascii_words, bounded, counted_join, materialize, shingle_set
 
-#: Retained values in the sketches that compare what stars left apart; texts of fewer shingles are compared exactly.
-WIDE = 256
 #: Members that are verified against one hub in one group.
 CHUNK = 256
+#: Members of a list that meet in one key of a join.
+DEALT = 1024
 #: Ids that may be broadcast to pick texts for the exact check; more are joined by a shuffle.
 PICKED = 1_000_000
 
@@ -54,31 +57,27 @@ def _sketches(k: int, n: int):
     return run
 
 
-def _sets(n: int, most: int | None = None):
-    """The shingle set of each text by its node: as bytes, or its ``most`` least hashes as an array."""
+def _sets(n: int):
+    """The shingle set of each text by its node."""
 
     def run(batches):
         table = WordHashes()
         for b in batches:
             for text in b.column(0).to_pylist():
                 if words := ascii_words(text):
-                    full = shingle_set(table.array(words), n)
-                    full = pa.array([full.tobytes()], pa.binary()) if most is None else pa.array([full[:most]], pa.list_(pa.int64()))
+                    full = pa.array([shingle_set(table.array(words), n)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b" ".join(words))], pa.binary()), full], ["node", "full"])
 
     return run
 
 
-def _confirm(similarity: float):
-    percent = round(similarity * 100)
-
+def _confirm(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        first = group.column("hub_full").combine_chunks().drop_null()
-        hub = np.frombuffer(first[0].as_py(), np.int64)
+        hub = group.column("hub_full").combine_chunks().drop_null()[0].values.to_numpy()
         keep = []
-        for i, raw in enumerate(group.column("full").to_pylist()):
-            if raw is not None:
-                other = np.frombuffer(raw, np.int64)
+        for i, one in enumerate(group.column("full").combine_chunks()):
+            if one.is_valid:
+                other = one.values.to_numpy()
                 both = len(np.intersect1d(hub, other, assume_unique=True))
                 if 100 * both >= percent * (len(hub) + len(other) - both):
                     keep.append(i)
@@ -87,44 +86,91 @@ def _confirm(similarity: float):
     return run
 
 
-def _texts_of(reps: DataFrame, docs: DataFrame, cands: DataFrame, run, kind: str) -> DataFrame:
-    """``(rid, full)`` of the classes ``reps(rid)``, from one text of each."""
-    wanted = materialize(reps.join(cands, "rid").select("rid", "doc_id", "node"), "wanted")
+def _full_sets(wanted: DataFrame, docs: DataFrame, cands: DataFrame, n: int) -> DataFrame:
+    """``(rid, full)`` of the classes ``wanted(rid)``, from one text of each."""
+    wanted = materialize(wanted.join(cands, "rid").select("rid", "doc_id", "node"), "wanted")
     texts = docs.join(bounded(wanted.select("doc_id").distinct(), PICKED), "doc_id", "left_semi").select("text")
-    made = texts.mapInArrow(run, f"node binary, full {kind}")
+    made = texts.mapInArrow(_sets(n), "node binary, full array<long>")
     return materialize(made.join(bounded(wanted, PICKED), "node").groupBy("rid").agg(F.first("full").alias("full")), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, cands: DataFrame, n: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose full sets are alike; the set of u is sent once per CHUNK pairs."""
-    pairs = materialize(pairs, "pairs")
-    sets = _texts_of(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, cands, _sets(n), "binary")
-    chunks = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "u").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
-    members = dealt.join(sets, F.col("v") == F.col("rid")).select("u", "chunk", "v", "full", F.lit(None).cast("binary").alias("hub_full"))
+    chunks = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = pairs.join(bounded(chunks, PICKED), "u", "left").withColumn("chunk", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    none = F.lit(None).cast("array<long>")
+    members = dealt.join(sets, F.col("v") == F.col("rid")).select("u", "chunk", "v", "full", none.alias("hub_full"))
     hubs = (
         dealt.select("u", "chunk").distinct().join(sets, F.col("u") == F.col("rid"))
-        .select("u", "chunk", F.col("u").alias("v"), F.lit(None).cast("binary").alias("full"), F.col("full").alias("hub_full"))
+        .select("u", "chunk", F.col("u").alias("v"), none.alias("full"), F.col("full").alias("hub_full"))
     )
-    return members.unionByName(hubs).groupBy("u", "chunk").applyInArrow(_confirm(similarity), "u long, v long")
+    return members.unionByName(hubs).groupBy("u", "chunk").applyInArrow(_confirm(percent), "u long, v long")
+
+
+def _between(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of ``apart(rid, root)`` of different roots that may be alike, by prefixes of ``sets(rid, full)``.
+
+    Two sets are alike if they share ceil(percent * (a + b) / (100 + percent)) values. So the first value they share, in
+    one order of all values, has at least that many values from it on in both; the smaller set is ``early`` there.
+    """
+    known = sets.join(apart, "rid").withColumn("size", F.size("full"))
+    values = known.select("rid", "root", F.explode("full").alias("value"))
+    # Values of one root come first and need no list; then the rarest.
+    mixed = values.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    mixed = materialize(mixed.select("value", "n"), "mixed")
+    many = values.select("rid", "value").join(mixed, "value").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("many"))
+    rows = many.join(known.drop("full"), "rid").withColumn("own", F.col("size") - F.size("many"))
+    need = F.expr(f"size - cast(ceil(size * {percent} / 100.0D) as int) + 1 - own")
+    rows = rows.withColumn("need", need).where("need > 0").select("rid", "root", "size", "own", F.posexplode(F.slice("many.value", F.lit(1), F.col("need"))).alias("at", "value"))
+    early = F.expr(f"(size - own - at) * {100 + percent} >= size * {2 * percent}")
+    lists = materialize(rows.select("rid", "root", "size", (F.col("own") + F.col("at")).alias("pos"), "value", early.alias("early")), "lists")
+    # In a list whose most frequent root is ``most``, all pairs of two roots have a member of another one.
+    roots = lists.groupBy("value", "root").agg(F.count("*").alias("n"), F.max("early").alias("early"))
+    kinds = roots.groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max("early").alias("early"))
+    kinds = materialize(kinds.where("roots > 1 and early").select("value", "most", "n_most", "n"), "kinds")
+    lists = counted_join(lists, kinds.withColumn("members", F.col("n")), "value", "members", held=PICKED)
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / DEALT)).cast("int")
+    all_, most, others = F.col("n"), F.col("n_most"), F.col("n") - F.col("n_most")
+    other = F.col("root") != F.col("most")
+
+    def side(name: str, rows: DataFrame, kind: int, own: Column, facing: Column, first: bool) -> DataFrame:
+        mine, theirs = F.pmod(F.xxhash64("rid"), chunks(own)).cast("int"), F.explode(F.sequence(F.lit(0), chunks(facing) - 1))
+        i, j = (mine.alias("i"), theirs.alias("j")) if first else (theirs.alias("i"), mine.alias("j"))
+        return rows.select("value", F.lit(kind).alias("kind"), i, j, F.struct("rid", "root", "size", "pos").alias(name))
+
+    larger = side("a", lists.where(other), 0, others, all_, True).unionByName(side("a", lists.where(~other), 1, most, others, True))
+    smaller = lists.where("early")
+    smaller = side("b", smaller, 0, all_, others, False).unionByName(side("b", smaller.where(other), 1, others, most, False))
+    pairs = larger.join(smaller, ["value", "kind", "i", "j"]).where(
+        f"""a.root <> b.root and (a.size > b.size or a.size = b.size and a.rid < b.rid) and 100L * b.size >= {percent} * a.size
+        and {100 + percent} * least(a.size - a.pos, b.size - b.pos) >= {percent} * (a.size + b.size)"""
+    )
+    return pairs.select(F.least("a.rid", "b.rid").alias("u"), F.greatest("a.rid", "b.rid").alias("v")).distinct()
 
 
-def _alike(k: int, similarity: float, sketch: str = "sketch") -> str:
+def _alike(k: int, similarity: float) -> str:
     """Whether sketches of a and b may belong to alike sets: by size, and by what tells the union's sketch.
 
     Up to the least end of a cut sketch both sketches are whole, so there their union is a random sample of the
     sets' union. It is given 4.5 standard deviations, and none if both sets are whole.
     """
-    end = lambda x: f"if({x}.size > {k}, element_at({x}.{sketch}, -1), 9223372036854775807)"
+    end = lambda x: f"if({x}.size > {k}, element_at({x}.sketch, -1), 9223372036854775807)"
     till = lambda v: f"size(filter({v}, x -> x <= least({end('a')}, {end('b')})))"
-    both = till(f"array_intersect(a.{sketch}, b.{sketch})")
+    both = till(f"array_intersect(a.sketch, b.sketch)")
     least = f"if(greatest(a.size, b.size) <= {k}, {similarity}D, {similarity - 4.5 * (similarity * (1 - similarity) / k) ** 0.5}D)"
     return (
         f"least(a.size, b.size) >= {similarity}D * greatest(a.size, b.size) AND "
-        f"{both} * (1 + {least}) >= {least} * ({till(f'a.{sketch}')} + {till(f'b.{sketch}')}) - 1e-9D"
+        f"{both} * (1 + {least}) >= {least} * ({till(f'a.sketch')} + {till(f'b.sketch')}) - 1e-9D"
     )
 
 
+def _told_alike(pairs: DataFrame, cands: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) that the sketches of their union do not rule out."""
+    side = lambda name: cands.select(F.col("rid").alias(f"{name}_rid"), F.struct("size", "sketch").alias(name))
+    both = pairs.join(side("a"), F.col("u") == F.col("a_rid")).join(side("b"), F.col("v") == F.col("b_rid"))
+    return both.where(_alike(k, similarity)).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 64, shingle: int = 5, similarity: float = 0.75) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -146,26 +192,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(many.join(held, "rid").withColumn("need", need).where("need > 0").select("rid", "central", F.slice("many.value", F.lit(1), F.col("need")).alias("values")), "prefixes")
     cands = materialize(reps.join(bounded(first.select("rid"), PICKED), "rid"), "candidates")
     lists = first.select("rid", "central", F.explode("values").alias("value"))
-    hubs = lists.groupBy("value").agg(F.max_by("rid", F.struct("central", "rid")).alias("u"), F.count("*").alias("n")).where("n > 1").select("value", "u")
-    stars = materialize(lists.join(hubs, "value").where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
-    side = lambda name: cands.select(F.col("rid").alias(f"{name}_rid"), F.struct("size", "sketch").alias(name))
-    near = stars.join(side("a"), F.col("u") == F.col("a_rid")).join(side("b"), F.col("v") == F.col("b_rid")).where(_alike(k, similarity)).select("u", "v")
-    links = materialize(_verified(near, docs, cands, shingle, similarity), "links")
+    hubs = lists.groupBy("value").agg(F.max_by("rid", F.struct("central", "rid")).alias("u"), F.count("*").alias("n")).where("n > 1")
+    hubs = materialize(hubs, "hubs")
+    stars = materialize(counted_join(lists, hubs, "value", "n", held=PICKED).where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
+    percent = round(similarity * 100)
+    near = materialize(_told_alike(stars, cands, k, similarity), "near")
+    sets = _full_sets(near.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, cands, shingle)
+    links = materialize(_verified(near, sets, percent), "links")
     roots = components(links)
     groups = stars.select("u", F.col("v").alias("rid")).unionByName(stars.select("u", F.col("u").alias("rid")).distinct())
     groups = materialize(groups.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "groups")
-    sizes = groups.groupBy("u", "root").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("u").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("most")).where("roots > 1").select("u", "most")
-    # The hub itself has been tested against all of its group.
-    apart = materialize(groups.where("rid <> u").join(split, "u"), "apart")
-    wide = _texts_of(apart.select("rid").distinct(), docs, cands, _sets(shingle, WIDE), "array<long>").withColumnRenamed("full", "wide")
-    known = materialize(cands.join(wide, "rid").select("rid", F.struct("size", "sketch", "wide").alias("x")), "wide")
-    rows = apart.join(known, "rid")
-    left = rows.where("root <> most").select("u", F.col("rid").alias("a_rid"), F.col("root").alias("a_root"), F.col("x").alias("a"))
-    right = rows.select("u", "most", F.col("rid").alias("b_rid"), F.col("root").alias("b_root"), F.col("x").alias("b"))
-    rest = left.join(right, "u").where("a_root <> b_root and (b_root = most or a_rid < b_rid)").where(_alike(k, similarity)).where(_alike(WIDE, similarity, "wide"))
-    rest = rest.select(F.least("a_rid", "b_rid").alias("u"), F.greatest("a_rid", "b_rid").alias("v")).distinct()
-    roots = components(links.unionByName(_verified(rest, docs, cands, shingle, similarity)))
+    split = groups.groupBy("u").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("u", "n")
+    apart = materialize(counted_join(groups, materialize(split, "split"), "u", "n", "left_semi", PICKED).select("rid", "root").distinct(), "apart")
+    sets = _full_sets(apart.select("rid"), docs, cands, shingle)
+    rest = materialize(_told_alike(_between(apart, sets, percent), cands, k, similarity), "rest")
+    roots = components(links.unionByName(_verified(rest, sets, percent)))
     named = reps.select("rid", "node", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")

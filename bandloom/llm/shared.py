@@ -7,11 +7,13 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a Python worker keeps of a word table before it starts a new one.
 MEMO_WORDS = 400_000
+#: Keys of a join that may be hot, as a share of all rows: see counted_join.
+HOT_KEYS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,27 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_bytes(df: DataFrame, size: Column, most: int) -> DataFrame:
+    """A broadcast hint if ``size``, the bytes of a row, sums up to at most ``most``."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
+def counted_join(rows: DataFrame, keys: DataFrame, key: str, count: str, how: str = "inner", held: int = 0) -> DataFrame:
+    """``rows`` joined to ``keys``, a written table with one row a key and with the number of rows that have it.
+
+    Up to ``held`` keys are broadcast. Of more, the hot ones are: those with more than 1 / HOT_KEYS of all rows, so
+    that at most HOT_KEYS of them exist. The others are joined by a shuffle, in which no key is then hot.
+    """
+    number, total = keys.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
+    plain = keys.drop(count) if how == "left_semi" else keys
+    if number <= held:
+        return rows.join(F.broadcast(plain), key, how)
+    least = max(1, total // HOT_KEYS)
+    hot = F.broadcast(keys.where(F.col(count) > least).select(key))
+    cold = plain.join(hot, key, "left_anti")
+    return rows.join(F.broadcast(plain.join(hot, key, "left_semi")), key, how).unionByName(rows.join(hot, key, "left_anti").join(cold, key, how))
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between the ASCII white space characters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
