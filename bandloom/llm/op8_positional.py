@@ -10,15 +10,16 @@ no posting is shuffled. Items are sent to the segments in blocks of at most ``BL
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded, materialize
+from .shared import bounded, materialize, shared_dir
 
 SEGMENT_WORDS = 1_000_000
 BLOCK_BYTES = 32_000_000
@@ -26,7 +27,7 @@ BLOCK_BYTES = 32_000_000
 PICKED = 1_000_000
 #: Bytes that end a word become blanks, A-Z become a-z, all bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX = "segment string, doc_ids array<bigint>, starts array<int>, sizes array<int>, terms binary, ends array<int>, gaps binary"
+INDEX = "segment string, doc_ids array<bigint>, text_keys array<bigint>, starts array<int>, sizes array<int>, terms binary, ends array<int>, gaps binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -41,7 +42,7 @@ class _Terms(dict):
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made = TaskContext.get().partitionId(), 0
-    ids, starts, sizes, codes, at, terms = [], [], [], [], 0, _Terms()
+    ids, keys, starts, sizes, codes, at, terms = [], [], [], [], [], 0, _Terms()
 
     def flush() -> pa.RecordBatch:
         flat = np.concatenate([np.empty(0, np.int32), *codes])
@@ -50,29 +51,34 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(np.bincount(flat, minlength=len(terms)))
         gaps = np.diff(where[order], prepend=np.int32(0))
         return pa.RecordBatch.from_pylist(
-            [{"segment": f"{part}-{made}", "doc_ids": ids, "starts": starts, "sizes": sizes, "terms": b"\n".join(terms), "ends": ends.tolist(), "gaps": gaps.astype("<i4").tobytes()}],
-            pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("ends", pa.list_(pa.int32())), ("gaps", pa.binary())]),
+            [{"segment": f"{part}-{made}", "doc_ids": ids, "text_keys": keys, "starts": starts, "sizes": sizes, "terms": b"\n".join(terms), "ends": ends.tolist(), "gaps": gaps.astype("<i4").tobytes()}],
+            pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("ends", pa.list_(pa.int32())), ("gaps", pa.binary())]),
         )
 
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for doc_id, text, key in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             found = words(text)
             codes.append(np.fromiter(map(terms.__getitem__, found), np.int32, len(found)))
             ids.append(doc_id)
+            keys.append(key)
             starts.append(at)
             sizes.append(len(found))
             at += len(found) + 1  # a position without a term keeps phrases inside documents
             if at >= SEGMENT_WORDS:
                 yield flush()
                 made += 1
-                ids, starts, sizes, codes, at, terms = [], [], [], [], 0, _Terms()
+                ids, keys, starts, sizes, codes, at, terms = [], [], [], [], [], 0, _Terms()
     if ids:
         yield flush()
 
 
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored positional index of all rows of ``docs``; a null text has no words."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_key(text_col).alias("key"))
     return materialize(docs.mapInArrow(_segments, INDEX), "postings")
 
 
@@ -123,14 +129,14 @@ class Segment:
                 yield d, int(at[lo] - self.starts[d]), int(at[hi] - self.starts[d]) + length
 
 
-def _asked(items: list[tuple[int, list[bytes]]], window: int, reach: int | None):
+def _asked(sent, window: int, reach: int | None):
     kind = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
                 s, found = Segment(row), []
-                for item, text in items:
+                for item, text in sent.value:
                     terms = [s.terms.get(w, -1) for w in text]
                     if reach is not None:
                         at, n = (s.near(terms, reach), 1) if -1 not in terms else (np.empty(0, np.int64), 1)
@@ -148,22 +154,28 @@ def _asked(items: list[tuple[int, list[bytes]]], window: int, reach: int | None)
     return run
 
 
+MATCHES = "segment string, place int, doc_id long, item_id long, start int, stop int"
+
+
 def _matches(index: DataFrame, items: DataFrame, window: int, reach: int | None, id_col: str, text_col: str) -> DataFrame:
-    items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    """Each block of items over all segments, one after the other, so that driver and tasks hold one block only."""
+    spark = index.sparkSession
+    items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // BLOCK_BYTES))
-    out = None
+    path = f"{shared_dir(spark)}/bandloom-matches-{uuid.uuid4().hex}"
     for k in range(blocks):
-        block = [(r.item_id, w) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if (w := words(r.text))]
-        found = index.mapInArrow(_asked(block, window, reach), "segment string, place int, doc_id long, item_id long, start int, stop int")
-        out = found if out is None else out.unionByName(found)
-    return out
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        sent = spark.sparkContext.broadcast([(r.item_id, w) for r in rows if (w := words(r.text))])
+        index.mapInArrow(_asked(sent, window, reach), MATCHES).write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(MATCHES).parquet(path)
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Word spans ``[start, stop)`` of documents that occurrences of an item's windows cover, merged per item.
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window. Items without
-    id, text or words take no part. ``segment`` and ``place`` name the row of the documents.
+    text or words take no part. ``segment`` and ``place`` name the row of the documents.
     """
     return _matches(index, items, window, None, id_col, text_col)
 
@@ -174,24 +186,37 @@ def proximity_matches(index: DataFrame, items: DataFrame, reach: int = 20, id_co
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    Windows of items without item_id hit words like any other, but have no name: n_items and items_sha256 leave them out.
+    """
+    return _contamination(docs, items, window).drop("text_key")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     index = build_index(docs)
-    rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("place", "d")).select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_words"))
+    rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "sizes")).alias("place", "d"))
+    rows = rows.select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.sizes").cast("long").alias("n_words"))
     hits = phrase_matches(index, items, window).groupBy("segment", "place").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")
     )
     covered = F.expr("aggregate(spans, struct(0 as till, 0L as n), (a, s) -> struct(greatest(a.till, s.stop) as till, a.n + greatest(0, s.stop - greatest(a.till, s.start)) as n), a -> a.n)")
     out = rows.join(hits.select("segment", "place", covered.alias("n_hit"), "items"), ["segment", "place"], "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of an item occurs (nor in rows of the same doc_id)."""
-    gone = materialize(contamination(docs, items, window).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bounded(gone, PICKED), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, in which no window of an item occurs.
+
+    Rows go by doc_id and text, so a clean text under a repeated doc_id stays and a contaminated one without doc_id goes.
+    """
+    gone = _contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    gone = bounded(materialize(gone, "contaminated"), PICKED)
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (_text_key("text") == gone["gone_key"])
+    return docs.join(gone, same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,30 @@ def test_forest_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_forest_finds_most_and_scores_few():
+    # Directions without structure are the hardest case for trees.
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = op3_forest.plant(x, len(x), 1.0)
+    at = forest.leaves(x).astype(np.int64)
+    truth = lambda q: np.argsort(-(x @ x[q]))[1:21]
+    budget = op3_forest.fitted_budget(forest, x[:60], [at[truth(q)] for q in range(60)])
+    hits = scored = 0
+    for q in range(100, 160):
+        seen = np.zeros(at.shape[1] << forest.depth, bool)
+        seen[forest.visited(x[q], budget)] = True
+        met = seen[at + (np.arange(at.shape[1]) << forest.depth)].any(1)
+        hits, scored = hits + int(met[truth(q)].sum()), scored + int(met.sum())
+    assert hits / 1200 >= 0.9 and scored / (60 * len(x)) < 0.2
+
+
+def test_forest_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [1.0, 1.0]), (4, [9.0, 9.0, 9.0]), (40, [1.0, 2.0, 3.0])]
+    got = sorted(map(tuple, op3_forest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == sorted([(20, 1, 3, 1.0), (20, 2, 20, 0.5), (20, 1, 3, 1.0), (20, 2, 20, 0.5), (40, 1, 4, 54.0)])
+
+
 def test_forest_cases(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [1.0, None]), (80, [float("nan"), 1.0]), (None, [1.0, 1.0]), (7, []), (9, [1.0, 2.0, 3.0])]
     rows += [(100 + i, [2.0, 1.0]) for i in range(1, 60)] + [(1, [3.0, 0.0]), (2, [-1.0, 0.5])]
@@ -127,6 +151,14 @@ def test_repeated_passages_behind_a_crowd_of_short_ones(spark):
     assert got == want and sum(map(len, want.values())) >= 2 * (50 + 52 + 55 + 60)
 
 
+def test_repeated_passages_without_doc_id(spark):
+    rng = np.random.default_rng(12)
+    shared, own = " ".join(f"s{x}" for x in rng.integers(0, 9000, 120)), lambda: " ".join(f"o{x}" for x in rng.integers(0, 9000, 20))
+    rows = [(None, f"{own()} {shared}"), (1, f"{shared} {own()}"), (None, own()), (1, own())]
+    got = sorted((r.doc_id is None, [tuple(s) for s in r.spans]) for r in op5_suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(False, []), (False, [(0, 120)]), (True, []), (True, [(20, 140)])]
+
+
 def test_repeated_passages_cases(spark):
     got = {}
     for r in op5_suffixes.repeated_passages(documents(spark)).collect():

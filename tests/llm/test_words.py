@@ -61,6 +61,29 @@ def test_near_duplicates_of_one_large_group_and_a_common_passage(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op9_minhash.near_duplicates(docs).collect()} == near(rows)
 
 
+def test_near_duplicates_around_a_passage_at_the_threshold(spark):
+    # A passage of 60 words and 4 to 18 words of each text's own: those of few own words link, the others nearly do.
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    passage = word(60)
+    rows = [(int(i), " ".join(passage + word(4 + i % 15))) for i in rng.permutation(300)]
+    rows += [(1000 + i, " ".join(word(7) + passage[: 50 + i % 10] + word(i % 4))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op9_minhash.near_duplicates(docs).collect()} == near(rows)
+
+
+def test_near_duplicates_of_many_unlike_texts_around_a_passage(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10_000_000, n)]
+    passage = word(60)
+    rows = [(i, " ".join(passage + word(16))) for i in range(2000)]
+    # 56 of 88 shingles in common: no two are linked but the last, which differ in one word of the end.
+    rows += [(2000, rows[7][1] + " x"), (2001, rows[1999][1] + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op9_minhash.near_duplicates(docs).collect()}
+    assert got == {i: i for i in range(2000)} | {2000: 7, 2001: 1999}
+
+
 def test_near_duplicates_cases(spark):
     got = defaultdict(list)
     for r in op9_minhash.near_duplicates(documents(spark)).collect():
@@ -106,13 +129,22 @@ def test_contamination_cases(spark):
     docs = documents(spark)
     items = spark.createDataFrame([(1, "quick brown"), (2, None), (None, "lazy dog"), (3, " ?"), (1, "Café"), (10, "one TWO"), (4, "one two three")], "item_id long, text string")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = leaks(rows, [(r.item_id, r.text) for r in items.collect() if r.item_id is not None])
+    # An item without item_id hits words, but has no name to be counted by.
+    want, named = (leaks(rows, [(r.item_id, r.text) for r in items.collect() if r.item_id is not None or some]) for some in (True, False))
+    want = [(*a[:3], *b[3:5], a[5]) for a, b in zip(want, named, strict=True)]
     key = lambda x: (x[0] is None, str(x))
     assert sorted(map(tuple, op8_positional.contamination(docs, items).collect()), key=key) == sorted(want, key=key)
     assert op8_positional.contamination(documents(spark, []), items).count() == 0
     assert not any(r.contaminated for r in op8_positional.contamination(docs, items.where("item_id > 99")).collect())
 
 
+def test_contaminated_rows_go_by_text(spark):
+    docs = spark.createDataFrame([(1, "lazy dog one"), (1, "clean text"), (None, "a lazy dog"), (None, "clean"), (None, None), (2, "lazy cat")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "lazy dog")], "item_id long, text string")
+    kept = op8_positional.drop_contaminated(docs, items)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("text is null or text not like '%lazy dog%'").collect())) and kept.columns == docs.columns
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x green"), (2, "green red"), (3, "red x x x x green"), (4, "red"), (5, "green")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "green red")], "item_id long, text string")
