@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, ascii_words, bounded, gram_hashes, materialize, mix
+from .shared import WordHashes, ascii_words, bounded_bytes, counted_join, gram_hashes, materialize, mix
 
 MIN_WORDS, WINDOW, GRAM = 50, 12, 12
 CORE, LEFT = MIN_WORDS - WINDOW + 1, MIN_WORDS
-#: Documents whose retained positions may be broadcast to their texts; more are joined by a shuffle.
-PICKED = 200_000
+#: Bytes of retained positions that may be broadcast to their texts; more are joined by a shuffle.
+PICKED_BYTES = 32_000_000
+#: Cores, or windows, that may be broadcast to their rows; of more only the hot ones are.
+HELD = 100_000
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -73,8 +75,8 @@ def _cores(batches):
             places.append(at.astype(np.int32))
             cores.append(run_hashes(h, CORE)[at].view(np.int64) if len(at) else np.empty(0, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cores, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-            ["doc_id", "node", "n_words", "cores", "places"],
+            [b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cores, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+            ["doc_id", "pick", "node", "n_words", "cores", "places"],
         )
 
 
@@ -155,21 +157,26 @@ def _edges(batches):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, spans`` - merged word spans (start, stop) that another document has.
 
-    Words are lower-cased (A-Z) and separated by ASCII white space. Null and short texts have no spans.
+    Words are lower-cased (A-Z) and separated by ASCII white space. Null and short texts have no spans. Rows that repeat
+    a doc_id, and rows without one, are documents like any other.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = materialize(docs.mapInArrow(_cores, "doc_id long, node binary, n_words long, cores array<long>, places array<int>"), "cores")
-    texts = base.where(F.col("n_words") >= MIN_WORDS).groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("cores").alias("cores"), F.first("places").alias("places"))
+    # What a text is fetched by: its doc_id, or a hash of the text where there is none.
+    docs = docs.withColumn("pick", F.coalesce("doc_id", F.xxhash64("text")))
+    base = materialize(docs.select("doc_id", "text", "pick").mapInArrow(_cores, "doc_id long, pick long, node binary, n_words long, cores array<long>, places array<int>"), "cores")
+    texts = base.where(F.col("n_words") >= MIN_WORDS).groupBy("node").agg(F.count("*").alias("copies"), F.min("pick").alias("pick"), F.first("n_words").alias("n_words"), F.first("cores").alias("cores"), F.first("places").alias("places"))
     texts = materialize(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    shared = texts.select(F.explode(F.array_distinct("cores")).alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    shared = materialize(texts.select(F.explode(F.array_distinct("cores")).alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     wanted = texts.select("rid", F.explode(F.arrays_zip("cores", "places")).alias("s")).select("rid", F.col("s.cores").alias("core"), F.col("s.places").alias("pos"))
-    wanted = wanted.join(shared, "core", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    wanted = materialize(wanted.join(texts.select("rid", "doc_id", "node"), "rid"), "wanted")
-    suffixes = docs.join(bounded(wanted, PICKED), "doc_id").select("text", "rid", "places", "node").mapInArrow(_suffixes, "rid long, pos int, right binary, left binary, since int, windows array<long>")
+    wanted = counted_join(wanted, shared, "core", "n", "left_semi", HELD).groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    wanted = materialize(wanted.join(texts.select("rid", "pick", "node"), "rid"), "wanted")
+    few = bounded_bytes(wanted, F.size("places") * 4 + 64, PICKED_BYTES)
+    suffixes = docs.join(few, "pick").select("text", "rid", "places", "node").mapInArrow(_suffixes, "rid long, pos int, right binary, left binary, since int, windows array<long>")
     suffixes = materialize(suffixes, "suffixes")
     windows = suffixes.select("rid", "since", F.posexplode("windows").alias("at", "window"))
-    twice = materialize(windows.groupBy("window").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("window"), "windows")
-    told_twice = windows.join(twice, "window", "left_semi").select("rid", (F.col("since") + F.col("at")).alias("start"))
+    twice = windows.groupBy("window").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("window", "n")
+    twice = materialize(twice, "windows")
+    told_twice = counted_join(windows, twice, "window", "n", "left_semi", HELD).select("rid", (F.col("since") + F.col("at")).alias("start"))
     told_twice = told_twice.withColumn("stop", F.col("start") + MIN_WORDS)
     ordered = suffixes.select(*SUFFIX.names).repartitionByRange("right", "left", "rid", "pos").sortWithinPartitions("right", "left", "rid", "pos")
     found = materialize(ordered.mapInArrow(_compared, "rid long, start int, stop int, part int, end int, pos int, right binary, left binary"), "matches")
