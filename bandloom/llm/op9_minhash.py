@@ -29,9 +29,11 @@ from .components import components
 from .shared import WordHashes, ascii_words, bounded, counted_join, materialize, shingle_set
 
 #: Members that are verified against one hub in one group.
-CHUNK = 256
+CHUNK = 64
 #: Members of a list that meet in one key of a join.
 DEALT = 1024
+#: Keys of lists or hubs that may be broadcast; of more only the hot ones are.
+HELD = 100_000
 #: Ids that may be broadcast to pick texts for the exact check; more are joined by a shuffle.
 PICKED = 1_000_000
 
@@ -128,7 +130,7 @@ def _between(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     roots = lists.groupBy("value", "root").agg(F.count("*").alias("n"), F.max("early").alias("early"))
     kinds = roots.groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max("early").alias("early"))
     kinds = materialize(kinds.where("roots > 1 and early").select("value", "most", "n_most", "n"), "kinds")
-    lists = counted_join(lists, kinds.withColumn("members", F.col("n")), "value", "members", held=PICKED)
+    lists = counted_join(lists, kinds.withColumn("members", F.col("n")), "value", "members", held=HELD)
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / DEALT)).cast("int")
     all_, most, others = F.col("n"), F.col("n_most"), F.col("n") - F.col("n_most")
     other = F.col("root") != F.col("most")
@@ -194,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = first.select("rid", "central", F.explode("values").alias("value"))
     hubs = lists.groupBy("value").agg(F.max_by("rid", F.struct("central", "rid")).alias("u"), F.count("*").alias("n")).where("n > 1")
     hubs = materialize(hubs, "hubs")
-    stars = materialize(counted_join(lists, hubs, "value", "n", held=PICKED).where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
+    stars = materialize(counted_join(lists, hubs, "value", "n", held=HELD).where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
     percent = round(similarity * 100)
     near = materialize(_told_alike(stars, cands, k, similarity), "near")
     sets = _full_sets(near.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, cands, shingle)
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = stars.select("u", F.col("v").alias("rid")).unionByName(stars.select("u", F.col("u").alias("rid")).distinct())
     groups = materialize(groups.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "groups")
     split = groups.groupBy("u").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("u", "n")
-    apart = materialize(counted_join(groups, materialize(split, "split"), "u", "n", "left_semi", PICKED).select("rid", "root").distinct(), "apart")
+    apart = materialize(counted_join(groups, materialize(split, "split"), "u", "n", "left_semi", HELD).select("rid", "root").distinct(), "apart")
     sets = _full_sets(apart.select("rid"), docs, cands, shingle)
     rest = materialize(_told_alike(_between(apart, sets, percent), cands, k, similarity), "rest")
     roots = components(links.unionByName(_verified(rest, sets, percent)))
