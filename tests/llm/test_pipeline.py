@@ -41,7 +41,7 @@ def test_stages(spark):
 
 
 def test_stages_on_cases(spark):
-    docs = documents(spark).select("doc_id", "text", "lang", "source")
+    docs = documents(spark).selectExpr("*", "'clash' AS base", "'clash' AS under", "'clash' AS key", "'clash' AS n", "'clash' AS _source")
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0, name
         assert stage(spark, docs, SMALL).count() > 0, name
