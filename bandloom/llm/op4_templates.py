@@ -7,11 +7,11 @@ A template counts if at least half of its tokens are fixed. Lines of templates t
 documents are dropped. All of it is counting: leaves, tokens and templates are aggregated
 before each shuffle, equal lines are counted once, and no leaf's lines ever meet in one task.
 
-A document counts once for each of its distinct lines. Lines of fewer than ``MIN_TOKENS`` tokens are never dropped.
-So it stands in the SQL of ``op4_templates``. ``whole`` (``op4_whole_lines``, with SQL of its own) has every line that
-is not empty in the tree: the path of a short line is the whole masked line, which must recur as it is. It counts
-distinct documents, of tokens and of templates, and asks for evidence beyond the path: half of the tokens after the
-lead are fixed, or ``MIN_DOCS`` documents have the line itself.
+Documents that have a token, or a template, are counted once each, however many lines they have of it.
+Lines of fewer than ``MIN_TOKENS`` tokens are never dropped. So it stands in the SQL of ``op4_templates``.
+``whole`` (``op4_whole_lines``, with SQL of its own) has every line that is not empty in the tree: the path of a
+short line is the whole masked line, which must recur as it is. It also asks for evidence beyond the path: half of
+the tokens after the lead are fixed, or ``MIN_DOCS`` documents have the line itself.
 """
 
 from __future__ import annotations
@@ -75,14 +75,11 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = seen.join(bounded(leaves, HELD), "path", "left_semi").groupBy("path", "line").agg(F.count("*").alias("n"))
     kinds = materialize(kinds, "kinds")
     tokens = kinds.select(F.xxhash64("line").alias("hash"), F.xxhash64("path").alias("leaf"), "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    if whole:
-        tokens = tokens.withColumn("key", F.xxhash64("leaf", "pos", "token"))
-        common = materialize(_in_documents(tokens.where(F.col("pos") >= LEAD), own).withColumn("common", F.lit(True)), "common")
-    else:
-        common = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_DOCS).select("leaf", "pos", "token", F.lit(True).alias("common"))
+    tokens = tokens.withColumn("key", F.xxhash64("leaf", "pos", "token"))
+    common = materialize(_in_documents(tokens.where(F.col("pos") >= LEAD), own).withColumn("common", F.lit(True)), "common")
     # Leading tokens are the path itself; they stay whatever their frequency.
     fixed = F.when((F.col("pos") < LEAD) | F.coalesce("common", F.lit(False)), F.col("token")).otherwise(VARIABLE)
-    built = tokens.join(common, "key" if whole else ["leaf", "pos", "token"], "left").groupBy("hash", "leaf", "n").agg(F.array_sort(F.collect_list(F.struct("pos", fixed.alias("token")))).alias("t"))
+    built = tokens.join(common, "key", "left").groupBy("hash", "leaf", "n").agg(F.array_sort(F.collect_list(F.struct("pos", fixed.alias("token")))).alias("t"))
     built = built.select("hash", "leaf", "n", F.col("t.token").alias("t"))
     is_fixed = lambda x: x != VARIABLE
     enough = F.size(F.filter("t", is_fixed)) >= F.size("t") * F.lit(FIXED)
@@ -91,12 +88,8 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         enough &= (F.size(F.filter(after, is_fixed)) >= F.size(after) * F.lit(FIXED)) | (F.col("n") >= MIN_DOCS)
     built = built.where(enough).select("hash", "leaf", "n", F.array_join("t", " ").alias("template"))
     built = materialize(built, "templates")
-    if whole:
-        keys = built.select("hash", "n", F.xxhash64("leaf", "template").alias("key"))
-        gone = keys.join(_in_documents(keys, own), "key", "left_semi")
-    else:
-        recurring = built.groupBy("leaf", "template").agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_DOCS)
-        gone = built.join(recurring, ["leaf", "template"], "left_semi")
+    keys = built.select("hash", "n", F.xxhash64("leaf", "template").alias("key"))
+    gone = keys.join(_in_documents(keys, own), "key", "left_semi")
     gone = materialize(gone.select("hash").distinct(), "gone")
     hits = own.select("row", F.posexplode("hashes").alias("line", "hash")).join(bounded(gone, HELD), "hash", "left_semi")
     hits = hits.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
@@ -121,10 +114,11 @@ p AS (SELECT *, len(t) || ' ' || array_to_string(t[1:{LEAD}], ' ') AS path FROM
 leaves AS (SELECT path FROM p GROUP BY path HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 kinds AS (SELECT path, line, any_value(t) AS t, count(DISTINCT doc_id) AS n FROM p WHERE path IN (SELECT path FROM leaves) GROUP BY path, line),
 tok AS (SELECT path, line, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM kinds),
-com AS (SELECT path, pos, token FROM tok GROUP BY path, pos, token HAVING sum(n) >= {MIN_DOCS}),
+occ AS (SELECT DISTINCT doc_id, path, line FROM p WHERE path IN (SELECT path FROM leaves)),
+com AS (SELECT path, pos, token FROM tok JOIN occ USING (path, line) GROUP BY path, pos, token HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 fix AS (SELECT tok.path, line, n, tok.pos, CASE WHEN tok.pos <= {LEAD} OR com.token IS NOT NULL THEN tok.token ELSE '{VARIABLE}' END AS f FROM tok LEFT JOIN com USING (path, pos, token)),
 built AS (SELECT path, line, n, string_agg(f, ' ' ORDER BY pos) AS template FROM fix GROUP BY path, line, n HAVING sum((f <> '{VARIABLE}')::INT) >= count(*) * {FIXED}),
-rec AS (SELECT path, template FROM built GROUP BY path, template HAVING sum(n) >= {MIN_DOCS}),
+rec AS (SELECT path, template FROM built JOIN occ USING (path, line) GROUP BY path, template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 gone AS (SELECT DISTINCT line FROM built JOIN rec USING (path, template)),
 hit AS (SELECT doc_id, count(*) AS n_dropped, string_agg(i::VARCHAR, ',' ORDER BY i) AS dropped FROM m WHERE line IN (SELECT line FROM gone) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(dropped, '') AS dropped

@@ -80,6 +80,14 @@ def test_templates_cases(spark):
     assert op4_templates.drop_templates(documents(spark, [])).count() == 0 and len(op4_templates.drop_templates(documents(spark)).collect()) == 14
 
 
+def test_templates_count_documents_not_lines(spark):
+    # Five lines of one document are one document; each of the others has a template of its own.
+    rows = [(0, "\n".join(f"alpha beta gamma {c} one two three four" for c in ("red", "blue", "green", "pink", "gold")), "en", "a")]
+    rows += [(1 + i, f"alpha beta gamma {w}", "en", "a") for i, w in enumerate(("a b c d e", "f g h i j", "k l m n o", "p q r s t", "u v w x y"))]
+    for whole in (False, True):
+        assert not any(r.dropped for r in op4_templates.drop_templates(documents(spark, rows), whole=whole).collect())
+
+
 def test_whole_lines_equal_sql(spark):
     assert same(op4_templates.whole_query(spark, SMALL), SMALL, op4_templates.WHOLE_ORACLE) == ""
 
