@@ -1,7 +1,7 @@
 """Secrets by strict patterns and a randomness test battery, in DataFrame functions only.
 
-Base spans come from the patterns and always stay. Further candidates are long tokens whose characters fit
-an encoding (hex, base32, base64, or lower-case letters and digits). Under the hypothesis that a token is random in its
+Base spans come from the patterns and always stay. Further candidates are long tokens outside of them whose characters
+fit an encoding (hex, base32, base64, its URL form, or lower-case letters and digits). What base spans hold is tested, too. Under the hypothesis that a token is random in its
 encoding, three tests are made: chi-squared of uniform use of the alphabet (Wilson-Hilferty), runs above and
 below the middle of the alphabet, and serial correlation of neighbours. The least of the three p-values, times
 three, is the token's p-value: random tokens spread evenly over (0, 1], structured ones crowd near 0.
@@ -24,29 +24,41 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{16,}+"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
 #: Alphabets by name, the narrowest first in either case; a token takes the first that has all its characters.
-ALPHABETS = (("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
+ALPHABETS = (("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+             ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
              ("hex_lower", "0123456789abcdef"), ("base32_lower", "abcdefghijklmnopqrstuvwxyz234567"), ("base36_lower", "abcdefghijklmnopqrstuvwxyz0123456789"))
 FALSE_SHARE, BANDS, BINS = 0.05, (20, 28, 40, 64, 128), 50
+#: Tokens whose p-value is less are structured, whatever their band accepts.
+LEAST = 0.001
 #: Bands of fewer distinct tokens take the threshold of ALL bands together.
 FEW, ALL = 20, -1
 
 
-def spans(text: Column, pattern: str, kind: int) -> Column:
-    """``(start, kind, stop, found)`` of leftmost non-overlapping matches: what splits the text, put together again."""
+def matches(text: Column, pattern: str, kind: int) -> Column:
+    """Leftmost non-overlapping matches in order: ``(kind, at, gap, found)``, gap the characters since the last one."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("found")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,stop:int,found:string>>").alias("all")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"),
-            F.when(x["found"].isNull(), a["all"]).otherwise(
-                F.concat(a["all"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (a["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("stop"), x["found"].alias("found"))))
-            ).alias("all"),
-        ),
-        lambda a: a["all"],
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), ends).otherwise(F.array().cast("array<struct<start:int,kind:int,stop:int,found:string>>"))
+    zipped = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda f, g: F.struct(F.length(g).alias("gap"), f.alias("found")))
+    placed = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x["gap"].alias("gap"), x["found"].alias("found")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), placed).otherwise(F.array().cast("array<struct<kind:int,at:int,gap:int,found:string>>"))
+
+
+def placed(marks: DataFrame) -> DataFrame:
+    """``(row, kind, start, stop, token)`` of the spans among ``marks (row, kind, at, gap, found)``.
+
+    A span ends after all gaps and matches of its pattern so far. Tokens (kind 3) that overlap base spans are left out:
+    the furthest end of the base spans that start before one, and the next start of those behind, tell that.
+    """
+    till = W.partitionBy("row", "kind").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    df = marks.withColumn("stop", F.sum(F.col("gap") + F.length("found")).over(till).cast("int")).withColumn("start", F.col("stop") - F.length("found"))
+    token = F.when(F.col("kind") == 0, F.regexp_extract("found", ASSIGN, 2)).otherwise(F.col("found"))
+    df = df.select("row", "kind", "start", "stop", token.alias("token"))
+    df = df.where((F.col("kind") == 2) | (F.col("kind") == 0) & (F.length("token") >= 12) | (F.col("kind") == 1) & (F.length("token") >= 18) | (F.col("kind") == 3) & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]"))
+    is_base = F.col("kind") < 3
+    ahead = W.partitionBy("row").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, 0)
+    behind = W.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumn("passed", F.max(F.when(is_base, F.col("stop"))).over(ahead)).withColumn("next", F.min(F.when(is_base, F.col("start"))).over(behind))
+    free = F.coalesce(F.col("passed") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("stop"), F.lit(True))
+    return df.where(is_base | free).select("row", "kind", "start", "stop", "token")
 
 
 def _upper_tail(z: Column) -> Column:
@@ -61,7 +73,7 @@ def battery(df: DataFrame, token: str = "token") -> DataFrame:
     """
     raw = F.regexp_replace(token, "=+$", "")
     lower, upper = raw.rlike("[a-z]"), raw.rlike("[A-Z]")
-    cases = lambda name: lower & upper if name == "base64" else lower if name.endswith("lower") else upper
+    cases = lambda name: lower & upper if name.startswith("base64") else lower if name.endswith("lower") else upper
     names = F.coalesce(*[F.when(raw.rlike(f"^[{letters.replace('-', '')}{'-' if '-' in letters else ''}]+$") & raw.rlike("[0-9]") & cases(name), F.lit(name)) for name, letters in ALPHABETS])
     letters = F.coalesce(*[F.when(F.col("encoding") == name, F.lit(a)) for name, a in ALPHABETS])
     df = df.withColumn("encoding", names).withColumn("letters", letters).withColumn("raw", raw)
@@ -106,23 +118,24 @@ def _band() -> Column:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id`` and ``found``, all spans ``(start, kind, stop)`` by start, then kind.
+    """One row per row of ``docs``: ``doc_id``, ``found``, all spans ``(start, kind, stop)`` by start, then kind, and
+    ``n_confirmed``, the base spans whose token passes the battery.
 
     Places are code points, stop exclusive; a null text is empty. Tokens that overlap base spans are no candidates.
+    Rows that repeat a doc_id or a text each have their own spans; equal tokens are one test.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    assigned = F.filter(spans(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 12)
-    access = F.filter(spans(text, ACCESS, 1), lambda s: F.length(s["found"]) >= 18)
-    base = F.concat(assigned, access, spans(text, HEX, 2))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), base.alias("base"), F.filter(spans(text, TOKEN, 3), lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]")).alias("more"))
-    free = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    df = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))).alias("base"), free.alias("more"))
-    df = materialize(df, "tokens")
-    tokens = battery(df.select("row", F.explode("more").alias("s")).select("row", "s.start", "s.kind", "s.stop", F.col("s.found").alias("token"))).withColumn("band", _band())
-    tokens = materialize(tokens.where("p is not null").select("row", "start", "kind", "stop", "token", "n", "band", "p"), "battery")
-    added = tokens.join(thresholds(tokens), "band").where("p > floor").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("added"))
-    out = df.select("row", "doc_id", "base").join(added, "row", "left")
-    return out.select("doc_id", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,stop:int>>")))).alias("found"))
+    marks = F.concat(matches(text, ASSIGN, 0), matches(text, ACCESS, 1), matches(text, HEX, 2), matches(text, TOKEN, 3))
+    df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), marks.alias("marks"))
+    df = materialize(df, "marks")
+    spans = materialize(placed(df.select("row", F.explode("marks").alias("m")).select("row", "m.*")), "spans")
+    tokens = battery(spans).withColumn("band", _band()).where(F.col("p").isNotNull() & (F.col("n") >= BANDS[0]))
+    tokens = materialize(tokens.select("row", "kind", "start", "stop", "token", "n", "band", "p"), "battery")
+    passed = tokens.join(F.broadcast(thresholds(tokens)), "band").where((F.col("p") > F.col("floor")) & (F.col("p") >= LEAST)).select("row", "kind", "start", "stop")  # a row a band
+    told = spans.where("kind < 3").select("row", "kind", "start", "stop", F.lit(0).alias("confirmed")).unionByName(passed.select("*", (F.col("kind") < 3).cast("int").alias("confirmed")))
+    told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.when((F.col("kind") == 3) | (F.col("confirmed") == 0), F.struct("start", "kind", "stop")))).alias("found"), F.sum("confirmed").alias("n_confirmed"))
+    out = df.select("row", "doc_id").join(told, "row", "left")
+    return out.select("doc_id", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,stop:int>>")).alias("found"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,4 +145,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
     base = F.filter("found", lambda s: s["kind"] < 3)
     number = [F.size(F.filter(base, is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
-    return df.select("doc_id", *number, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
+    return df.select("doc_id", *number, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("found")).alias("spans"), "n_confirmed")

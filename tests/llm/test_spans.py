@@ -59,6 +59,37 @@ def test_personal_data(spark, tmp_path):
     assert op1_weak_pii.find_personal_data(documents(spark, [])).count() == 0
 
 
+def test_spans_added_and_refused(spark):
+    # Strict forms and what speaks for them teach; (kind, text) of the others was labelled by hand, None: no personal data.
+    cards = [c for i in range(1200) if op1_weak_pii.luhn(c := f"4{i * 7919 % 1000:03d}{i * 104729 % 10**8:08d}{1000 + i}")]
+    rows = [(i, f"Contact: mail jan.{i}@mail{i % 7}.example.com or phone +1 (555) 010-{9000 + i}, card {cards[i][:4]} {cards[i][4:]}, host 10.0.{i % 200}.7", "en", "a") for i in range(60)]
+    labelled = [("email", "write to jan.doe [at] example [dot] org now; mail a@b.example.com"), ("email", "mail x_y (at) mail.example.net or z@q.example.org"), ("phone", "phone (555) 010-9999 or +1 (555) 010-1234"),
+                ("phone", "call 0049 301 1234 5678? no: tel 0044 207 555 0199, a@b.example.com"), ("card", "card 4012.8888.8888.1881 of a@b.example.com"), ("ip", "host 2001:0db8:0000:0000:0000:ff00:0042:8329 and 10.0.0.1"),
+                (None, "card 4012 8888 8888 1882 fails the check of a@b.example.com"), (None, "order 4000.0000.0000.0000.0000"), (None, "x4012888888881882y and a@b.example.com"), (None, "page 12-345-6789, ref 555-010-9999")]
+    rows += [(1000 + i, t, "en", "a") for i, (_, t) in enumerate(labelled)] + [(2000 + i, t, "en", "a") for i, (_, t) in enumerate(labelled) for _ in range(5)]
+    got = {}
+    for r in op1_weak_pii.find_personal_data(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, [op1_weak_pii.KINDS[s.kind] for s in r.found if not s.base])
+    told = [got[1000 + i] for i in range(len(labelled))]
+    right = [kind in found if kind else not found for (kind, _), found in zip(labelled, told, strict=True)]
+    assert sum(right) >= 9 and all(right[6:]), told
+    assert not any(got[i] for i in range(60))
+
+
+def test_candidates_in_linear_time():
+    import time
+
+    def seconds(n):
+        text = "call (555) 010-9999 or xy [at] y [dot] org, " * n
+        base, failed = op1_weak_pii.base_spans(text)
+        began = time.perf_counter()
+        assert len(op1_weak_pii.loose_spans(text, base, failed)) == 2 * n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(8000) < 40 * seconds(800)
+
+
 def test_reliabilities_and_classifier():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.3
@@ -110,6 +141,17 @@ def test_thresholds_count_distinct_tokens_and_keep_small_bands(spark):
     assert few[40] <= 0.3 and few[128] == 1
 
 
+def test_battery_confirms_base_spans_and_leaves_overlaps(spark):
+    rng = np.random.default_rng(13)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(200)]
+    docs = [(i, f'see token = "{t}" and {t[:20]}ab{t[20:]}', "en", "a") for i, t in enumerate(hexes)] + [(500 + i, 'token = "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"', "en", "a") for i in range(40)]
+    docs += [(900, "é𝔘 abc/" + hexes[0] + "/def=", "en", "a")]
+    got = {r.doc_id: ([tuple(s) for s in r.found], r.n_confirmed) for r in op6_randomness.find_secrets(documents(spark, docs)).collect()}
+    assert sum(got[i][1] > 0 for i in range(200)) > 180 and not any(got[500 + i][1] for i in range(40))
+    # The token around a hex span overlaps it and is none.
+    assert got[900][0] == [(7, 2, 47)] and all(k < 3 for f, _ in got.values() for _, k, _ in f)
+
+
 def test_lower_case_encodings(spark):
     rng = np.random.default_rng(6)
     letters = list("abcdefghijklmnopqrstuvwxyz234567")
