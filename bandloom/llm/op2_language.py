@@ -125,7 +125,7 @@ def _sampled(batches):
 
 def fit(docs: DataFrame) -> Model | None:
     """A model from the rows ``(doc_id, text, lang)`` of ``docs`` with text and lang; None if there are none."""
-    rows = docs.where("text is not null and lang is not null").select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("place"))
+    rows = docs.where("text is not null and lang is not null").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("place"))
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return None
@@ -139,7 +139,7 @@ def fit(docs: DataFrame) -> Model | None:
     each = max(1, SAMPLE // len(per))
     shares = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1 << 30, (each << 30) // n))])
     sample = rows.where(F.col("place") < shares[F.col("lang")]).select("place", "lang", "text").mapInArrow(_sampled, "place long, lang string, raw binary")
-    found = sorted((r.place, r.lang, bytes(r.raw)) for r in sample.where("raw is not null").collect())
+    found = sorted((r.place, r.lang, bytes(r.raw)) for r in sample.where("raw is not null").dropDuplicates(["place", "lang"]).collect())
     return train([(lang, np.frombuffer(raw, "<u4").reshape(2, -1)) for _, lang, raw in found], idf) if found else None
 
 
