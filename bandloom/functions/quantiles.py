@@ -62,6 +62,11 @@ def tie_draw(grid: Column, actual: Column, salt: Column) -> Column:
     return pandas_udf(_draws, DoubleType(), PandasUDFType.SCALAR)(grid, actual, salt)
 
 
+def salt_of(series: str, origin: str) -> Column:
+    """What draws among ties depend on, so that reruns agree."""
+    return F.pmod(F.xxhash64(series), F.lit(1 << 31)) * 100_003 + F.col(origin)
+
+
 def pit(grid: Column, actual: Column, salt: Column) -> Column:
     """Randomised PIT: ties share their mass by a draw. Rows without ties send nulls to Python."""
     tied = n_tied(grid, actual)
@@ -91,12 +96,14 @@ def shares(counts: Column) -> Column:
     return F.transform(sums, lambda s: s / total)
 
 
-def with_levels(record: DataFrame, counts: Column, alphas: list[float], name: str = "levels") -> DataFrame:
+def with_levels(record: DataFrame, counts: Column, alphas: list[float] | None, name: str = "levels", asked: Column | None = None) -> DataFrame:
     """Adds where each level has to be read for a record of past PITs: unchanged below MIN_HISTORY counts.
 
+    The levels are ``alphas``, or those of the column ``asked``.
+
     The record's distribution is a column of its own, so that it is computed once a row.
     """
-    knots, levels = literal([k / BINS for k in range(BINS + 1)]), literal(alphas)
+    knots, levels = literal([k / BINS for k in range(BINS + 1)]), literal(alphas) if asked is None else asked
     df = record.withColumn("_counts", counts).withColumn("_known", shares(F.col("_counts")))
     total = F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x)
     read = F.transform(levels, lambda a: interpolated(a, F.col("_known"), knots))

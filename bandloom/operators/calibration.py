@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.functions.quantiles import BINS, GRID, bin_of, merged_counts, pit, pit_untied, reread, with_levels
+from bandloom.functions.quantiles import BINS, GRID, bin_of, merged_counts, pit, pit_untied, reread, salt_of, with_levels
 
 
-def salt_of(series: str, origin: str) -> Column:
-    """What draws among ties depend on, so that reruns agree."""
-    return F.pmod(F.xxhash64(series), F.lit(1 << 31)) * 100_003 + F.col(origin)
+#: Periods that a total sums where records of totals are built.
+TOTAL_WINDOW = 12
 
 
 def pits(bands: DataFrame, rows: DataFrame, exact: bool = True) -> DataFrame:
@@ -41,12 +40,13 @@ def record_as_of(past: DataFrame, at: DataFrame) -> DataFrame:
     return seen.groupBy("origin", "h", "bin").agg(F.sum("n").alias("n"))
 
 
-def calibrated(bands: DataFrame, rows: DataFrame, at: DataFrame, default: DataFrame | None = None, exact: bool = True) -> DataFrame:
+def calibrated(bands: DataFrame, rows: DataFrame, at: DataFrame, default: DataFrame | None = None, exact: bool = True, past: DataFrame | None = None) -> DataFrame:
     """Bands (99 percentiles) read at the levels that the record of each origin and horizon says.
 
-    ``default``: one row ``counts``, a record that speaks while the own one is short.
+    ``default``: one row ``counts``, a record that speaks while the own one is short. ``past``: the calls that make the
+    record; left out, the bands themselves.
     """
-    record = as_counts(record_as_of(pits(bands, rows, exact), at), ["origin", "h"])
+    record = as_counts(record_as_of(pits(bands if past is None else past, rows, exact), at), ["origin", "h"])
     asked = bands.select("origin", "h").distinct().join(record, ["origin", "h"], "left")  # a row per origin and horizon
     asked = asked.crossJoin(F.broadcast(default.select(F.col("counts").alias("default")))) if default is not None else asked.withColumn("default", F.lit(None).cast("array<double>"))
     levels = with_levels(asked, merged_counts(F.col("counts"), F.col("default")), GRID).select("origin", "h", "levels")
@@ -54,7 +54,12 @@ def calibrated(bands: DataFrame, rows: DataFrame, at: DataFrame, default: DataFr
     return df.select("series", "origin", "h", reread(F.col("q"), F.col("levels")).alias("q"))
 
 
-def default_record(bands: DataFrame, rows: DataFrame) -> DataFrame:
+def default_record(bands: DataFrame, rows: DataFrame, exact: bool = True) -> DataFrame:
     """One row ``counts`` from the calls of a voice on a panel."""
-    bins = histogram(pits(bands, rows), []).withColumn("one", F.lit(1))
+    bins = histogram(pits(bands, rows, exact), []).withColumn("one", F.lit(1))
     return as_counts(bins, ["one"]).select("counts")
+
+
+def record_of(records: DataFrame, voice: str, window: int = 1) -> DataFrame:
+    """The row ``counts`` of a table ``(voice, window, counts)``: the periods' record, or for sums the totals'."""
+    return records.where((F.col("voice") == voice) & (F.col("window") == (1 if window <= 1 else TOTAL_WINDOW))).select("counts").limit(1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bandloom.functions.quantiles import BANDS, pit_untied
+from bandloom.functions.quantiles import BANDS, pit, pit_untied, salt_of
 
 FLOOR = "seasonal_naive"
 
@@ -26,15 +26,19 @@ def at(level: float):
     return F.get("q", F.lit(round(level * 100) - 1))
 
 
-def uniformity(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Kolmogorov-Smirnov distance of the PITs from uniform; equal PITs are counted before they are ranked."""
-    counts = df.groupBy(*keys, pit_untied(F.col("q"), F.col("y")).alias("p")).agg(F.count("*").alias("c"))
+def uniformity(df: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
+    """Kolmogorov-Smirnov distance of the PITs from uniform; equal PITs are counted before they are ranked.
+
+    ``exact``: an actual value tied with quantiles is placed among them by a draw. Without, all ties lie above it.
+    """
+    p = pit(F.col("q"), F.col("y"), salt_of("series", "origin")) if exact else pit_untied(F.col("q"), F.col("y"))
+    counts = df.select(*keys, p.alias("p")).groupBy(*keys, "p").agg(F.count("*").alias("c"))
     over = W.partitionBy(*keys)
     counts = counts.withColumn("till", F.sum("c").over(over.orderBy("p"))).withColumn("n", F.sum("c").over(over))
     return counts.groupBy(*keys).agg(F.max(F.greatest(F.col("till") / F.col("n") - F.col("p"), F.col("p") - (F.col("till") - F.col("c")) / F.col("n"))).alias("pit_ks"))
 
 
-def score(df: DataFrame, keys: list[str] | None = None, places: int | None = None) -> DataFrame:
+def score(df: DataFrame, keys: list[str] | None = None, places: int | None = None, exact: bool = False) -> DataFrame:
     """``keys, n, wql, coverage80, coverage90, width80, pit_ks, wql_vs_naive``; rounded half to even if asked."""
     keys = keys or ["voice"]
     pinball = sum((F.greatest(F.lit(a) * (F.col("y") - at(a)), F.lit(a - 1) * (F.col("y") - at(a))) for a in BANDS), F.lit(0.0))
@@ -44,7 +48,7 @@ def score(df: DataFrame, keys: list[str] | None = None, places: int | None = Non
         F.count("*").alias("n"), (2 * F.sum(pinball) / (F.greatest(size, F.lit(1e-12)) * len(BANDS))).alias("wql"),
         inside(0.10, 0.90).alias("coverage80"), inside(0.05, 0.95).alias("coverage90"), F.try_divide(F.sum(at(0.90) - at(0.10)), size).alias("width80"),
     )
-    out = out.join(uniformity(df, keys), keys)
+    out = out.join(uniformity(df, keys, exact), keys)
     if places is not None:
         out = out.select(*keys, "n", *[F.bround(c, places - p).alias(c) for c, p in (("wql", 0), ("coverage80", 1), ("coverage90", 1), ("width80", 0), ("pit_ks", 1))])
     others = [k for k in keys if k != "voice"]

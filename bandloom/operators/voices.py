@@ -35,18 +35,18 @@ def asked(hist: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
     return pairs.select("*", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("h"), (F.col("origin") - F.col("start")).cast("int").alias("n"))
 
 
-def seasonal_naive(hist: DataFrame, at: DataFrame | None, horizons: list[int], levels: list[float], season: int = 12, at_end: bool = False) -> DataFrame:
+def seasonal_naive(hist: DataFrame, at: DataFrame, horizons: list[int], levels: list[float], season: int = 12) -> DataFrame:
     """The last same season plus quantiles of the moves between seasons; short histories use the last h periods.
 
     ``hist`` must be trimmed. No call where n <= lag + 5, where the anchor is unknown or where no move is known.
-    ``at_end``: each history is asked at its own end only, whatever ``at`` holds.
     """
-    if at_end:
-        n = F.size("ys")
-        df = hist.select("*", (F.col("start") + n).alias("origin"), F.explode(F.array(*[F.lit(h) for h in horizons])).alias("h"), n.alias("n"))
-    else:
-        df = asked(hist, at, horizons)
-    df = df.withColumn("lag", F.when((F.col("n") > season + 5) & (F.col("h") <= season), F.lit(season)).otherwise(F.col("h")))
+    return naive_calls(asked(hist, at, horizons).withColumn("season", F.lit(season)), levels)
+
+
+def naive_calls(df: DataFrame, levels: list[float]) -> DataFrame:
+    """The same for rows ``(series, origin, h, n, season, ys)``, each with a season and a horizon of its own."""
+    season = F.col("season")
+    df = df.withColumn("lag", F.when((F.col("n") > season + 5) & (F.col("h") <= season), season).otherwise(F.col("h")))
     df = df.where("n > lag + 5 and n <= size(ys)").withColumn("anchor", F.get("ys", F.col("n") + F.col("h") - 1 - F.col("lag")))
     later, earlier = F.slice("ys", F.col("lag") + 1, F.col("n") - F.col("lag")), F.slice("ys", F.lit(1), F.col("n") - F.col("lag"))
     moves = F.filter(F.zip_with(later, earlier, lambda a, b: a - b), lambda d: d.isNotNull())
@@ -89,7 +89,7 @@ def _walked(backend: Backend, columns: list[str], h: int, at: list[int], levels:
             known = before & ~np.isnan(y)
             if not len(test) or known.sum() < MIN_TRAIN:
                 continue
-            rows = x[t < origin + h - 1]
+            rows = x[before]  # the rows of the labels' periods; those between origin and call are not seen
             fill = np.array([np.median(c) if len(c := col[~np.isnan(col)]) else 0.0 for col in rows.T])
             at_hand = lambda m: np.where(np.isnan(m), fill, m)
             q = backend(at_hand(x[known]), y[known], at_hand(x[test]), levels)[0]
@@ -127,14 +127,18 @@ def regression(rows: DataFrame, at: DataFrame, h: int, levels: list[float]) -> D
     return called.select("series", "origin", F.lit(h).alias("h"), F.transform("rest", lambda r: F.col("a") + F.col("b") * F.col("lag1") + r).alias("q"))
 
 
-def pooled(rows: DataFrame, at: DataFrame, h: int, levels: list[float]) -> DataFrame:
-    """One regression per origin over the recent rows of all series in their own units.
+def pooled(rows: DataFrame, at: DataFrame, h: int, levels: list[float], backend: Backend | None = None) -> DataFrame:
+    """One fit per origin over the recent rows of all series in their own units.
 
-    At most POOL_ROWS rows (of least hash) train each origin, as the voice is defined. The fit is a row of
-    weights and residual quantiles per origin; all calls are then made where the rows are.
+    At most POOL_ROWS rows (of least hash) train each origin, as the voice is defined. Without a backend the fit is a
+    ridge regression: a row of weights and residual quantiles per origin; all calls are then made where the rows are.
+    A backend gets the training table of the origin, sent to all tasks (origins are few), and calls the rows of a batch at once.
     """
     columns = features.RECIPE[1:]
-    scaled_by = rows.join(F.broadcast(at), F.col("t") < F.col("origin")).withColumn("last", F.max("t").over(features.W.partitionBy("series", "origin"))).where("t > last - 12")
+    # A series of fewer than h + MIN_TRAIN periods neither trains nor is called.
+    grown = rows.groupBy("series").agg(F.min("t").alias("since"))
+    rows = rows.join(grown, "series")
+    scaled_by = rows.join(F.broadcast(at), (F.col("t") < F.col("origin")) & (F.col("origin") - F.col("since") >= h + MIN_TRAIN)).withColumn("last", F.max("t").over(features.W.partitionBy("series", "origin"))).where("t > last - 12")
     mean = F.avg(F.abs("y"))
     scale = scaled_by.groupBy("series", "origin").agg(F.coalesce(F.when(mean != 0, mean), F.lit(1.0)).alias("scale"))
     feats = features.recipe(rows, h).join(F.broadcast(at), F.col("t") <= F.col("origin") + h - 1).join(scale, ["series", "origin"])
@@ -155,6 +159,8 @@ def pooled(rows: DataFrame, at: DataFrame, h: int, levels: list[float]) -> DataF
         w = np.linalg.solve(x.T @ x + np.diag([1e-9, *[1e-6] * len(columns)]), x.T @ y)
         return pd.DataFrame({"origin": [pdf["origin"].iloc[0]], "fill": [fill.tolist()], "w": [w.tolist()], "rest": [np.quantile(y - x @ w, levels).tolist()]})
 
+    if backend is not None:
+        return _pooled_calls(train, feats, h, levels, backend, columns)
     fits = train.groupBy("origin").applyInPandas(fit, "origin long, fill array<double>, w array<double>, rest array<double>")
     called = feats.where(F.col("t") == F.col("origin") + h - 1).join(F.broadcast(fits), "origin")  # one row per origin
     mid = F.get("w", F.lit(0))
@@ -163,6 +169,34 @@ def pooled(rows: DataFrame, at: DataFrame, h: int, levels: list[float]) -> DataF
     return called.select("series", "origin", F.lit(h).alias("h"), F.transform("rest", lambda r: (mid + r) * F.col("scale")).alias("q"))
 
 
+def _pooled_calls(train: DataFrame, feats: DataFrame, h: int, levels: list[float], backend: Backend, columns: list[str]) -> DataFrame:
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "series", "t"]).head(POOL_ROWS)
+        return pd.DataFrame({"origin": [pdf["origin"].iloc[0]], "x": [pdf[columns].to_numpy(float).ravel().tolist()], "y": [pdf["label"].tolist()]})
+
+    tables = {}
+    for r in train.groupBy("origin").applyInPandas(table, "origin long, x array<double>, y array<double>").collect():  # a row per origin
+        x = np.array(r.x, float).reshape(-1, len(columns))
+        fill = np.array([np.median(c) if len(c := col[~np.isnan(col)]) else 0.0 for col in x.T])
+        if len(x) >= MIN_TRAIN:
+            tables[r.origin] = (np.where(np.isnan(x), fill, x), np.array(r.y, float), fill)
+    sent = feats.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for origin, part in pdf.groupby("origin"):
+                if origin in sent.value:
+                    x, y, fill = sent.value[origin]
+                    test = part[columns].to_numpy(float)
+                    q = backend(x, y, np.where(np.isnan(test), fill, test), levels) * part["scale"].to_numpy(float)[:, None]
+                    out += [(s, origin, h, row.tolist()) for s, row in zip(part["series"], q, strict=True)]
+            yield pd.DataFrame(out, columns=["series", "origin", "h", "q"])
+
+    called = feats.where(F.col("t") == F.col("origin") + h - 1).select("series", "origin", *columns, "scale")
+    return called.mapInPandas(run, BAND.format(dict(feats.dtypes)["series"]))
+
+
 def blend(voices: list[DataFrame]) -> DataFrame:
     """Mean of the sorted quantiles, level by level, where every voice calls."""
     out = voices[0].select("series", "origin", "h", F.array_sort("q").alias("q"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.functions.quantiles import BANDS, GRID, literal, with_levels
+from bandloom.functions.quantiles import BANDS, GRID, literal, merged_counts, with_levels
 from bandloom.operators import calibration, features, misfit, scores, voices, whatif
 from bandloom.plans import backtest, requests
 from bandloom.sources import panels
@@ -83,8 +83,8 @@ def blend_query(s, d):
 NUMBERS = ["wql", "coverage80", "coverage90", "width80", "pit_ks", "wql_vs_naive"]
 
 
-def _scored(df: DataFrame, keys: list[str]) -> DataFrame:
-    return scores.score(df, keys).select(*keys, "n", *[_r(c, 5) for c in NUMBERS])
+def _scored(df: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
+    return scores.score(df, keys, exact=exact).select(*keys, "n", *[_r(c, 5) for c in NUMBERS])
 
 
 def walk_query(name: str):
@@ -131,11 +131,38 @@ def voice_walk_query(names: list[str]):
 
     def run(s, d):
         hist, season = panels.load(s, d, "supplier_qty")
-        return _scored(backtest.walk(hist, names, 6, 6, 1, season), ["voice"])
+        return _scored(backtest.walk(hist, names, 6, 6, 1, season), ["voice"], exact=True)
 
     return run
 
 
+def tied_walk_query(s, d):
+    """A panel of many zeros: values that tie with quantiles are placed among them by a draw."""
+    hist, season = panels.load(s, d, "sparse_user")
+    return _scored(backtest.walk(hist, ["seasonal_naive", "cal:seasonal_naive"], 6, 6, 1, season), ["voice"], exact=True)
+
+
+def cal_project_query(s, d):
+    """Projections read through records that origins before the scored ones have fed."""
+    hist, season = panels.load(s, d, "supplier_qty")
+    points = backtest.project(hist, ["seasonal_naive", "cal:seasonal_naive"], 12, 2, season, burn=6)
+    return _scored(points.where(F.col("h").isin(backtest.scored_horizons(12))), ["voice", "h"], exact=True)
+
+
+def default_levels_query(s, d):
+    """Where the records of totals and of single periods read the levels."""
+    hist, season = panels.load(s, d, "supplier_qty")
+    records = backtest.default_records(hist, ["seasonal_naive"], 18, season, exact=False)
+    read = with_levels(records, merged_counts(F.lit(None).cast("array<double>"), F.col("counts")), BANDS)
+    return read.select("voice", "window", F.posexplode("levels").alias("k", "read_at")).select("voice", "window", (F.col("k") + 1).cast("int").alias("level"), _r("read_at"))
+
+
+def request_naive_query(s, d):
+    """What the floor voice answers to the requests."""
+    found = requests.answers(requests.checked(requests.parsed(_requests(s, d)))).where("voice = 'seasonal_naive'")
+    return found.select("request_id", "read", "row", "level", _r("q"))
+
+
 def _world(s, d) -> DataFrame:
     li = s.read.parquet(f"{d}/lineitem.parquet")
     sums = li.groupBy(F.col("l_suppkey").alias("member"), panels.month("l_shipdate").alias("t")).agg(F.sum("l_extendedprice").alias("revenue"), F.sum("l_quantity").alias("volume"))
@@ -235,6 +262,11 @@ QUERIES = {
     "walk_linear_blend": voice_walk_query(["seasonal_naive", "walk:linear", "blend:seasonal_naive+walk:linear"]),
     "walk_pooled": voice_walk_query(["seasonal_naive", "pooled", "seasonal:linear"]),
     "walk_calibrated": voice_walk_query(["seasonal_naive", "cal:seasonal_naive"]),
+    "walk_pooled_backend": voice_walk_query(["seasonal_naive", "pooled:linear"]),
+    "walk_tied": tied_walk_query,
+    "cal_project": cal_project_query,
+    "default_record_levels": default_levels_query,
+    "panel_sparse_user": panel_query("sparse_user"),
     "whatif_size_usual": usual_query,
     "whatif_replay": replay_query,
     "whatif_support": support_query,
@@ -243,6 +275,7 @@ QUERIES = {
     "misfit_folds": misfit_folds_query,
     "request_validation": validation_query,
     "request_answers": answers_query,
+    "request_naive": request_naive_query,
     "queue_round_robin": turns_query,
 }
 
@@ -340,7 +373,7 @@ su AS (SELECT 'total_summed' AS voice, v.series, v.origin, 12 AS h, level, sum(q
 ys AS (SELECT series, i, t, CASE WHEN count(y) OVER b = 12 THEN sum(y) OVER b END AS y FROM tr WINDOW b AS (PARTITION BY series ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
 y0 AS (SELECT series, min(t) AS from_t FROM ys WHERE y IS NOT NULL GROUP BY series), yt AS (SELECT series, (t - from_t)::INT AS i, t, y FROM ys JOIN y0 USING (series) WHERE t >= from_t),
 d AS (SELECT * FROM (WITH {_naive("[12]", GRID, 12, "yt")} SELECT nq.*, yt.y FROM nq JOIN yt ON yt.series = nq.series AND yt.t = nq.origin + 11 WHERE yt.y IS NOT NULL)),
-{_graded("pts AS (SELECT voice, series, origin, h, level, q, y FROM su UNION ALL SELECT 'total_direct', series, origin, h, level, q, y FROM d)", 0, floor=False, ks=False).replace(" QUALIFY count(*) OVER (PARTITION BY series, origin, h) = 0", "")}"""
+{_graded("pts AS (SELECT voice, series, origin, h, level, q, y FROM su UNION ALL SELECT 'total_direct', series, origin, h, level, q, y FROM d)", 2, floor=False, ks=False)}"""
 _PAST = f"""WITH {_panel('supplier_qty')}, {_origins(12, 1, 3)}, {_naive('[1, 3]', GRID)},
 pit AS (SELECT v.series, v.origin, v.h, sum((q < y)::INT) / 100.0::DOUBLE AS p FROM nq v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE y IS NOT NULL GROUP BY 1, 2, 3),
 b0 AS (SELECT *, least(floor(p * 100)::INT, 99) AS b FROM pit),
@@ -362,12 +395,22 @@ n AS (SELECT o_orderkey, -0.5 * ln(2 * pi() * vx) - dx * dx / (2 * vx) AS fx, -0
 SELECT o_orderkey, round((fx + fyx + fy + fxy) / 2, {PLACES}) AS score, round((fx + fxy) / 2, {PLACES}) AS share_o_totalprice, round((fy + fyx) / 2, {PLACES}) AS share_o_cust FROM n"""
 
 
+_DAYS = "floor(epoch(ts) / 86400)::BIGINT"
+_SPARSE = f"""WITH c AS (SELECT user_id AS series, {_DAYS} AS t, count(*)::DOUBLE AS y FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT series, unnest(generate_series((SELECT min(t) FROM c), (SELECT max(t) FROM c))) AS t FROM (SELECT DISTINCT series FROM c))
+SELECT series, t, (t % 7 + 1)::INT AS moy, round(coalesce(y, 0), 4) AS y FROM g LEFT JOIN c USING (series, t)"""
+_REQUESTED = f"""WITH {_panel('supplier_qty')}, o AS (SELECT max(t) + 1 AS origin FROM p), {_naive('[1]', BANDS)}, al AS (SELECT unnest({BANDS}) AS alpha, unnest(range(1, 6))::INT AS level)
+SELECT series::VARCHAR AS request_id, 0::INT AS read, 0::INT AS row, alpha AS level, round(q, {PLACES}) AS q FROM nq JOIN al USING (level) JOIN (SELECT series FROM tr WHERE y IS NOT NULL GROUP BY 1 HAVING count(*) > 2) USING (series)"""
+
+
 def _panel_oracle(name: str) -> str:
     return f"WITH {_panel(name)} SELECT series, t, moy, round(y, 4) AS y FROM p"
 
 
 ORACLES = {
     **{f"panel_{n}": _panel_oracle(n) for n in _FACTS},
+    "panel_sparse_user": _SPARSE,
+    "request_naive": _REQUESTED,
     "trim_nation_sales": f"WITH {_panel('nation_sales')} SELECT series, i, t, round(y, 4) AS y FROM tr",
     **{f"recipe_h{h}": _recipe(h) for h in (1, 3, 6, 12, 13)},
     **{f"seasonal_recipe_h{h}": _recipe(h, True) for h in (6, 13)},

@@ -11,19 +11,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bandloom.functions.quantiles import GRID, n_tied, pit_untied, place, quantile, tie_draw
-from bandloom.operators.voices import linear, seasonal_naive
+from bandloom.functions.quantiles import BINS, GRID, literal, merged_counts, pit, place, quantile, with_levels
+from bandloom.functions.tables import checkpointed, written
+from bandloom.operators.calibration import TOTAL_WINDOW
+from bandloom.operators.voices import linear, naive_calls
 
 READ = "struct<train_x:array<array<double>>,train_y:array<double>,test_x:array<array<double>>,actual:array<double>,salt:array<bigint>,history:array<double>,horizon:array<int>>"
-SCHEMA = f"caller string, request_id string, alphas array<double>, members int, voices array<string>, season int, reads array<{READ}>"
+SCHEMA = f"caller string, request_id string, alphas array<double>, members int, voices array<string>, season int, window int, pit_history string, reads array<{READ}>"
 VOICES = ["linear", "seasonal_naive"]
 MOST_BYTES = 32_000_000
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Rows of the schema from a column ``value``, with its size and whether it was JSON at all."""
-    doc = F.from_json("value", f"{SCHEMA}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select(F.octet_length("value").alias("n_bytes"), doc.alias("r")).select("n_bytes", "r.*")
+    """Rows of the schema from a column ``value``, with its size and whether it was JSON at all; parsed once, in their order.
+
+    A line that is too large is not parsed.
+    """
+    size = F.octet_length("value")
+    doc = F.from_json(F.when(size <= MOST_BYTES, F.col("value")), f"{SCHEMA}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return checkpointed(lines.select(size.alias("n_bytes"), doc.alias("r")).select("n_bytes", "r.*"))
+
+
+def histories(df: DataFrame) -> DataFrame:
+    """Adds ``counts``, histories of PITs by voice; null where ``pit_history`` is absent or not as it has to be.
+
+    A bare list is the history of the one voice that is asked; several voices have an object of lists by voice.
+    """
+    raw, several = F.col("pit_history"), F.size("voices") > 1
+    by_voice = F.from_json(raw, "map<string,array<double>>", {"mode": "PERMISSIVE"})
+    alone = F.create_map(F.lit("linear"), F.from_json(raw, "array<double>", {"mode": "PERMISSIVE"}))
+    return df.withColumn("counts", F.when(several & raw.rlike(r"^\s*\{"), by_voice).when(~several & raw.rlike(r"^\s*\["), alone))
 
 
 def _refused(cases: list[tuple[Column, int, str]]) -> Column:
@@ -35,7 +52,9 @@ def _refused(cases: list[tuple[Column, int, str]]) -> Column:
 
 def checked(requests: DataFrame) -> DataFrame:
     """Adds ``refusal``: null, or the first rule that the request breaks."""
-    df = requests.withColumns({"members": F.coalesce("members", F.lit(1)), "season": F.coalesce("season", F.lit(12)), "voices": F.coalesce("voices", F.array(F.lit("linear")))})
+    df = requests.withColumns({"members": F.coalesce("members", F.lit(1)), "season": F.coalesce("season", F.lit(12)), "window": F.coalesce("window", F.lit(1)), "voices": F.coalesce("voices", F.array(F.lit("linear")))})
+    df = histories(df)
+    is_history = lambda x: x.isNotNull() & (F.size(x) == BINS) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (c < 0))
     ragged = lambda x: F.exists(x, lambda r: F.size(r) != F.size(F.get(x, F.lit(0))))
     any_read = lambda bad: F.exists("reads", bad)
     rows = lambda r: F.size(r["test_x"])
@@ -46,6 +65,9 @@ def checked(requests: DataFrame) -> DataFrame:
         ((F.col("members") < 1) | (F.col("members") > 32), 400, "members must be 1 to 32"),
         ((F.col("season") < 1) | (F.col("season") > 366), 400, "season must be 1 to 366"),
         ((F.size(F.array_distinct("voices")) != F.size("voices")) | (F.size(F.array_except("voices", F.array(*[F.lit(v) for v in VOICES]))) > 0) | ~F.array_contains("voices", "linear"), 400, "voices must be known, each once, with linear among them"),
+        (F.col("window") < 1, 400, "window must be a whole number from 1 on"),
+        (F.col("pit_history").isNotNull() & (F.col("counts").isNull() | (F.size(F.array_except(F.map_keys("counts"), F.concat("voices", F.array(F.lit("blend"))))) > 0)), 400, "pit_history must be a list of counts, with several voices an object of lists by voice"),
+        (F.col("counts").isNotNull() & ~F.forall(F.map_values("counts"), is_history), 400, f"pit_history must be {BINS} counts that are not negative"),
         (F.col("reads").isNull() | (F.size("reads") == 0), 400, "reads are missing"),
         (any_read(lambda r: r["train_x"].isNull() | r["train_y"].isNull() | r["test_x"].isNull() | (rows(r) < 1)), 400, "a read needs train_x, train_y and test_x"),
         (any_read(lambda r: ragged(r["train_x"]) | ragged(r["test_x"]) | (F.size(F.get(r["train_x"], F.lit(0))) != F.size(F.get(r["test_x"], F.lit(0))))), 400, "rows differ in length"),
@@ -88,45 +110,59 @@ def _linear_grids(batches):
         yield pd.DataFrame(out, columns=["caller", "request_id", "read", "row", "grid"])
 
 
-def answers(requests: DataFrame) -> DataFrame:
-    """``caller, request_id, read, row, voice, level, q, pit`` of the requests without refusal; ``blend`` where several voices call.
+def _blended(grids: DataFrame, key: list[str], column: str) -> DataFrame:
+    """The mean of the voices' arrays, level by level, where all voices that the request asks have called."""
+    means = F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(len(GRID))])
+    return grids.groupBy(*key).agg(means.alias(column), F.count("*").alias("spoke"), F.first(F.size("voices")).alias("asked")).where("spoke = asked and asked > 1").select(*key, column)
+
+
+def _through_records(df: DataFrame, defaults: DataFrame | None) -> DataFrame:
+    """Adds ``own``, the voice's history, and where it says that the percentiles (``read_at``) and the request's levels
+    (``alphas_at``) have to be read; the levels themselves without a history."""
+    df = df.withColumn("own", F.try_element_at("counts", F.col("voice")))
+    if defaults is not None:
+        window = F.when(F.col("window") <= 1, 1).otherwise(TOTAL_WINDOW)
+        told = defaults.select(F.col("voice").alias("of"), F.col("window").alias("over"), F.col("counts").alias("default"))  # a row per voice and window
+        df = df.join(F.broadcast(told), (F.col("voice") == F.col("of")) & (window == F.col("over")), "left").drop("of", "over")
+    else:
+        df = df.withColumn("default", F.lit(None).cast("array<double>"))
+    df = with_levels(df, merged_counts(F.col("own"), F.col("default")), GRID, "read_at")
+    df = with_levels(df, merged_counts(F.col("own"), F.col("default")), None, "alphas_at", F.col("alphas"))
+    return df.withColumn("read_at", F.when(F.col("own").isNotNull(), F.col("read_at")).otherwise(literal(GRID))).drop("default")
+
+
+def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """``caller, request_id, read, row, voice, level, q, raw, pit`` of the requests without refusal; ``blend`` where several call.
 
-    Levels between the 99 percentiles are interpolated. The PIT is against the raw percentiles, ties by salt (else the row).
+    Levels between the 99 percentiles are interpolated. A voice with a history in ``pit_history`` is read through it, and
+    through the record of ``defaults (voice, window, counts)`` for the request's window; ``raw`` is then its answer as it
+    was, else null. The blend is the mean of the voices as read, and may have a history of its own. The PIT is against
+    the raw percentiles, ties by salt (else the row). The backend here has no randomness, so any number of members gives
+    the same answer and is fitted once.
     """
     key = ["caller", "request_id", "read", "row"]
     good = requests.where("refusal is null")
-    reads = good.select("caller", "request_id", "alphas", "voices", "season", F.posexplode("reads").alias("read", "r")).select("caller", "request_id", "alphas", "voices", "season", "read", "r.*")
+    reads = good.select("caller", "request_id", "alphas", "voices", "season", "window", "counts", F.posexplode("reads").alias("read", "r"))
+    reads = written(reads.select("caller", "request_id", "alphas", "voices", "season", "window", "counts", "read", "r.*"), "reads")
     tables = reads.select("caller", "request_id", "read", "train_x", "train_y", "test_x").mapInPandas(_linear_grids, "caller string, request_id string, read int, row int, grid array<double>")
     asked = reads.where(F.array_contains("voices", "seasonal_naive"))
     asked = asked.select("caller", "request_id", "read", "season", "history", F.posexplode(F.coalesce("horizon", F.array_repeat(F.lit(1), F.size("test_x")))).alias("row", "h"))
     series = asked.withColumn("from", F.expr("array_position(transform(history, y -> y is not null), true)")).where(F.col("from") > 0)
-    series = series.select(F.struct(*key).alias("series"), "season", "h", F.lit(0).cast("long").alias("start"), F.expr("slice(history, `from`, size(history))").alias("ys"))
-    naive = None
-    for (season,) in sorted(tuple(r) for r in asked.select("season").distinct().collect()):  # 366 at most
-        part = series.where(F.col("season") == season)
-        one = naive_calls(part, season)
-        naive = one if naive is None else naive.unionByName(one)
-    grids = tables.withColumn("voice", F.lit("linear"))
-    if naive is not None:
-        naive = naive.select("series.*", F.col("q").alias("grid"), F.lit("seasonal_naive").alias("voice"))
-        both = tables.join(naive.select(*key, F.col("grid").alias("other")), key).select(*key, F.zip_with(F.array_sort("grid"), F.array_sort("other"), lambda a, b: (a + b) / 2).alias("grid"), F.lit("blend").alias("voice"))
-        grids = grids.unionByName(naive).unionByName(both)
-    told = reads.select("caller", "request_id", "read", "alphas", F.posexplode("test_x").alias("row", "_x"), "actual", "salt").select(
-        *key, "alphas", F.get("actual", "row").alias("y"), F.coalesce(F.get("salt", "row"), F.col("row").cast("long")).alias("salt")
+    series = series.select(F.struct(*key).alias("series"), "season", "h", F.expr("slice(history, `from`, size(history))").alias("ys"))
+    # Each history is asked at its own end.
+    naive = naive_calls(series.withColumn("n", F.size("ys")).withColumn("origin", F.col("n").cast("long")), GRID)
+    naive = naive.select("series.*", F.col("q").alias("grid"), F.lit("seasonal_naive").alias("voice"))
+    told = reads.select("caller", "request_id", "read", "alphas", "voices", "window", "counts", F.posexplode("test_x").alias("row", "_x"), "actual", "salt").select(
+        *key, "alphas", "voices", "window", "counts", F.get("actual", "row").alias("y"), F.coalesce(F.get("salt", "row"), F.col("row").cast("long")).alias("salt")
     )
-    df = grids.withColumn("grid", F.array_sort("grid")).join(told, key)
-    tied = n_tied(F.col("grid"), F.col("y"))
-    draw = tie_draw(F.when(tied > 0, F.col("grid")), F.col("y"), F.when(tied > 0, F.col("salt")))
-    df = df.withColumn("pit", pit_untied(F.col("grid"), F.col("y")) + F.coalesce(tied * draw, F.lit(0.0)) / 100)
-    df = df.select(*key, "voice", "pit", "grid", F.explode("alphas").alias("level"))
-    return df.select(*key, "voice", "level", quantile(F.col("grid"), place(F.col("level"))).alias("q"), "pit")
-
-
-def naive_calls(series: DataFrame, season: int) -> DataFrame:
-    """Calls after the end of each history, each at its own horizon."""
-    out = None
-    for (h,) in sorted(tuple(r) for r in series.select("h").distinct().collect()):  # 120 at most
-        part = series.where(F.col("h") == h).drop("h", "season")
-        one = seasonal_naive(part, None, [h], GRID, season, at_end=True)
-        out = one if out is None else out.unionByName(one)
-    return out.select("series", "q")
+    spoke = tables.withColumn("voice", F.lit("linear")).unionByName(naive).join(told, key).withColumn("grid", F.array_sort("grid"))
+    spoke = _through_records(spoke, defaults)
+    spoke = written(spoke.withColumn("as_read", F.transform("read_at", lambda a: quantile(F.col("grid"), place(a)))), "spoke")
+    blend = _blended(spoke, key, "as_read").withColumnRenamed("as_read", "grid").withColumn("voice", F.lit("blend")).join(told, key)
+    blend = _through_records(blend, defaults)
+    columns = [*key, "voice", "alphas", "window", "counts", "y", "salt", "grid", "own", "alphas_at"]
+    df = spoke.select(*columns).unionByName(blend.select(*columns)).withColumn("pit", pit(F.col("grid"), F.col("y"), F.col("salt")))
+    df = df.select(*key, "voice", "pit", "grid", "own", F.explode(F.arrays_zip("alphas", "alphas_at")).alias("l"))
+    as_asked = quantile(F.col("grid"), place(F.col("l.alphas")))
+    read = quantile(F.col("grid"), place(F.col("l.alphas_at")))
+    return df.select(*key, "voice", F.col("l.alphas").alias("level"), F.when(F.col("own").isNull(), as_asked).otherwise(read).alias("q"), F.when(F.col("own").isNotNull(), as_asked).alias("raw"), "pit")

@@ -30,12 +30,15 @@ def histories(facts: DataFrame) -> DataFrame:
 
     ``start`` is the first period of any such series, ``ys`` holds all periods since then.
     """
-    own = facts.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("seen"))
-    own = own.withColumn("first", F.array_min(F.map_keys("seen"))).withColumn("last", F.array_max(F.map_keys("seen")))
+    own = facts.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("seen"))
+    own = own.withColumn("first", F.expr("seen[0].t")).withColumn("last", F.element_at("seen", -1)["t"])
     ends = own.groupBy("last").agg(F.count("*").alias("n"), F.min("first").alias("start"))
     modal = ends.agg(F.min_by(F.struct("last", "start"), F.struct(-F.col("n"), "last")).alias("m")).select("m.*")  # one row
     own = own.join(F.broadcast(modal), "last")
-    return own.select("series", "start", F.expr("transform(sequence(start, last), t -> try_element_at(seen, t))").alias("ys"))
+    # Each known period behind the gap before it: one pass over what is known.
+    gap = "cast(s.t - if(k = 0, start - 1, seen[k - 1].t) - 1 as int)"
+    ys = f"flatten(transform(seen, (s, k) -> concat(array_repeat(cast(null as double), {gap}), array(s.y))))"
+    return own.select("series", "start", F.expr(ys).alias("ys"))
 
 
 def trimmed(hist: DataFrame) -> DataFrame:
@@ -75,8 +78,17 @@ def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(ev, F.col("event_type"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long"), F.lit(1.0), drop_newest=False)
 
 
+def sparse_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by user and day, 0 on days without any: the panel whose values tie."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("series"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("long").alias("t"))
+    counts = ev.where("series is not null and t is not null").groupBy("series", "t").agg(F.count("*").cast("double").alias("y"))
+    ends = counts.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))  # one row
+    days = counts.select("series").distinct().join(F.broadcast(ends)).select("series", F.explode(F.sequence("lo", "hi")).alias("t"))
+    return days.join(counts, ["series", "t"], "left").select("series", "t", F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
 #: Name -> (facts, season).
-PANELS = {"supplier_qty": (supplier_qty, 12), "flag_qty": (flag_qty, 12), "nation_sales": (nation_sales, 12), "event_hours": (event_hours, 24)}
+PANELS = {"supplier_qty": (supplier_qty, 12), "flag_qty": (flag_qty, 12), "nation_sales": (nation_sales, 12), "event_hours": (event_hours, 24), "sparse_user": (sparse_user, 7)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:

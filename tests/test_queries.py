@@ -182,3 +182,90 @@ def test_landing(spark, tmp_path):
 
 def test_literal_is_double(spark):
     assert spark.range(1).select(literal([np.float64(0.5)]).alias("a")).first().a == [0.5]
+
+
+def test_requests_with_histories_are_refused_by_rule(spark):
+    good = {"caller": "a", "request_id": "0", "alphas": [0.5], "voices": ["linear", "seasonal_naive"], "reads": [{**READ, "history": [float(k % 12) for k in range(40)]}]}
+    bad = [{"pit_history": [1] * 100}, {"pit_history": {"someone": [1] * 100}}, {"pit_history": {"blend": [1] * 99}}, {"pit_history": {"linear": [-1] + [1] * 99}}, {"window": 0}]
+    bad += [{"voices": ["linear"], "pit_history": {"linear": [1] * 100}}]
+    fine = [{}, {"pit_history": {"blend": [1] * 100, "linear": [0] * 100}}, {"voices": ["linear"], "pit_history": [2.5] * 100}, {"window": 12}]
+    got = _answered(spark, [{**good, **b, "request_id": str(i)} for i, b in enumerate(fine + bad)]).collect()
+    assert [r.refusal is None for r in got] == [True] * len(fine) + [False] * len(bad) and {r.refusal.status for r in got[len(fine) :]} == {400}
+
+
+def test_voices_are_read_through_their_histories(spark):
+    read = {**READ, "actual": [1.0, None], "history": [float(k % 12) for k in range(40)]}
+    body = {"caller": "a", "alphas": [0.1, 0.5], "voices": ["linear", "seasonal_naive"], "reads": [read]}
+    high = {"linear": [0] * 99 + [5000]}  # what came true always lay at the top
+    bodies = [{**body, "request_id": "raw"}, {**body, "request_id": "high", "pit_history": high}, {**body, "request_id": "alone", "voices": ["linear"], "pit_history": high["linear"]}]
+    defaults = spark.createDataFrame([("linear", 1, [1.0] * 100), ("linear", 12, [50.0] + [0.0] * 98 + [50.0])], "voice string, window int, counts array<double>")
+    bodies += [{**body, "request_id": f"w{w}", "window": w, "pit_history": {"linear": [1] * 100}} for w in (1, 12)]
+    got = {(r.request_id, r.voice, r.row, r.level): r for r in requests.answers(_answered(spark, bodies), defaults).collect()}
+    raw, high, alone = (got[i, "linear", 0, 0.5] for i in ("raw", "high", "alone"))
+    assert raw.raw is None and high.raw == alone.raw == raw.q and high.q == alone.q > raw.q and raw.pit == high.pit
+    naive = got["high", "seasonal_naive", 0, 0.5]
+    assert naive.raw is None and got["high", "blend", 0, 0.5].q == pytest.approx((high.q + naive.q) / 2)
+    # Totals are weighed with the totals' record, which has all its mass at the ends.
+    assert got["w12", "linear", 0, 0.1].q < got["w1", "linear", 0, 0.1].q
+
+
+def test_totals_count_where_both_are_called(spark):
+    rng = np.random.default_rng(1)
+    # The second series is long enough for its periods, not for twelve sums of twelve and the moves between them.
+    hist = spark.createDataFrame([(0, 0, rng.normal(50, 5, 72).tolist()), (1, 0, [None] * 34 + rng.normal(50, 5, 38).tolist())], "series long, start long, ys array<double>")
+    summed = scores.summed_horizons(backtest.project(hist, ["seasonal_naive"], 12, 1), 12)
+    got = backtest.totals(hist, "seasonal_naive", 12, 1)
+    assert {r.series for r in summed.collect()} == {0, 1} and {(r.series, r.voice) for r in got.collect()} == {(0, "total_summed"), (0, "total_direct")}
+
+
+def test_absent_features_are_filled_from_labelled_periods(spark):
+    """Three periods ahead: the fill reads the rows of periods before the origin, not those up to the call."""
+    rng = np.random.default_rng(2)
+    ys = rng.normal(100, 9, 40)
+    ys[30:32] += 500  # known at the origin, and features of the periods between origin and call
+    known = [None if i in (4, 5, 9, 32) else float(v) for i, v in enumerate(ys)]
+    hist = spark.createDataFrame([(0, 0, known)], "series long, start long, ys array<double>")
+
+    def spy(train_x, train_y, test_x, levels):
+        # What the absent lag of the period that is called is filled with.
+        return np.tile(test_x[:, 2:3], (1, len(levels)))
+
+    at = spark.createDataFrame([(33,)], "origin long")
+    rows = panels.panel(hist)
+    feats = sorted(features.recipe(rows, 3).collect(), key=lambda r: r.t)
+    name = features.RECIPE[2]
+    called = next(r for r in feats if r.t == 35)
+    want = called[name] if called[name] is not None else np.median([r[name] for r in feats if r.t < 33 and r[name] is not None])
+    assert voices.walk_backend(rows, at, [3], [0.5], spy).collect()[0].q[0] == pytest.approx(want)
+
+
+def test_pooled_leaves_out_short_series_and_takes_backends(spark):
+    rng = np.random.default_rng(4)
+    hist = spark.createDataFrame([(i, 0, rng.normal(50 * (i + 1), 5, 40).tolist()) for i in range(4)] + [(9, 35, rng.normal(5, 1, 5).tolist())], "series long, start long, ys array<double>")
+    c = backtest.Context(hist, spark.createDataFrame([(39,)], "origin long"), [1])
+    for name in ("pooled", "pooled:linear"):
+        got = {r.series: r.q for r in backtest.build(name, c).collect()}
+        assert set(got) == {0, 1, 2, 3} and all(40 * (s + 1) < q[49] < 60 * (s + 1) for s, q in got.items())
+
+
+def test_default_records_by_window(spark):
+    rng = np.random.default_rng(6)
+    hist = spark.createDataFrame([(i, 0, rng.normal(50, 5, 90).tolist()) for i in range(12)], "series long, start long, ys array<double>")
+    records = backtest.default_records(hist, ["seasonal_naive"], 18)
+    told = {r.window: sum(r.counts) for r in records.collect()}
+    assert told == {1: 12 * 18, 12: 12 * 18}
+    at = spark.createDataFrame([(80,)], "origin long")
+    with pytest.raises(ValueError):
+        backtest.build("dcal:seasonal_naive", backtest.Context(hist, at, [1]))
+    raw, read = (backtest.build(v, backtest.Context(hist, at, [1], default=records)).collect() for v in ("seasonal_naive", "dcal:seasonal_naive"))
+    assert len(raw) == len(read) == 12 and {tuple(r.q) for r in raw} != {tuple(r.q) for r in read}
+
+
+def test_burned_origins_feed_scored_horizons_only(spark):
+    rng = np.random.default_rng(7)
+    hist = spark.createDataFrame([(i, 0, rng.normal(50, 5, 84).tolist()) for i in range(30)], "series long, start long, ys array<double>")
+    points = backtest.project(hist, ["seasonal_naive", "cal:seasonal_naive"], 12, 1, burn=5)
+    q = {(r.voice, r.series, r.h): r.q for r in points.collect()}
+    assert {k[2] for k in q} == set(range(1, 13)) and {r.origin for r in points.collect()} == {72}
+    moved = {h for h in range(1, 13) if any(q["cal:seasonal_naive", s, h] != pytest.approx(q["seasonal_naive", s, h]) for s in range(30))}
+    assert moved == {1, 3, 6, 12}
