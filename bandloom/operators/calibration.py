@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import BINS, GRID, bin_of, merged_counts, pit, pit_untied, reread, salt_of, with_levels
@@ -63,3 +63,12 @@ def default_record(bands: DataFrame, rows: DataFrame, exact: bool = True) -> Dat
 def record_of(records: DataFrame, voice: str, window: int = 1) -> DataFrame:
     """The row ``counts`` of a table ``(voice, window, counts)``: the periods' record, or for sums the totals'."""
     return records.where((F.col("voice") == voice) & (F.col("window") == (1 if window <= 1 else TOTAL_WINDOW))).select("counts").limit(1)
+
+
+def save_records(records: DataFrame, path: str) -> None:
+    """Writes the table ``(voice, window, counts)`` of default records."""
+    records.select("voice", "window", "counts").write.mode("errorifexists").parquet(path)
+
+
+def load_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("voice string, window int, counts array<double>").parquet(path)

@@ -69,3 +69,10 @@ def scales(rows: DataFrame) -> DataFrame:
     recent = rows.withColumn("last", F.max("i").over(W.partitionBy("series"))).where("i > last - 12")
     mean = F.avg(F.abs("y"))
     return recent.groupBy("series").agg(F.coalesce(F.when(mean != 0, mean), F.lit(1.0)).alias("scale"))
+
+
+def standardised(rows: DataFrame) -> DataFrame:
+    """``z``: y less its series' mean, in units of its deviation over all known periods (1 where that is 0)."""
+    over = W.partitionBy("series")
+    dev = F.stddev_pop("y").over(over)
+    return rows.withColumn("z", (F.col("y") - F.avg("y").over(over)) / F.when(dev > 0, dev).otherwise(1.0))

@@ -17,19 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _moments(columns: list[str], means: list[float]):
-    k = len(columns)
+def _sums(x: np.ndarray, fold: np.ndarray, means: list[float]) -> dict:
+    """(fold, column) -> summed products of the rows where the column is present, the ones first."""
+    there = ~np.isnan(x)
+    full = np.column_stack([np.ones(len(x)), np.where(there, x, means) - means])
+    picked = {(int(f), j): full[(fold == f) & there[:, j]] for f in np.unique(fold) for j in range(x.shape[1])}
+    return {key: some.T @ some for key, some in picked.items()}
+
 
+def _moments(columns: list[str], means: list[float]):
     def run(batches):
+        k = len(columns)
         sums: dict = defaultdict(lambda: np.zeros((k + 1, k + 1)))
         for pdf in batches:
-            x = pdf[columns].to_numpy(float)
-            there = ~np.isnan(x)
-            full = np.column_stack([np.ones(len(x)), np.where(there, x, means) - means])
-            for fold in np.unique(pdf["fold"]):
-                for j in range(k):
-                    some = full[(pdf["fold"].to_numpy() == fold) & there[:, j]]
-                    sums[int(fold), j] += some.T @ some
+            for key, m in _sums(pdf[columns].to_numpy(float), pdf["fold"].to_numpy(), means).items():
+                sums[key] += m
         rows = [(f, j, i, v) for (f, j), m in sums.items() for i, v in enumerate(m.ravel().tolist())]
         yield pd.DataFrame(rows, columns=["fold", "j", "i", "v"])
 
@@ -86,3 +88,34 @@ def misfit(df: DataFrame, id_col: str, columns: list[str], folds: int = 1) -> Da
     out = clean.select(id_col, *[share(j).alias(f"share_{c}") for j, c in enumerate(columns)])
     score = sum((F.coalesce(f"share_{c}", F.lit(0.0)) for c in columns), F.lit(0.0))
     return out.select(id_col, score.alias("score"), *[f"share_{c}" for c in columns])
+
+
+def lowest(scored: DataFrame, id_col: str, columns: list[str], n: int) -> DataFrame:
+    """``id_col, score, cell``: the n rows that fit worst (ties to the lesser id), and the column of the lowest share."""
+    cells = F.array(*[F.struct(F.col(f"share_{c}").alias("share"), F.lit(c).alias("name")) for c in columns])
+    worst = F.array_min(F.filter(cells, lambda c: c["share"].isNotNull()))["name"]
+    return scored.select(id_col, "score", worst.alias("cell")).orderBy("score", id_col).limit(n)
+
+
+def frame_shares(x: np.ndarray, folds: int = 1) -> np.ndarray:
+    """The shares of one small frame that a request brings, by the same model; NaN where a cell or a fit is absent.
+
+    With folds, every so manyth row is in the same one.
+    """
+    n, k = x.shape
+    there = ~np.isnan(x)
+    means = np.where(there, x, 0).sum(0) / np.maximum(there.sum(0), 1)
+    fold = np.arange(n) % folds
+    own = _sums(x, fold, means)
+    centred = np.where(there, x, means) - means
+    shares = np.full((n, k), np.nan)
+    for f in range(folds):
+        mine = fold == f
+        for j in range(k):
+            rest = sum(own[g, j] for g in range(folds) if g != f or folds == 1)
+            fits = [(given, _conditional(rest, j, given)) for given in (list(range(j)), list(range(k - 1, j, -1)))]
+            if fits[0][1] is None:
+                continue
+            gaps = [(centred[mine, j] - w[0] - centred[mine][:, given] @ w[1:], var) for given, (w, var) in fits]
+            shares[mine, j] = sum(-gap * gap / (2 * var) - 0.5 * math.log(2 * math.pi * var) for gap, var in gaps) / 2
+    return np.where(there, shares, np.nan)

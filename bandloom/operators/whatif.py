@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import pi
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.functions.draws import normal, uniform
+from bandloom.functions.quantiles import GRID
+from bandloom.functions.tables import written
+from bandloom.operators.scores import score
+from bandloom.operators.voices import Backend
+
 FACTORS, ELASTICITY = [1.0, 0.9, 1.1, 1.5], 1.5
 
 
@@ -35,3 +45,84 @@ def grade(world: DataFrame, cut: int, factors: list[float] = FACTORS, elasticity
     median = F.col("size") * F.exp(F.col("a") + F.col("b") * F.ln(F.col("price") / F.col("usual")))
     off = lambda x: F.avg(F.abs(x - F.col("truth")) / F.col("truth"))
     return moved.groupBy("factor").agg(F.pow(F.first("factor"), F.lit(1 - elasticity)).alias("true_move"), off(F.col("replay")).alias("replay_off"), off(median).alias("median_off"))
+
+
+#: The rows of one world's context are read by one fit.
+MOST_CONTEXT = 100_000
+WORLD = ["world", "member"]
+
+
+def simulate(spark: SparkSession, worlds: int = 1, members: int = 40, months: int = 36, elasticity: float = ELASTICITY, confounding: float = 0.0, noise: float = 0.05) -> DataFrame:
+    """``world, member, t, price, base, season, shock, revenue``: panels whose structure is known, t from 0.
+
+    Members have their own price level and size, prices drift, and with ``confounding`` they lean into the month's shock.
+    """
+    at = spark.range(worlds * members * months)
+    df = at.select(F.floor(F.col("id") / (members * months)).cast("long").alias("world"), (F.floor(F.col("id") / months) % members).cast("long").alias("member"), (F.col("id") % months).cast("long").alias("t"))
+    world, member, t = F.col("world"), F.col("member"), F.col("t")
+    df = df.withColumns({
+        "shock": 0.08 * normal("shock", world, t), "base": 100 + 4900 * uniform("base", world, member), "season": 1 + 0.2 * F.sin(2 * pi * (t % 12) / 12),
+    })
+    df = df.withColumn("price", F.exp(0.10 * normal("level", world, member) + 0.05 * normal("drift", world, member, t) + confounding * F.col("shock")))
+    return df.withColumn("revenue", F.col("price") * volume(F.col("price"), noise * normal("landed", world, member, t), elasticity))
+
+
+def volume(price: Column, noise: Column, elasticity: float = ELASTICITY) -> Column:
+    """What a member sells at a price, from the columns of its world."""
+    return F.col("base") * F.col("season") * F.exp("shock") * F.pow(price, F.lit(-elasticity)) * F.exp(noise)
+
+
+def outcomes(world: DataFrame, cut: int, factors: list[float] = FACTORS, draws: int = 400, elasticity: float = ELASTICITY, noise: float = 0.05) -> DataFrame:
+    """``world, member, t, factor, price, actual, true_median, replay`` from ``cut`` on: the pulled world run ``draws`` times.
+
+    The draws of a row are an array in it, so they are never shuffled; the first is what lands.
+    """
+    names = [F.col(c) for c in ("world", "member", "t", "factor")]
+    moved = world.where(F.col("t") >= cut).select("*", F.explode(F.array(*[F.lit(float(x)) for x in factors])).alias("factor"))
+    moved = moved.withColumn("pulled", F.col("price") * F.col("factor"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.col("pulled") * volume(F.col("pulled"), noise * normal("pulled", *names, k), elasticity))
+    df = moved.withColumn("runs", runs).withColumn("sorted", F.array_sort("runs"))
+    median = (F.get("sorted", F.lit((draws - 1) // 2)) + F.get("sorted", F.lit(draws // 2))) / 2
+    return df.select("world", "member", "t", "factor", F.col("pulled").alias("price"), F.get("runs", F.lit(0)).alias("actual"), median.alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
+
+
+def _called(backend: Backend):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.log(pdf["size"]), pdf["t"] % 12 + 1, pdf["price"], pdf["usual"]])
+        train = pdf["factor"].isna().to_numpy()
+        q = np.sort(backend(x[train], (pdf["revenue"] / pdf["size"]).to_numpy()[train], x[~train], GRID), axis=1)
+        out = pdf.loc[~train, ["world", "member", "t", "factor"]]
+        return out.assign(q=list(q * pdf.loc[~train, "size"].to_numpy()[:, None]))
+
+    return run
+
+
+def grade_worlds(spark: SparkSession, backend: Backend, worlds: int = 5, held: int = 6, draws: int = 400, factors: list[float] = FACTORS, members: int = 40, months: int = 36, confounding: float = 0.0, elasticity: float = ELASTICITY, noise: float = 0.05) -> DataFrame:
+    """``factor, n, in_support, true_move, replay_move, wql, coverage80, coverage90, width80, pit_ks, median_off, replay_off``.
+
+    Each world is graded by itself: the backend reads the months before the held ones (size, month, price and usual
+    price, revenue in units of the size) and calls the held ones with the price moved. The rounded grades are averaged.
+    """
+    cut = months - held
+    if members * cut > MOST_CONTEXT:
+        raise ValueError(f"a world's context has at most {MOST_CONTEXT} rows")
+    world = simulate(spark, worlds, members, months, elasticity, confounding, noise)
+    seen = world.where(F.col("t") < cut)
+    usual = seen.groupBy(*WORLD).agg(F.avg("revenue").alias("size"), F.exp(F.avg(F.ln("price"))).alias("usual"))
+    truth = written(outcomes(world, cut, factors, draws, elasticity, noise), "worlds")
+    columns = [*WORLD, "t", "factor", "price", "revenue"]
+    rows = seen.withColumn("factor", F.lit(None).cast("double")).select(*columns)
+    rows = rows.unionByName(truth.withColumn("revenue", F.lit(None).cast("double")).select(*columns)).join(usual, WORLD)
+    calls = rows.groupBy("world").applyInPandas(_called(backend), "world long, member long, t long, factor double, q array<double>")
+    support = seen.groupBy("world").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    graded = truth.join(calls, [*WORLD, "t", "factor"]).withColumn("y", F.col("actual")).withColumn("voice", F.lit("called"))
+    keys = ["world", "factor"]
+    off = lambda x: F.bround(F.avg(F.abs(x - F.col("true_median")) / F.col("true_median")), 3)
+    near = graded.join(support, "world").groupBy(*keys).agg(
+        F.bround(F.avg(F.col("price").between(F.col("low"), F.col("high")).cast("double")), 2).alias("in_support"),
+        off(F.get("q", F.lit(49))).alias("median_off"), off(F.col("replay")).alias("replay_off"),
+    )
+    told = score(graded, ["voice", *keys], places=4).drop("voice", "wql_vs_naive").join(near, keys)
+    told = told.withColumn("true_move", F.bround(F.pow("factor", F.lit(1 - elasticity)), 3)).withColumn("replay_move", F.col("factor"))
+    names = ["n", "in_support", "true_move", "replay_move", "wql", "coverage80", "coverage90", "width80", "pit_ks", "median_off", "replay_off"]
+    return told.groupBy("factor").agg(*[F.bround(F.avg(c), 3).alias(c) for c in names])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import BANDS, GRID, literal, merged_counts, with_levels
-from bandloom.operators import calibration, features, misfit, scores, voices, whatif
+from bandloom.operators import calibration, features, misfit, parity, scores, voices, whatif
 from bandloom.plans import backtest, requests
 from bandloom.sources import panels
 
@@ -201,6 +201,55 @@ def misfit_folds_query(s, d):
     return misfit.misfit(keyed, "line", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], folds=5)
 
 
+def lowest_query(s, d):
+    return misfit.lowest(misfit_pair_query(s, d), "o_orderkey", ["o_totalprice", "o_cust"], 50)
+
+
+def _frames(s, d) -> DataFrame:
+    """One misfit request per supplier: its order lines as rows."""
+    line = s.read.parquet(f"{d}/lineitem.parquet")
+    row = F.struct("l_orderkey", "l_linenumber", F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount")]).alias("x"))
+    frames = line.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    body = F.struct(F.lit("driver").alias("caller"), F.col("l_suppkey").cast("string").alias("request_id"), F.col("rows.x").alias("x"), F.lit(True).alias("columns"), F.lit(2).alias("folds"))
+    return frames.select(F.to_json(body).alias("value"))
+
+
+def misfit_requests_query(s, d):
+    found = requests.misfit_answers(requests.misfit_parsed(_frames(s, d)))
+    return found.select("request_id", "row", _r("score"), *[F.round(F.get("shares", F.lit(i)), PLACES).alias(f"share_{i}") for i in range(3)])
+
+
+def simulated_query(s, d):
+    return whatif.simulate(s, worlds=5).select("world", "member", "t", _r("price"), _r("revenue", 3))
+
+
+def true_median_query(s, d):
+    found = whatif.outcomes(whatif.simulate(s, worlds=2), 30)
+    return found.select("world", "member", "t", "factor", _r("true_median", 3), _r("actual", 3), _r("replay", 3))
+
+
+def worlds_query(s, d):
+    """Two dials: what the grade says where a shock that no column holds moves prices, and where none does."""
+    runs = [whatif.grade_worlds(s, voices.linear, confounding=c).withColumn("confounding", F.lit(c)) for c in (0.0, 1.0)]
+    return runs[0].unionByName(runs[1])
+
+
+def parity_query(s, d):
+    """A regression on the last value held against the floor voice, as if that were pinned."""
+    c = _context(s, d, "supplier_qty", [1], 3)
+    found = parity.deviations(voices.regression(c.rows, c.at, 1, BANDS), voices.seasonal_naive(c.hist, c.at, [1], BANDS), c.rows)
+    return parity.report(found).select("fits", *[_r(n) for n in ("max_rel_dev", "p99_rel_dev", "median_rel_dev")], "flips80", "flips90")
+
+
+def head_query(s, d):
+    hist, season = panels.load(s, d, "supplier_qty")
+    return panels.panel(panels.head(hist, 10), season).select("series", "t", _r("y", 4))
+
+
+def standardised_query(s, d):
+    return features.standardised(_rows(s, d, "supplier_qty")).select("series", "t", _r("z"))
+
+
 def turns_query(s, d):
     line = s.read.parquet(f"{d}/lineitem.parquet")
     jobs = line.groupBy(F.col("l_suppkey").alias("caller"), F.col("l_orderkey").alias("seq")).agg(F.sum("l_quantity").cast("long").alias("n_cells"))
@@ -273,6 +322,15 @@ QUERIES = {
     "whatif_grade": grade_query,
     "misfit_pair": misfit_pair_query,
     "misfit_folds": misfit_folds_query,
+    "misfit_lowest": lowest_query,
+    "misfit_requests": misfit_requests_query,
+    "whatif_simulated": simulated_query,
+    "whatif_true_median": true_median_query,
+    "whatif_worlds": worlds_query,
+    "parity_report": parity_query,
+    "panel_head": head_query,
+    "panel_synthetic": panel_query("synthetic"),
+    "standardised": standardised_query,
     "request_validation": validation_query,
     "request_answers": answers_query,
     "request_naive": request_naive_query,
@@ -403,6 +461,41 @@ _REQUESTED = f"""WITH {_panel('supplier_qty')}, o AS (SELECT max(t) + 1 AS origi
 SELECT series::VARCHAR AS request_id, 0::INT AS read, 0::INT AS row, alpha AS level, round(q, {PLACES}) AS q FROM nq JOIN al USING (level) JOIN (SELECT series FROM tr WHERE y IS NOT NULL GROUP BY 1 HAVING count(*) > 2) USING (series)"""
 
 
+def _uniform(*names: str) -> str:
+    told = " || '|' || ".join(f"({n})::VARCHAR" for n in names)
+    return f"((('0x' || substr(md5({told}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
+
+
+def _normal(*names: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(*names, _T('r'))})) * cos(2 * pi() * {_uniform(*names, _T('a'))}))"
+
+
+def _T(text: str) -> str:
+    return f"'{text}'"
+
+
+def _simulated(worlds: int) -> str:
+    """CTE sim like whatif.simulate."""
+    return f"""g AS (SELECT w AS world, m AS member, t FROM range({worlds}) a(w), range(40) b(m), range(36) c(t)),
+s1 AS (SELECT *, 0.08 * {_normal(_T('shock'), 'world', 't')} AS shock, 100 + 4900 * {_uniform(_T('base'), 'world', 'member')} AS base, 1 + 0.2 * sin(2 * pi() * (t % 12) / 12) AS season FROM g),
+s2 AS (SELECT *, exp(0.10 * {_normal(_T('level'), 'world', 'member')} + 0.05 * {_normal(_T('drift'), 'world', 'member', 't')}) AS price FROM s1),
+sim AS (SELECT *, price * base * season * exp(shock) * pow(price, {-whatif.ELASTICITY}) * exp(0.05 * {_normal(_T('landed'), 'world', 'member', 't')}) AS revenue FROM s2)"""
+
+
+_OUTCOMES = f"""WITH {_simulated(2)}, pu AS (SELECT *, price * factor AS pulled FROM sim, (SELECT unnest({whatif.FACTORS}::DOUBLE[]) AS factor) WHERE t >= 30),
+dr AS (SELECT world, member, t, factor, k, revenue * factor AS replay, pulled * base * season * exp(shock) * pow(pulled, {-whatif.ELASTICITY}) * exp(0.05 * {_normal(_T('pulled'), 'world', 'member', 't', 'factor', 'k')}) AS run FROM pu, range(400) d(k))
+SELECT world, member, t, factor, round(median(run), 3) AS true_median, round(max(CASE WHEN k = 0 THEN run END), 3) AS actual, round(any_value(replay), 3) AS replay FROM dr GROUP BY ALL"""
+_SYNTHETIC = f"""WITH g AS (SELECT s AS series, k FROM range(12) a(s), range(60) b(k)),
+v AS (SELECT series, k, 50 + 4950 * {_uniform(_T('level'), _T('0'), 'series')} AS level, 0.004 * {_normal(_T('trend'), _T('0'), 'series')} AS trend, 0.05 * {_normal(_T('noise'), _T('0'), 'series', 'k')} AS noise FROM g)
+SELECT series, 24228 + k AS t, (k % 12 + 1)::INT AS moy, round(level * (1 + trend * k + 0.2 * sin(2 * pi() * (k % 12) / 12) + noise), 4) AS y FROM v"""
+_PARITY = f"""WITH {_panel('supplier_qty')}, {_origins(3)}, {_naive('[1]', BANDS)}, {_regression(BANDS)},
+b AS (SELECT series, origin, max(abs(rq.q - nq.q) / greatest(1, abs(nq.q))) AS dev, any_value(tr.y) AS y, {", ".join(f"max(CASE WHEN level = {k + 1} THEN {v}q.q END) AS {v}{k}" for v in "rn" for k in range(5))}
+ FROM rq JOIN nq USING (series, origin, h, level) LEFT JOIN tr ON tr.series = nq.series AND tr.t = origin + h - 1 GROUP BY 1, 2)
+SELECT count(*) AS fits, round(max(dev), {PLACES}) AS max_rel_dev, round(quantile_cont(dev, 0.99), {PLACES}) AS p99_rel_dev, round(quantile_cont(dev, 0.5), {PLACES}) AS median_rel_dev,
+ count(*) FILTER ((y BETWEEN least(r1, r3) AND greatest(r1, r3)) <> (y BETWEEN least(n1, n3) AND greatest(n1, n3))) AS flips80,
+ count(*) FILTER ((y BETWEEN least(r0, r4) AND greatest(r0, r4)) <> (y BETWEEN least(n0, n4) AND greatest(n0, n4))) AS flips90 FROM b"""
+
+
 def _panel_oracle(name: str) -> str:
     return f"WITH {_panel(name)} SELECT series, t, moy, round(y, 4) AS y FROM p"
 
@@ -435,5 +528,12 @@ ORACLES = {
     "whatif_support": f"WITH {_WORLD}, {_PULLED}, z AS (SELECT min(price) AS lo, max(price) AS hi FROM wd WHERE t < {CUT}) SELECT factor, round(avg((price BETWEEN lo AND hi)::INT), {PLACES}) AS in_support FROM pu, z GROUP BY 1",
     "whatif_grade": f"WITH {_WORLD}, {_USUAL}, {_PULLED}, fit AS (SELECT regr_slope(ln(revenue / size), ln(price / usual)) AS b, regr_intercept(ln(revenue / size), ln(price / usual)) AS a FROM wd JOIN us USING (member) WHERE t < {CUT}) SELECT factor, round(pow(factor, {1 - whatif.ELASTICITY}), {PLACES}) AS true_move, round(avg(abs(replay - truth) / truth), {PLACES}) AS replay_off, round(avg(abs(size * exp(a + b * ln(price / usual)) - truth) / truth), {PLACES}) AS median_off FROM pu JOIN us USING (member), fit GROUP BY 1",
     "misfit_pair": _PAIR,
+    "misfit_lowest": f"SELECT o_orderkey, score, CASE WHEN share_o_cust <= share_o_totalprice THEN 'o_cust' ELSE 'o_totalprice' END AS cell FROM ({_PAIR}) ORDER BY score, o_orderkey LIMIT 50",
+    "whatif_simulated": f"WITH {_simulated(5)} SELECT world, member, t, round(price, {PLACES}) AS price, round(revenue, 3) AS revenue FROM sim",
+    "whatif_true_median": _OUTCOMES,
+    "parity_report": _PARITY,
+    "panel_synthetic": _SYNTHETIC,
+    "panel_head": f"WITH {_panel('supplier_qty')} SELECT series, t, round(y, 4) AS y FROM p WHERE series IN (SELECT series FROM e JOIN m USING (last) ORDER BY md5('0|' || series::VARCHAR), series LIMIT 10)",
+    "standardised": f"WITH {_panel('supplier_qty')} SELECT series, t, round((y - avg(y) OVER w) / coalesce(nullif(stddev_pop(y) OVER w, 0), 1), {PLACES}) AS z FROM tr WINDOW w AS (PARTITION BY series)",
     "queue_round_robin": "WITH j AS (SELECT l_suppkey AS caller, l_orderkey * 1000000 + l_suppkey AS seq, sum(l_quantity)::BIGINT AS n_cells FROM lineitem GROUP BY 1, l_orderkey), r AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY seq)::INT AS round FROM j) SELECT caller, seq, n_cells, round, ((sum(n_cells) OVER (ORDER BY round, seq) - 1) // 131072)::BIGINT AS cycle FROM r",
 }

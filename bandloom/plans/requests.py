@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from bandloom.functions.quantiles import BINS, GRID, literal, merged_counts, pit, place, quantile, with_levels
 from bandloom.functions.tables import checkpointed, written
 from bandloom.operators.calibration import TOTAL_WINDOW
+from bandloom.operators.misfit import frame_shares
 from bandloom.operators.voices import linear, naive_calls
 
-READ = "struct<train_x:array<array<double>>,train_y:array<double>,test_x:array<array<double>>,actual:array<double>,salt:array<bigint>,history:array<double>,horizon:array<int>>"
+READ = "struct<train_x:array<array<double>>,train_y:array<double>,test_x:array<array<double>>,actual:array<double>,salt:array<bigint>,history:array<double>,horizon:array<int>,context:string,cache:boolean>"
 SCHEMA = f"caller string, request_id string, alphas array<double>, members int, voices array<string>, season int, window int, pit_history string, reads array<{READ}>"
 VOICES = ["linear", "seasonal_naive"]
 MOST_BYTES = 32_000_000
@@ -32,6 +33,39 @@ def parsed(lines: DataFrame) -> DataFrame:
     return checkpointed(lines.select(size.alias("n_bytes"), doc.alias("r")).select("n_bytes", "r.*"))
 
 
+def context_id(train_x: Column, train_y: Column, members: Column) -> Column:
+    """What a context is: its rows and how they are read."""
+    return F.substring(F.sha2(F.to_json(F.struct(train_x.alias("x"), train_y.alias("y"), F.coalesce(members, F.lit(1)).alias("members")), {"ignoreNullFields": "false"}), 256), 1, 32)
+
+
+def kept(checked: DataFrame) -> DataFrame:
+    """``caller, context, train_x, train_y``: what the sound requests ask to be kept (``cache``), each once.
+
+    Written to a table by the caller of this, it is the store that later requests name their contexts from.
+    """
+    reads = checked.where("refusal is null").select("caller", "members", F.explode("reads").alias("r")).where("r.cache and r.context is null")
+    named = reads.select("caller", context_id(F.col("r.train_x"), F.col("r.train_y"), F.col("members")).alias("context"), "r.train_x", "r.train_y")
+    return named.groupBy("caller", "context").agg(F.first("train_x").alias("train_x"), F.first("train_y").alias("train_y"))
+
+
+def with_contexts(requests: DataFrame, store: DataFrame) -> DataFrame:
+    """Requests whose reads have the rows of the contexts that they name, as far as their caller keeps them in ``store``.
+
+    What is not found, or comes with rows of its own, stays as it is: ``checked`` refuses it. Requests without such
+    reads are not shuffled.
+    """
+    names = F.exists("reads", lambda r: r["context"].isNotNull())
+    df = requests.withColumn("_at", F.monotonically_increasing_id())  # of rows that parsed() has checkpointed
+    reads = df.where(names).select("_at", "caller", F.posexplode("reads").alias("pos", "r"))
+    held = store.select(F.col("caller").alias("of"), F.col("context").alias("named"), F.col("train_x").alias("x"), F.col("train_y").alias("y"))
+    reads = reads.join(held, (F.col("caller") == F.col("of")) & (F.col("r.context") == F.col("named")), "left")
+    bare = F.col("named").isNotNull() & F.col("r.train_x").isNull() & F.col("r.train_y").isNull()
+    filled = F.when(bare, F.col("r").withField("train_x", F.col("x")).withField("train_y", F.col("y")).withField("context", F.lit(None).cast("string")).withField("cache", F.lit(False))).otherwise(F.col("r"))
+    found = reads.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("pos", filled.alias("r")))).alias("filled"))
+    df = df.join(found, "_at", "left").drop("_at")
+    return df.withColumn("reads", F.coalesce(F.col("filled.r"), F.col("reads"))).drop("filled")
+
+
 def histories(df: DataFrame) -> DataFrame:
     """Adds ``counts``, histories of PITs by voice; null where ``pit_history`` is absent or not as it has to be.
 
@@ -58,6 +92,9 @@ def checked(requests: DataFrame) -> DataFrame:
     ragged = lambda x: F.exists(x, lambda r: F.size(r) != F.size(F.get(x, F.lit(0))))
     any_read = lambda bad: F.exists("reads", bad)
     rows = lambda r: F.size(r["test_x"])
+    # Absent cells stand at the mean, so a column is constant if its known values are.
+    column = lambda x, j: F.filter(F.transform(x, lambda row: F.get(row, j)), lambda v: v.isNotNull())
+    varies = lambda x: F.exists(F.sequence(F.lit(0), F.size(F.get(x, F.lit(0))) - 1), lambda j: F.size(F.array_distinct(column(x, j))) > 1)
     cases = [
         (F.col("n_bytes") > MOST_BYTES, 413, "the request is too large"),
         (F.col("_bad").isNotNull(), 400, "not a JSON object of the expected fields"),
@@ -69,9 +106,12 @@ def checked(requests: DataFrame) -> DataFrame:
         (F.col("pit_history").isNotNull() & (F.col("counts").isNull() | (F.size(F.array_except(F.map_keys("counts"), F.concat("voices", F.array(F.lit("blend"))))) > 0)), 400, "pit_history must be a list of counts, with several voices an object of lists by voice"),
         (F.col("counts").isNotNull() & ~F.forall(F.map_values("counts"), is_history), 400, f"pit_history must be {BINS} counts that are not negative"),
         (F.col("reads").isNull() | (F.size("reads") == 0), 400, "reads are missing"),
+        (any_read(lambda r: r["context"].isNotNull() & (r["train_x"].isNotNull() | r["train_y"].isNotNull())), 400, "a context stands in place of train_x and train_y"),
+        (any_read(lambda r: r["context"].isNotNull()), 404, "context_unknown: it is not kept here for this caller; send the rows again"),
         (any_read(lambda r: r["train_x"].isNull() | r["train_y"].isNull() | r["test_x"].isNull() | (rows(r) < 1)), 400, "a read needs train_x, train_y and test_x"),
         (any_read(lambda r: ragged(r["train_x"]) | ragged(r["test_x"]) | (F.size(F.get(r["train_x"], F.lit(0))) != F.size(F.get(r["test_x"], F.lit(0))))), 400, "rows differ in length"),
         (any_read(lambda r: (F.size(r["train_x"]) < 2) | (F.size(r["train_x"]) != F.size(r["train_y"]))), 422, "a read needs two training rows and one train_y each"),
+        ((F.col("members") > 1) & any_read(lambda r: ~varies(r["train_x"])), 422, "every feature is constant over the training rows"),
         (any_read(lambda r: r["actual"].isNotNull() & (F.size(r["actual"]) != rows(r))), 400, "actual needs one value per test row"),
         (any_read(lambda r: r["salt"].isNotNull() & (F.size(r["salt"]) != rows(r))), 400, "salt needs one value per test row"),
         (any_read(lambda r: r["horizon"].isNotNull() & ((F.size(r["horizon"]) != rows(r)) | F.exists(r["horizon"], lambda h: h.isNull() | (h < 1) | (h > 120)))), 400, "horizon needs one whole number of 1 to 120 per test row"),
@@ -166,3 +206,60 @@ def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     as_asked = quantile(F.col("grid"), place(F.col("l.alphas")))
     read = quantile(F.col("grid"), place(F.col("l.alphas_at")))
     return df.select(*key, "voice", F.col("l.alphas").alias("level"), F.when(F.col("own").isNull(), as_asked).otherwise(read).alias("q"), F.when(F.col("own").isNotNull(), as_asked).alias("raw"), "pit")
+
+
+def encoded(answered: DataFrame) -> DataFrame:
+    """``caller, request_id, value``: the answers of a request as one JSON text, by read, row and voice; no number but finite ones."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)).alias(c)
+    call = F.struct("level", finite("q"), finite("raw"))
+    calls = answered.groupBy("caller", "request_id", "read", "row", "voice").agg(F.first(finite("pit")).alias("pit"), F.array_sort(F.collect_list(call)).alias("levels"))
+    lines = calls.groupBy("caller", "request_id").agg(F.array_sort(F.collect_list(F.struct("read", "row", "voice", "levels", "pit"))).alias("answers"))
+    return lines.select("caller", "request_id", F.to_json(F.struct("answers"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def sink(answered: DataFrame, path: str) -> None:
+    """Writes the answers as JSON lines."""
+    encoded(answered).select("value").write.text(path)
+
+
+FRAME = "caller string, request_id string, x array<array<double>>, columns boolean, folds int"
+
+
+def misfit_parsed(lines: DataFrame) -> DataFrame:
+    """Requests ``{x, columns, folds}`` from JSON lines, with ``refusal``: null, or the first rule broken."""
+    size = F.octet_length("value")
+    doc = F.from_json(F.when(size <= MOST_BYTES, F.col("value")), f"{FRAME}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    df = checkpointed(lines.select(size.alias("n_bytes"), doc.alias("r")).select("n_bytes", "r.*"))
+    df = df.withColumns({"columns": F.coalesce("columns", F.lit(False)), "folds": F.coalesce("folds", F.lit(1))})
+    width = F.size(F.get("x", F.lit(0)))
+    cases = [
+        (F.col("n_bytes") > MOST_BYTES, 413, "the request is too large"),
+        (F.col("_bad").isNotNull(), 400, "not a JSON object of the expected fields: columns is true or false"),
+        ((F.col("folds") < 1) | (F.col("folds") > 10), 400, "folds is a whole number from 1 to 10"),
+        (F.col("x").isNull() | (F.size("x") == 0) | F.exists("x", lambda r: r.isNull() | (F.size(r) != width)), 400, "x must be rows of one length"),
+        ((F.size("x") < 2) | (width < 2), 422, "misfit needs two rows and two columns"),
+        ((F.col("folds") > 1) & (F.size("x") < 2 * F.col("folds")), 422, "folds need two rows each"),
+    ]
+    return df.withColumn("refusal", _refused(cases))
+
+
+def misfit_cost(x: Column, folds: Column) -> Column:
+    """What a frame costs: its cells, once for each column, order and fold."""
+    width = F.size(F.get(x, F.lit(0))).cast("long")
+    return 2 * width * width * F.size(x) * folds
+
+
+def _frames(batches):
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            shares = frame_shares(np.array([[np.nan if v is None else v for v in row] for row in r.x], float), int(r.folds))
+            cells = [[None if np.isnan(v) else float(v) for v in row] for row in shares]
+            out += [(r.caller, r.request_id, i, float(np.nansum(s)), c if r.columns else None) for i, (s, c) in enumerate(zip(shares, cells, strict=True))]
+        yield pd.DataFrame(out, columns=["caller", "request_id", "row", "score", "shares"])
+
+
+def misfit_answers(requests: DataFrame) -> DataFrame:
+    """``caller, request_id, row, score, shares`` of the frames without refusal; ``shares`` by column where asked, else null."""
+    good = requests.where("refusal is null").select("caller", "request_id", "x", "columns", "folds")
+    return good.mapInPandas(_frames, "caller string, request_id string, row int, score double, shares array<double>")

@@ -7,9 +7,13 @@ that of the calendar. Absent periods are NULL, never NaN.
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.functions.draws import normal, uniform
+
 
 def month(when: str) -> Column:
     return (F.year(when) * 12 + F.month(when) - 1).cast("long")
@@ -87,8 +91,23 @@ def sparse_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(counts, ["series", "t"], "left").select("series", "t", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
+def synthetic(spark: SparkSession, series: int = 12, months: int = 60, seed: int = 0) -> DataFrame:
+    """A shared season, and a level and a trend of each series' own, from January 2019 on."""
+    df = spark.range(series * months).select(F.floor(F.col("id") / months).cast("long").alias("series"), (F.col("id") % months).cast("long").alias("k"))
+    own, k = [str(seed), F.col("series")], F.col("k")
+    level, trend = 50 + 4950 * uniform("level", *own), 0.004 * normal("trend", *own)
+    y = level * (1 + trend * k + 0.2 * F.sin(2 * pi * (k % 12) / 12) + 0.05 * normal("noise", *own, k))
+    return df.select("series", (2019 * 12 + k).alias("t"), y.alias("y"))
+
+
+def head(hist: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """A seeded sample of n series, or all if there are no more; only their ids are put in order."""
+    ids = hist.select("series", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("series").cast("string")).cast("binary")).alias("place"))
+    return hist.join(ids.orderBy("place", "series").limit(n).select("series"), "series", "left_semi")
+
+
 #: Name -> (facts, season).
-PANELS = {"supplier_qty": (supplier_qty, 12), "flag_qty": (flag_qty, 12), "nation_sales": (nation_sales, 12), "event_hours": (event_hours, 24), "sparse_user": (sparse_user, 7)}
+PANELS = {"supplier_qty": (supplier_qty, 12), "flag_qty": (flag_qty, 12), "nation_sales": (nation_sales, 12), "event_hours": (event_hours, 24), "sparse_user": (sparse_user, 7), "synthetic": (lambda spark, sf_dir: synthetic(spark), 12)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:
