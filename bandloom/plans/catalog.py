@@ -26,13 +26,14 @@ def _rows(spark: SparkSession, sf_dir: str, name: str, trim: bool = True) -> Dat
 
 
 def _context(spark, sf_dir, name, horizons, last, burn=0, step=1, ahead=1) -> backtest.Context:
-    hist, season = panels.load(spark, sf_dir, name)
+    hist, season = panels.kept(spark, sf_dir, name)
     return backtest.Context(hist, voices.origins(hist, last, burn, step, ahead), horizons, season, exact=False)
 
 
 def _long(bands: DataFrame, levels: list[float]) -> DataFrame:
     """A row per level: its number from 1, and the quantile."""
-    df = bands.select("series", "origin", "h", F.posexplode("q").alias("k", "q"))
+    # q is never empty; the outer form keeps the optimizer from testing that by computing it twice.
+    df = bands.select("series", "origin", "h", F.posexplode_outer("q").alias("k", "q"))
     return df.select("series", "origin", F.col("h").cast("int").alias("h"), (F.col("k") + 1).cast("int").alias("level"), _r("q"))
 
 
@@ -89,19 +90,19 @@ def _scored(df: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
 
 def walk_query(name: str):
     def run(s, d):
-        hist, season = panels.load(s, d, name)
+        hist, season = panels.kept(s, d, name)
         return _scored(backtest.walk(hist, ["seasonal_naive", "regression"], 6, 0, 1, season), ["voice"])
 
     return run
 
 
 def project_query(s, d):
-    hist, season = panels.load(s, d, "supplier_qty")
+    hist, season = panels.kept(s, d, "supplier_qty")
     return _scored(backtest.project(hist, ["seasonal_naive"], 12, 2, season), ["voice", "h"])
 
 
 def totals_query(s, d):
-    hist, season = panels.load(s, d, "supplier_qty")
+    hist, season = panels.kept(s, d, "supplier_qty")
     df = scores.score(backtest.totals(hist, "seasonal_naive", 12, 2, season))
     return df.select("voice", "n", *[_r(c, 5) for c in NUMBERS[:4]])
 
@@ -130,7 +131,7 @@ def voice_walk_query(names: list[str]):
     """Voices that SQL can't follow: Python fits, or draws among ties."""
 
     def run(s, d):
-        hist, season = panels.load(s, d, "supplier_qty")
+        hist, season = panels.kept(s, d, "supplier_qty")
         return _scored(backtest.walk(hist, names, 6, 6, 1, season), ["voice"], exact=True)
 
     return run
@@ -138,20 +139,20 @@ def voice_walk_query(names: list[str]):
 
 def tied_walk_query(s, d):
     """A panel of many zeros: values that tie with quantiles are placed among them by a draw."""
-    hist, season = panels.load(s, d, "sparse_user")
+    hist, season = panels.kept(s, d, "sparse_user")
     return _scored(backtest.walk(hist, ["seasonal_naive", "cal:seasonal_naive"], 6, 6, 1, season), ["voice"], exact=True)
 
 
 def cal_project_query(s, d):
     """Projections read through records that origins before the scored ones have fed."""
-    hist, season = panels.load(s, d, "supplier_qty")
+    hist, season = panels.kept(s, d, "supplier_qty")
     points = backtest.project(hist, ["seasonal_naive", "cal:seasonal_naive"], 12, 2, season, burn=6)
     return _scored(points.where(F.col("h").isin(backtest.scored_horizons(12))), ["voice", "h"], exact=True)
 
 
 def default_levels_query(s, d):
     """Where the records of totals and of single periods read the levels."""
-    hist, season = panels.load(s, d, "supplier_qty")
+    hist, season = panels.kept(s, d, "supplier_qty")
     records = backtest.default_records(hist, ["seasonal_naive"], 18, season, exact=False)
     read = with_levels(records, merged_counts(F.lit(None).cast("array<double>"), F.col("counts")), BANDS)
     return read.select("voice", "window", F.posexplode("levels").alias("k", "read_at")).select("voice", "window", (F.col("k") + 1).cast("int").alias("level"), _r("read_at"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.functions.draws import normal, uniform
+from bandloom.functions.tables import written
 
 
 def month(when: str) -> Column:
@@ -54,7 +55,8 @@ def trimmed(hist: DataFrame) -> DataFrame:
 
 def panel(hist: DataFrame, season: int = 12) -> DataFrame:
     """``series, i, t, moy, y``: one row per period, i from 0, moy the place in the season from 1."""
-    rows = hist.select("series", "start", F.posexplode("ys").alias("i", "y"))
+    # No history is empty; the outer form keeps the optimizer from testing that by making it twice.
+    rows = hist.select("series", "start", F.posexplode_outer("ys").alias("i", "y"))
     t = F.col("start") + F.col("i")
     return rows.select("series", "i", t.alias("t"), (F.pmod(t, F.lit(season)) + 1).cast("int").alias("moy"), "y")
 
@@ -116,3 +118,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:
         raise ValueError(f"unknown panel {name!r}; known: {', '.join(sorted(PANELS))}")
     facts, season = PANELS[name]
     return histories(facts(spark, sf_dir)), season
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:
+    """As load, written once: for backtests, which read the histories several times."""
+    hist, season = load(spark, sf_dir, name)
+    return written(hist, "panel"), season
