@@ -15,7 +15,7 @@ TOTAL_WINDOW = 12
 def pits(bands: DataFrame, rows: DataFrame, exact: bool = True) -> DataFrame:
     """``series, origin, h, pit`` of the calls whose period is known, always against the raw answer."""
     known = bands.withColumn("t", F.col("origin") + F.col("h") - 1).join(rows.where("y is not null").select("series", "t", "y"), ["series", "t"])
-    q, y = F.array_sort("q"), F.col("y")
+    q, y = F.sort_array("q"), F.col("y")
     return known.select("series", "origin", "h", (pit(q, y, salt_of("series", "origin")) if exact else pit_untied(q, y)).alias("pit"))
 
 
@@ -50,7 +50,7 @@ def calibrated(bands: DataFrame, rows: DataFrame, at: DataFrame, default: DataFr
     asked = bands.select("origin", "h").distinct().join(record, ["origin", "h"], "left")  # a row per origin and horizon
     asked = asked.crossJoin(F.broadcast(default.select(F.col("counts").alias("default")))) if default is not None else asked.withColumn("default", F.lit(None).cast("array<double>"))
     levels = with_levels(asked, merged_counts(F.col("counts"), F.col("default")), GRID).select("origin", "h", "levels")
-    df = bands.withColumn("q", F.array_sort("q")).join(F.broadcast(levels), ["origin", "h"])
+    df = bands.withColumn("q", F.sort_array("q")).join(F.broadcast(levels), ["origin", "h"])
     return df.select("series", "origin", "h", reread(F.col("q"), F.col("levels")).alias("q"))
 
 

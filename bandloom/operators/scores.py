@@ -15,7 +15,7 @@ def points(voices: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
     """The calls whose period is known and that every voice made, with y and the sorted quantiles."""
     out = None
     for name, bands in voices.items():
-        one = bands.select(F.lit(name).alias("voice"), "series", "origin", "h", F.array_sort("q").alias("q"), (F.col("origin") + F.col("h") - 1).alias("t"))
+        one = bands.select(F.lit(name).alias("voice"), "series", "origin", "h", F.sort_array("q").alias("q"), (F.col("origin") + F.col("h") - 1).alias("t"))
         out = one if out is None else out.unionByName(one)
     known = out.join(rows.where("y is not null").select("series", "t", "y"), ["series", "t"])
     made = F.count("*").over(W.partitionBy("series", "t", "origin", "h"))
@@ -26,29 +26,37 @@ def at(level: float):
     return F.get("q", F.lit(round(level * 100) - 1))
 
 
+def _placed(exact: bool):
+    return pit(F.col("q"), F.col("y"), salt_of("series", "origin")) if exact else pit_untied(F.col("q"), F.col("y"))
+
+
+def _distance(keys: list[str], counts: DataFrame) -> DataFrame:
+    """Rows ``(keys, p, c)`` with ``gap``: how far the share up to p, or before it, is from p."""
+    over = W.partitionBy(*keys)
+    counts = counts.withColumn("till", F.sum("c").over(over.orderBy("p"))).withColumn("all", F.sum("c").over(over))
+    return counts.withColumn("gap", F.greatest(F.col("till") / F.col("all") - F.col("p"), F.col("p") - (F.col("till") - F.col("c")) / F.col("all")))
+
+
 def uniformity(df: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
     """Kolmogorov-Smirnov distance of the PITs from uniform; equal PITs are counted before they are ranked.
 
     ``exact``: an actual value tied with quantiles is placed among them by a draw. Without, all ties lie above it.
     """
-    p = pit(F.col("q"), F.col("y"), salt_of("series", "origin")) if exact else pit_untied(F.col("q"), F.col("y"))
-    counts = df.select(*keys, p.alias("p")).groupBy(*keys, "p").agg(F.count("*").alias("c"))
-    over = W.partitionBy(*keys)
-    counts = counts.withColumn("till", F.sum("c").over(over.orderBy("p"))).withColumn("n", F.sum("c").over(over))
-    return counts.groupBy(*keys).agg(F.max(F.greatest(F.col("till") / F.col("n") - F.col("p"), F.col("p") - (F.col("till") - F.col("c")) / F.col("n"))).alias("pit_ks"))
+    counts = df.select(*keys, _placed(exact).alias("p")).groupBy(*keys, "p").agg(F.count("*").alias("c"))
+    return _distance(keys, counts).groupBy(*keys).agg(F.max("gap").alias("pit_ks"))
 
 
 def score(df: DataFrame, keys: list[str] | None = None, places: int | None = None, exact: bool = False) -> DataFrame:
     """``keys, n, wql, coverage80, coverage90, width80, pit_ks, wql_vs_naive``; rounded half to even if asked."""
     keys = keys or ["voice"]
     pinball = sum((F.greatest(F.lit(a) * (F.col("y") - at(a)), F.lit(a - 1) * (F.col("y") - at(a))) for a in BANDS), F.lit(0.0))
-    size = F.sum(F.abs("y"))
-    inside = lambda lo, hi: F.avg(((F.col("y") >= at(lo)) & (F.col("y") <= at(hi))).cast("double"))
-    out = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), (2 * F.sum(pinball) / (F.greatest(size, F.lit(1e-12)) * len(BANDS))).alias("wql"),
-        inside(0.10, 0.90).alias("coverage80"), inside(0.05, 0.95).alias("coverage90"), F.try_divide(F.sum(at(0.90) - at(0.10)), size).alias("width80"),
-    )
-    out = out.join(uniformity(df, keys, exact), keys)
+    inside = lambda lo, hi: ((F.col("y") >= at(lo)) & (F.col("y") <= at(hi))).cast("double")
+    told = {"lost": pinball, "size": F.abs("y"), "in80": inside(0.10, 0.90), "in90": inside(0.05, 0.95), "width": at(0.90) - at(0.10)}
+    # Summed by PIT first, so the points are read once and the ranks are taken among few rows.
+    sums = df.select(*keys, _placed(exact).alias("p"), *[c.alias(n) for n, c in told.items()]).groupBy(*keys, "p").agg(F.count("*").alias("c"), *[F.sum(n).alias(n) for n in told])
+    out = _distance(keys, sums).groupBy(*keys).agg(F.sum("c").alias("n"), F.max("gap").alias("pit_ks"), *[F.sum(n).alias(n) for n in told])
+    wql = 2 * F.col("lost") / (F.greatest("size", F.lit(1e-12)) * len(BANDS))
+    out = out.select(*keys, "n", wql.alias("wql"), (F.col("in80") / F.col("n")).alias("coverage80"), (F.col("in90") / F.col("n")).alias("coverage90"), F.try_divide("width", "size").alias("width80"), "pit_ks")
     if places is not None:
         out = out.select(*keys, "n", *[F.bround(c, places - p).alias(c) for c, p in (("wql", 0), ("coverage80", 1), ("coverage90", 1), ("width80", 0), ("pit_ks", 1))])
     others = [k for k in keys if k != "voice"]

@@ -50,7 +50,7 @@ def naive_calls(df: DataFrame, levels: list[float]) -> DataFrame:
     df = df.where("n > lag + 5 and n <= size(ys)").withColumn("anchor", F.get("ys", F.col("n") + F.col("h") - 1 - F.col("lag")))
     later, earlier = F.slice("ys", F.col("lag") + 1, F.col("n") - F.col("lag")), F.slice("ys", F.lit(1), F.col("n") - F.col("lag"))
     moves = F.filter(F.zip_with(later, earlier, lambda a, b: a - b), lambda d: d.isNotNull())
-    df = df.withColumn("moves", F.array_sort(moves)).where("anchor is not null and size(moves) > 0")
+    df = df.where(F.col("anchor").isNotNull() & (F.size(moves) > 0)).withColumn("moves", F.sort_array(moves))
     q = F.transform(literal(levels), lambda a: F.col("anchor") + quantile(F.col("moves"), a))
     return df.select("series", "origin", "h", q.alias("q"))
 
@@ -199,8 +199,8 @@ def _pooled_calls(train: DataFrame, feats: DataFrame, h: int, levels: list[float
 
 def blend(voices: list[DataFrame]) -> DataFrame:
     """Mean of the sorted quantiles, level by level, where every voice calls."""
-    out = voices[0].select("series", "origin", "h", F.array_sort("q").alias("q"))
+    out = voices[0].select("series", "origin", "h", F.sort_array("q").alias("q"))
     for v in voices[1:]:
-        out = out.join(v.select("series", "origin", "h", F.array_sort("q").alias("other")), ["series", "origin", "h"])
+        out = out.join(v.select("series", "origin", "h", F.sort_array("q").alias("other")), ["series", "origin", "h"])
         out = out.select("series", "origin", "h", F.zip_with("q", "other", lambda a, b: a + b).alias("q"))
     return out.withColumn("q", F.transform("q", lambda a: a / F.lit(float(len(voices)))))

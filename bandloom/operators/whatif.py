@@ -81,7 +81,7 @@ def outcomes(world: DataFrame, cut: int, factors: list[float] = FACTORS, draws:
     moved = world.where(F.col("t") >= cut).select("*", F.explode(F.array(*[F.lit(float(x)) for x in factors])).alias("factor"))
     moved = moved.withColumn("pulled", F.col("price") * F.col("factor"))
     runs = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.col("pulled") * volume(F.col("pulled"), noise * normal("pulled", *names, k), elasticity))
-    df = moved.withColumn("runs", runs).withColumn("sorted", F.array_sort("runs"))
+    df = moved.withColumn("runs", runs).withColumn("sorted", F.sort_array("runs"))
     median = (F.get("sorted", F.lit((draws - 1) // 2)) + F.get("sorted", F.lit(draws // 2))) / 2
     return df.select("world", "member", "t", "factor", F.col("pulled").alias("price"), F.get("runs", F.lit(0)).alias("actual"), median.alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
 

@@ -195,7 +195,7 @@ def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     told = reads.select("caller", "request_id", "read", "alphas", "voices", "window", "counts", F.posexplode("test_x").alias("row", "_x"), "actual", "salt").select(
         *key, "alphas", "voices", "window", "counts", F.get("actual", "row").alias("y"), F.coalesce(F.get("salt", "row"), F.col("row").cast("long")).alias("salt")
     )
-    spoke = tables.withColumn("voice", F.lit("linear")).unionByName(naive).join(told, key).withColumn("grid", F.array_sort("grid"))
+    spoke = tables.withColumn("voice", F.lit("linear")).unionByName(naive).join(told, key).withColumn("grid", F.sort_array("grid"))
     spoke = _through_records(spoke, defaults)
     spoke = written(spoke.withColumn("as_read", F.transform("read_at", lambda a: quantile(F.col("grid"), place(a)))), "spoke")
     blend = _blended(spoke, key, "as_read").withColumnRenamed("as_read", "grid").withColumn("voice", F.lit("blend")).join(told, key)

@@ -17,4 +17,4 @@ def landed(calls: DataFrame, actuals: DataFrame, wait: str = "40 days") -> DataF
     left = calls.withWatermark("due", wait).select(F.col("series").alias("s"), F.col("due").alias("d"), "q")
     right = actuals.withWatermark("due", wait)
     joined = left.join(right, (F.col("s") == F.col("series")) & (F.col("d") == F.col("due")))
-    return joined.select("series", "due", pit_untied(F.array_sort("q"), F.col("y")).alias("pit"))
+    return joined.select("series", "due", pit_untied(F.sort_array("q"), F.col("y")).alias("pit"))
