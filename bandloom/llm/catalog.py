@@ -17,4 +17,10 @@ QUERIES = {
     "op10_bitplanes": op10_bitplanes.query,
     "op4_whole_lines": op4_templates.whole_query,
 }
-ORACLES: dict[str, str] = {"op4_templates": op4_templates.ORACLE, "op4_whole_lines": op4_templates.WHOLE_ORACLE, "op7_mixing": op7_mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_templates": op4_templates.ORACLE,
+    "op4_whole_lines": op4_templates.WHOLE_ORACLE,
+    "op7_mixing": op7_mixing.ORACLE,
+    "op8_positional": op8_positional.ORACLE,
+    "op9_minhash": op9_minhash.ORACLE,
+}

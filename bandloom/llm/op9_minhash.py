@@ -231,3 +231,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: All pairs that share a shingle are counted, so this is for small tables.
+ORACLE = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+starts AS (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS x FROM starts),
+sizes AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+both_have AS (SELECT a.rid AS u, b.rid AS v, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.rid <> b.rid GROUP BY ALL),
+linked AS MATERIALIZED (SELECT u, v FROM both_have JOIN sizes a ON a.rid = u JOIN sizes b ON b.rid = v WHERE 100 * m >= 75 * (a.n + b.n - m)),
+reached(rid, node) AS (SELECT rid, rid FROM d UNION SELECT reached.rid, v FROM reached JOIN linked ON u = node),
+least AS (SELECT reached.rid, min(doc_id) AS component_id FROM reached JOIN d ON d.rid = node GROUP BY reached.rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least USING (rid) LEFT JOIN sizes USING (rid)
+"""

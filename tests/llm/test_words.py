@@ -47,6 +47,10 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == near(rows)
 
 
+def test_near_duplicates_equal_sql(spark):
+    assert same(op9_minhash.query(spark, SMALL), SMALL, op9_minhash.ORACLE) == ""
+
+
 def test_near_duplicates_of_one_large_group_and_a_common_passage(spark):
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
@@ -115,6 +119,10 @@ def leaks(docs, items):
     return out
 
 
+def test_contamination_equals_sql(spark):
+    assert same(op8_positional.query(spark, SMALL), SMALL, op8_positional.ORACLE) == ""
+
+
 @pytest.mark.parametrize("words,block", [(1_000_000, 32_000_000), (3_000, 4_000)])
 def test_contamination_equals_brute_force(spark, monkeypatch, words, block):
     monkeypatch.setattr(op8_positional, "SEGMENT_WORDS", words)
