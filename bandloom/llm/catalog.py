@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_templates": op4_templates.ORACLE,
     "op4_whole_lines": op4_templates.WHOLE_ORACLE,
+    "op6_randomness": op6_randomness.ORACLE,
     "op7_mixing": op7_mixing.ORACLE,
     "op8_positional": op8_positional.ORACLE,
     "op9_minhash": op9_minhash.ORACLE,

@@ -146,3 +146,56 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda s: s["kind"] < 3)
     number = [F.size(F.filter(base, is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return df.select("doc_id", *number, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("found")).alias("spans"), "n_confirmed")
+
+
+def _oracle() -> str:
+    """The whole query, battery and thresholds included, from rows of characters instead of arrays."""
+    fold = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    assign = "((?:" + "|".join(map(fold, ("password", "passwd", "secret", "token", "api_?key"))) + "))" + r"""[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = (assign, ACCESS, "[0-9a-f]{16,}", "[A-Za-z0-9+/_=-]{20,}")
+    found = " UNION ALL ".join(f"SELECT row, {k} AS kind, regexp_extract_all(text, '{p}') AS f, string_split_regex(text, '{p}') AS g FROM d" for k, p in enumerate(patterns))
+    cases = lambda n: "lower AND upper" if n.startswith("base64") else "lower" if n.endswith("lower") else "upper"
+    letters = " ".join(f"WHEN {cases(n)} AND digit AND translate(raw, '{a}', '') = '' THEN '{a}'" for n, a in ALPHABETS)
+    band = " ".join(f"WHEN n >= {b} THEN {b}" for b in reversed(BANDS))
+    tail = lambda z: f"1 / (1 + exp(least(700.0, ({z}) * 1.5976 + pow({z}, 3) * 0.070566)))"
+    told = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    number = ", ".join(f"coalesce(n_{name}, 0)::BIGINT AS n_{name}" for name in KINDS[:3])
+    count = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(KINDS[:3]))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({found}),
+u AS (SELECT row, kind, unnest(f) AS found, unnest(g[1:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM m),
+s AS (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY row, kind ORDER BY i) AS stop FROM u),
+t AS (SELECT row, kind, stop - length(found) AS start, stop, CASE WHEN kind = 0 THEN regexp_extract(found, '{assign}', 2) ELSE found END AS token FROM s),
+base AS MATERIALIZED (SELECT * FROM t WHERE kind = 2 OR kind = 0 AND length(token) >= 12 OR kind = 1 AND length(token) >= 18),
+free AS (SELECT * FROM t WHERE kind = 3 AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = t.row AND b.start < t.stop AND b.stop > t.start)),
+spans AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM free),
+raws AS (SELECT DISTINCT token, regexp_replace(token, '=+$', '') AS raw FROM spans),
+marks AS (SELECT *, regexp_matches(raw, '[a-z]') AS lower, regexp_matches(raw, '[A-Z]') AS upper, regexp_matches(raw, '[0-9]') AS digit FROM raws),
+known AS MATERIALIZED (SELECT * FROM (SELECT token, raw, length(raw)::DOUBLE AS n, CASE {letters} END AS letters FROM marks) WHERE letters IS NOT NULL AND n >= {BANDS[0]}),
+chars AS (SELECT token, n, length(letters)::DOUBLE AS k, letters, unnest(string_split(raw, '')) AS c, unnest(range(1, n::BIGINT + 1)) AS i FROM known),
+x AS (SELECT token, n, k, i, instr(letters, c)::DOUBLE AS x FROM chars),
+v AS MATERIALIZED (SELECT *, lag(x) OVER (PARTITION BY token ORDER BY i) AS y, avg(x) OVER (PARTITION BY token) AS mean FROM x),
+uses AS (SELECT token, sum(m * m)::DOUBLE AS squares FROM (SELECT token, x, count(*) AS m FROM v GROUP BY ALL) GROUP BY token),
+sums AS (SELECT token, any_value(n) AS n, any_value(k) AS k, sum((x > k / 2)::INT)::DOUBLE AS high, count(*) FILTER (y IS NOT NULL AND (x > k / 2) <> (y > k / 2)) + 1.0 AS runs,
+  sum((x - mean) * (x - mean)) AS var, coalesce(sum((x - mean) * (y - mean)), 0) AS cov FROM v GROUP BY token),
+z AS (SELECT token, n, runs, high, 2 * high * (n - high) / n + 1 AS expect, cov / greatest(var, 1e-9) AS serial,
+  (pow(greatest(squares * k / n - n, 1e-9) / (k - 1), 1 / 3.0::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS zu FROM sums JOIN uses USING (token)),
+zz AS (SELECT token, n, zu, abs((runs - expect) / sqrt(greatest((expect - 1) * (expect - 2) / (n - 1), 1e-9))) AS zr, abs((serial * n + 1) / sqrt(n)) AS zs FROM z),
+tests AS MATERIALIZED (SELECT token, CASE {band} END AS band, least(1.0, 3 * least({tail("zu")}, 2 * {tail("zr")}, 2 * {tail("zs")})) AS p FROM zz),
+binned AS (SELECT unnest([band, {ALL}]) AS band, least({BINS - 1}, floor(p * {BINS}))::INT AS bin FROM tests),
+bins AS (SELECT band, bin, count(*) AS m FROM binned GROUP BY ALL),
+halves AS (SELECT band, sum(m) AS total, coalesce(sum(m) FILTER (bin >= {BINS // 2}), 0) AS half FROM bins GROUP BY band),
+shares AS (SELECT band, bin, total, half, 1 - 2 * half * (1 - bin / {float(BINS)}::DOUBLE) / sum(m) OVER (PARTITION BY band ORDER BY bin DESC) AS wrong FROM bins JOIN halves USING (band)),
+floors AS (SELECT band, any_value(total) AS total, coalesce(min(bin) FILTER (wrong <= {FALSE_SHARE} AND half > 0), {BINS}) / {float(BINS)}::DOUBLE AS floor FROM shares GROUP BY band),
+level AS (SELECT band, CASE WHEN total < {FEW} THEN (SELECT floor FROM floors WHERE band = {ALL}) ELSE floor END AS floor FROM floors WHERE band <> {ALL}),
+passed AS (SELECT token FROM tests JOIN level USING (band) WHERE p > floor AND p >= {LEAST}),
+kept AS (SELECT *, {list(KINDS)}[kind + 1] AS name, token IN (SELECT token FROM passed) AS ok FROM spans),
+told AS (SELECT row, {count}, {told} FILTER (kind < 3) AS base, {told} FILTER (kind < 3 OR ok) AS spans, count(*) FILTER (kind < 3 AND ok) AS confirmed FROM kept GROUP BY row)
+SELECT doc_id, {number}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(confirmed, 0)::BIGINT AS n_confirmed
+FROM d LEFT JOIN told USING (row)
+"""
+
+
+ORACLE = _oracle()

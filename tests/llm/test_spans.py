@@ -4,9 +4,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from bandloom.llm import op1_weak_pii, op2_language, op6_randomness
 from tests.llm.cases import documents
+from tests.oracle import same
 
 SMALL = "/root/testdata/sf0.001"
 TRICKY = [
@@ -118,6 +121,19 @@ def test_secrets(spark, tmp_path):
     assert op6_randomness.find_secrets(documents(spark, [])).count() == 0
 
 
+def test_secrets_equal_sql(spark, tmp_path):
+    assert same(op6_randomness.query(spark, SMALL), SMALL, op6_randomness.ORACLE) == ""
+    rng, rows = np.random.default_rng(21), [(d, t) for d, t, _, _ in rows_of(spark)]
+    for name, letters in op6_randomness.ALPHABETS:
+        for n in (22, 30, 48, 70, 150):
+            made = ["".join(rng.choice(list(letters), n)) for _ in range(30)] + [(name + "1A0b") * (n // 4)] * 3
+            rows += [(len(rows) + 1000 + i, f"see {t} or password: {t}" if i % 7 == 0 else f"see {t}== here") for i, t in enumerate(made)]
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}), f"{tmp_path}/documents.parquet")
+    got = op6_randomness.query(spark, str(tmp_path))
+    assert got.where("spans like '%random%'").count() > 300 and got.where("n_confirmed > 0").count() > 30
+    assert same(got, str(tmp_path), op6_randomness.ORACLE) == ""
+
+
 def test_battery_tells_random_from_structured(spark):
     rng = np.random.default_rng(2)
     letters = list(op6_randomness.ALPHABETS[2][1])
