@@ -505,6 +505,9 @@ ORACLES = {
     **{f"panel_{n}": _panel_oracle(n) for n in _FACTS},
     "panel_sparse_user": _SPARSE,
     "request_naive": _REQUESTED,
+    "request_validation": f"""WITH {_panel('supplier_qty')}, n AS (SELECT series, count(y) AS known, count(*) AS n FROM tr GROUP BY series)
+SELECT series::VARCHAR AS request_id, CASE WHEN known < 3 THEN 422 END::INT AS status,
+  CASE WHEN known < 3 THEN 'a read needs two training rows and one train_y each' END AS reason, (2 * known + n)::BIGINT AS n_cells FROM n WHERE known > 1""",
     "trim_nation_sales": f"WITH {_panel('nation_sales')} SELECT series, i, t, round(y, 4) AS y FROM tr",
     **{f"recipe_h{h}": _recipe(h) for h in (1, 3, 6, 12, 13)},
     **{f"seasonal_recipe_h{h}": _recipe(h, True) for h in (6, 13)},
