@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_weak_pii, op2_language, op3_forest, op4_templates, op5_suffixes, op6_randomness, op7_mixing, op8_positional, op9_minhash, op10_bitplanes
+from . import op1_weak_pii, op2_language, op3_forest, op4_templates, op5_suffixes, op6_randomness, op7_mixing, op8_positional, op9_minhash, op10_bitplanes, op12_windows
 
 QUERIES = {
     "op1_weak_pii": op1_weak_pii.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_positional": op8_positional.query,
     "op9_minhash": op9_minhash.query,
     "op10_bitplanes": op10_bitplanes.query,
+    "op12_windows": op12_windows.query,
     "op4_whole_lines": op4_templates.whole_query,
 }
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": op7_mixing.ORACLE,
     "op8_positional": op8_positional.ORACLE,
     "op9_minhash": op9_minhash.ORACLE,
+    "op12_windows": op12_windows.ORACLE,
 }
