@@ -4,7 +4,7 @@
   to groups, whose number grows with the text, so a group is bounded and its number tells windows apart as well:
   two windows count as one if 64 bits of the first hash and their group agree. With groups of GROUP_BYTES of text
   that is one false pair expected in some hundred TB.
-* A row of the exchange holds what a chunk of texts has for a group: hashes, and the places by their differences.
+* A row of the exchange holds what a chunk of texts has for a group: hashes, and documents and places by their differences.
   Windows of a chunk that an earlier document of the same chunk has are settled there: of a passage that all
   documents have, one occurrence a chunk goes out.
 * In its group each window is counted and its least doc_id found. Windows of later documents go back to the
@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
 GROUP_BYTES = 8_000_000
 #: Windows of a chunk.
 CHUNK = 2_000_000
+#: Tasks that groups are dealt to, at most.
+TASKS = 20_000
 #: Bytes of intervals that may be broadcast to their texts; more are joined by a shuffle.
 HELD_BYTES = 16_000_000
 
@@ -52,15 +56,15 @@ class Rolling:
         return mix((sums[self.n :] - sums[: -self.n]) * self.up[self.n - 1 : len(words)])
 
 
-def _packed(places: np.ndarray) -> bytes:
-    """Places as differences (modulo 2 ** 32, so they may fall), byte plane by byte plane."""
-    steps = np.diff(places.astype(np.uint32), prepend=np.uint32(0))
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as differences (modulo the width of their type, so they may fall), byte plane by byte plane."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -74,27 +78,42 @@ def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return order[ids > least[np.cumsum(new) - 1]]
 
 
-#: What a chunk has for a group (``hashes``), or has settled itself for a bucket of documents (``bucket``).
-DEALT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("hashes", pa.binary())])
-LATER = pa.schema([DEALT.field(name) for name in ("bucket", "ids", "tags", "counts", "places")])
+#: A row of a chunk: the numbers of some of its documents, their ids, and how many places each has; and
+#: of a group the windows' hashes. Rows for a bucket of documents have places that the chunk has settled, or the tags of all its documents there.
+DEALT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary()), ("tags", pa.binary())])
+LATER = pa.schema([DEALT.field(name) for name in ("bucket", "chunk", "docs", "ids", "counts", "places", "tags")])
 SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
 
 
-def _rows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, tags: np.ndarray, hashes: np.ndarray | None = None) -> Iterator[tuple]:
-    """By key: ``(key, ids, tags, counts, places, hashes)`` of its places, which ascend by document."""
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary'}).get(f.type, 'array<int>')}" for f in schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values start and end."""
+    ends = [*np.flatnonzero(np.diff(values)) + 1, len(values)] if len(values) else []
+    return [*zip([0, *ends], ends)]  # one start more than ends
+
+
+def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``key`` with where it stands, in order."""
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    ends = [*np.flatnonzero(np.diff(key)) + 1, len(key)] if len(key) else []
-    start = 0
-    for end in ends:
-        at = order[start:end]
-        docs, counts = np.unique(doc[at], return_counts=True)
-        yield int(key[start]), ids[docs], tags[docs], counts.astype(np.int32), _packed(place[at]), None if hashes is None else hashes[at].tobytes()
-        start = end
+    for start, end in _runs(key[order]):
+        yield int(key[order[start]]), order[start:end]
+
 
+def _places(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, bytes, bytes, bytes]:
+    """Documents (which ascend), and packed: they, their numbers of places, and the places."""
+    docs, counts = np.unique(doc, return_counts=True)
+    return docs, _packed(docs.astype(np.uint32)), _packed(counts.astype(np.uint32)), _packed(place.astype(np.uint32))
 
-def _bucket(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64) ^ mix(tags.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+
+def _bucket(chunk: np.ndarray, docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(chunk.astype(np.int64).view(np.uint64) ^ mix(docs.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
 
 def _dealt(groups: int, n: int):
@@ -104,20 +123,26 @@ def _dealt(groups: int, n: int):
         many = 0
 
         def chunk() -> pa.RecordBatch:
-            ids, tags = (np.array([key[i] for key in held], np.int64) for i in (0, 1))
-            order = np.argsort(ids, kind="stable")
-            ids, tags, found = ids[order], tags[order], [*held.values()]
-            found = [found[i] for i in order]
-            sizes = [len(h) for h, _ in found]
+            keys = sorted(held)
+            ids, tags = (np.array([key[i] for key in keys], np.int64) for i in (0, 1))
+            name = xxhash.xxh3_64_intdigest(ids.tobytes() + tags.tobytes()) - (1 << 63)
+            sizes = [len(held[key][0]) for key in keys]
+            hashes, part = (np.concatenate([held[key][i] for key in keys]) for i in (0, 1))
+            held.clear()
             doc, place = np.repeat(np.arange(len(ids)), sizes), np.concatenate([np.arange(s, dtype=np.uint32) for s in sizes])
-            hashes, part = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            buckets, out = _bucket(np.full(len(ids), name), np.arange(len(ids)), groups), []
+            for k, docs in _by(buckets):
+                out.append((k % groups, k, name, _packed(docs.astype(np.uint32)), _packed(ids[docs].view(np.uint64)), None, None, None, tags[docs].tobytes()))
             settled = np.sort(_later(hashes, ids[doc]))
-            out = [(k % groups, k, *rest) for k, *rest in _rows(_bucket(ids, tags, groups)[doc[settled]], doc[settled], place[settled], ids, tags)]
-            sent = np.ones(len(hashes), bool)
-            sent[settled] = False
-            out += [(k, None, *rest) for k, *rest in _rows(part[sent], doc[sent], place[sent], ids, tags, hashes[sent])]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), DEALT, strict=True)], schema=DEALT)
+            for k, at in _by(buckets[doc[settled]]):
+                _, docs, counts, places = _places(doc[settled[at]], place[settled[at]])
+                out.append((k % groups, k, name, docs, None, counts, places, None, None))
+            part[settled] = groups
+            for k, at in _by(part):
+                if k < groups:
+                    some, docs, counts, places = _places(doc[at], place[at])
+                    out.append((k, None, name, docs, _packed(ids[some].view(np.uint64)), counts, places, hashes[at].tobytes(), None))
+            return _batch(out, DEALT)
 
         for b in batches:
             for doc_id, text, tag in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -135,47 +160,55 @@ def _dealt(groups: int, n: int):
     return run
 
 
-def _gathered(batches, hashed: bool) -> tuple[list[tuple], list[np.ndarray]]:
-    """The rows without hashes as they are; of the others, or of all if none is ``hashed``: ids, tags, places, hashes."""
-    passed, held = [], []
-    for b in batches:
-        for row in b.to_pylist():
-            if hashed and row["hashes"] is None:
-                passed.append(tuple(row[name] for name in LATER.names))
-            else:
-                held.append([np.repeat(np.array(row[name], np.int64), row["counts"]) for name in ("ids", "tags")] + [_unpacked(row["places"]), np.frombuffer(row["hashes"], np.uint64) if hashed else np.empty(0, np.uint64)])
-    return passed, [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.empty(0, t) for t in (np.int64, np.int64, np.uint32, np.uint64)]
+def _joined(parts: list[list[np.ndarray]], kinds: tuple[type, ...]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, kind) for kind in kinds]
 
 
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed, (ids, tags, place, hashes) = _gathered(batches, True)
+        held = []
+        for b in batches:
+            known = b.column(b.schema.get_field_index("hashes")).is_valid()
+            yield _batch([tuple(row[name] for name in LATER.names) for row in b.filter(pa.compute.invert(known)).to_pylist()], LATER)
+            for row in b.filter(known).to_pylist():
+                counts = _unpacked(row["counts"], np.uint32)
+                docs, ids = (np.repeat(_unpacked(row[name], kind), counts) for name, kind in (("docs", np.uint32), ("ids", np.uint64)))
+                held.append([np.full(len(docs), row["chunk"]), docs, ids.view(np.int64), _unpacked(row["places"], np.uint32), np.frombuffer(row["hashes"], np.uint64)])
+        chunk, doc, ids, place, hashes = _joined(held, (np.int64, np.uint32, np.int64, np.uint32, np.uint64))
         at = _later(hashes, ids)
-        at = at[np.lexsort((place[at], tags[at], ids[at]))]
-        ids, tags, place = ids[at], tags[at], place[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
-        first = np.flatnonzero(new)
-        out = [row[:-1] for row in _rows(_bucket(ids, tags, buckets), np.cumsum(new) - 1, place, ids[first], tags[first])]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*passed, *out, strict=True) if passed or out else [[]] * 5, LATER, strict=True)], schema=LATER)
+        at = at[np.lexsort((place[at], doc[at], chunk[at]))]
+        chunk, doc, place, out = chunk[at], doc[at], place[at], []
+        for k, some in _by(_bucket(chunk, doc, buckets)):
+            for start, end in _runs(chunk[some]):
+                mine = some[start:end]
+                _, docs, counts, places = _places(doc[mine], place[mine])
+                out.append((k, int(chunk[mine[0]]), docs, None, counts, places, None))
+        yield _batch(out, LATER)
 
     return run
 
 
 def _merged(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, (ids, tags, place, _) = _gathered(batches, False)
-        order = np.lexsort((place, tags, ids))
-        ids, tags, place = ids[order], tags[order], place[order].astype(np.int64)
-        new = np.ones(len(order), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
-        opens = new.copy()
-        opens[1:] |= np.diff(place) > n
-        first, docs = np.flatnonzero(opens), np.flatnonzero(new)
-        starts, stops = place[first], place[np.append(first[1:], len(place)) - 1] + n
-        ends = np.append(np.searchsorted(first, docs), len(first)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (starts, stops)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(tags[docs]), *lists], schema=SPANS)
+        held, named, out = [], {}, {}
+        for b in batches:
+            for row in b.to_pylist():
+                docs = _unpacked(row["docs"], np.uint32)
+                if row["tags"] is not None:
+                    names = zip(_unpacked(row["ids"], np.uint64).view(np.int64).tolist(), np.frombuffer(row["tags"], np.int64).tolist(), strict=True)
+                    named |= zip([(row["chunk"], d) for d in docs.tolist()], names, strict=True)
+                else:
+                    counts = _unpacked(row["counts"], np.uint32)
+                    held.append([np.full(counts.sum(), row["chunk"]), np.repeat(docs, counts), _unpacked(row["places"], np.uint32)])
+        chunk, doc, place = _joined(held, (np.int64, np.uint32, np.uint32))
+        order = np.lexsort((place, doc, chunk))
+        chunk, doc, place = chunk[order], doc[order], place[order].astype(np.int64)
+        for i, j in _runs(chunk):
+            for k, m in _runs(doc[i:j]):
+                own = place[i + k : i + m]
+                last = np.append(np.flatnonzero(np.diff(own) > n), len(own) - 1)
+                out[named[int(chunk[i]), int(doc[i + k])]] = own[np.append(0, last[:-1] + 1)], own[last] + n
+        yield _batch([(*key, *spans) for key, spans in out.items()], SPANS)
 
     return run
 
@@ -196,11 +229,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = _documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
-    dealt = docs.mapInArrow(_dealt(groups, window), "part int, bucket int, ids array<long>, tags array<long>, counts array<int>, places binary, hashes binary")
-    later = dealt.groupBy("part").applyInArrow(_counted(groups), "bucket int, ids array<long>, tags array<long>, counts array<int>, places binary")
-    spans = later.groupBy("bucket").applyInArrow(_merged(window), "doc_id long, tag long, starts array<int>, stops array<int>")
-    return materialize(spans, "spans")
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+    dealt = docs.mapInArrow(_dealt(groups, window), _sql(DEALT)).withColumn("task", F.col("part") % min(groups, TASKS))
+    # A task of its own for each group, as far as there may be as many.
+    later = dealt.repartitionById(min(groups, TASKS), "task").groupBy("task", "part").applyInArrow(_counted(groups), _sql(LATER))
+    spans = later.groupBy("bucket").applyInArrow(_merged(window), _sql(SPANS))
+    # Rows that repeat a doc_id with its text are in several chunks.
+    return materialize(spans.dropDuplicates(["doc_id", "tag"]), "spans")
 
 
 def _kept(batches):

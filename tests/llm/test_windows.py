@@ -75,4 +75,4 @@ def test_rolling_hashes_tell_windows_apart(letters, n):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_places_are_read_back(places):
-    assert op12_windows._unpacked(op12_windows._packed(np.array(places, np.uint32))).tolist() == places
+    assert op12_windows._unpacked(op12_windows._packed(np.array(places, np.uint32)), np.uint32).tolist() == places
