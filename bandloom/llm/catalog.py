@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_weak_pii, op2_language, op3_forest, op4_templates, op5_suffixes, op6_randomness, op7_mixing, op8_positional, op9_minhash, op10_bitplanes, op12_windows
+from . import op1_weak_pii, op2_language, op3_forest, op4_templates, op5_suffixes, op6_randomness, op7_mixing, op8_positional, op9_minhash, op10_bitplanes, op11_codes, op12_windows, op13_divergence
 
 QUERIES = {
     "op1_weak_pii": op1_weak_pii.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_positional": op8_positional.query,
     "op9_minhash": op9_minhash.query,
     "op10_bitplanes": op10_bitplanes.query,
+    "op11_codes": op11_codes.query,
     "op12_windows": op12_windows.query,
+    "op13_divergence": op13_divergence.query,
     "op4_whole_lines": op4_templates.whole_query,
 }
 ORACLES: dict[str, str] = {
@@ -25,5 +27,7 @@ ORACLES: dict[str, str] = {
     "op7_mixing": op7_mixing.ORACLE,
     "op8_positional": op8_positional.ORACLE,
     "op9_minhash": op9_minhash.ORACLE,
+    "op11_codes": op11_codes.ORACLE,
     "op12_windows": op12_windows.ORACLE,
+    "op13_divergence": op13_divergence.ORACLE,
 }
