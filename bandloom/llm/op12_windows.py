@@ -7,8 +7,8 @@
 * A row of the exchange holds what a chunk of texts has for a group: hashes, and documents and places by their differences.
   Windows of a chunk that an earlier document of the same chunk has are settled there: of a passage that all
   documents have, one occurrence a chunk goes out.
-* In its group each window is counted and its least doc_id found. Windows of later documents go back to the
-  documents, packed by buckets of documents, and merge into maximal intervals.
+* In its group each window is counted and its least doc_id found. Windows of later documents go back to their
+  chunk, and merge into maximal intervals of each document.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .shared import WordHashes, bounded_bytes, materialize, mix
 
 WINDOW = 50
 BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
-#: Bytes of text whose windows make a group on average, and those of a bucket of documents.
+#: Bytes of text whose windows make a group on average.
 GROUP_BYTES = 8_000_000
 #: Windows of a chunk.
 CHUNK = 2_000_000
@@ -79,9 +79,9 @@ def _later(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 #: A row of a chunk: the numbers of some of its documents, their ids, and how many places each has; and
-#: of a group the windows' hashes. Rows for a bucket of documents have places that the chunk has settled, or the tags of all its documents there.
-DEALT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary()), ("tags", pa.binary())])
-LATER = pa.schema([DEALT.field(name) for name in ("bucket", "chunk", "docs", "ids", "counts", "places", "tags")])
+#: of a group the windows' hashes. Rows without hashes are for the chunk itself: what it has settled, and the tags of its documents.
+DEALT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary()), ("tags", pa.binary())])
+LATER = pa.schema([DEALT.field(name) for name in ("chunk", "docs", "ids", "counts", "places", "tags")])
 SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
 
 
@@ -112,10 +112,6 @@ def _places(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, bytes, byte
     return docs, _packed(docs.astype(np.uint32)), _packed(counts.astype(np.uint32)), _packed(place.astype(np.uint32))
 
 
-def _bucket(chunk: np.ndarray, docs: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(chunk.astype(np.int64).view(np.uint64) ^ mix(docs.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-
-
 def _dealt(groups: int, n: int):
     def run(batches):
         table, rolling, other = WordHashes(), Rolling(BASES[0], n), Rolling(BASES[1], n)
@@ -130,18 +126,15 @@ def _dealt(groups: int, n: int):
             hashes, part = (np.concatenate([held[key][i] for key in keys]) for i in (0, 1))
             held.clear()
             doc, place = np.repeat(np.arange(len(ids)), sizes), np.concatenate([np.arange(s, dtype=np.uint32) for s in sizes])
-            buckets, out = _bucket(np.full(len(ids), name), np.arange(len(ids)), groups), []
-            for k, docs in _by(buckets):
-                out.append((k % groups, k, name, _packed(docs.astype(np.uint32)), _packed(ids[docs].view(np.uint64)), None, None, None, tags[docs].tobytes()))
-            settled = np.sort(_later(hashes, ids[doc]))
-            for k, at in _by(buckets[doc[settled]]):
-                _, docs, counts, places = _places(doc[settled[at]], place[settled[at]])
-                out.append((k % groups, k, name, docs, None, counts, places, None, None))
+            own = name % groups
+            _, docs, counts, places = _places(doc[settled := np.sort(_later(hashes, ids[doc]))], place[settled])
+            out = [(own, name, docs, None, counts, places, None, None)]
+            out.append((own, name, None, _packed(ids.view(np.uint64)), None, None, None, tags.tobytes()))
             part[settled] = groups
             for k, at in _by(part):
                 if k < groups:
                     some, docs, counts, places = _places(doc[at], place[at])
-                    out.append((k, None, name, docs, _packed(ids[some].view(np.uint64)), counts, places, hashes[at].tobytes(), None))
+                    out.append((k, name, docs, _packed(ids[some].view(np.uint64)), counts, places, hashes[at].tobytes(), None))
             return _batch(out, DEALT)
 
         for b in batches:
@@ -164,51 +157,45 @@ def _joined(parts: list[list[np.ndarray]], kinds: tuple[type, ...]) -> list[np.n
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, kind) for kind in kinds]
 
 
-def _counted(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            known = b.column(b.schema.get_field_index("hashes")).is_valid()
-            yield _batch([tuple(row[name] for name in LATER.names) for row in b.filter(pa.compute.invert(known)).to_pylist()], LATER)
-            for row in b.filter(known).to_pylist():
-                counts = _unpacked(row["counts"], np.uint32)
-                docs, ids = (np.repeat(_unpacked(row[name], kind), counts) for name, kind in (("docs", np.uint32), ("ids", np.uint64)))
-                held.append([np.full(len(docs), row["chunk"]), docs, ids.view(np.int64), _unpacked(row["places"], np.uint32), np.frombuffer(row["hashes"], np.uint64)])
-        chunk, doc, ids, place, hashes = _joined(held, (np.int64, np.uint32, np.int64, np.uint32, np.uint64))
-        at = _later(hashes, ids)
-        at = at[np.lexsort((place[at], doc[at], chunk[at]))]
-        chunk, doc, place, out = chunk[at], doc[at], place[at], []
-        for k, some in _by(_bucket(chunk, doc, buckets)):
-            for start, end in _runs(chunk[some]):
-                mine = some[start:end]
-                _, docs, counts, places = _places(doc[mine], place[mine])
-                out.append((k, int(chunk[mine[0]]), docs, None, counts, places, None))
-        yield _batch(out, LATER)
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a group -> by chunk, the windows that an earlier document has; what chunks have for themselves passes."""
+    held = []
+    for b in batches:
+        known = b.column(b.schema.get_field_index("hashes")).is_valid()
+        yield _batch([tuple(row[name] for name in LATER.names) for row in b.filter(pa.compute.invert(known)).to_pylist()], LATER)
+        for row in b.filter(known).to_pylist():
+            counts = _unpacked(row["counts"], np.uint32)
+            docs, ids = (np.repeat(_unpacked(row[name], kind), counts) for name, kind in (("docs", np.uint32), ("ids", np.uint64)))
+            held.append([np.full(len(docs), row["chunk"]), docs, ids.view(np.int64), _unpacked(row["places"], np.uint32), np.frombuffer(row["hashes"], np.uint64)])
+    chunk, doc, ids, place, hashes = _joined(held, (np.int64, np.uint32, np.int64, np.uint32, np.uint64))
+    at = _later(hashes, ids)
+    at = at[np.lexsort((place[at], doc[at], chunk[at]))]
+    out = []
+    for start, end in _runs(chunk[at]):
+        _, docs, counts, places = _places(doc[at[start:end]], place[at[start:end]])
+        out.append((int(chunk[at[start]]), docs, None, counts, places, None))
+    yield _batch(out, LATER)
 
 
 def _merged(n: int):
+    """The rows of a chunk -> the intervals of its documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, named, out = [], {}, {}
+        held, named, out = [], [], []
         for b in batches:
             for row in b.to_pylist():
-                docs = _unpacked(row["docs"], np.uint32)
                 if row["tags"] is not None:
-                    names = zip(_unpacked(row["ids"], np.uint64).view(np.int64).tolist(), np.frombuffer(row["tags"], np.int64).tolist(), strict=True)
-                    named |= zip([(row["chunk"], d) for d in docs.tolist()], names, strict=True)
+                    named = [*zip(_unpacked(row["ids"], np.uint64).view(np.int64).tolist(), np.frombuffer(row["tags"], np.int64).tolist(), strict=True)]
                 else:
-                    counts = _unpacked(row["counts"], np.uint32)
-                    held.append([np.full(counts.sum(), row["chunk"]), np.repeat(docs, counts), _unpacked(row["places"], np.uint32)])
-        chunk, doc, place = _joined(held, (np.int64, np.uint32, np.uint32))
-        order = np.lexsort((place, doc, chunk))
-        chunk, doc, place = chunk[order], doc[order], place[order].astype(np.int64)
-        for i, j in _runs(chunk):
-            for k, m in _runs(doc[i:j]):
-                own = place[i + k : i + m]
-                last = np.append(np.flatnonzero(np.diff(own) > n), len(own) - 1)
-                out[named[int(chunk[i]), int(doc[i + k])]] = own[np.append(0, last[:-1] + 1)], own[last] + n
-        yield _batch([(*key, *spans) for key, spans in out.items()], SPANS)
+                    held.append([np.repeat(_unpacked(row["docs"], np.uint32), _unpacked(row["counts"], np.uint32)), _unpacked(row["places"], np.uint32)])
+        doc, place = _joined(held, (np.uint32, np.uint32))
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order].astype(np.int64)
+        for start, end in _runs(doc):
+            own = place[start:end]
+            last = np.append(np.flatnonzero(np.diff(own) > n), len(own) - 1)
+            out.append((*named[doc[start]], own[np.append(0, last[:-1] + 1)], own[last] + n))
+        yield _batch(out, SPANS)
 
     return run
 
@@ -232,8 +219,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
     dealt = docs.mapInArrow(_dealt(groups, window), _sql(DEALT)).withColumn("task", F.col("part") % min(groups, TASKS))
     # A task of its own for each group, as far as there may be as many.
-    later = dealt.repartitionById(min(groups, TASKS), "task").groupBy("task", "part").applyInArrow(_counted(groups), _sql(LATER))
-    spans = later.groupBy("bucket").applyInArrow(_merged(window), _sql(SPANS))
+    later = dealt.repartitionById(min(groups, TASKS), "task").groupBy("task", "part").applyInArrow(_counted, _sql(LATER))
+    spans = later.groupBy("chunk").applyInArrow(_merged(window), _sql(SPANS))
     # Rows that repeat a doc_id with its text are in several chunks.
     return materialize(spans.dropDuplicates(["doc_id", "tag"]), "spans")
 
