@@ -8,6 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def digest(*names: str | Column) -> Column:
+    """60 bits of the digest of the names, not negative."""
+    told = F.concat_ws("|", *[F.lit(n) if isinstance(n, str) else n.cast("string") for n in names])
+    return F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def uniform(*names: str | Column) -> Column:
     """Between 0 and 1, from the digest of the names: text is a literal, columns are read."""
     told = F.concat_ws("|", *[F.lit(n) if isinstance(n, str) else n.cast("string") for n in names])

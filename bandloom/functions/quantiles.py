@@ -43,6 +43,12 @@ def pit_untied(grid: Column, actual: Column) -> Column:
     return F.when(actual.isNotNull() & grid.isNotNull(), under / (F.size(grid) + F.lit(1.0)))
 
 
+def pit_at_or_under(grid: Column, actual: Column) -> Column:
+    """As pit_untied, with ties below the actual value: how points are pinned."""
+    under = F.size(F.filter(grid, lambda g: g <= actual))
+    return F.when(actual.isNotNull() & grid.isNotNull(), under / (F.size(grid) + F.lit(1.0)))
+
+
 def n_tied(grid: Column, actual: Column) -> Column:
     return F.size(F.filter(grid, lambda g: g == actual))
 

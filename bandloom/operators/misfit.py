@@ -1,21 +1,35 @@
 """Misfit: how well a row, and each of its cells, fits the table, by the chain rule of densities.
 
-Columns are taken in an order and in its reverse; each is conditioned on those before it by a Gaussian linear
-model, fitted on the rows where it is present (and, with folds, on the rows of the other folds). All fits need
-only sums of products, gathered per partition: columns squared numbers per fold and column reach the driver,
-and the scores are plain column expressions. Higher fits better.
+Columns are taken in an order and in its reverse; each is conditioned on those before it, in the rows where it is
+present (and, with folds, in the rows of the other folds). Higher fits better. Two kinds of conditionals:
+
+* ``misfit``: Gaussian linear models. All fits need only sums of products, gathered per partition: columns squared numbers
+  per fold and column reach the driver, and a batch of rows is scored by two matrix products per fold.
+* ``misfit_by``: any conditional, such as a backend whose percentiles are read as a density. It is fitted from a context of
+  bounded size, once for each row of a small plan (fold, order, column), and scores all rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandloom.functions.draws import digest, normal
+from bandloom.functions.quantiles import GRID
+
+#: (train_x, train_y, test_x, test_y) -> the log density of each test_y
+Conditional = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Rows of a context, and the fewest that a conditional is fitted on.
+CONTEXT, MIN_SAMPLES = 3000, 5
+
 
 def _sums(x: np.ndarray, fold: np.ndarray, means: list[float]) -> dict:
     """(fold, column) -> summed products of the rows where the column is present, the ones first."""
@@ -26,18 +40,23 @@ def _sums(x: np.ndarray, fold: np.ndarray, means: list[float]) -> dict:
 
 
 def _moments(columns: list[str], means: list[float]):
+    """A row per fold and column of what a task has read: the sums of products in one array."""
+
     def run(batches):
         k = len(columns)
         sums: dict = defaultdict(lambda: np.zeros((k + 1, k + 1)))
         for pdf in batches:
             for key, m in _sums(pdf[columns].to_numpy(float), pdf["fold"].to_numpy(), means).items():
                 sums[key] += m
-        rows = [(f, j, i, v) for (f, j), m in sums.items() for i, v in enumerate(m.ravel().tolist())]
-        yield pd.DataFrame(rows, columns=["fold", "j", "i", "v"])
+        yield pd.DataFrame([(f, j, m.ravel().tolist()) for (f, j), m in sums.items()], columns=["fold", "j", "m"])
 
     return run
 
 
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "j": [pdf["j"].iloc[0]], "m": [np.sum([*pdf["m"]], 0)]})
+
+
 def _conditional(m: np.ndarray, j: int, given: list[int]) -> tuple[np.ndarray, float] | None:
     """Weights (intercept first) and variance of column j given others, from summed products."""
     if m[0, 0] < 2:
@@ -48,46 +67,154 @@ def _conditional(m: np.ndarray, j: int, given: list[int]) -> tuple[np.ndarray, f
     return w, max((m[j + 1, j + 1] - 2 * w @ y + w @ gram @ w) / m[0, 0], 1e-12)
 
 
-def misfit(df: DataFrame, id_col: str, columns: list[str], folds: int = 1) -> DataFrame:
-    """``id_col, score`` and ``share_<column>`` per row; the shares that aren't null sum up to the score.
+def _orders(k: int) -> list[list[int]]:
+    return [list(range(k)), list(range(k - 1, -1, -1))]
 
-    An absent cell has no share, and stands at its column's mean where others are conditioned on it. Folds go by a hash of the id.
-    """
+
+def _prepared(df: DataFrame, id_col: str, columns: list[str], folds: int) -> tuple[DataFrame, list[float]]:
+    """``id, fold, columns`` with NaN as null, and the columns' means."""
     if len(columns) < 2:
         raise ValueError("misfit needs two columns at least")
-    fold = F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int")
+    fold = F.pmod(digest(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(folds)).cast("int")
     clean = df.select(id_col, fold.alias("fold"), *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     first = clean.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first()
     if first.n < max(2, 2 * folds):
         raise ValueError(f"{folds} folds need {max(2, 2 * folds)} rows")
-    means = [first[c] for c in columns]
-    sums = clean.mapInPandas(_moments(columns, means), "fold int, j int, i int, v double").groupBy("fold", "j", "i").agg(F.sum("v").alias("v")).collect()
+    return clean, [first[c] for c in columns]
+
+
+def _shared_out(df: DataFrame, id_col: str, columns: list[str], score) -> DataFrame:
+    """``id_col, score, share_<column>`` of rows whose first columns are the id, the fold and ``columns``.
+
+    ``score`` makes the shares of a batch (NaN: none) from its cells, folds and further columns.
+    """
+    names = [id_col, "score", *[f"share_{c}" for c in columns]]
+
+    def run(batches):
+        for b in batches:
+            cells = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[2:]]
+            x, more = np.column_stack(cells[: len(columns)]), cells[len(columns) :]
+            shares = score(x, b.column(1).to_numpy(zero_copy_only=False), more)
+            shares[np.isnan(x)] = np.nan
+            told = [np.nansum(shares, 1), *shares.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, pa.float64(), mask=np.isnan(v)) for v in told]], names)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.mapInArrow(run, f"`{id_col}` {kind}, score double, " + ", ".join(f"`share_{c}` double" for c in columns))
+
+
+def misfit(df: DataFrame, id_col: str, columns: list[str], folds: int = 1) -> DataFrame:
+    """``id_col, score`` and ``share_<column>`` per row; the shares that aren't null sum up to the score.
+
+    An absent cell has no share, and stands at its column's mean where others are conditioned on it. Folds go by a hash of the id.
+    """
+    clean, means = _prepared(df, id_col, columns, folds)
+    sums = clean.mapInPandas(_moments(columns, means), "fold int, j int, m array<double>").groupBy("fold", "j").applyInPandas(_added, "fold int, j int, m array<double>").collect()
     k = len(columns)
-    own: dict = defaultdict(lambda: np.zeros((k + 1) * (k + 1)))
-    for r in sums:
-        own[r.fold, r.j][r.i] += r.v
-    rest = lambda f, j: sum((own[g, j] for g in range(folds) if g != f or folds == 1), np.zeros((k + 1) ** 2)).reshape(k + 1, k + 1)
-    centred = lambda i: F.coalesce(F.col(columns[i]), F.lit(means[i])) - F.lit(means[i])
-
-    def log_density(f: int, j: int, given: list[int]) -> Column:
-        fit = _conditional(rest(f, j), j, given)
-        if fit is None:
-            return F.lit(None).cast("double")
-        w, var = fit
-        mid = sum((F.lit(float(b)) * centred(g) for b, g in zip(w[1:], given, strict=True)), F.lit(float(w[0])))
-        gap = F.col(columns[j]) - F.lit(means[j]) - mid
-        return -gap * gap / F.lit(2 * var) - F.lit(0.5 * math.log(2 * math.pi * var))
-
-    def share(j: int) -> Column:
-        by_fold = None
-        for f in range(folds):
-            mean = (log_density(f, j, list(range(j))) + log_density(f, j, list(range(k - 1, j, -1)))) / 2
-            by_fold = mean if by_fold is None else F.when(F.col("fold") == f, mean).otherwise(by_fold)
-        return by_fold
-
-    out = clean.select(id_col, *[share(j).alias(f"share_{c}") for j, c in enumerate(columns)])
-    score = sum((F.coalesce(f"share_{c}", F.lit(0.0)) for c in columns), F.lit(0.0))
-    return out.select(id_col, score.alias("score"), *[f"share_{c}" for c in columns])
+    own: dict = defaultdict(lambda: np.zeros((k + 1) ** 2), {(r.fold, r.j): np.array(r.m) for r in sums})
+    # By fold and order: intercepts, weights and variances of all columns; NaN where there are too few rows.
+    fits = {}
+    for f in range(folds):
+        for o, order in enumerate(_orders(k)):
+            mid, w, var = np.full(k, np.nan), np.zeros((k, k)), np.ones(k)
+            for place, j in enumerate(order):
+                rest = sum((own[g, j] for g in range(folds) if g != f or folds == 1), np.zeros((k + 1) ** 2)).reshape(k + 1, k + 1)
+                if fit := _conditional(rest, j, order[:place]):
+                    mid[j], w[j, order[:place]], var[j] = fit[0][0], fit[0][1:], fit[1]
+            fits[f, o] = mid, w, var
+
+    def score(x: np.ndarray, fold: np.ndarray, _) -> np.ndarray:
+        centred, shares = np.where(np.isnan(x), 0.0, x - means), np.full(x.shape, np.nan)
+        for f in np.unique(fold):
+            own = centred[fold == f]
+            logs = [-((own - mid - own @ w.T) ** 2) / (2 * var) - 0.5 * np.log(2 * math.pi * var) for mid, w, var in (fits[int(f), o] for o in (0, 1))]
+            shares[fold == f] = (logs[0] + logs[1]) / 2
+        return shares
+
+    return _shared_out(clean, id_col, columns, score)
+
+
+def log_density(q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log density of each y by the 99 percentiles of its row: one percent between two neighbours, and beyond the
+    ends the exponential tail through the first (last) and the fifth percentile from there."""
+    q = np.sort(q, 1)
+    least = 1e-9 * np.maximum(1.0, np.abs(q[:, 49]))[:, None]
+    width = np.maximum(np.diff(q, axis=1), least)
+    at = (q <= y[:, None]).sum(1)
+    inside = -np.log(100 * width[np.arange(len(y)), np.clip(at - 1, 0, 97)])
+
+    def tail(end: np.ndarray, fifth: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        scale = np.maximum(np.abs(end - fifth), least[:, 0]) / math.log(5)
+        return -np.log(100 * scale) - beyond / scale
+
+    return np.select([at == 0, at == 99], [tail(q[:, 0], q[:, 4], q[:, 0] - y), tail(q[:, 98], q[:, 94], y - q[:, 98])], inside)
+
+
+def by_percentiles(backend) -> Conditional:
+    """A conditional from a backend (train_x, train_y, test_x, levels) -> (test rows, levels)."""
+    return lambda train_x, train_y, test_x, test_y: log_density(backend(train_x, train_y, test_x, GRID), test_y)
+
+
+def gaussian(train_x: np.ndarray, train_y: np.ndarray, test_x: np.ndarray, test_y: np.ndarray) -> np.ndarray:
+    """The conditional of ``misfit``, from rows; it needs no features."""
+    design = lambda x: np.column_stack([np.ones(len(x)), x])
+    w = np.linalg.lstsq(design(train_x), train_y, rcond=None)[0]
+    var = max(((train_y - design(train_x) @ w) ** 2).mean(), 1e-12)
+    return -((test_y - design(test_x) @ w) ** 2) / (2 * var) - 0.5 * math.log(2 * math.pi * var)
+
+
+@dataclass(frozen=True)
+class Step:
+    """A row of the plan: a column and what it is conditioned on, in one order."""
+
+    order: int
+    column: int
+    given: tuple[int, ...]
+
+
+def plan(k: int) -> list[Step]:
+    return [Step(o, j, tuple(order[:place])) for o, order in enumerate(_orders(k)) for place, j in enumerate(order)]
+
+
+def misfit_by(df: DataFrame, id_col: str, columns: list[str], conditional: Conditional, folds: int = 1, noise: bool = True, context: int = CONTEXT, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """As ``misfit``, with any conditional: the mean over both orders of each cell's log density given the cells before it.
+
+    The context is at most ``context`` rows, those of least hash of their ids; it is what conditionals are fitted on, without
+    the fold that they score. All rows are scored. The first column of an order has no features: it is conditioned on noise,
+    a standard normal draw by the row's id (``noise``; without, on nothing). A column that fewer than ``min_samples`` rows of the
+    context have gets no share. Absent cells stand at the column's mean where others are conditioned on them.
+    """
+    clean, means = _prepared(df, id_col, columns, folds)
+    draws = [normal("misfit", str(o), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias(f"_noise{o}") for o in (0, 1)]
+    clean = clean.select("*", *draws)
+    held = clean.select("fold", *columns, "_noise0", "_noise1", digest(F.lit("context"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_place"))
+    held = held.orderBy("_place", *columns).limit(context).collect()
+    # A few thousand rows at most, sent to all tasks.
+    table = np.array([[np.nan if v is None else v for v in r] for r in held], float).reshape(len(held), -1)
+    of, cells, drawn = table[:, 0], table[:, 1 : 1 + len(columns)], table[:, 1 + len(columns) : 3 + len(columns)]
+    steps = plan(len(columns))
+
+    def features(x: np.ndarray, noises: list[np.ndarray], step: Step) -> np.ndarray:
+        if not step.given and noise:
+            return noises[step.order][:, None]
+        given = list(step.given)
+        return np.where(np.isnan(x[:, given]), np.array(means)[given], x[:, given])
+
+    def score(x: np.ndarray, fold: np.ndarray, noises: list[np.ndarray]) -> np.ndarray:
+        shares = np.zeros(x.shape)
+        for f in np.unique(fold):
+            mine = fold == f
+            for step in steps:
+                train = ~np.isnan(cells[:, step.column]) & ((of != f) | (folds == 1))
+                known = mine & ~np.isnan(x[:, step.column])
+                if train.sum() < min_samples:
+                    shares[mine, step.column] = np.nan
+                elif known.any():
+                    found = conditional(features(cells[train], [*drawn[train].T], step), cells[train, step.column], features(x[known], [n[known] for n in noises], step), x[known, step.column])
+                    shares[known, step.column] += found / 2
+        return shares
+
+    return _shared_out(clean, id_col, columns, score)
 
 
 def lowest(scored: DataFrame, id_col: str, columns: list[str], n: int) -> DataFrame:

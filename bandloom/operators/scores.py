@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bandloom.functions.quantiles import BANDS, pit, pit_untied, salt_of
+from bandloom.functions.quantiles import BANDS, pit, pit_at_or_under, pit_untied, salt_of
 
 FLOOR = "seasonal_naive"
 
@@ -22,6 +22,13 @@ def points(voices: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
     return known.withColumn("made", made).where(F.col("made") == len(voices)).drop("made")
 
 
+def pinned(points: DataFrame) -> DataFrame:
+    """``voice, series, origin, h, q, pit``: points as they are pinned for later runs to be held against, with the levels of
+    BANDS and the PIT that counts percentiles at or under what came true."""
+    bands = F.array(*[at(a) for a in BANDS])
+    return points.select("voice", "series", "origin", "h", bands.alias("q"), pit_at_or_under(F.col("q"), F.col("y")).alias("pit"))
+
+
 def at(level: float):
     return F.get("q", F.lit(round(level * 100) - 1))
 

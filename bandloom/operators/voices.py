@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import literal, quantile
@@ -43,29 +43,35 @@ def seasonal_naive(hist: DataFrame, at: DataFrame, horizons: list[int], levels:
     return naive_calls(asked(hist, at, horizons).withColumn("season", F.lit(season)), levels)
 
 
-def naive_calls(df: DataFrame, levels: list[float]) -> DataFrame:
-    """The same for rows ``(series, origin, h, n, season, ys)``, each with a season and a horizon of its own."""
+def naive_calls(df: DataFrame, levels: list[float] | Column) -> DataFrame:
+    """The same for rows ``(series, origin, h, n, season, ys)``, each with a season, a horizon and, in a column, levels of its own."""
     season = F.col("season")
     df = df.withColumn("lag", F.when((F.col("n") > season + 5) & (F.col("h") <= season), season).otherwise(F.col("h")))
     df = df.where("n > lag + 5 and n <= size(ys)").withColumn("anchor", F.get("ys", F.col("n") + F.col("h") - 1 - F.col("lag")))
     later, earlier = F.slice("ys", F.col("lag") + 1, F.col("n") - F.col("lag")), F.slice("ys", F.lit(1), F.col("n") - F.col("lag"))
     moves = F.filter(F.zip_with(later, earlier, lambda a, b: a - b), lambda d: d.isNotNull())
     df = df.where(F.col("anchor").isNotNull() & (F.size(moves) > 0)).withColumn("moves", F.sort_array(moves))
-    q = F.transform(literal(levels), lambda a: F.col("anchor") + quantile(F.col("moves"), a))
+    q = F.transform(levels if isinstance(levels, Column) else literal(levels), lambda a: F.col("anchor") + quantile(F.col("moves"), a))
     return df.select("series", "origin", "h", q.alias("q"))
 
 
-def linear(train_x: np.ndarray, train_y: np.ndarray, test_x: np.ndarray, levels: list[float]) -> np.ndarray:
-    """Ridge regression on standardised features, with quantiles of its leave-one-out residuals."""
-    mean, std = train_x.mean(0), train_x.std(0)
+def linear_reads(train_x: np.ndarray, train_y: np.ndarray, test_x: np.ndarray, levels: list[float]) -> np.ndarray:
+    """``linear`` for many reads of one shape as one stacked solve: (reads, test rows, levels)."""
+    mean, std = train_x.mean(1, keepdims=True), train_x.std(1, keepdims=True)
     std[std == 0] = 1.0
-    design = lambda x: np.column_stack([np.ones(len(x)), (x - mean) / std])
+    design = lambda x: np.concatenate([np.ones((*x.shape[:2], 1)), (x - mean) / std], 2)
     x = design(train_x)
-    gram = x.T @ x + np.diag([1e-9, *[1.0] * train_x.shape[1]])
-    w = np.linalg.solve(gram, x.T @ train_y)
-    hat = np.einsum("nd,dn->n", x, np.linalg.solve(gram, x.T))
-    left_out = (train_y - x @ w) / np.maximum(1 - hat, 1e-3)
-    return (design(test_x) @ w)[:, None] + np.quantile(left_out, levels)[None, :]
+    across = x.transpose(0, 2, 1)
+    gram = across @ x + np.diag([1e-9, *[1.0] * train_x.shape[2]])
+    w = np.linalg.solve(gram, across @ train_y[..., None])
+    hat = np.einsum("rnd,rdn->rn", x, np.linalg.solve(gram, across))
+    left_out = (train_y - (x @ w)[..., 0]) / np.maximum(1 - hat, 1e-3)
+    return design(test_x) @ w + np.quantile(left_out, levels, axis=1).T[:, None, :]
+
+
+def linear(train_x: np.ndarray, train_y: np.ndarray, test_x: np.ndarray, levels: list[float]) -> np.ndarray:
+    """Ridge regression on standardised features, with quantiles of its leave-one-out residuals."""
+    return linear_reads(train_x[None], train_y[None], test_x[None], levels)[0]
 
 
 def _uninstalled(name: str) -> Backend:

@@ -5,13 +5,18 @@ Every query runs over its whole tables. Results are long rows of scalars; measur
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.functions import tabled
 from bandloom.functions.quantiles import BANDS, GRID, literal, merged_counts, with_levels
-from bandloom.operators import calibration, features, misfit, parity, scores, voices, whatif
+from bandloom.functions.tables import shared_folder, written
+from bandloom.operators import calibration, features, misfit, parity, queues, scores, voices, whatif
 from bandloom.plans import backtest, requests
 from bandloom.sources import panels
+from bandloom.streaming import records, serving
 
 PLACES = 6
 
@@ -37,6 +42,44 @@ def _long(bands: DataFrame, levels: list[float]) -> DataFrame:
     return df.select("series", "origin", F.col("h").cast("int").alias("h"), (F.col("k") + 1).cast("int").alias("level"), _r("q"))
 
 
+def arrays_query(s, d):
+    """Months of suppliers written as one row a series, and read back onto the calendar."""
+    arrays = written(panels.as_arrays(panels.supplier_qty(s, d)), "arrays")
+    return panels.panel(panels.from_arrays(arrays)).select("series", "t", "moy", _r("y", 4))
+
+
+def table_function_query(s, d):
+    tabled.register(s)
+    name = f"facts_{uuid.uuid4().hex}"
+    _rows(s, d, "supplier_qty").select("series", "t", "y").createOrReplaceTempView(name)
+    return _long(s.sql(f"SELECT * FROM walk(TABLE({name}) PARTITION BY series ORDER BY (t), 'seasonal_naive', 3, 1, 12)"), BANDS)
+
+
+def stream_record_query(s, d):
+    """The floor voice's record of hours ahead, as a stream of the events closes them."""
+    c = _context(s, d, "event_hours", [1, 6], 48, ahead=6)
+    calls = written(voices.seasonal_naive(c.hist, c.at, [1, 6], GRID, c.season).withColumn("voice", F.lit("seasonal_naive")), "calls")
+    path = f"{d}/events.parquet"
+    # A pattern, since a stream's path by itself has to be a folder.
+    events = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
+    hours = records.drained(records.hourly(events, "event_type", "ts"), "hours")
+    landed = s.readStream.schema(s.read.parquet(hours).schema).parquet(hours)
+    told = s.read.parquet(records.drained(records.levels_as_they_land(landed, calls, BANDS), "levels"))
+    last = told.groupBy("voice", "h").agg(F.max_by(F.struct("n", "levels"), "n").alias("r")).select("h", "r.n", F.posexplode("r.levels").alias("k", "read_at"))
+    return last.select("h", "n", (F.col("k") + 1).cast("int").alias("level"), _r("read_at"))
+
+
+def stream_requests_query(s, d):
+    """The requests as files of a stream, answered batch by batch; then the kept answers of the floor voice."""
+    folder = f"{shared_folder(s)}/bandloom-requests-{uuid.uuid4().hex}"
+    _requests(s, d).repartition(4).write.text(f"{folder}/asked")
+    serving.serve(serving.lines(s, f"{folder}/asked", 2), folder).awaitTermination()
+    call = "struct<read:int,row:int,voice:string,levels:array<struct<level:double,q:double,raw:double>>>"
+    told = serving.replied(s, folder).select("request_id", F.explode(F.from_json("value", f"struct<answers:array<{call}>>")["answers"]).alias("a"))
+    found = told.where("a.voice = 'seasonal_naive'").select("request_id", F.col("a.read").alias("read"), F.col("a.row").alias("row"), F.explode("a.levels").alias("l"))
+    return found.select("request_id", "read", "row", "l.level", F.round("l.q", PLACES).alias("q"))
+
+
 def panel_query(name: str):
     return lambda s, d: _rows(s, d, name, trim=False).select("series", "t", "moy", _r("y", 4))
 
@@ -202,6 +245,24 @@ def misfit_folds_query(s, d):
     return misfit.misfit(keyed, "line", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], folds=5)
 
 
+def misfit_pair_folds_query(s, d):
+    orders = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("o_cust"))
+    return misfit.misfit(orders, "o_orderkey", ["o_totalprice", "o_cust"], folds=3).select("o_orderkey", _r("score"), _r("share_o_totalprice"), _r("share_o_cust"))
+
+
+def misfit_backend_query(s, d):
+    """Densities read off the percentiles of a backend, each row scored from the rows of the other fold."""
+    line = s.read.parquet(f"{d}/lineitem.parquet")
+    keyed = line.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return misfit.misfit_by(keyed, "line", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], misfit.by_percentiles(voices.linear), folds=2)
+
+
+def pinned_query(s, d):
+    c = _context(s, d, "supplier_qty", [1], 6)
+    found = scores.pinned(scores.points({"seasonal_naive": voices.seasonal_naive(c.hist, c.at, [1], GRID, c.season)}, c.rows))
+    return found.select("series", "origin", *[F.round(F.get("q", F.lit(k)), PLACES).alias(f"q{round(a * 100)}") for k, a in enumerate(BANDS)], _r("pit"))
+
+
 def lowest_query(s, d):
     return misfit.lowest(misfit_pair_query(s, d), "o_orderkey", ["o_totalprice", "o_cust"], 50)
 
@@ -259,14 +320,102 @@ def turns_query(s, d):
     return requests.turns(jobs, 131_072)
 
 
-def _requests(s, d) -> DataFrame:
+#: Cells that may wait in a queue, and that one cycle serves.
+QUEUE_CELLS, CYCLE_CELLS = 200, 120
+
+
+def _jobs(s, d) -> DataFrame:
+    """A job per order and supplier: it waits in the queue of the supplier's nation and the order's priority until it ships."""
+    line = s.read.parquet(f"{d}/lineitem.parquet")
+    sums = line.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").cast("date").alias("till"), F.sum("l_quantity").cast("long").alias("cells"), F.max("l_discount").alias("discount"))
+    orders = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("since"), "o_orderpriority")
+    nations = s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    told = sums.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+    queue = F.concat_ws("|", F.col("s_nationkey").cast("string"), "o_orderpriority")
+    return told.select(queue.alias("queue"), (F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey")).alias("job"), F.col("l_suppkey").alias("caller"), "since", "till", "cells", "discount")
+
+
+def admission_query(s, d):
+    jobs = _jobs(s, d)
+    # What comes and goes on one day, or goes before it comes, leaves at the end of the day on which it comes.
+    comes = jobs.select("queue", F.struct(F.col("since").alias("day"), F.lit(0).alias("late")).alias("at"), F.lit(queues.ARRIVE).alias("step"), "job", "caller", "cells")
+    at = F.struct(F.greatest("since", "till").alias("day"), F.when(F.col("till") > F.col("since"), 0).otherwise(1).alias("late"))
+    goes = jobs.select("queue", at.alias("at"), F.lit(queues.LEAVE).alias("step"), "job", "caller", "cells")
+    return queues.admitted(comes.unionByName(goes), QUEUE_CELLS)
+
+
+def _served(s, d) -> DataFrame:
+    """A cycle a month; jobs at the highest discount are served alone, the others by the supplier's ensemble size."""
+    jobs = _jobs(s, d)
+    month = F.trunc("since", "month")
+    comes = jobs.select("queue", month.alias("at"), F.lit(queues.ARRIVE).alias("step"), "job", "caller", "cells", F.when(F.col("discount") >= 0.1, "misfit").otherwise(queues.BAND).alias("kind"), F.when(F.col("discount") >= 0.05, 8).otherwise(1).alias("members"))
+    takes = jobs.select("queue", F.add_months(month, 1).alias("at")).distinct().select("queue", "at", F.lit(queues.TAKE).alias("step"), F.lit(0).cast("long").alias("job"), F.lit(0).cast("long").alias("caller"), F.lit(0).cast("long").alias("cells"), F.lit("").alias("kind"), F.lit(0).alias("members"))
+    return comes.unionByName(takes)
+
+
+def cycles_query(s, d):
+    return queues.served(_served(s, d), QUEUE_CELLS, CYCLE_CELLS)
+
+
+#: A change to a sound request, what it is refused for, and the cases that the request itself decides.
+REFUSALS = [
+    ("none", "", "", None, None),
+    ("level", r'"alphas":\[[^\]]*\]', '"alphas":[0.5,1.0]', 400, "alphas must be numbers strictly between 0 and 1"),
+    ("no_levels", r'"alphas":\[[^\]]*\]', '"alphas":[]', 400, "alphas must be numbers strictly between 0 and 1"),
+    ("text", r'"alphas":\[[^\]]*\]', '"alphas":"half"', 400, "not a JSON object of the expected fields"),
+    ("cut", r"\}$", "", 400, "not a JSON object of the expected fields"),
+    ("members", r"\}$", ',"members":33}', 400, "members must be 1 to 32"),
+    ("season", r"\}$", ',"season":0}', 400, "season must be 1 to 366"),
+    ("window", r"\}$", ',"window":367}', 400, "window must be 1 to 366"),
+    ("longest_window", r"\}$", ',"window":366}', None, None),
+    ("voice", r'"voices":\[[^\]]*\]', '"voices":["linear","someone"]', 400, "voices must be known, each once, with linear among them"),
+    ("voice_twice", r'"voices":\[[^\]]*\]', '"voices":["linear","linear"]', 400, "voices must be known, each once, with linear among them"),
+    ("no_linear", r'"voices":\[[^\]]*\]', '"voices":["seasonal_naive"]', 400, "voices must be known, each once, with linear among them"),
+    ("bare_history", r"\}$", ',"pit_history":[1,2]}', 400, "pit_history must be a list of counts, with several voices an object of lists by voice"),
+    ("unknown_history", r"\}$", ',"pit_history":{"someone":[1]}}', 400, "pit_history must be a list of counts, with several voices an object of lists by voice"),
+    ("short_history", r"\}$", ',"pit_history":{"linear":[1,2]}}', 400, "pit_history must be 100 counts that are not negative"),
+    ("no_reads", r'"reads":\[.*\]', '"reads":[]', 400, "reads are missing"),
+    ("both", r'"train_y":', '"context":"c","train_y":', 400, "a context stands in place of train_x and train_y"),
+    ("unknown_context", r'"train_x":.*"test_x":', '"context":"c","test_x":', 404, "context_unknown: it is not kept here for this caller; send the rows again"),
+    ("no_test", r'"test_x":\[\[[^\]]*\]\]', '"test_x":[]', 400, "a read needs train_x, train_y and test_x"),
+    ("width", r'"test_x":\[\[[^\]]*\]\]', '"test_x":[[1.0]]', 400, "rows differ in length"),
+    ("labels", r'"train_y":\[', '"train_y":[7.0,', 422, "a read needs two training rows and one train_y each"),
+    ("actual", r'"actual":\[', '"actual":[7.0,', 400, "actual needs one value per test row"),
+    ("salt", r'"actual":', '"salt":[1,2],"actual":', 400, "salt needs one value per test row"),
+    ("horizon", r'"actual":', '"horizon":[121],"actual":', 400, "horizon needs one whole number of 1 to 120 per test row"),
+    ("no_history", r'"history":\[[^\]]*\]', '"history":null', 400, "several voices need a history"),
+]
+
+
+def refusals_query(s, d):
+    """Every rule broken by every supplier's request."""
+    made = _requests(s, d).withColumn("number", F.get_json_object("value", "$.request_id"))
+    cases = [made.select(F.concat_ws("-", "number", F.lit(name)).alias("id"), F.regexp_replace(F.regexp_replace("value", F.lit(pattern), F.lit(told)) if pattern else F.col("value"), r'"request_id":"([^"]*)"', f'"request_id":"$1-{name}"').alias("value")) for name, pattern, told, *_ in REFUSALS]
+    lines = cases[0]
+    for case in cases[1:]:
+        lines = lines.unionByName(case)
+    checked = requests.checked(requests.parsed(lines, ["id"]))
+    return checked.select("id", F.col("refusal.status").alias("status"), F.col("refusal.reason").alias("reason"))
+
+
+#: Levels between and beyond the percentiles.
+OFF_GRID = [0.001, 0.005, 0.015, 0.5, 0.995, 0.999]
+
+
+def request_levels_query(s, d):
+    """Answers at levels that no percentile is."""
+    found = requests.answers(requests.checked(requests.parsed(_requests(s, d, OFF_GRID)))).where("voice = 'seasonal_naive'")
+    return found.select("request_id", "level", _r("q"), "raw")
+
+
+def _requests(s, d, alphas: list[float] = BANDS) -> DataFrame:
     """One JSON request per supplier, about its own history."""
     hist = panels.trimmed(panels.load(s, d, "supplier_qty")[0])
     known = F.filter("ys", lambda y: y.isNotNull())
     row = lambda i: F.array(i.cast("double"), F.get(known, i - 1))
     steps = F.sequence(F.lit(1), F.size(known) - 1)
     read = F.struct(F.transform(steps, row).alias("train_x"), F.transform(steps, lambda i: F.get(known, i)).alias("train_y"), F.array(row(F.size(known))).alias("test_x"), F.array(F.get(known, F.lit(0))).alias("actual"), F.col("ys").alias("history"))
-    body = F.struct(F.lit("driver").alias("caller"), F.col("series").cast("string").alias("request_id"), literal(BANDS).alias("alphas"), F.array(F.lit("linear"), F.lit("seasonal_naive")).alias("voices"), F.array(read).alias("reads"))
+    body = F.struct(F.lit("driver").alias("caller"), F.col("series").cast("string").alias("request_id"), literal(alphas).alias("alphas"), F.array(F.lit("linear"), F.lit("seasonal_naive")).alias("voices"), F.array(read).alias("reads"))
     return hist.where(F.size(known) > 1).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
 
@@ -336,6 +485,17 @@ QUERIES = {
     "request_answers": answers_query,
     "request_naive": request_naive_query,
     "queue_round_robin": turns_query,
+    "queue_admission": admission_query,
+    "queue_cycles": cycles_query,
+    "request_refusals": refusals_query,
+    "request_levels": request_levels_query,
+    "misfit_pair_folds": misfit_pair_folds_query,
+    "misfit_backend": misfit_backend_query,
+    "pinned_points": pinned_query,
+    "panel_arrays": arrays_query,
+    "walk_table_function": table_function_query,
+    "stream_record": stream_record_query,
+    "stream_requests": stream_requests_query,
 }
 
 # ---- DuckDB ----
@@ -454,6 +614,47 @@ n AS (SELECT o_orderkey, -0.5 * ln(2 * pi() * vx) - dx * dx / (2 * vx) AS fx, -0
 SELECT o_orderkey, round((fx + fyx + fy + fxy) / 2, {PLACES}) AS score, round((fx + fxy) / 2, {PLACES}) AS share_o_totalprice, round((fy + fyx) / 2, {PLACES}) AS share_o_cust FROM n"""
 
 
+_PAIR_FOLDS = f"""WITH d AS (SELECT o_orderkey, o_totalprice AS x, o_custkey::DOUBLE AS y, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT % 3 AS fold FROM orders),
+s AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM d, (SELECT unnest(range(3)) AS fold) f WHERE d.fold <> f.fold GROUP BY f.fold),
+l AS (SELECT o_orderkey, x - mx AS dx, y - my AS dy, vx, vy, c, vy - c * c / vx AS vyx, vx - c * c / vy AS vxy FROM d JOIN s USING (fold)),
+n AS (SELECT o_orderkey, -0.5 * ln(2 * pi() * vx) - dx * dx / (2 * vx) AS fx, -0.5 * ln(2 * pi() * vy) - dy * dy / (2 * vy) AS fy,
+ -0.5 * ln(2 * pi() * vyx) - pow(dy - c / vx * dx, 2) / (2 * vyx) AS fyx, -0.5 * ln(2 * pi() * vxy) - pow(dx - c / vy * dy, 2) / (2 * vxy) AS fxy FROM l)
+SELECT o_orderkey, round((fx + fyx + fy + fxy) / 2, {PLACES}) AS score, round((fx + fxy) / 2, {PLACES}) AS share_o_totalprice, round((fy + fyx) / 2, {PLACES}) AS share_o_cust FROM n"""
+_JOBS = "jobs AS (SELECT s_nationkey::VARCHAR || '|' || o_orderpriority AS queue, l_orderkey * 1000000 + l_suppkey AS job, l_suppkey AS caller, any_value(o_orderdate)::DATE AS since, max(l_shipdate)::DATE AS till, sum(l_quantity)::BIGINT AS cells FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, o_orderpriority, l_orderkey, l_suppkey)"
+_WAITS = "list_sum([0] || list_transform({}, lambda x: x.cells))"
+#: A step of all queues a round; what waits in each is a list.
+_ADMISSION = f"""WITH RECURSIVE {_JOBS},
+log AS (SELECT queue, since AS day, 0 AS late, 2 AS step, job, caller, cells FROM jobs UNION ALL SELECT queue, greatest(since, till), (till <= since)::INT, 0, job, caller, cells FROM jobs),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY day, late, step, job) AS k FROM log),
+st(queue, k, held, job, status) AS (SELECT DISTINCT queue, 0::BIGINT, []::STRUCT(job BIGINT, caller BIGINT, cells BIGINT)[], NULL::BIGINT, NULL::VARCHAR FROM jobs
+ UNION ALL SELECT queue, k, CASE WHEN step = 0 THEN list_filter(held, lambda x: x.job <> job) WHEN status = 'admitted' THEN list_append(held, {{'job': job, 'caller': caller, 'cells': cells}}) ELSE held END, CASE WHEN step = 2 THEN job END, status
+ FROM (SELECT e.queue, e.k, e.step, e.job, e.caller, e.cells, st.held, CASE WHEN e.step = 0 THEN NULL WHEN e.cells > {QUEUE_CELLS * 0.5} THEN 'too_large'
+  WHEN {_WAITS.format("list_filter(st.held, lambda x: x.caller = e.caller)")} + e.cells > {QUEUE_CELLS * 0.5} OR {_WAITS.format("st.held")} + e.cells > {QUEUE_CELLS} THEN 'busy' ELSE 'admitted' END AS status
+  FROM st JOIN e ON e.queue = st.queue AND e.k = st.k + 1))
+SELECT queue, job, caller, cells, status, ({_WAITS.format("held")})::BIGINT AS waiting FROM st JOIN jobs USING (queue, job)"""
+_LATE = ["none", "longest_window", "actual", "salt", "horizon", "no_history"]
+_SHORT = "a read needs two training rows and one train_y each"
+_CASES = ", ".join("('{}', {}, {}, {})".format(n, status or "NULL", f"'{reason}'" if reason else "NULL", n in _LATE) for n, _, _, status, reason in REFUSALS)
+_REFUSED = f"""WITH {_panel('supplier_qty')}, n AS (SELECT series, count(y) AS known FROM tr GROUP BY series HAVING count(y) > 1), c(name, status, reason, late) AS (VALUES {_CASES})
+SELECT series::VARCHAR || '-' || name AS id, (CASE WHEN late AND known < 3 THEN 422 ELSE status END)::INT AS status, CASE WHEN late AND known < 3 THEN '{_SHORT}' ELSE reason END AS reason FROM n, c"""
+_OFF_GRID = f"""WITH {_panel('supplier_qty')}, o AS (SELECT max(t) + 1 AS origin FROM p), {_naive('[1]', OFF_GRID)}, al AS (SELECT unnest({OFF_GRID}) AS alpha, unnest(range(1, {len(OFF_GRID) + 1}))::INT AS level)
+SELECT series::VARCHAR AS request_id, alpha::DOUBLE AS level, round(q, {PLACES}) AS q, NULL::DOUBLE AS raw FROM nq JOIN al USING (level) JOIN (SELECT series FROM tr WHERE y IS NOT NULL GROUP BY 1 HAVING count(*) > 2) USING (series)"""
+_PINNED = f"""WITH {_panel('supplier_qty')}, {_origins(6)}, {_naive('[1]', GRID)}
+SELECT v.series, v.origin, {", ".join(f"round(max(CASE WHEN level = {round(a * 100)} THEN q END), {PLACES}) AS q{round(a * 100)}" for a in BANDS)}, round(sum((q <= y)::INT) / 100.0::DOUBLE, {PLACES}) AS pit
+FROM nq v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE y IS NOT NULL GROUP BY v.series, v.origin"""
+
+
+_STREAMED = f"""WITH {_panel('event_hours')}, {_origins(48, 1, 6)}, {_naive('[1, 6]', GRID, 24)}, z AS (SELECT floor((epoch(max(ts)) - 3600) / 3600)::BIGINT AS closed FROM events),
+pit AS (SELECT v.series, v.origin, v.h, sum((q < y)::INT) / 100.0::DOUBLE AS p FROM nq v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE y IS NOT NULL AND tr.t < (SELECT closed FROM z) GROUP BY 1, 2, 3),
+b0 AS (SELECT *, least(floor(p * 100)::INT, 99) AS b FROM pit),
+bins AS (SELECT h, (b - (p < b * 0.01::DOUBLE)::INT + (b <> 99 AND p >= (b + 1) * 0.01::DOUBLE)::INT)::INT AS bin FROM b0),
+rec AS (SELECT h, bin, count(*) AS n FROM bins GROUP BY 1, 2), keys AS (SELECT DISTINCT h FROM rec),
+c AS (SELECT h, b.bin, coalesce(n, 0) + 1e-9::DOUBLE AS n FROM keys CROSS JOIN (SELECT unnest(range(100)) AS bin) b LEFT JOIN rec USING (h, bin)),
+s AS (SELECT h, bin, n / sum(n) OVER k AS w, sum(n) OVER (PARTITION BY h ORDER BY bin) / sum(n) OVER k AS hi FROM c WINDOW k AS (PARTITION BY h)),
+t AS (SELECT h, sum(n) AS total FROM rec GROUP BY 1), a AS (SELECT unnest({BANDS}) AS alpha, unnest(range(1, 6))::INT AS level)
+SELECT h, any_value(total)::BIGINT AS n, level, round(CASE WHEN any_value(total) < 100 THEN any_value(alpha) ELSE arg_min((bin + (alpha - (hi - w)) / w) / 100.0::DOUBLE, bin) END, {PLACES}) AS read_at FROM t JOIN s USING (h) CROSS JOIN a WHERE hi >= alpha GROUP BY h, level"""
+
+
 _DAYS = "floor(epoch(ts) / 86400)::BIGINT"
 _SPARSE = f"""WITH c AS (SELECT user_id AS series, {_DAYS} AS t, count(*)::DOUBLE AS y FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT series, unnest(generate_series((SELECT min(t) FROM c), (SELECT max(t) FROM c))) AS t FROM (SELECT DISTINCT series FROM c))
@@ -532,6 +733,15 @@ SELECT series::VARCHAR AS request_id, CASE WHEN known < 3 THEN 422 END::INT AS s
     "whatif_support": f"WITH {_WORLD}, {_PULLED}, z AS (SELECT min(price) AS lo, max(price) AS hi FROM wd WHERE t < {CUT}) SELECT factor, round(avg((price BETWEEN lo AND hi)::INT), {PLACES}) AS in_support FROM pu, z GROUP BY 1",
     "whatif_grade": f"WITH {_WORLD}, {_USUAL}, {_PULLED}, fit AS (SELECT regr_slope(ln(revenue / size), ln(price / usual)) AS b, regr_intercept(ln(revenue / size), ln(price / usual)) AS a FROM wd JOIN us USING (member) WHERE t < {CUT}) SELECT factor, round(pow(factor, {1 - whatif.ELASTICITY}), {PLACES}) AS true_move, round(avg(abs(replay - truth) / truth), {PLACES}) AS replay_off, round(avg(abs(size * exp(a + b * ln(price / usual)) - truth) / truth), {PLACES}) AS median_off FROM pu JOIN us USING (member), fit GROUP BY 1",
     "misfit_pair": _PAIR,
+    "misfit_pair_folds": _PAIR_FOLDS,
+    "queue_admission": _ADMISSION,
+    "request_refusals": _REFUSED,
+    "request_levels": _OFF_GRID,
+    "pinned_points": _PINNED,
+    "panel_arrays": _panel_oracle("supplier_qty"),
+    "walk_table_function": f"WITH {_panel('supplier_qty')}, {_origins(3)}, {_naive('[1]', BANDS)} SELECT {_LONG} FROM nq",
+    "stream_record": _STREAMED,
+    "stream_requests": _REQUESTED,
     "misfit_lowest": f"SELECT o_orderkey, score, CASE WHEN share_o_cust <= share_o_totalprice THEN 'o_cust' ELSE 'o_totalprice' END AS cell FROM ({_PAIR}) ORDER BY score, o_orderkey LIMIT 50",
     "whatif_simulated": f"WITH {_simulated(5)} SELECT world, member, t, round(price, {PLACES}) AS price, round(revenue, 3) AS revenue FROM sim",
     "whatif_true_median": _OUTCOMES,

@@ -5,32 +5,37 @@ Nothing raises for a bad request: it becomes a row with a status and a reason, a
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import BINS, GRID, literal, merged_counts, pit, place, quantile, with_levels
-from bandloom.functions.tables import checkpointed, written
+from bandloom.functions.tables import checkpointed, running, written
 from bandloom.operators.calibration import TOTAL_WINDOW
 from bandloom.operators.misfit import frame_shares
-from bandloom.operators.voices import linear, naive_calls
+from bandloom.operators.voices import linear_reads, naive_calls
 
 READ = "struct<train_x:array<array<double>>,train_y:array<double>,test_x:array<array<double>>,actual:array<double>,salt:array<bigint>,history:array<double>,horizon:array<int>,context:string,cache:boolean>"
 SCHEMA = f"caller string, request_id string, alphas array<double>, members int, voices array<string>, season int, window int, pit_history string, reads array<{READ}>"
 VOICES = ["linear", "seasonal_naive"]
 MOST_BYTES = 32_000_000
+#: A voice alone is asked within these levels where its record says others.
+OUTER = (0.001, 0.999)
 
 
-def parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Rows of the schema from a column ``value``, with its size and whether it was JSON at all; parsed once, in their order.
 
+    ``keep`` names columns of ``lines`` that stay.
+
     A line that is too large is not parsed.
     """
     size = F.octet_length("value")
     doc = F.from_json(F.when(size <= MOST_BYTES, F.col("value")), f"{SCHEMA}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return checkpointed(lines.select(size.alias("n_bytes"), doc.alias("r")).select("n_bytes", "r.*"))
+    return checkpointed(lines.select(*(keep or []), size.alias("n_bytes"), doc.alias("r")).select(*(keep or []), "n_bytes", "r.*"))
 
 
 def context_id(train_x: Column, train_y: Column, members: Column) -> Column:
@@ -102,7 +107,7 @@ def checked(requests: DataFrame) -> DataFrame:
         ((F.col("members") < 1) | (F.col("members") > 32), 400, "members must be 1 to 32"),
         ((F.col("season") < 1) | (F.col("season") > 366), 400, "season must be 1 to 366"),
         ((F.size(F.array_distinct("voices")) != F.size("voices")) | (F.size(F.array_except("voices", F.array(*[F.lit(v) for v in VOICES]))) > 0) | ~F.array_contains("voices", "linear"), 400, "voices must be known, each once, with linear among them"),
-        (F.col("window") < 1, 400, "window must be a whole number from 1 on"),
+        ((F.col("window") < 1) | (F.col("window") > 366), 400, "window must be 1 to 366"),
         (F.col("pit_history").isNotNull() & (F.col("counts").isNull() | (F.size(F.array_except(F.map_keys("counts"), F.concat("voices", F.array(F.lit("blend"))))) > 0)), 400, "pit_history must be a list of counts, with several voices an object of lists by voice"),
         (F.col("counts").isNotNull() & ~F.forall(F.map_values("counts"), is_history), 400, f"pit_history must be {BINS} counts that are not negative"),
         (F.col("reads").isNull() | (F.size("reads") == 0), 400, "reads are missing"),
@@ -127,33 +132,37 @@ def cells(r: Column, members: Column) -> Column:
 
 
 def turns(jobs: DataFrame, budget: int) -> DataFrame:
-    """``caller, seq, n_cells`` -> also ``cycle``: one job per caller and round, in the order of arrival, cut by cells.
+    """``caller, seq, n_cells`` -> also ``round, cycle``: one job per caller and round, in the order of arrival, cut by cells.
 
-    Rounds are summed before the running total, so the only ordered pass is over one row per round.
+    Both are running sums over ranges of the jobs in order, so neither a caller of many jobs nor the first round, which has a
+    job of every caller, is the work of one task.
     """
-    df = jobs.withColumn("round", F.row_number().over(W.partitionBy("caller").orderBy("seq")))
-    per_round = df.groupBy("round").agg(F.sum("n_cells").alias("m"))
-    before = per_round.withColumn("before", F.sum("m").over(W.orderBy("round")) - F.col("m")).select("round", "before")
-    df = df.join(before, "round").withColumn("till", F.col("before") + F.sum("n_cells").over(W.partitionBy("round").orderBy("seq")))
-    return df.select("caller", "seq", "n_cells", "round", F.floor((F.col("till") - 1) / F.lit(budget)).cast("long").alias("cycle"))
+    placed = running(jobs.select("caller", "seq", "n_cells"), ["caller", "seq"], F.lit(1).cast("long"), "place")
+    first = placed.groupBy("caller").agg(F.min("place").alias("first"))
+    rounds = placed.join(first, "caller").select("caller", "seq", "n_cells", (F.col("place") - F.col("first") + 1).cast("int").alias("round"))
+    till = running(rounds, ["round", "seq"], F.col("n_cells"), "till")
+    return till.select("caller", "seq", "n_cells", "round", F.floor((F.col("till") - 1) / F.lit(budget)).cast("long").alias("cycle"))
+
 
+def _linear_answers(batches):
+    """``row, asked, grid``: what the voice says at the levels of the read, and the percentiles.
 
-def _linear_grids(batches):
+    Reads of equal shape and levels are fitted together, as one stacked solve.
+    """
+    matrix = lambda rows: np.array([[np.nan if v is None else v for v in row] for row in rows], float)
     for pdf in batches:
-        out = []
+        alike, out = defaultdict(list), []
         for r in pdf.itertuples():
-            x, y, test = (np.array([[np.nan if v is None else v for v in row] for row in m], float) for m in (r.train_x, [r.train_y], r.test_x))
-            y, known = y[0], ~np.isnan(y[0])
-            fill = np.array([np.median(c) if len(c := col[~np.isnan(col)]) else 0.0 for col in x[known].T])
-            q = linear(np.where(np.isnan(x[known]), fill, x[known]), y[known], np.where(np.isnan(test), fill, test), GRID) if known.sum() >= 2 else np.full((len(test), 99), np.nan)
-            out += [(r.caller, r.request_id, r.read, i, g.tolist()) for i, g in enumerate(q) if not np.isnan(g).any()]
-        yield pd.DataFrame(out, columns=["caller", "request_id", "read", "row", "grid"])
-
-
-def _blended(grids: DataFrame, key: list[str], column: str) -> DataFrame:
-    """The mean of the voices' arrays, level by level, where all voices that the request asks have called."""
-    means = F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(len(GRID))])
-    return grids.groupBy(*key).agg(means.alias(column), F.count("*").alias("spoke"), F.first(F.size("voices")).alias("asked")).where("spoke = asked and asked > 1").select(*key, column)
+            x, y, test = matrix(r.train_x), matrix([r.train_y])[0], matrix(r.test_x)
+            x, y = x[~np.isnan(y)], y[~np.isnan(y)]
+            fill = np.array([np.median(c) if len(c := col[~np.isnan(col)]) else 0.0 for col in x.T])
+            if len(y) >= 2:
+                alike[x.shape, len(test), tuple(r.ask)].append(((r.caller, r.request_id, r.read), np.where(np.isnan(x), fill, x), y, np.where(np.isnan(test), fill, test)))
+        for (_, _, ask), reads in alike.items():
+            keys, *tables = zip(*reads, strict=True)
+            found = linear_reads(*map(np.stack, tables), [*ask, *GRID])
+            out += [(*key, i, q[: len(ask)].tolist(), np.sort(q[len(ask) :]).tolist()) for key, rows in zip(keys, found, strict=True) for i, q in enumerate(rows) if np.isfinite(q).all()]
+        yield pd.DataFrame(out, columns=["caller", "request_id", "read", "row", "asked", "grid"])
 
 
 def _through_records(df: DataFrame, defaults: DataFrame | None) -> DataFrame:
@@ -171,41 +180,60 @@ def _through_records(df: DataFrame, defaults: DataFrame | None) -> DataFrame:
     return df.withColumn("read_at", F.when(F.col("own").isNotNull(), F.col("read_at")).otherwise(literal(GRID))).drop("default")
 
 
+def _as_read(df: DataFrame) -> DataFrame:
+    """Adds ``q`` and ``raw``, at the request's levels: as the voice was asked or, with a history, as its record reads it.
+
+    A voice alone was asked at the levels that its record says; of several the percentiles are read there.
+    """
+    n = F.size("alphas")
+    raw = F.slice("asked", 1, n)
+    told = F.when(F.col("several"), F.transform("alphas_at", lambda a: quantile(F.col("grid"), place(a)))).otherwise(F.sort_array(F.slice("asked", n + 1, n)))
+    return df.withColumn("q", F.when(F.col("own").isNull(), raw).otherwise(told)).withColumn("raw", F.when(F.col("own").isNotNull(), raw))
+
+
 def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """``caller, request_id, read, row, voice, level, q, raw, pit`` of the requests without refusal; ``blend`` where several call.
 
-    Levels between the 99 percentiles are interpolated. A voice with a history in ``pit_history`` is read through it, and
-    through the record of ``defaults (voice, window, counts)`` for the request's window; ``raw`` is then its answer as it
-    was, else null. The blend is the mean of the voices as read, and may have a history of its own. The PIT is against
-    the raw percentiles, ties by salt (else the row). The backend here has no randomness, so any number of members gives
-    the same answer and is fitted once.
+    Every voice is asked at the request's own levels, so none is cut off at the first or last percentile. A voice with a
+    history in ``pit_history`` is read through it, and through the record of ``defaults (voice, window, counts)`` for the
+    request's window: alone it is asked once more, at the levels that the record says (within OUTER); of several the
+    percentiles are read there. ``raw`` is then its answer as it was, else null. The blend is the mean of the voices as read,
+    and may have a history of its own. The PIT is against the raw percentiles, ties by salt (else the row). The backend here
+    has no randomness, so any number of members gives the same answer and is fitted once.
     """
-    key = ["caller", "request_id", "read", "row"]
-    good = requests.where("refusal is null")
-    reads = good.select("caller", "request_id", "alphas", "voices", "season", "window", "counts", F.posexplode("reads").alias("read", "r"))
-    reads = written(reads.select("caller", "request_id", "alphas", "voices", "season", "window", "counts", "read", "r.*"), "reads")
-    tables = reads.select("caller", "request_id", "read", "train_x", "train_y", "test_x").mapInPandas(_linear_grids, "caller string, request_id string, read int, row int, grid array<double>")
-    asked = reads.where(F.array_contains("voices", "seasonal_naive"))
-    asked = asked.select("caller", "request_id", "read", "season", "history", F.posexplode(F.coalesce("horizon", F.array_repeat(F.lit(1), F.size("test_x")))).alias("row", "h"))
+    read, key = ["caller", "request_id", "read"], ["caller", "request_id", "read", "row"]
+    reads = requests.where("refusal is null").select("caller", "request_id", "alphas", "voices", "season", "window", "counts", F.posexplode("reads").alias("read", "r"))
+    reads = reads.withColumn("several", F.size("voices") > 1)
+    reads = reads.withColumn("voice", F.explode(F.when(F.col("several"), F.concat("voices", F.array(F.lit("blend")))).otherwise(F.col("voices"))))
+    reads = _through_records(reads.select(*read, "voice", "several", "alphas", "voices", "season", "window", "counts", "r.*"), defaults)
+    once_more = F.transform("alphas_at", lambda a: F.least(F.greatest(a, F.lit(OUTER[0])), F.lit(OUTER[1])))
+    reads = written(reads.withColumn("ask", F.when(F.col("several") | F.col("own").isNull(), F.col("alphas")).otherwise(F.concat("alphas", once_more))), "reads")
+
+    asked = reads.where("voice = 'linear'").select(*read, "train_x", "train_y", "test_x", "ask")
+    fitted = asked.mapInPandas(_linear_answers, "caller string, request_id string, read int, row int, asked array<double>, grid array<double>").withColumn("voice", F.lit("linear"))
+    asked = reads.where("voice = 'seasonal_naive'").select(*read, "season", "history", "ask", F.posexplode(F.coalesce("horizon", F.array_repeat(F.lit(1), F.size("test_x")))).alias("row", "h"))
     series = asked.withColumn("from", F.expr("array_position(transform(history, y -> y is not null), true)")).where(F.col("from") > 0)
-    series = series.select(F.struct(*key).alias("series"), "season", "h", F.expr("slice(history, `from`, size(history))").alias("ys"))
+    series = series.select(F.struct(*key, "ask").alias("series"), "season", "h", F.expr("slice(history, `from`, size(history))").alias("ys"))
     # Each history is asked at its own end.
-    naive = naive_calls(series.withColumn("n", F.size("ys")).withColumn("origin", F.col("n").cast("long")), GRID)
-    naive = naive.select("series.*", F.col("q").alias("grid"), F.lit("seasonal_naive").alias("voice"))
-    told = reads.select("caller", "request_id", "read", "alphas", "voices", "window", "counts", F.posexplode("test_x").alias("row", "_x"), "actual", "salt").select(
-        *key, "alphas", "voices", "window", "counts", F.get("actual", "row").alias("y"), F.coalesce(F.get("salt", "row"), F.col("row").cast("long")).alias("salt")
-    )
-    spoke = tables.withColumn("voice", F.lit("linear")).unionByName(naive).join(told, key).withColumn("grid", F.sort_array("grid"))
-    spoke = _through_records(spoke, defaults)
-    spoke = written(spoke.withColumn("as_read", F.transform("read_at", lambda a: quantile(F.col("grid"), place(a)))), "spoke")
-    blend = _blended(spoke, key, "as_read").withColumnRenamed("as_read", "grid").withColumn("voice", F.lit("blend")).join(told, key)
-    blend = _through_records(blend, defaults)
-    columns = [*key, "voice", "alphas", "window", "counts", "y", "salt", "grid", "own", "alphas_at"]
-    df = spoke.select(*columns).unionByName(blend.select(*columns)).withColumn("pit", pit(F.col("grid"), F.col("y"), F.col("salt")))
-    df = df.select(*key, "voice", "pit", "grid", "own", F.explode(F.arrays_zip("alphas", "alphas_at")).alias("l"))
-    as_asked = quantile(F.col("grid"), place(F.col("l.alphas")))
-    read = quantile(F.col("grid"), place(F.col("l.alphas_at")))
-    return df.select(*key, "voice", F.col("l.alphas").alias("level"), F.when(F.col("own").isNull(), as_asked).otherwise(read).alias("q"), F.when(F.col("own").isNotNull(), as_asked).alias("raw"), "pit")
+    naive = naive_calls(series.withColumn("n", F.size("ys")).withColumn("origin", F.col("n").cast("long")), F.concat("series.ask", literal(GRID)))
+    n = F.size("series.ask")
+    naive = naive.select(*[f"series.{c}" for c in key], F.slice("q", 1, n).alias("asked"), F.sort_array(F.slice("q", n + 1, len(GRID))).alias("grid"), F.lit("seasonal_naive").alias("voice"))
+
+    told = reads.select(*read, "voice", "several", "voices", "alphas", "own", "read_at", "alphas_at", F.posexplode("test_x").alias("row", "_x"), "actual", "salt")
+    told = told.withColumn("y", F.get("actual", "row")).withColumn("salt", F.coalesce(F.get("salt", "row"), F.col("row").cast("long"))).drop("_x", "actual")
+    spoke = _as_read(fitted.unionByName(naive).join(told, [*key, "voice"]))
+    spoke = written(spoke.withColumn("as_read", F.when(F.col("own").isNull(), F.col("grid")).otherwise(F.transform("read_at", lambda a: quantile(F.col("grid"), place(a))))), "spoke")
+    # The answers and the percentiles are two sets of levels, and are blended apart; all voices must have called.
+    levels = spoke.where("several").select(*key, F.size("voices").alias("n_voices"), F.posexplode(F.concat(F.sort_array("q"), "as_read")).alias("k", "v"))
+    means = levels.groupBy(*key, "n_voices", "k").agg(F.avg("v").alias("v"), F.count("*").alias("n")).where("n = n_voices")
+    means = means.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("both")).join(told.where("voice = 'blend'"), key)
+    blend = means.withColumn("asked", F.slice("both.v", F.lit(1), F.size("alphas"))).withColumn("grid", F.slice("both.v", F.size("alphas") + 1, F.lit(len(GRID))))
+    columns = [*key, "voice", "alphas", "y", "salt", "grid", "q", "raw"]
+    df = spoke.select(*columns).unionByName(_as_read(blend).select(*columns)).withColumn("pit", pit(F.col("grid"), F.col("y"), F.col("salt")))
+    # Without a history raw is null, and so is each of its levels.
+    df = df.withColumn("raw", F.coalesce("raw", F.array_repeat(F.lit(None).cast("double"), F.size("alphas"))))
+    df = df.select(*key, "voice", "pit", F.explode(F.arrays_zip("alphas", "q", "raw")).alias("l"))
+    return df.select(*key, "voice", F.col("l.alphas").alias("level"), "l.q", "l.raw", "pit")
 
 
 def encoded(answered: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def histories(facts: DataFrame) -> DataFrame:
     ``start`` is the first period of any such series, ``ys`` holds all periods since then.
     """
     own = facts.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("seen"))
+    return aligned(own)
+
+
+def aligned(own: DataFrame) -> DataFrame:
+    """Histories on one calendar from ``series, seen``: what each series has, by period and each period once."""
     own = own.withColumn("first", F.expr("seen[0].t")).withColumn("last", F.element_at("seen", -1)["t"])
     ends = own.groupBy("last").agg(F.count("*").alias("n"), F.min("first").alias("start"))
     modal = ends.agg(F.min_by(F.struct("last", "start"), F.struct(-F.col("n"), "last")).alias("m")).select("m.*")  # one row
@@ -46,6 +51,27 @@ def histories(facts: DataFrame) -> DataFrame:
     return own.select("series", "start", F.expr(ys).alias("ys"))
 
 
+def as_arrays(facts: DataFrame) -> DataFrame:
+    """``id, timestamp, target``: monthly facts ``(series, t, y)`` as one row a series, its months and their values as arrays."""
+    own = facts.groupBy(F.col("series").alias("id")).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("seen"))
+    month = "to_timestamp(make_date(cast(t div 12 as int), cast(t % 12 as int) + 1, 1))"
+    return own.select("id", F.expr(f"transform(seen.t, t -> {month})").alias("timestamp"), F.col("seen.y").alias("target"))
+
+
+def from_arrays(table: DataFrame, id_col: str = "id", timestamp_col: str = "timestamp", target_col: str = "target") -> DataFrame:
+    """Histories ``series, start, ys`` by month from one row a series with arrays of timestamps and of values.
+
+    The arrays are put on the calendar where they are: they are never taken apart into facts, and only the last months are
+    counted over all series. Of several values of a month the last in its array counts; months without a value, and null
+    and NaN values, are null. A series with no timestamp has no history.
+    """
+    at = "struct(cast(year(x) * 12 + month(x) - 1 as bigint) as t, k, nanvl(cast(get(_y, k) as double), cast(null as double)) as y)"
+    own = table.select(F.col(id_col).alias("series"), F.col(timestamp_col).alias("_at"), F.col(target_col).alias("_y"))
+    own = own.withColumn("_all", F.expr(f"array_sort(filter(transform(_at, (x, k) -> {at}), s -> s.t is not null))"))
+    own = own.select("series", F.expr("filter(_all, (s, k) -> k + 1 = size(_all) or _all[k + 1].t <> s.t)").alias("seen"))
+    return aligned(own.where("size(seen) > 0"))
+
+
 def trimmed(hist: DataFrame) -> DataFrame:
     """Histories from their first known period on; series without one go."""
     known = F.expr("array_position(transform(ys, y -> y is not null), true)")
