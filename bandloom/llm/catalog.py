@@ -18,11 +18,11 @@ QUERIES = {
     "op11_codes": op11_codes.query,
     "op12_windows": op12_windows.query,
     "op13_divergence": op13_divergence.query,
-    "op4_whole_lines": op4_templates.whole_query,
+    "op4_whole_lines": op4_templates.query,
 }
 ORACLES: dict[str, str] = {
     "op4_templates": op4_templates.ORACLE,
-    "op4_whole_lines": op4_templates.WHOLE_ORACLE,
+    "op4_whole_lines": op4_templates.ORACLE,
     "op6_randomness": op6_randomness.ORACLE,
     "op7_mixing": op7_mixing.ORACLE,
     "op8_positional": op8_positional.ORACLE,

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ PROBES, TARGET = 96, 0.94
 QUERY_BLOCK = 2_000
 #: Found pairs that a task gathers before it cuts them to the best k of each query.
 GATHERED = 200_000
-FOUND = "query_id long, query_raw binary, vec_id long, score double"
+FOUND = "query_id long, query_raw binary, vec_id long, row long, score double"
 
 
 @dataclass
@@ -221,19 +222,19 @@ def _searched(block, dim: int, kind: str, trees: int, leaves: int, k: int):
         offset = np.arange(trees) * leaves
 
         def cut():
-            parts = [np.concatenate(c) for c in zip(*best, *more, strict=True)] if best or more else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-            order = np.lexsort((parts[1], -parts[2], parts[0]))
+            parts = [np.concatenate(c) for c in zip(*best, *more, strict=True)] if best or more else [*(np.empty(0, np.int64) for _ in range(3)), np.empty(0)]
+            order = np.lexsort((parts[2], parts[1], -parts[3], parts[0]))
             at = parts[0][order]
             place = np.arange(len(at)) - np.searchsorted(at, at)
             kept = order[place < k]
             last = order[place == k - 1]
-            floor[parts[0][last]] = parts[2][last]
+            floor[parts[0][last]] = parts[3][last]
             best[:] = [tuple(p[kept] for p in parts)]
             more.clear()
 
         for b in batches:
             ids, raw = b.column(0).to_numpy(), b.column(1).to_pylist()
-            x = _matrix(b.column(1), dim, kind)
+            x, names = _matrix(b.column(1), dim, kind), [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw]
             at = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, trees) + offset if len(x) else np.empty((0, trees), np.int64)
             for lo in range(0, len(x), 128):
                 asked = np.unpackbits(np.bitwise_or.reduce(asking[at[lo : lo + 128]], axis=1), axis=1, count=len(q))
@@ -244,14 +245,14 @@ def _searched(block, dim: int, kind: str, trees: int, leaves: int, k: int):
                     mine = own.get((int(ids[row]), raw[row]))
                     near = near[near != mine] if mine is not None else near
                     if len(near):
-                        more.append((near, np.full(len(near), ids[row]), _products(q[near], x[row][None])))
+                        more.append((near, np.full(len(near), ids[row]), np.full(len(near), names[row]), _products(q[near], x[row][None])))
                         gathered += len(near)
                 if gathered > GATHERED:
                     cut()
                     gathered = 0
         cut()
-        i, names, scores = best[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, np.int64)[i]), pa.array([raws[j] for j in i], pa.binary()), pa.array(names), pa.array(scores)], ["query_id", "query_raw", "vec_id", "score"])
+        i, found, rows, scores = best[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, np.int64)[i]), pa.array([raws[j] for j in i], pa.binary()), pa.array(found), pa.array(rows), pa.array(scores)], ["query_id", "query_raw", "vec_id", "row", "score"])
 
     return run
 
@@ -305,7 +306,8 @@ def neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20
 
     Nearness is the inner product in double precision, larger first, ties to the smaller vec_id. Every row but the
     query's own is a candidate, also one that has the query's id and another vector; each such row is a query and has
-    ranks of its own. Rows that repeat an id and a vector count once. Null, empty, zero or non-finite vectors and null
+    ranks of its own, and each such row is a result of its own (``row`` in the tables found is a hash of the vector). Rows
+    that repeat an id and a vector count once. Null, empty, zero or non-finite vectors and null
     ids take no part. Vectors of different dimensions have no inner product: each dimension is searched by itself.
     """
     spark = vectors.sparkSession
@@ -317,7 +319,7 @@ def neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20
     for dim, total, longest in rows.groupBy("dim").agg(F.count("*"), F.max("norm")).orderBy("dim").collect():
         _neighbours(rows.where(F.col("dim") == dim).select("vec_id", "raw"), dim, total, longest, kind, queries, k, trees, path)
     found = spark.read.schema(FOUND).parquet(path).distinct()
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query_raw").orderBy(F.desc("score"), "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query_raw").orderBy(F.desc("score"), "vec_id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

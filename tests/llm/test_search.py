@@ -54,6 +54,12 @@ def test_forest_rows_that_share_an_id(spark):
     assert got == sorted([(20, 1, 3, 1.0), (20, 2, 20, 0.5), (20, 1, 3, 1.0), (20, 2, 20, 0.5), (40, 1, 4, 54.0)])
 
 
+def test_forest_rows_that_share_an_id_and_a_score(spark):
+    rows = [(20, [1.0, 0.0]), (3, [1.0, 1.0]), (3, [1.0, 2.0]), (5, [0.5, 0.0]), (5, [0.5, 0.0])]
+    got = sorted(map(tuple, op3_forest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == [(20, 1, 3, 1.0), (20, 2, 3, 1.0), (20, 3, 5, 0.5)]
+
+
 def test_forest_cases(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [1.0, None]), (80, [float("nan"), 1.0]), (None, [1.0, 1.0]), (7, []), (9, [1.0, 2.0, 3.0])]
     rows += [(100 + i, [2.0, 1.0]) for i in range(1, 60)] + [(1, [3.0, 0.0]), (2, [-1.0, 0.5])]
@@ -75,8 +81,8 @@ def test_templates_cases(spark):
     rows = [(i, f"own words {i} in document\nuser u{i} logged in from host h{i} at noon today\nshort line 7", "en", "a") for i in range(8)]
     rows += [(100, "user who logged out of the other host at midnight then\nuser u1 logged in from host h1 at noon today", "en", "a"), (101, None, "en", "a"), (102, "", "en", "a")]
     got = {r.doc_id: (r.n_lines, r.dropped) for r in op4_templates.drop_templates(documents(spark, rows)).collect()}
-    # "own words <*> in document" recurs as well.
-    assert all(got[i] == (3, [0, 1]) for i in range(8)) and got[100] == (2, [1]) and got[101] == (0, []) and got[102] == (1, [])
+    # "own words <*> in document" recurs as well, and so does "short line <*>".
+    assert all(got[i] == (3, [0, 1, 2]) for i in range(8)) and got[100] == (2, [1]) and got[101] == (0, []) and got[102] == (1, [])
     assert op4_templates.drop_templates(documents(spark, [])).count() == 0 and len(op4_templates.drop_templates(documents(spark)).collect()) == 14
 
 
@@ -84,22 +90,24 @@ def test_templates_count_documents_not_lines(spark):
     # Five lines of one document are one document; each of the others has a template of its own.
     rows = [(0, "\n".join(f"alpha beta gamma {c} one two three four" for c in ("red", "blue", "green", "pink", "gold")), "en", "a")]
     rows += [(1 + i, f"alpha beta gamma {w}", "en", "a") for i, w in enumerate(("a b c d e", "f g h i j", "k l m n o", "p q r s t", "u v w x y"))]
-    for whole in (False, True):
-        assert not any(r.dropped for r in op4_templates.drop_templates(documents(spark, rows), whole=whole).collect())
+    assert not any(r.dropped for r in op4_templates.drop_templates(documents(spark, rows)).collect())
 
 
-def test_whole_lines_equal_sql(spark):
-    assert same(op4_templates.whole_query(spark, SMALL), SMALL, op4_templates.WHOLE_ORACLE) == ""
+def test_templates_of_rows_without_and_with_one_doc_id(spark):
+    # Six rows share a doc_id and six have none: each is a document.
+    rows = [(7 if i < 6 else None, f"{'A footer of seven words stands here' if i != 5 else 'own'}\nline {'abcdefghijkl'[i]}own", "en", "a") for i in range(12)]
+    got = sorted((str(r.doc_id), r.dropped) for r in op4_templates.drop_templates(documents(spark, rows)).collect())
+    assert got == sorted([("7", [0])] * 5 + [("7", [])] + [("None", [0])] * 6)
 
 
-def test_whole_lines_drop_short_ones(spark):
+def test_templates_drop_short_lines(spark):
     rows = [(i, f"All rights reserved.\n\npage {i}\n{i}\nown{'abcdefgh'[i]} line", "en", "a") for i in range(8)] + [(100, "Les.\n\nall rights reserved.", "en", "a")]
-    got = {r.doc_id: (r.n_lines, r.dropped) for r in op4_templates.drop_templates(documents(spark, rows), whole=True).collect()}
+    got = {r.doc_id: (r.n_lines, r.dropped) for r in op4_templates.drop_templates(documents(spark, rows)).collect()}
     # Empty lines, lone numbers (nothing fixed) and lines of one document stay.
     assert all(got[i] == (5, [0, 2]) for i in range(8)) and got[100] == (3, [])
 
 
-def test_whole_lines_need_evidence_and_documents(spark):
+def test_templates_need_evidence_and_documents(spark):
     # The same three words open a line of five words in eight documents; all else is each line's own.
     rows = [(i, f"Was erlytion that. {c}are {c}for.\nmany words open a line {c}here", "en", "a") for i, c in enumerate("abcdefgh")]
     # Five lines of one document and one of each of three others are four documents.
@@ -108,7 +116,7 @@ def test_whole_lines_need_evidence_and_documents(spark):
     # "tall" stands in six lines, but of two documents: it is no fixed token.
     rows += [(200, "\n".join(f"item of the shop is {c} tall" for c in "abcde"), "en", "a")]
     rows += [(201 + i, f"item of the shop is {c} {w}", "en", "a") for i, (c, w) in enumerate(zip("fghi", ("tall", "wide", "deep", "thin"), strict=True))]
-    got = {r.doc_id: r.dropped for r in op4_templates.drop_templates(documents(spark, rows), whole=True).collect()}
+    got = {r.doc_id: r.dropped for r in op4_templates.drop_templates(documents(spark, rows)).collect()}
     assert all(got[i] == [1] for i in range(8)) and not any(got[100 + i] for i in range(4))
     assert got[200] == [0, 1, 2, 3, 4] and all(got[201 + i] == [0] for i in range(4))
 
