@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import GRID
 from bandloom.functions.tables import written
-from bandloom.operators import calibration, features, scores, voices
+from bandloom.operators import calibration, ensembles, features, scores, voices
 from bandloom.sources.panels import panel, trimmed
 
 
@@ -54,7 +54,8 @@ def _past(name: str, c: Context) -> DataFrame:
 def build(name: str, c: Context) -> DataFrame:
     """Bands of a named voice, made once a context; what Python fits is written, so that it is fitted once.
 
-    ``seasonal_naive``, ``regression``, ``pooled``, ``walk:<backend>``, ``seasonal:<backend>``, ``pooled:<backend>``;
+    ``seasonal_naive``, ``regression``, ``pooled``, ``walk:<backend>``, ``seasonal:<backend>``, ``pooled:<backend>``,
+    ``series:<series backend>``;
     ``cal:<voice>`` and ``dcal:<voice>`` read a voice through its record (dcal: also the default one, of the context's
     records ``(voice, window, counts)``); ``blend:<voice>+<voice>``.
     """
@@ -70,6 +71,8 @@ def build(name: str, c: Context) -> DataFrame:
             made = calibration.calibrated(build(rest, c), c.rows, c.at, calibration.record_of(c.default, rest, c.window), c.exact, _past(rest, c))
         elif kind in ("walk", "seasonal") and rest in voices.BACKENDS:
             made = written(voices.walk_backend(c.rows, c.at, c.horizons, GRID, voices.BACKENDS[rest], kind == "seasonal"), "fits")
+        elif kind == "series" and rest in ensembles.SERIES:
+            made = written(ensembles.series_voice(c.hist, c.at, c.horizons, GRID, ensembles.SERIES[rest]), "fits")
         elif name == "seasonal_naive":
             made = voices.seasonal_naive(c.hist, c.at, c.horizons, GRID, c.season)
         elif name == "regression":

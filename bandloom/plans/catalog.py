@@ -180,6 +180,18 @@ def voice_walk_query(names: list[str]):
     return run
 
 
+def series_walk_query(s, d):
+    """A smoother of the last values held against the floor, hours ahead."""
+    hist, season = panels.kept(s, d, "event_hours")
+    return _scored(backtest.project(hist, ["seasonal_naive", "series:local_level"], 6, 4, season), ["voice", "h"])
+
+
+def request_members_query(s, d):
+    """The requests with eight members each."""
+    lines = _requests(s, d).select(F.regexp_replace("value", r"\}$", ',"members":8}').alias("value"))
+    return requests.answers(requests.checked(requests.parsed(lines))).select("request_id", "read", "row", "voice", "level", _r("q"))
+
+
 def tied_walk_query(s, d):
     """A panel of many zeros: values that tie with quantiles are placed among them by a draw."""
     hist, season = panels.kept(s, d, "sparse_user")
@@ -496,6 +508,8 @@ QUERIES = {
     "walk_table_function": table_function_query,
     "stream_record": stream_record_query,
     "stream_requests": stream_requests_query,
+    "walk_series": series_walk_query,
+    "request_members": request_members_query,
 }
 
 # ---- DuckDB ----

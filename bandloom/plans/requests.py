@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bandloom.functions.quantiles import BINS, GRID, literal, merged_counts, pit, place, quantile, with_levels
 from bandloom.functions.tables import checkpointed, running, written
 from bandloom.operators.calibration import TOTAL_WINDOW
+from bandloom.operators.ensembles import member_table
 from bandloom.operators.misfit import frame_shares
 from bandloom.operators.voices import linear_reads, naive_calls
 
@@ -145,9 +146,9 @@ def turns(jobs: DataFrame, budget: int) -> DataFrame:
 
 
 def _linear_answers(batches):
-    """``row, asked, grid``: what the voice says at the levels of the read, and the percentiles.
+    """``row, both``: what each member says at the levels of the read and at the percentiles, scaled back.
 
-    Reads of equal shape and levels are fitted together, as one stacked solve.
+    Tables of equal shape and levels are fitted together, as one stacked solve.
     """
     matrix = lambda rows: np.array([[np.nan if v is None else v for v in row] for row in rows], float)
     for pdf in batches:
@@ -157,12 +158,25 @@ def _linear_answers(batches):
             x, y = x[~np.isnan(y)], y[~np.isnan(y)]
             fill = np.array([np.median(c) if len(c := col[~np.isnan(col)]) else 0.0 for col in x.T])
             if len(y) >= 2:
-                alike[x.shape, len(test), tuple(r.ask)].append(((r.caller, r.request_id, r.read), np.where(np.isnan(x), fill, x), y, np.where(np.isnan(test), fill, test)))
+                table = member_table(np.where(np.isnan(x), fill, x), y, np.where(np.isnan(test), fill, test), r.member, r.members)
+                alike[x.shape, len(test), tuple(r.ask)].append(((r.caller, r.request_id, r.read, r.members), *table))
         for (_, _, ask), reads in alike.items():
-            keys, *tables = zip(*reads, strict=True)
-            found = linear_reads(*map(np.stack, tables), [*ask, *GRID])
-            out += [(*key, i, q[: len(ask)].tolist(), np.sort(q[len(ask) :]).tolist()) for key, rows in zip(keys, found, strict=True) for i, q in enumerate(rows) if np.isfinite(q).all()]
-        yield pd.DataFrame(out, columns=["caller", "request_id", "read", "row", "asked", "grid"])
+            keys, train_x, train_y, test_x, means, stds = zip(*reads, strict=True)
+            found = linear_reads(*map(np.stack, (train_x, train_y, test_x)), [*ask, *GRID])
+            found = found * np.array(stds)[:, None, None] + np.array(means)[:, None, None]
+            out += [(*key[:3], i, q.tolist(), key[3]) for key, rows in zip(keys, found, strict=True) for i, q in enumerate(rows) if np.isfinite(q).all()]
+        yield pd.DataFrame(out, columns=["caller", "request_id", "read", "row", "both", "members"])
+
+
+def _members_mean(answers: DataFrame) -> DataFrame:
+    """``asked, grid`` of each row of a read: the mean over its members, level by level. Nothing moves where no read has several."""
+    alone = answers.where("members = 1").select("caller", "request_id", "read", "row", "both")
+    levels = answers.where("members > 1").select("caller", "request_id", "read", "row", "members", F.posexplode("both").alias("k", "v"))
+    means = levels.groupBy("caller", "request_id", "read", "row", "k").agg(F.avg("v").alias("v"), F.count("*").alias("n"), F.first("members").alias("members")).where("n = members")
+    means = means.groupBy("caller", "request_id", "read", "row").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("b"))
+    both = alone.unionByName(means.select("caller", "request_id", "read", "row", F.col("b.v").alias("both")))
+    n = F.size("both") - len(GRID)
+    return both.select("caller", "request_id", "read", "row", F.slice("both", F.lit(1), n).alias("asked"), F.sort_array(F.slice("both", n + 1, F.lit(len(GRID)))).alias("grid"))
 
 
 def _through_records(df: DataFrame, defaults: DataFrame | None) -> DataFrame:
@@ -198,19 +212,20 @@ def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     history in ``pit_history`` is read through it, and through the record of ``defaults (voice, window, counts)`` for the
     request's window: alone it is asked once more, at the levels that the record says (within OUTER); of several the
     percentiles are read there. ``raw`` is then its answer as it was, else null. The blend is the mean of the voices as read,
-    and may have a history of its own. The PIT is against the raw percentiles, ties by salt (else the row). The backend here
-    has no randomness, so any number of members gives the same answer and is fitted once.
+    and may have a history of its own. The PIT is against the raw percentiles, ties by salt (else the row). With ``members``
+    a read is fitted once for each of them, on a view of its own (``ensembles.view``), and the answer is their mean.
     """
     read, key = ["caller", "request_id", "read"], ["caller", "request_id", "read", "row"]
-    reads = requests.where("refusal is null").select("caller", "request_id", "alphas", "voices", "season", "window", "counts", F.posexplode("reads").alias("read", "r"))
+    reads = requests.where("refusal is null").select("caller", "request_id", "alphas", "members", "voices", "season", "window", "counts", F.posexplode("reads").alias("read", "r"))
     reads = reads.withColumn("several", F.size("voices") > 1)
     reads = reads.withColumn("voice", F.explode(F.when(F.col("several"), F.concat("voices", F.array(F.lit("blend")))).otherwise(F.col("voices"))))
-    reads = _through_records(reads.select(*read, "voice", "several", "alphas", "voices", "season", "window", "counts", "r.*"), defaults)
+    reads = _through_records(reads.select(*read, "voice", "several", "alphas", "members", "voices", "season", "window", "counts", "r.*"), defaults)
     once_more = F.transform("alphas_at", lambda a: F.least(F.greatest(a, F.lit(OUTER[0])), F.lit(OUTER[1])))
     reads = written(reads.withColumn("ask", F.when(F.col("several") | F.col("own").isNull(), F.col("alphas")).otherwise(F.concat("alphas", once_more))), "reads")
 
-    asked = reads.where("voice = 'linear'").select(*read, "train_x", "train_y", "test_x", "ask")
-    fitted = asked.mapInPandas(_linear_answers, "caller string, request_id string, read int, row int, asked array<double>, grid array<double>").withColumn("voice", F.lit("linear"))
+    asked = reads.where("voice = 'linear'").select(*read, "members", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("member"), "train_x", "train_y", "test_x", "ask")
+    fitted = asked.mapInPandas(_linear_answers, "caller string, request_id string, read int, row int, both array<double>, members int")
+    fitted = _members_mean(written(fitted, "fitted")).withColumn("voice", F.lit("linear"))
     asked = reads.where("voice = 'seasonal_naive'").select(*read, "season", "history", "ask", F.posexplode(F.coalesce("horizon", F.array_repeat(F.lit(1), F.size("test_x")))).alias("row", "h"))
     series = asked.withColumn("from", F.expr("array_position(transform(history, y -> y is not null), true)")).where(F.col("from") > 0)
     series = series.select(F.struct(*key, "ask").alias("series"), "season", "h", F.expr("slice(history, `from`, size(history))").alias("ys"))
