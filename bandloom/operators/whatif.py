@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from math import pi
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bandloom.functions.draws import normal, uniform
+from bandloom.functions.draws import digest, normal
 from bandloom.functions.quantiles import GRID
 from bandloom.functions.tables import written
 from bandloom.operators.scores import score
@@ -47,75 +46,97 @@ def grade(world: DataFrame, cut: int, factors: list[float] = FACTORS, elasticity
     return moved.groupBy("factor").agg(F.pow(F.first("factor"), F.lit(1 - elasticity)).alias("true_move"), off(F.col("replay")).alias("replay_off"), off(median).alias("median_off"))
 
 
-#: The rows of one world's context are read by one fit.
-MOST_CONTEXT = 100_000
+#: Rows of a world that its backend reads.
+CONTEXT = 3000
 WORLD = ["world", "member"]
 
 
-def simulate(spark: SparkSession, worlds: int = 1, members: int = 40, months: int = 36, elasticity: float = ELASTICITY, confounding: float = 0.0, noise: float = 0.05) -> DataFrame:
-    """``world, member, t, price, base, season, shock, revenue``: panels whose structure is known, t from 0.
+def fitted(world: DataFrame, cut: int, elasticity: float = ELASTICITY) -> DataFrame:
+    """Rows ``(world, member, t, price, revenue)`` with what moves them, in logs: ``usual`` (price) and ``base`` (volume) of the
+    member before ``cut``, ``season`` of the world's month of the year, also before it, and ``shock`` of its period.
 
-    Members have their own price level and size, prices drift, and with ``confounding`` they lean into the month's shock.
+    A volume is the member's base times season and shock, times a power of the price in units of the usual one; what is
+    left is noise. Members without a row before ``cut`` take no part.
     """
-    at = spark.range(worlds * members * months)
-    df = at.select(F.floor(F.col("id") / (members * months)).cast("long").alias("world"), (F.floor(F.col("id") / months) % members).cast("long").alias("member"), (F.col("id") % months).cast("long").alias("t"))
-    world, member, t = F.col("world"), F.col("member"), F.col("t")
-    df = df.withColumns({
-        "shock": 0.08 * normal("shock", world, t), "base": 100 + 4900 * uniform("base", world, member), "season": 1 + 0.2 * F.sin(2 * pi * (t % 12) / 12),
-    })
-    df = df.withColumn("price", F.exp(0.10 * normal("level", world, member) + 0.05 * normal("drift", world, member, t) + confounding * F.col("shock")))
-    return df.withColumn("revenue", F.col("price") * volume(F.col("price"), noise * normal("landed", world, member, t), elasticity))
+    rows = world.where("price > 0 and revenue > 0").withColumn("moy", F.pmod("t", F.lit(12)))
+    rows = rows.withColumn("p", F.ln("price")).withColumn("v", F.ln("revenue") - F.ln("price"))
+    before = rows.where(F.col("t") < cut)
+    own = before.groupBy(*WORLD).agg(F.avg("p").alias("usual"), F.avg("v").alias("base"))
+    rows = rows.join(own, WORLD).withColumn("rest", F.col("v") - F.col("base") + elasticity * (F.col("p") - F.col("usual")))
+    season = rows.where(F.col("t") < cut).groupBy("world", "moy").agg(F.avg("rest").alias("season"))
+    rows = rows.join(season, ["world", "moy"], "left").withColumn("season", F.coalesce("season", F.lit(0.0)))
+    shock = rows.groupBy("world", "t").agg(F.avg(F.col("rest") - F.col("season")).alias("shock"))
+    return rows.join(shock, ["world", "t"]).select(*WORLD, "t", "price", "usual", "base", "season", "shock")
+
+
+def volume(price: Column, noise: Column, elasticity: float) -> Column:
+    """What a member sells at a price, from the columns of ``fitted``."""
+    return F.exp(F.col("base") + F.col("season") + F.col("shock") - elasticity * (F.ln(price) - F.col("usual")) + noise)
+
 
+def simulated(rows: DataFrame, lean: float = 0.0, noise: float = 0.05, elasticity: float = ELASTICITY) -> DataFrame:
+    """The rows of ``fitted`` once more, with ``revenue`` as the structure says and a draw of noise.
 
-def volume(price: Column, noise: Column, elasticity: float = ELASTICITY) -> Column:
-    """What a member sells at a price, from the columns of its world."""
-    return F.col("base") * F.col("season") * F.exp("shock") * F.pow(price, F.lit(-elasticity)) * F.exp(noise)
+    With ``lean`` the prices also follow the shock of their period, which no column tells a backend.
+    """
+    df = rows.withColumn("price", F.col("price") * F.exp(lean * F.col("shock")))
+    return df.withColumn("revenue", F.col("price") * volume(F.col("price"), noise * normal("landed", *[F.col(c) for c in (*WORLD, "t")]), elasticity))
 
 
-def outcomes(world: DataFrame, cut: int, factors: list[float] = FACTORS, draws: int = 400, elasticity: float = ELASTICITY, noise: float = 0.05) -> DataFrame:
-    """``world, member, t, factor, price, actual, true_median, replay`` from ``cut`` on: the pulled world run ``draws`` times.
+def outcomes(rows: DataFrame, cut: int, factors: list[float] = FACTORS, draws: int = 101, noise: float = 0.05, elasticity: float = ELASTICITY) -> DataFrame:
+    """``world, member, t, factor, price, actual, true_median, replay`` from ``cut`` on: the simulated rows at other prices,
+    drawn ``draws`` times.
 
     The draws of a row are an array in it, so they are never shuffled; the first is what lands.
     """
-    names = [F.col(c) for c in ("world", "member", "t", "factor")]
-    moved = world.where(F.col("t") >= cut).select("*", F.explode(F.array(*[F.lit(float(x)) for x in factors])).alias("factor"))
+    names = [F.col(c) for c in (*WORLD, "t", "factor")]
+    moved = rows.where(F.col("t") >= cut).select("*", F.explode(F.array(*[F.lit(float(x)) for x in factors])).alias("factor"))
     moved = moved.withColumn("pulled", F.col("price") * F.col("factor"))
     runs = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.col("pulled") * volume(F.col("pulled"), noise * normal("pulled", *names, k), elasticity))
     df = moved.withColumn("runs", runs).withColumn("sorted", F.sort_array("runs"))
     median = (F.get("sorted", F.lit((draws - 1) // 2)) + F.get("sorted", F.lit(draws // 2))) / 2
-    return df.select("world", "member", "t", "factor", F.col("pulled").alias("price"), F.get("runs", F.lit(0)).alias("actual"), median.alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
-
+    return df.select(*WORLD, "t", "factor", F.col("pulled").alias("price"), F.get("runs", F.lit(0)).alias("actual"), median.alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
 
-def _called(backend: Backend):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.log(pdf["size"]), pdf["t"] % 12 + 1, pdf["price"], pdf["usual"]])
-        train = pdf["factor"].isna().to_numpy()
-        q = np.sort(backend(x[train], (pdf["revenue"] / pdf["size"]).to_numpy()[train], x[~train], GRID), axis=1)
-        out = pdf.loc[~train, ["world", "member", "t", "factor"]]
-        return out.assign(q=list(q * pdf.loc[~train, "size"].to_numpy()[:, None]))
 
-    return run
+def called(seen: DataFrame, asked: DataFrame, backend: Backend, context: int = CONTEXT) -> DataFrame:
+    """``world, member, t, factor, q``: a backend's percentiles for the rows ``asked``, from the rows ``seen`` of their world.
 
-
-def grade_worlds(spark: SparkSession, backend: Backend, worlds: int = 5, held: int = 6, draws: int = 400, factors: list[float] = FACTORS, members: int = 40, months: int = 36, confounding: float = 0.0, elasticity: float = ELASTICITY, noise: float = 0.05) -> DataFrame:
+    Rows have ``size, usual, price, t``, those seen also ``revenue``, which is read in units of the size. At most ``context`` rows
+    of a world are read, those of least digest; worlds are few, so all contexts are sent to all tasks.
+    """
+    features = lambda pdf: np.column_stack([np.log(pdf["size"]), pdf["t"] % 12 + 1, pdf["price"], pdf["usual"]])
+    place = F.row_number().over(W.partitionBy("world").orderBy(digest("context", *[F.col(c) for c in (*WORLD, "t")]), "member", "t"))
+    held = {world: pdf for world, pdf in seen.withColumn("k", place).where(F.col("k") <= context).toPandas().groupby("world")}
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for world, mine in pdf.groupby("world"):
+                if world in held:
+                    train = held[world]
+                    q = np.sort(backend(features(train), (train["revenue"] / train["size"]).to_numpy(), features(mine), GRID), axis=1)
+                    out.append(mine[[*WORLD, "t", "factor"]].assign(q=list(q * mine["size"].to_numpy()[:, None])))
+            if out:
+                yield pd.concat(out)
+
+    kinds = dict(asked.dtypes)
+    return asked.select(*WORLD, "t", "factor", "price", "size", "usual").mapInPandas(run, f"world {kinds['world']}, member {kinds['member']}, t long, factor double, q array<double>")
+
+
+def grade_worlds(world: DataFrame, backend: Backend, cut: int, lean: float = 0.0, factors: list[float] = FACTORS, draws: int = 101, elasticity: float = ELASTICITY) -> DataFrame:
     """``factor, n, in_support, true_move, replay_move, wql, coverage80, coverage90, width80, pit_ks, median_off, replay_off``.
 
-    Each world is graded by itself: the backend reads the months before the held ones (size, month, price and usual
-    price, revenue in units of the size) and calls the held ones with the price moved. The rounded grades are averaged.
+    Each world of rows ``(world, member, t, price, revenue)`` is graded by itself: the backend reads its simulated periods
+    before ``cut`` (size, month, price and usual price, revenue in units of the size) and calls the later ones with the
+    price moved. The rounded grades of the worlds are averaged.
     """
-    cut = months - held
-    if members * cut > MOST_CONTEXT:
-        raise ValueError(f"a world's context has at most {MOST_CONTEXT} rows")
-    world = simulate(spark, worlds, members, months, elasticity, confounding, noise)
-    seen = world.where(F.col("t") < cut)
-    usual = seen.groupBy(*WORLD).agg(F.avg("revenue").alias("size"), F.exp(F.avg(F.ln("price"))).alias("usual"))
-    truth = written(outcomes(world, cut, factors, draws, elasticity, noise), "worlds")
-    columns = [*WORLD, "t", "factor", "price", "revenue"]
-    rows = seen.withColumn("factor", F.lit(None).cast("double")).select(*columns)
-    rows = rows.unionByName(truth.withColumn("revenue", F.lit(None).cast("double")).select(*columns)).join(usual, WORLD)
-    calls = rows.groupBy("world").applyInPandas(_called(backend), "world long, member long, t long, factor double, q array<double>")
+    rows = written(simulated(fitted(world, cut, elasticity), lean, elasticity=elasticity), "worlds")
+    seen = rows.where(F.col("t") < cut)
+    own = seen.groupBy(*WORLD).agg(F.avg("revenue").alias("size"), F.exp(F.avg(F.ln("price"))).alias("usual"))
+    truth = written(outcomes(rows, cut, factors, draws, elasticity=elasticity), "outcomes")
+    calls = called(seen.drop("usual").join(own, WORLD), truth.join(own, WORLD), backend)
     support = seen.groupBy("world").agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    graded = truth.join(calls, [*WORLD, "t", "factor"]).withColumn("y", F.col("actual")).withColumn("voice", F.lit("called"))
+    graded = written(truth.join(calls, [*WORLD, "t", "factor"]).withColumn("y", F.col("actual")).withColumn("voice", F.lit("called")), "calls")
     keys = ["world", "factor"]
     off = lambda x: F.bround(F.avg(F.abs(x - F.col("true_median")) / F.col("true_median")), 3)
     near = graded.join(support, "world").groupBy(*keys).agg(

@@ -293,18 +293,25 @@ def misfit_requests_query(s, d):
     return found.select("request_id", "row", _r("score"), *[F.round(F.get("shares", F.lit(i)), PLACES).alias(f"share_{i}") for i in range(3)])
 
 
+def _worlds(s, d) -> DataFrame:
+    """The world of each nation: its suppliers' prices and revenues by month."""
+    nations = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("member"), F.col("s_nationkey").cast("long").alias("world"))
+    return _world(s, d).join(nations, "member")
+
+
 def simulated_query(s, d):
-    return whatif.simulate(s, worlds=5).select("world", "member", "t", _r("price"), _r("revenue", 3))
+    return whatif.simulated(whatif.fitted(_worlds(s, d), CUT), lean=1.0).select("world", "member", "t", _r("price"), _r("revenue", 3))
 
 
 def true_median_query(s, d):
-    found = whatif.outcomes(whatif.simulate(s, worlds=2), 30)
+    found = whatif.outcomes(whatif.simulated(whatif.fitted(_worlds(s, d), CUT)), CUT, draws=25)
     return found.select("world", "member", "t", "factor", _r("true_median", 3), _r("actual", 3), _r("replay", 3))
 
 
 def worlds_query(s, d):
     """Two dials: what the grade says where a shock that no column holds moves prices, and where none does."""
-    runs = [whatif.grade_worlds(s, voices.linear, confounding=c).withColumn("confounding", F.lit(c)) for c in (0.0, 1.0)]
+    rows = written(_worlds(s, d), "prices")
+    runs = [whatif.grade_worlds(rows, voices.linear, CUT, lean).withColumn("lean", F.lit(lean)) for lean in (0.0, 1.0)]
     return runs[0].unionByName(runs[1])
 
 
@@ -690,20 +697,24 @@ def _T(text: str) -> str:
     return f"'{text}'"
 
 
-def _simulated(worlds: int) -> str:
-    """CTE sim like whatif.simulate."""
-    return f"""g AS (SELECT w AS world, m AS member, t FROM range({worlds}) a(w), range(40) b(m), range(36) c(t)),
-s1 AS (SELECT *, 0.08 * {_normal(_T('shock'), 'world', 't')} AS shock, 100 + 4900 * {_uniform(_T('base'), 'world', 'member')} AS base, 1 + 0.2 * sin(2 * pi() * (t % 12) / 12) AS season FROM g),
-s2 AS (SELECT *, exp(0.10 * {_normal(_T('level'), 'world', 'member')} + 0.05 * {_normal(_T('drift'), 'world', 'member', 't')}) AS price FROM s1),
-sim AS (SELECT *, price * base * season * exp(shock) * pow(price, {-whatif.ELASTICITY}) * exp(0.05 * {_normal(_T('landed'), 'world', 'member', 't')}) AS revenue FROM s2)"""
+def _simulated(lean: float) -> str:
+    """CTE sim like whatif.simulated of whatif.fitted."""
+    e, drawn = whatif.ELASTICITY, "exp(base + season + shock - {e} * (ln({p}) - usual) + 0.05 * {z})"
+    return f"""{_WORLD}, w0 AS (SELECT s_nationkey::BIGINT AS world, wd.*, t % 12 AS moy, ln(price) AS p, ln(revenue) - ln(price) AS v FROM wd JOIN supplier ON member = s_suppkey WHERE price > 0 AND revenue > 0),
+w1 AS (SELECT w0.*, usual, base, v - base + {e} * (p - usual) AS rest FROM w0 JOIN (SELECT world, member, avg(p) AS usual, avg(v) AS base FROM w0 WHERE t < {CUT} GROUP BY 1, 2) USING (world, member)),
+w2 AS (SELECT w1.*, coalesce(season, 0) AS season FROM w1 LEFT JOIN (SELECT world, moy, avg(rest) AS season FROM w1 WHERE t < {CUT} GROUP BY 1, 2) USING (world, moy)),
+w3 AS (SELECT w2.* EXCLUDE (price), price * exp({lean}::DOUBLE * shock) AS price, shock FROM w2 JOIN (SELECT world, t, avg(rest - season) AS shock FROM w2 GROUP BY 1, 2) USING (world, t)),
+sim AS (SELECT * EXCLUDE (revenue), price * {drawn.format(e=e, p="price", z=_normal(_T('landed'), 'world', 'member', 't'))} AS revenue FROM w3)"""
 
 
-_OUTCOMES = f"""WITH {_simulated(2)}, pu AS (SELECT *, price * factor AS pulled FROM sim, (SELECT unnest({whatif.FACTORS}::DOUBLE[]) AS factor) WHERE t >= 30),
-dr AS (SELECT world, member, t, factor, k, revenue * factor AS replay, pulled * base * season * exp(shock) * pow(pulled, {-whatif.ELASTICITY}) * exp(0.05 * {_normal(_T('pulled'), 'world', 'member', 't', 'factor', 'k')}) AS run FROM pu, range(400) d(k))
+_OUTCOMES = f"""WITH {_simulated(0.0)}, pu AS (SELECT *, price * factor AS pulled FROM sim, (SELECT unnest({whatif.FACTORS}::DOUBLE[]) AS factor) WHERE t >= {CUT}),
+dr AS (SELECT world, member, t, factor, k, revenue * factor AS replay, pulled * exp(base + season + shock - {whatif.ELASTICITY} * (ln(pulled) - usual) + 0.05 * {_normal(_T('pulled'), 'world', 'member', 't', 'factor', 'k')}) AS run FROM pu, range(25) d(k))
 SELECT world, member, t, factor, round(median(run), 3) AS true_median, round(max(CASE WHEN k = 0 THEN run END), 3) AS actual, round(any_value(replay), 3) AS replay FROM dr GROUP BY ALL"""
-_SYNTHETIC = f"""WITH g AS (SELECT s AS series, k FROM range(12) a(s), range(60) b(k)),
-v AS (SELECT series, k, 50 + 4950 * {_uniform(_T('level'), _T('0'), 'series')} AS level, 0.004 * {_normal(_T('trend'), _T('0'), 'series')} AS trend, 0.05 * {_normal(_T('noise'), _T('0'), 'series', 'k')} AS noise FROM g)
-SELECT series, 24228 + k AS t, (k % 12 + 1)::INT AS moy, round(level * (1 + trend * k + 0.2 * sin(2 * pi() * (k % 12) / 12) + noise), 4) AS y FROM v"""
+_SYNTHETIC = f"""WITH f0 AS (SELECT l_suppkey AS series, {_MONTH.format('l_shipdate')} AS t, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2), f AS (SELECT * FROM f0 WHERE t < (SELECT max(t) FROM f0)),
+g AS (SELECT f.*, level + coalesce(slope, 0) * (t - middle) AS line FROM f JOIN (SELECT series, avg(y) AS level, avg(t) AS middle, regr_slope(y, t) AS slope FROM f GROUP BY 1) USING (series)),
+fs AS (SELECT series, t, line * season * (1 + 0.05 * {_normal(_T('noise'), 'series', 't')}) AS y FROM g JOIN (SELECT t % 12 AS moy, sum(y) / sum(line) AS season FROM g GROUP BY 1) ON moy = t % 12),
+e AS (SELECT series, min(t) AS first, max(t) AS last FROM fs GROUP BY series), m AS (SELECT last, min(first) AS start FROM e GROUP BY last ORDER BY count(*) DESC, last LIMIT 1)
+SELECT e.series, g.t, (g.t % 12 + 1)::INT AS moy, round(fs.y, 4) AS y FROM e JOIN m USING (last) CROSS JOIN (SELECT unnest(generate_series(m.start, m.last)) AS t FROM m) g LEFT JOIN fs ON fs.series = e.series AND fs.t = g.t"""
 _PARITY = f"""WITH {_panel('supplier_qty')}, {_origins(3)}, {_naive('[1]', BANDS)}, {_regression(BANDS)},
 b AS (SELECT series, origin, max(abs(rq.q - nq.q) / greatest(1, abs(nq.q))) AS dev, any_value(tr.y) AS y, {", ".join(f"max(CASE WHEN level = {k + 1} THEN {v}q.q END) AS {v}{k}" for v in "rn" for k in range(5))}
  FROM rq JOIN nq USING (series, origin, h, level) LEFT JOIN tr ON tr.series = nq.series AND tr.t = origin + h - 1 GROUP BY 1, 2)
@@ -757,7 +768,7 @@ SELECT series::VARCHAR AS request_id, CASE WHEN known < 3 THEN 422 END::INT AS s
     "stream_record": _STREAMED,
     "stream_requests": _REQUESTED,
     "misfit_lowest": f"SELECT o_orderkey, score, CASE WHEN share_o_cust <= share_o_totalprice THEN 'o_cust' ELSE 'o_totalprice' END AS cell FROM ({_PAIR}) ORDER BY score, o_orderkey LIMIT 50",
-    "whatif_simulated": f"WITH {_simulated(5)} SELECT world, member, t, round(price, {PLACES}) AS price, round(revenue, 3) AS revenue FROM sim",
+    "whatif_simulated": f"WITH {_simulated(1.0)} SELECT world, member, t, round(price, {PLACES}) AS price, round(revenue, 3) AS revenue FROM sim",
     "whatif_true_median": _OUTCOMES,
     "parity_report": _PARITY,
     "panel_synthetic": _SYNTHETIC,

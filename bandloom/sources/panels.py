@@ -7,12 +7,10 @@ that of the calendar. Absent periods are NULL, never NaN.
 
 from __future__ import annotations
 
-from math import pi
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.functions.draws import normal, uniform
+from bandloom.functions.draws import normal
 from bandloom.functions.tables import written
 
 
@@ -119,13 +117,15 @@ def sparse_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(counts, ["series", "t"], "left").select("series", "t", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def synthetic(spark: SparkSession, series: int = 12, months: int = 60, seed: int = 0) -> DataFrame:
-    """A shared season, and a level and a trend of each series' own, from January 2019 on."""
-    df = spark.range(series * months).select(F.floor(F.col("id") / months).cast("long").alias("series"), (F.col("id") % months).cast("long").alias("k"))
-    own, k = [str(seed), F.col("series")], F.col("k")
-    level, trend = 50 + 4950 * uniform("level", *own), 0.004 * normal("trend", *own)
-    y = level * (1 + trend * k + 0.2 * F.sin(2 * pi * (k % 12) / 12) + 0.05 * normal("noise", *own, k))
-    return df.select("series", (2019 * 12 + k).alias("t"), y.alias("y"))
+def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twin of ``supplier_qty`` without its noise: each series' own level and trend, the season that all share, and small draws."""
+    facts = supplier_qty(spark, sf_dir)
+    own = facts.groupBy("series").agg(F.avg("y").alias("level"), F.avg("t").alias("middle"), F.coalesce(F.regr_slope("y", F.col("t").cast("double")), F.lit(0.0)).alias("slope"))
+    rows = facts.join(own, "series").withColumn("moy", F.pmod("t", F.lit(12)))
+    line = F.col("level") + F.col("slope") * (F.col("t") - F.col("middle"))
+    season = rows.groupBy("moy").agg((F.sum("y") / F.sum(line)).alias("season"))  # twelve rows
+    y = line * F.col("season") * (1 + 0.05 * normal("noise", F.col("series"), F.col("t")))
+    return rows.join(F.broadcast(season), "moy").select("series", "t", y.alias("y"))
 
 
 def head(hist: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -135,7 +135,7 @@ def head(hist: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 #: Name -> (facts, season).
-PANELS = {"supplier_qty": (supplier_qty, 12), "flag_qty": (flag_qty, 12), "nation_sales": (nation_sales, 12), "event_hours": (event_hours, 24), "sparse_user": (sparse_user, 7), "synthetic": (lambda spark, sf_dir: synthetic(spark), 12)}
+PANELS = {"supplier_qty": (supplier_qty, 12), "flag_qty": (flag_qty, 12), "nation_sales": (nation_sales, 12), "event_hours": (event_hours, 24), "sparse_user": (sparse_user, 7), "synthetic": (synthetic, 12)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:

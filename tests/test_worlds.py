@@ -1,4 +1,4 @@
-"""Simulated worlds, parity, kept contexts, misfit requests, encoding: hand-worked rows and properties."""
+"""Worlds, parity, kept contexts, misfit requests, encoding: hand-worked rows and properties."""
 
 import json
 
@@ -25,28 +25,52 @@ def test_draws(spark):
     assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and abs(np.corrcoef(z, w)[0, 1]) < 0.03
 
 
-def test_truth_moves_by_the_elasticity(spark):
-    world = whatif.simulate(spark, worlds=2, members=6, months=12)
-    rows = whatif.outcomes(world, 9, [1.0, 2.0], draws=201, noise=0.0).collect()
-    assert len(rows) == 2 * 6 * 3 * 2 and all(r.actual == pytest.approx(r.true_median) for r in rows)
-    by = {(r.world, r.member, r.t, r.factor): r for r in rows}
+def _made(spark, worlds=2, members=6, periods=36, noise=0.0, seed=3):
+    """Rows whose structure is that of ``whatif.fitted``."""
+    rng, rows = np.random.default_rng(seed), []
+    for w in range(worlds):
+        shock = rng.normal(0, 0.1, periods)
+        for m in range(members):
+            base, usual = rng.normal(5, 1), rng.normal(1, 0.2)
+            for t in range(periods):
+                p = usual + rng.normal(0, 0.1)
+                v = base + 0.2 * np.sin(2 * np.pi * (t % 12) / 12) + shock[t] - whatif.ELASTICITY * (p - usual) + noise * rng.normal()
+                rows.append((w, m, t, float(np.exp(p)), float(np.exp(p + v))))
+    return spark.createDataFrame(rows, "world long, member long, t long, price double, revenue double")
+
+
+def test_the_structure_is_found_and_moves_by_the_elasticity(spark):
+    world = _made(spark)
+    rows = whatif.fitted(world, 30)
+    again = {(r.world, r.member, r.t): r.revenue for r in whatif.simulated(rows, noise=0.0).collect()}
+    assert all(again[r.world, r.member, r.t] == pytest.approx(r.revenue) for r in world.collect())
+    found = whatif.outcomes(whatif.simulated(rows, noise=0.0), 30, [1.0, 2.0], draws=11, noise=0.0).collect()
+    assert len(found) == 2 * 6 * 6 * 2 and all(r.actual == pytest.approx(r.true_median) for r in found)
+    by = {(r.world, r.member, r.t, r.factor): r for r in found}
     for (w, m, t, f), r in by.items():
         if f == 2.0:
             assert r.true_median / by[w, m, t, 1.0].true_median == pytest.approx(2**-0.5) and r.replay / by[w, m, t, 1.0].replay == pytest.approx(2)
-    with pytest.raises(ValueError):
-        whatif.grade_worlds(spark, voices.linear, members=10**6)
+    leaning = whatif.simulated(rows, lean=1.0).select("world", "member", "t", F.col("price").alias("moved"), "shock").join(rows.select("world", "member", "t", "price"), ["world", "member", "t"])
+    assert all(r.moved == pytest.approx(r.price * np.exp(r.shock)) for r in leaning.collect())
 
 
-def test_a_backend_that_knows_the_structure_covers_what_it_says(spark):
-    def knows(train_x, train_y, test_x, levels):
-        shape = lambda x: 1 + 0.2 * np.sin(2 * np.pi * ((x[:, 1] - 1) % 12) / 12)
-        ratio = train_y / (shape(train_x) * (train_x[:, 2] / train_x[:, 3]) ** -0.5)
-        return (shape(test_x) * (test_x[:, 2] / test_x[:, 3]) ** -0.5)[:, None] * np.quantile(ratio, levels)[None, :]
+def test_calls_read_a_bounded_context_of_their_own_world(spark):
+    seen = spark.createDataFrame([(w, m, t, 2.0, 10.0 * (w + 1), 5.0, 2.0) for w in (0, 1) for m in range(4) for t in range(20)], "world long, member long, t long, price double, revenue double, size double, usual double")
+    asked = spark.createDataFrame([(w, m, 20, 1.5, 3.0, 5.0, 2.0) for w in (0, 1, 2) for m in range(4)], "world long, member long, t long, factor double, price double, size double, usual double")
 
-    got = {r.factor: r for r in whatif.grade_worlds(spark, knows, worlds=3, draws=51).collect()}
-    assert set(got) == {1.0, 0.9, 1.1, 1.5} and got[1.5].true_move == 0.816 and got[1.5].in_support < got[1.0].in_support == 1
-    assert all(r.n == 240 and r.median_off < 0.12 and r.coverage80 > 0.6 for r in got.values())
-    assert got[1.5].replay_off > 0.7 > got[1.0].replay_off
+    def spy(train_x, train_y, test_x, levels):
+        assert len(train_x) == 30 and len(set(train_y)) == 1
+        return np.full((len(test_x), len(levels)), train_y[0])
+
+    got = {(r.world, r.member): r.q[0] for r in whatif.called(seen, asked, spy, context=30).collect()}
+    assert got == {(w, m): 10.0 * (w + 1) for w in (0, 1) for m in range(4)}
+
+
+def test_grades_of_worlds(spark):
+    grades = {r.factor: r for r in whatif.grade_worlds(_made(spark, worlds=3, members=30, noise=0.05), voices.linear, 30, draws=21).collect()}
+    assert set(grades) == {1.0, 0.9, 1.1, 1.5} and grades[1.5].true_move == 0.816 and grades[1.5].in_support < grades[1.0].in_support
+    assert all(r.n == 30 * 6 and 0 < r.median_off < 1 for r in grades.values()) and grades[1.0].coverage80 > 0.5
+    assert grades[1.5].replay_off > 0.7 > grades[1.0].replay_off
 
 
 def test_parity(spark):
