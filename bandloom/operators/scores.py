@@ -73,5 +73,6 @@ def score(df: DataFrame, keys: list[str] | None = None, places: int | None = Non
 
 def summed_horizons(df: DataFrame, upto: int) -> DataFrame:
     """The totals of periods 1 to ``upto``: y and the sorted quantiles summed level by level; all periods must be called."""
-    levels = F.array(*[F.sum(F.get("q", F.lit(i))) for i in range(99)])
-    return df.where(F.col("h") <= upto).groupBy("voice", "series", "origin").agg(F.count("*").alias("m"), F.sum("y").alias("y"), levels.alias("q")).where(F.col("m") == upto).drop("m")
+    own = df.where(F.col("h") <= upto).groupBy("voice", "series", "origin").agg(F.sum("y").alias("y"), F.array_sort(F.collect_list(F.struct("h", "q"))).alias("made")).where(F.size("made") == upto)
+    none = F.array_repeat(F.lit(0.0), 99)
+    return own.select("voice", "series", "origin", "y", F.aggregate("made", none, lambda a, m: F.zip_with(a, m["q"], lambda x, y: x + y)).alias("q"))

@@ -58,7 +58,8 @@ def naive_calls(df: DataFrame, levels: list[float] | Column) -> DataFrame:
 def linear_reads(train_x: np.ndarray, train_y: np.ndarray, test_x: np.ndarray, levels: list[float]) -> np.ndarray:
     """``linear`` for many reads of one shape as one stacked solve: (reads, test rows, levels)."""
     mean, std = train_x.mean(1, keepdims=True), train_x.std(1, keepdims=True)
-    std[std == 0] = 1.0
+    # The deviation of a constant feature may come out as a trace of rounding.
+    std[(std == 0) | (train_x.max(1, keepdims=True) == train_x.min(1, keepdims=True))] = 1.0
     design = lambda x: np.concatenate([np.ones((*x.shape[:2], 1)), (x - mean) / std], 2)
     x = design(train_x)
     across = x.transpose(0, 2, 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import GRID
 from bandloom.functions.tables import written
-from bandloom.operators import calibration, ensembles, features, scores, voices
+from bandloom.operators import calibration, ensembles, features, scores, stacked, voices
 from bandloom.sources.panels import panel, trimmed
 
 
@@ -69,6 +69,8 @@ def build(name: str, c: Context) -> DataFrame:
             if c.default is None:
                 raise ValueError(f"{name!r} needs default records")
             made = calibration.calibrated(build(rest, c), c.rows, c.at, calibration.record_of(c.default, rest, c.window), c.exact, _past(rest, c))
+        elif kind in ("walk", "seasonal") and rest in stacked.BACKENDS:
+            made = written(stacked.walk(c.hist, c.at, c.horizons, GRID, stacked.BACKENDS[rest], kind == "seasonal", c.season), "fits")
         elif kind in ("walk", "seasonal") and rest in voices.BACKENDS:
             made = written(voices.walk_backend(c.rows, c.at, c.horizons, GRID, voices.BACKENDS[rest], kind == "seasonal"), "fits")
         elif kind == "series" and rest in ensembles.SERIES:
