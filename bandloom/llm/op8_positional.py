@@ -5,7 +5,8 @@ documents: its terms, and for each term the positions at which it occurs. It is
 so phrases and proximity questions read postings and never the texts. A phrase is answered inside a segment:
 the lists of its terms, shifted by their offsets, are intersected from the rarest term on. A document
 lies in one segment and positions of two documents never touch, so segments need nothing from each other and
-no posting is shuffled. Items are sent to the segments in blocks of at most ``BLOCK_BYTES`` of text.
+no posting is shuffled. Items are sent to the segments in blocks of at most ``BLOCK_BYTES`` of text, each window under its
+rarest word: a first pass over the segments' terms tells how often the words of a block occur.
 """
 
 from __future__ import annotations
@@ -129,26 +130,59 @@ class Segment:
                 yield d, int(at[lo] - self.starts[d]), int(at[hi] - self.starts[d]) + length
 
 
-def _asked(sent, window: int, reach: int | None):
+def _frequencies(sent):
+    """How often each of some words occurs, from the terms and the list lengths of segments alone."""
+
+    def run(batches):
+        counts: dict[bytes, int] = {}
+        for b in batches:
+            for terms, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if ends:
+                    own = dict(zip(terms.split(b"\n"), np.diff(ends, prepend=0).tolist(), strict=True))
+                    for word in own.keys() & sent.value:
+                        counts[word] = counts.get(word, 0) + own[word]
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def _anchored(items: list[tuple[int | None, list[bytes]]], counts: dict[bytes, int], window: int | None) -> dict[bytes, list[tuple[int, int]]]:
+    """(item's place, window's start) by the rarest word of each window; a window with a word that no text has can't occur.
+
+    Without ``window`` an item is one window.
+    """
+    anchors: dict[bytes, list[tuple[int, int]]] = {}
+    for k, (_, text) in enumerate(items):
+        n = len(text) if window is None else min(window, len(text))
+        often = [counts.get(w, 0) for w in text]
+        for i in range(len(text) - n + 1):
+            least = min(range(i, i + n), key=often.__getitem__)
+            if often[least]:
+                anchors.setdefault(text[least], []).append((k, i))
+    return anchors
+
+
+def _asked(sent, window: int | None, reach: int):
+    """What segments have of items: a segment's terms are met with the windows' rarest words, and only windows whose rarest
+    word it has are looked up. So the work follows the terms and what is found, not the number of items."""
     kind = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(batches):
+        items, anchors = sent.value
         for b in batches:
             for row in b.to_pylist():
-                s, found = Segment(row), []
-                for item, text in sent.value:
-                    terms = [s.terms.get(w, -1) for w in text]
-                    if reach is not None:
-                        at, n = (s.near(terms, reach), 1) if -1 not in terms else (np.empty(0, np.int64), 1)
-                    else:
-                        n, at = min(window, len(terms)), [np.empty(0, np.int64)]
-                        absent = -1
-                        for i, t in enumerate(terms):
-                            absent = i if t < 0 else absent
-                            if i - absent >= n:
-                                at.append(s.phrase(terms[i - n + 1 : i + 1]))
-                        at = np.concatenate(at)
-                    found += [(s.name, d, s.ids[d], item, lo, hi) for d, lo, hi in s.spans(at, n)]
+                s, found, hits = Segment(row), [], {}
+                for word in s.terms.keys() & anchors.keys():
+                    for k, i in anchors[word]:
+                        text = items[k][1]
+                        terms = [s.terms.get(w, -1) for w in (text if window is None else text[i : i + window])]
+                        if -1 not in terms:
+                            at = s.near(terms, reach) if window is None else s.phrase(terms)
+                            if len(at):
+                                hits.setdefault(k, []).append(at)
+                for k, at in hits.items():
+                    n = 1 if window is None else min(window, len(items[k][1]))
+                    found += [(s.name, d, s.ids[d], items[k][0], lo, hi) for d, lo, hi in s.spans(np.concatenate(at), n)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True) if found else [[]] * 6, kind, strict=True)], schema=kind)
 
     return run
@@ -157,7 +191,7 @@ def _asked(sent, window: int, reach: int | None):
 MATCHES = "segment string, place int, doc_id long, item_id long, start int, stop int"
 
 
-def _matches(index: DataFrame, items: DataFrame, window: int, reach: int | None, id_col: str, text_col: str) -> DataFrame:
+def _matches(index: DataFrame, items: DataFrame, window: int | None, reach: int, id_col: str, text_col: str) -> DataFrame:
     """Each block of items over all segments, one after the other, so that driver and tasks hold one block only."""
     spark = index.sparkSession
     items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -165,8 +199,13 @@ def _matches(index: DataFrame, items: DataFrame, window: int, reach: int | None,
     path = f"{shared_dir(spark)}/bandloom-matches-{uuid.uuid4().hex}"
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        sent = spark.sparkContext.broadcast([(r.item_id, w) for r in rows if (w := words(r.text))])
+        asked = [(r.item_id, w) for r in rows if (w := words(r.text))]
+        sought = spark.sparkContext.broadcast({word for _, text in asked for word in text})
+        counts = index.select("terms", "ends").mapInArrow(_frequencies(sought), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = {bytes(r.word): r.n for r in counts.collect()}  # of the block's words
+        sent = spark.sparkContext.broadcast((asked, _anchored(asked, counts, window)))
         index.mapInArrow(_asked(sent, window, reach), MATCHES).write.mode("append").parquet(path)
+        sought.destroy()
         sent.destroy()
     return spark.read.schema(MATCHES).parquet(path)
 
@@ -177,18 +216,20 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, id_col:
     A window is ``window`` consecutive words of an item; an item of fewer words is one window. Items without
     text or words take no part. ``segment`` and ``place`` name the row of the documents.
     """
-    return _matches(index, items, window, None, id_col, text_col)
+    return _matches(index, items, window, 0, id_col, text_col)
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, reach: int = 20, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Positions of an item's rarest word that have all its other words within ``reach`` words, in any order."""
-    return _matches(index, items, 0, reach, id_col, text_col)
+    return _matches(index, items, None, reach, id_col, text_col)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Windows of items without item_id hit words like any other, but have no name: n_items and items_sha256 leave them out.
+    A null or wordless text has no words and is clean; rows that repeat are judged each, very long texts whole. An empty
+    table has no result; without items nothing is hit. Other columns are ignored.
     """
     return _contamination(docs, items, window).drop("text_key")
 
