@@ -2,8 +2,8 @@
 
 The index is a table of segments. A segment holds the postings of about ``SEGMENT_WORDS`` words of whole
 documents: its terms, and for each term the positions at which it occurs. It is written to the shared folder,
-so phrases and proximity questions read postings and never the texts. A phrase is answered inside a segment:
-the lists of its terms, shifted by their offsets, are intersected from the rarest term on. A document
+so phrases and proximity questions read postings and never the texts. Phrases are answered inside a segment:
+the lists of their terms, shifted by their offsets, are intersected from the rarest term on, many phrases side by side. A document
 lies in one segment and positions of two documents never touch, so segments need nothing from each other and
 no posting is shuffled. Items are sent to the segments in blocks of at most ``BLOCK_BYTES`` of text, each window under its
 rarest word: a first pass over the segments' terms tells how often the words of a block occur.
@@ -24,6 +24,10 @@ from .shared import bounded, materialize, shared_dir
 
 SEGMENT_WORDS = 1_000_000
 BLOCK_BYTES = 32_000_000
+#: Windows whose lists are intersected side by side.
+TOGETHER = 4096
+#: Positions of their rarest words that are held at once.
+HELD = 2_000_000
 #: Contaminated ids that may be broadcast to drop documents; more are joined by a shuffle.
 PICKED = 1_000_000
 #: Bytes that end a word become blanks, A-Z become a-z, all bytes of other characters stay.
@@ -92,20 +96,30 @@ class Segment:
         self.ends = np.array(row["ends"], np.int64)
         self.where = np.cumsum(np.frombuffer(row["gaps"], "<i4"), dtype=np.int64)
         self.count = np.diff(self.ends, prepend=0)
+        # Terms with their positions, in order: whether a term stands somewhere is one search.
+        self.keys = (np.repeat(np.arange(len(self.count)), self.count) << 32) | self.where
 
     def postings(self, term: int) -> np.ndarray:
         return self.where[self.ends[term] - self.count[term] : self.ends[term]]
 
-    def phrase(self, terms: list[int]) -> np.ndarray:
-        """Positions where the terms stand one after another."""
-        order = sorted(range(len(terms)), key=lambda i: self.count[terms[i]])
-        at = self.postings(terms[order[0]]) - order[0]
-        for i in order[1:]:
-            if not len(at):
-                break
-            p = self.postings(terms[i])
-            at = at[p[np.minimum(np.searchsorted(p, at + i), len(p) - 1)] == at + i]
-        return at
+    def phrases(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the windows (a row of terms each, all of one length) stand where.
+
+        The lists of all windows are intersected side by side, each from its rarest term on.
+        """
+        count = self.count[windows]
+        offset = np.argsort(count, 1, kind="stable")
+        terms = np.take_along_axis(windows, offset, 1)
+        size = self.count[terms[:, 0]]
+        which = np.repeat(np.arange(len(windows)), size)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        at = self.where[(self.ends[terms[:, 0]] - size)[which] + place] - offset[which, 0]
+        which, at = which[at >= 0], at[at >= 0]
+        for i in range(1, windows.shape[1]):
+            want = (terms[which, i] << 32) | (at + offset[which, i])
+            there = self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want
+            which, at = which[there], at[there]
+        return which, at
 
     def near(self, terms: list[int], reach: int) -> np.ndarray:
         """Positions of the rarest term that have every other term of their document within ``reach`` words."""
@@ -167,19 +181,32 @@ def _asked(sent, window: int | None, reach: int):
     word it has are looked up. So the work follows the terms and what is found, not the number of items."""
     kind = pa.schema([("segment", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
+    def places(s: Segment, items: list, met: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, positions) of the windows that may be there."""
+        codes = {k: np.array([s.terms.get(w, -1) for w in items[k][1]], np.int64) for k in {k for k, _ in met}}
+        if window is None:
+            yield from ((k, s.near(codes[k].tolist(), reach)) for k, _ in met if codes[k].min() >= 0)
+            return
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for k, i in met:
+            by_size.setdefault(min(window, len(codes[k])), []).append((k, i))
+        for n, some in by_size.items():
+            for lo in range(0, len(some), TOGETHER):
+                rows = np.stack([codes[k][i : i + n] for k, i in some[lo : lo + TOGETHER]])
+                whole = np.flatnonzero((rows >= 0).all(1))
+                size = s.count[rows[whole]].min(1)
+                part = (np.cumsum(size) - size) // HELD  # of lists that are held at once
+                for mine in (whole[part == p] for p in np.unique(part)):
+                    which, at = s.phrases(rows[mine])
+                    yield from ((some[lo + mine[w]][0], at[which == w]) for w in np.unique(which))
+
     def run(batches):
         items, anchors = sent.value
         for b in batches:
             for row in b.to_pylist():
                 s, found, hits = Segment(row), [], {}
-                for word in s.terms.keys() & anchors.keys():
-                    for k, i in anchors[word]:
-                        text = items[k][1]
-                        terms = [s.terms.get(w, -1) for w in (text if window is None else text[i : i + window])]
-                        if -1 not in terms:
-                            at = s.near(terms, reach) if window is None else s.phrase(terms)
-                            if len(at):
-                                hits.setdefault(k, []).append(at)
+                for k, at in places(s, items, [x for word in s.terms.keys() & anchors.keys() for x in anchors[word]]):
+                    hits.setdefault(k, []).append(at)
                 for k, at in hits.items():
                     n = 1 if window is None else min(window, len(items[k][1]))
                     found += [(s.name, d, s.ids[d], items[k][0], lo, hi) for d, lo, hi in s.spans(np.concatenate(at), n)]
