@@ -76,3 +76,14 @@ def summed_horizons(df: DataFrame, upto: int) -> DataFrame:
     own = df.where(F.col("h") <= upto).groupBy("voice", "series", "origin").agg(F.sum("y").alias("y"), F.array_sort(F.collect_list(F.struct("h", "q"))).alias("made")).where(F.size("made") == upto)
     none = F.array_repeat(F.lit(0.0), 99)
     return own.select("voice", "series", "origin", "y", F.aggregate("made", none, lambda a, m: F.zip_with(a, m["q"], lambda x, y: x + y)).alias("q"))
+
+
+def encoded(graded: DataFrame) -> DataFrame:
+    """Scores as JSON lines, a column ``value``; what has no number is null."""
+    finite = [F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in graded.dtypes]
+    return graded.select(F.to_json(F.struct(*finite), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def sink(graded: DataFrame, path: str) -> None:
+    """Writes scores as JSON lines."""
+    encoded(graded).write.text(path)

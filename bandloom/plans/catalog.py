@@ -192,6 +192,19 @@ def request_members_query(s, d):
     return requests.answers(requests.checked(requests.parsed(lines))).select("request_id", "read", "row", "voice", "level", _r("q"))
 
 
+def calibrated_walk_query(s, d):
+    """As walk_calibrated, with ties below the quantiles, so that SQL can follow."""
+    hist, season = panels.kept(s, d, "supplier_qty")
+    return _scored(backtest.walk(hist, ["seasonal_naive", "cal:seasonal_naive"], 6, 6, 1, season, exact=False), ["voice"])
+
+
+def calibrated_projection_query(s, d):
+    """As cal_project, with ties below the quantiles."""
+    hist, season = panels.kept(s, d, "supplier_qty")
+    points = backtest.project(hist, ["seasonal_naive", "cal:seasonal_naive"], 12, 2, season, burn=6, exact=False)
+    return _scored(points.where(F.col("h").isin(backtest.scored_horizons(12))), ["voice", "h"])
+
+
 def tied_walk_query(s, d):
     """A panel of many zeros: values that tie with quantiles are placed among them by a draw."""
     hist, season = panels.kept(s, d, "sparse_user")
@@ -516,6 +529,8 @@ QUERIES = {
     "stream_record": stream_record_query,
     "stream_requests": stream_requests_query,
     "walk_series": series_walk_query,
+    "walk_calibrated_untied": calibrated_walk_query,
+    "cal_project_untied": calibrated_projection_query,
     "request_members": request_members_query,
 }
 
@@ -624,6 +639,32 @@ c AS (SELECT origin, h, b.bin, coalesce(n, 0) + 1e-9::DOUBLE AS n FROM keys CROS
 s AS (SELECT origin, h, bin, n / sum(n) OVER k AS w, sum(n) OVER (PARTITION BY origin, h ORDER BY bin) / sum(n) OVER k AS hi FROM c WINDOW k AS (PARTITION BY origin, h)),
 t AS (SELECT origin, h, sum(n) AS total FROM rec GROUP BY 1, 2), a AS (SELECT unnest({BANDS}) AS alpha, unnest(range(1, 6))::INT AS level)
 SELECT origin, h, level, round(CASE WHEN any_value(total) < 100 THEN any_value(alpha) ELSE arg_min((bin + (alpha - (hi - w)) / w) / 100.0::DOUBLE, bin) END, {PLACES}) AS read_at FROM t JOIN s USING (origin, h) CROSS JOIN a WHERE hi >= alpha GROUP BY 1, 2, 3"""
+_BINS = """pit AS (SELECT v.series, v.origin, v.h, sum((q < y)::INT) / 100.0::DOUBLE AS p FROM nq v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE y IS NOT NULL GROUP BY 1, 2, 3),
+b0 AS (SELECT *, least(floor(p * 100)::INT, 99) AS b FROM pit),
+bins AS (SELECT series, origin, h, (b - (p < b * 0.01::DOUBLE)::INT + (b <> 99 AND p >= (b + 1) * 0.01::DOUBLE)::INT)::INT AS bin FROM b0)"""
+#: CTEs from nq, bins and o: pts, with the calls as they are and as their records of the origin read them.
+_CALIBRATED = f"""{_RECORD}, keys AS (SELECT DISTINCT origin, h FROM nq), t AS (SELECT origin, h, sum(n) AS total FROM rec GROUP BY 1, 2),
+c AS (SELECT origin, h, b.bin, coalesce(n, 0) + 1e-9::DOUBLE AS n FROM keys CROSS JOIN (SELECT unnest(range(100)) AS bin) b LEFT JOIN rec USING (origin, h, bin)),
+s AS (SELECT origin, h, bin, n / sum(n) OVER k AS w, sum(n) OVER (PARTITION BY origin, h ORDER BY bin) / sum(n) OVER k AS hi FROM c WINDOW k AS (PARTITION BY origin, h)),
+a AS (SELECT unnest({GRID}) AS alpha, unnest(range(1, 100))::INT AS level),
+lv AS (SELECT origin, h, level, CASE WHEN coalesce(any_value(total), 0) < 100 THEN any_value(alpha) ELSE arg_min((bin + (alpha - (hi - w)) / w) / 100.0::DOUBLE, bin) END AS read_at FROM s CROSS JOIN a LEFT JOIN t USING (origin, h) WHERE hi >= alpha GROUP BY 1, 2, 3),
+qa AS (SELECT series, origin, h, list(q ORDER BY level) AS qs FROM nq GROUP BY 1, 2, 3),
+pl AS (SELECT series, origin, h, level, qs, 98 * least(greatest((read_at - 0.01::DOUBLE) / (0.99::DOUBLE - 0.01::DOUBLE), 0), 1) AS p FROM qa JOIN lv USING (origin, h)),
+cal AS (SELECT series, origin, h, level, qs[floor(p)::INT + 1] + (qs[least(floor(p)::INT + 1, 98) + 1] - qs[floor(p)::INT + 1]) * (p - floor(p)) AS q FROM pl),
+pts AS (SELECT v.*, tr.y FROM (SELECT 'seasonal_naive' AS voice, series, origin, h, level, q FROM nq UNION ALL SELECT 'cal:seasonal_naive', * FROM cal) v JOIN tr ON tr.series = v.series AND tr.t = v.origin + v.h - 1 WHERE tr.y IS NOT NULL AND v.origin IN (SELECT origin FROM sc))"""
+_WALK_CALIBRATED = f"WITH {_panel('supplier_qty')}, {_origins(12)}, sc AS (SELECT origin FROM o ORDER BY origin DESC LIMIT 6), {_naive('[1]', GRID)}, {_BINS}, {_graded(_CALIBRATED, 2)}"
+_CAL_PROJECT = f"""WITH {_panel('supplier_qty')}, e0 AS (SELECT max(t) + 1 AS stop FROM p), sc AS (SELECT stop - 12 - 12 * k AS origin FROM e0, (SELECT unnest(range(2)) AS k)),
+o AS (SELECT origin FROM sc UNION ALL SELECT stop - 36 - k FROM e0, (SELECT unnest(range(6)) AS k)), {_naive('[1, 3, 6, 12]', GRID)}, {_BINS}, {_graded(_CALIBRATED, 2, 'voice, h')}"""
+_DEFAULTS = f"""WITH {_panel('supplier_qty')},
+ys AS (SELECT series, i, t, CASE WHEN count(y) OVER b = 12 THEN sum(y) OVER b END AS y FROM tr WINDOW b AS (PARTITION BY series ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+y0 AS (SELECT series, min(t) AS from_t FROM ys WHERE y IS NOT NULL GROUP BY series), yt AS (SELECT series, (t - from_t)::INT AS i, t, y FROM ys JOIN y0 USING (series) WHERE t >= from_t),
+both_ AS (SELECT 1 AS "window", bin FROM (WITH {_origins(18)}, {_naive('[1]', GRID)}, {_BINS} SELECT bin FROM bins)
+ UNION ALL SELECT 12, bin FROM (WITH {_origins(18, 1, 12)}, {_naive('[12]', GRID, 12, 'yt')}, {_BINS.replace("JOIN tr ON tr.series = v.series AND tr.t", "JOIN yt ON yt.series = v.series AND yt.t")} SELECT bin FROM bins)),
+rec AS (SELECT "window", bin, count(*) AS n FROM both_ GROUP BY 1, 2), z AS (SELECT "window", sum(n) AS total FROM rec GROUP BY 1),
+c AS (SELECT z."window", b.bin, coalesce(n, 0) * {float(200)}::DOUBLE / total + 1e-9::DOUBLE AS n FROM z CROSS JOIN (SELECT unnest(range(100)) AS bin) b LEFT JOIN rec ON rec."window" = z."window" AND rec.bin = b.bin),
+s AS (SELECT "window", bin, n / sum(n) OVER k AS w, sum(n) OVER (PARTITION BY "window" ORDER BY bin) / sum(n) OVER k AS hi FROM c WINDOW k AS (PARTITION BY "window")),
+a AS (SELECT unnest({BANDS}) AS alpha, unnest(range(1, 6))::INT AS level)
+SELECT 'seasonal_naive' AS voice, "window"::INT AS "window", level, round(arg_min((bin + (alpha - (hi - w)) / w) / 100.0::DOUBLE, bin), {PLACES}) AS read_at FROM s CROSS JOIN a WHERE hi >= alpha GROUP BY "window", level"""
 _WORLD = f"wd AS (SELECT l_suppkey AS member, {_MONTH.format('l_shipdate')} AS t, sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_extendedprice) AS revenue FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) > 0)"
 _USUAL = f"us AS (SELECT member, avg(revenue) AS size, exp(avg(ln(price))) AS usual FROM wd WHERE t < {CUT} GROUP BY 1)"
 _PULLED = f"pu AS (SELECT member, t, factor, price * factor AS price, revenue * pow(factor, {1 - whatif.ELASTICITY}) AS truth, revenue * factor AS replay FROM wd, (SELECT unnest({whatif.FACTORS}::DOUBLE[]) AS factor) WHERE t >= {CUT})"
@@ -763,6 +804,9 @@ SELECT series::VARCHAR AS request_id, CASE WHEN known < 3 THEN 422 END::INT AS s
     "request_refusals": _REFUSED,
     "request_levels": _OFF_GRID,
     "pinned_points": _PINNED,
+    "walk_calibrated_untied": _WALK_CALIBRATED,
+    "cal_project_untied": _CAL_PROJECT,
+    "default_record_levels": _DEFAULTS,
     "panel_arrays": _panel_oracle("supplier_qty"),
     "walk_table_function": f"WITH {_panel('supplier_qty')}, {_origins(3)}, {_naive('[1]', BANDS)} SELECT {_LONG} FROM nq",
     "stream_record": _STREAMED,

@@ -1,8 +1,11 @@
-"""Stacked walks against the walk that fits one series and origin after the other."""
+"""The command line, and stacked walks against the walk that fits one series and origin after the other."""
+
+import json
 
 import numpy as np
 import pytest
 
+from bandloom import __main__ as command
 from bandloom.functions.quantiles import BANDS
 from bandloom.operators import stacked, voices
 from bandloom.sources import panels
@@ -31,3 +34,14 @@ def test_quantiles_of_known_values():
     v, known = rng.normal(size=(5, 30)), rng.random((5, 30)) < 0.5
     got = stacked.quantiles(v, known, BANDS)
     assert all(np.allclose(got[i], np.quantile(v[i, known[i]], BANDS)) for i in range(5))
+
+
+def test_the_command_line(spark, tmp_path, capsys):
+    command.main(["/root/testdata/sf0.001", "--voices", "seasonal_naive, cal:seasonal_naive", "--burn", "6"])
+    printed = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert sorted(r["voice"] for r in printed) == ["cal:seasonal_naive", "seasonal_naive"] and all(r["n"] > 0 and 0 <= r["coverage80"] <= 1 for r in printed)
+    command.main(["/root/testdata/sf0.001", "--panel", "flag_qty", "--voices", "seasonal_naive", "--ahead", "6", "--origins", "1", "--sample", "2", "--out", f"{tmp_path}/scores"])
+    kept = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/scores").collect()]
+    assert sorted(r["h"] for r in kept) == [1, 3, 6] and all(r["n"] <= 2 for r in kept)
+    with pytest.raises(SystemExit):
+        command.main(["/root/testdata/sf0.001", "--panel", "nothing"])
