@@ -174,7 +174,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score``.
 
     held_out: crc32 of doc_id as text is divisible by 5; such rows, and rows without doc_id, are never learned
-    from. Texts without a letter, and all texts if nothing can be learned, are ``und`` with score 0.
+    from. Texts without a letter, and all texts if nothing can be learned, are ``und`` with score 0. Rows that repeat
+    an id and a text are learned once and predicted each, alike; very long texts are read whole; an empty table has no
+    result. What is learned is held by the driver: about SAMPLE rows, and weights for each language that occurs.
+    Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(_learnable(docs, id_col, text_col, lang_col)))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _held_out(id_col).alias("held_out"))
