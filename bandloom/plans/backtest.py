@@ -44,31 +44,35 @@ def _each(horizons: list[int], make) -> DataFrame:
 
 def _past(name: str, c: Context) -> DataFrame:
     """The calls of a voice that its records are made of."""
-    made = build(name, c)
+    made = build(name, c, 1)
     if c.early is None:
         return made
     late = made.where(~F.col("h").isin(c.early)).join(F.broadcast(c.scored), "origin", "left_semi")
     return made.where(F.col("h").isin(c.early)).unionByName(late.select(*made.columns))
 
 
-def build(name: str, c: Context) -> DataFrame:
+def build(name: str, c: Context, window: int | None = None) -> DataFrame:
     """Bands of a named voice, made once a context; what Python fits is written, so that it is fitted once.
 
     ``seasonal_naive``, ``regression``, ``pooled``, ``walk:<backend>``, ``seasonal:<backend>``, ``pooled:<backend>``,
     ``series:<series backend>``;
     ``cal:<voice>`` and ``dcal:<voice>`` read a voice through its record (dcal: also the default one, of the context's
-    records ``(voice, window, counts)``); ``blend:<voice>+<voice>``.
+    records ``(voice, window, counts)``); ``blend:<voice>+<voice>``. ``window``, else the context's, says which default record a
+    ``dcal`` reads. What a ``cal`` or a ``dcal`` reads is asked as a voice of single periods: a ``dcal`` inside it, also in a
+    blend, reads the periods' record, whatever is summed.
     """
-    if name not in c.made:
+    window = c.window if window is None else window
+    key = f"{name}@{window}"
+    if key not in c.made:
         kind, _, rest = name.partition(":")
         if kind == "blend" and "+" in rest:
-            made = voices.blend([build(v, c) for v in rest.split("+")])
+            made = voices.blend([build(v, c, window) for v in rest.split("+")])
         elif kind == "cal" and rest:
-            made = calibration.calibrated(build(rest, c), c.rows, c.at, None, c.exact, _past(rest, c))
+            made = calibration.calibrated(build(rest, c, 1), c.rows, c.at, None, c.exact, _past(rest, c))
         elif kind == "dcal" and rest:
             if c.default is None:
                 raise ValueError(f"{name!r} needs default records")
-            made = calibration.calibrated(build(rest, c), c.rows, c.at, calibration.record_of(c.default, rest, c.window), c.exact, _past(rest, c))
+            made = calibration.calibrated(build(rest, c, 1), c.rows, c.at, calibration.record_of(c.default, rest, window), c.exact, _past(rest, c))
         elif kind in ("walk", "seasonal") and rest in stacked.BACKENDS:
             made = written(stacked.walk(c.hist, c.at, c.horizons, GRID, stacked.BACKENDS[rest], kind == "seasonal", c.season), "fits")
         elif kind in ("walk", "seasonal") and rest in voices.BACKENDS:
@@ -83,8 +87,10 @@ def build(name: str, c: Context) -> DataFrame:
             made = written(_each(c.horizons, lambda h: voices.pooled(c.rows, c.at, h, GRID, voices.BACKENDS.get(rest))), "fits")
         else:
             raise ValueError(f"unknown voice {name!r}")
-        c.made[name] = made
-    return c.made[name]
+        c.made[key] = made
+        if "dcal:" not in name:
+            c.made |= {f"{name}@{w}": made for w in (1, c.window)}
+    return c.made[key]
 
 
 def walk(hist: DataFrame, names: list[str], months: int = 12, burn: int = 12, h: int = 1, season: int = 12, default: DataFrame | None = None, exact: bool = True) -> DataFrame:

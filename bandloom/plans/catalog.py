@@ -682,7 +682,7 @@ l AS (SELECT o_orderkey, x - mx AS dx, y - my AS dy, vx, vy, c, vy - c * c / vx
 n AS (SELECT o_orderkey, -0.5 * ln(2 * pi() * vx) - dx * dx / (2 * vx) AS fx, -0.5 * ln(2 * pi() * vy) - dy * dy / (2 * vy) AS fy,
  -0.5 * ln(2 * pi() * vyx) - pow(dy - c / vx * dx, 2) / (2 * vyx) AS fyx, -0.5 * ln(2 * pi() * vxy) - pow(dx - c / vy * dy, 2) / (2 * vxy) AS fxy FROM l)
 SELECT o_orderkey, round((fx + fyx + fy + fxy) / 2, {PLACES}) AS score, round((fx + fxy) / 2, {PLACES}) AS share_o_totalprice, round((fy + fyx) / 2, {PLACES}) AS share_o_cust FROM n"""
-_JOBS = "jobs AS (SELECT s_nationkey::VARCHAR || '|' || o_orderpriority AS queue, l_orderkey * 1000000 + l_suppkey AS job, l_suppkey AS caller, any_value(o_orderdate)::DATE AS since, max(l_shipdate)::DATE AS till, sum(l_quantity)::BIGINT AS cells FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, o_orderpriority, l_orderkey, l_suppkey)"
+_JOBS = "jobs AS (SELECT s_nationkey::VARCHAR || '|' || o_orderpriority AS queue, l_orderkey * 1000000 + l_suppkey AS job, l_suppkey AS caller, any_value(o_orderdate)::DATE AS since, max(l_shipdate)::DATE AS till, sum(l_quantity)::BIGINT AS cells, max(l_discount) AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, o_orderpriority, l_orderkey, l_suppkey)"
 _WAITS = "list_sum([0] || list_transform({}, lambda x: x.cells))"
 #: A step of all queues a round; what waits in each is a list.
 _ADMISSION = f"""WITH RECURSIVE {_JOBS},
@@ -694,6 +694,28 @@ st(queue, k, held, job, status) AS (SELECT DISTINCT queue, 0::BIGINT, []::STRUCT
   WHEN {_WAITS.format("list_filter(st.held, lambda x: x.caller = e.caller)")} + e.cells > {QUEUE_CELLS * 0.5} OR {_WAITS.format("st.held")} + e.cells > {QUEUE_CELLS} THEN 'busy' ELSE 'admitted' END AS status
   FROM st JOIN e ON e.queue = st.queue AND e.k = st.k + 1))
 SELECT queue, job, caller, cells, status, ({_WAITS.format("held")})::BIGINT AS waiting FROM st JOIN jobs USING (queue, job)"""
+_HALF = QUEUE_CELLS * 0.5
+#: A step is a row of the log or, inside a cycle, the look at one caller's first job.
+_CYCLES = f"""WITH RECURSIVE {_JOBS}, m AS (SELECT *, date_trunc('month', since)::DATE AS month FROM jobs),
+log AS (SELECT queue, month AS day, 2 AS step, job, caller, cells, CASE WHEN discount >= 0.1 THEN 'misfit' ELSE 'bands' END AS kind, CASE WHEN discount >= 0.05 THEN 8 ELSE 1 END AS members FROM m
+ UNION ALL SELECT DISTINCT queue, (month + INTERVAL 1 MONTH)::DATE, 1, 0, 0, 0, '', 0 FROM m),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY day, step, job) AS k FROM log), z AS MATERIALIZED (SELECT queue, max(k) AS stop FROM e GROUP BY 1),
+st(queue, k, waits, due, scan, serving, taken, members, budget, again, cycles, job, status, cycle, place) AS (
+ SELECT queue, 0::BIGINT, []::STRUCT(job BIGINT, caller BIGINT, cells BIGINT, kind VARCHAR, members INT)[], []::BIGINT[], []::BIGINT[], false, 0, 0, 0::BIGINT, false, 0, NULL::BIGINT, NULL::VARCHAR, NULL::INT, NULL::INT FROM z
+ UNION ALL SELECT queue, CASE WHEN reads THEN k + 1 ELSE k END,
+  CASE WHEN let = 'admitted' THEN list_append(waits, own) WHEN fits THEN rest ELSE waits END,
+  CASE WHEN let = 'admitted' AND NOT list_contains(due, own.caller) THEN list_append(due, own.caller) WHEN fits THEN list_filter(due, lambda x: x <> first.caller) || CASE WHEN len(list_filter(rest, lambda x: x.caller = first.caller)) > 0 THEN [first.caller] ELSE [] END ELSE due END,
+  CASE WHEN opens OR (serving AND len(scan) = 0) THEN due ELSE scan[2:] END, opens OR (serving AND NOT ends),
+  CASE WHEN opens THEN 0 WHEN fits THEN taken + 1 ELSE taken END, CASE WHEN fits AND taken = 0 THEN first.members ELSE members END, CASE WHEN opens THEN {CYCLE_CELLS} WHEN fits THEN budget - first.cells ELSE budget END,
+  CASE WHEN opens OR (serving AND len(scan) = 0) THEN false ELSE again OR fits END, CASE WHEN ends AND (fits OR taken > 0) THEN cycles + 1 ELSE cycles END,
+  CASE WHEN let <> 'admitted' THEN own.job WHEN fits THEN first.job END, CASE WHEN let <> 'admitted' THEN let WHEN fits THEN 'admitted' END, CASE WHEN fits THEN cycles + 1 END, CASE WHEN fits THEN taken + 1 END
+ FROM (SELECT *, fits AND first.kind <> 'bands' OR serving AND len(scan) = 0 AND NOT (again_round AND len(due) > 0) AS ends, list_filter(waits, lambda x: x.job <> first.job) AS rest
+  FROM (SELECT *, coalesce(serving AND len(scan) > 0 AND (taken = 0 OR first.kind = 'bands' AND first.members = members AND first.cells <= budget), false) AS fits
+   FROM (SELECT st.*, e.k IS NOT NULL AS reads, NOT serving AND (e.k IS NULL OR e.step = 1) AS opens, list_filter(waits, lambda x: x.caller = st.scan[1])[1] AS first, st.again AS again_round,
+     struct_pack(job := e.job, caller := e.caller, cells := e.cells, kind := e.kind, members := e.members) AS own,
+     CASE WHEN e.step = 2 THEN CASE WHEN e.cells > {_HALF} THEN 'too_large' WHEN {_WAITS.format("list_filter(waits, lambda x: x.caller = e.caller)")} + e.cells > {_HALF} OR {_WAITS.format("waits")} + e.cells > {QUEUE_CELLS} THEN 'busy' ELSE 'admitted' END END AS let
+    FROM st JOIN z ON z.queue = st.queue LEFT JOIN e ON e.queue = st.queue AND e.k = st.k + 1 AND NOT serving WHERE serving OR st.k < stop OR len(waits) > 0))))
+SELECT queue, job, caller, cells, status, cycle, place FROM st JOIN jobs USING (queue, job)"""
 _LATE = ["none", "longest_window", "actual", "salt", "horizon", "no_history"]
 _SHORT = "a read needs two training rows and one train_y each"
 _CASES = ", ".join("('{}', {}, {}, {})".format(n, status or "NULL", f"'{reason}'" if reason else "NULL", n in _LATE) for n, _, _, status, reason in REFUSALS)
@@ -801,6 +823,7 @@ SELECT series::VARCHAR AS request_id, CASE WHEN known < 3 THEN 422 END::INT AS s
     "misfit_pair": _PAIR,
     "misfit_pair_folds": _PAIR_FOLDS,
     "queue_admission": _ADMISSION,
+    "queue_cycles": _CYCLES,
     "request_refusals": _REFUSED,
     "request_levels": _OFF_GRID,
     "pinned_points": _PINNED,

@@ -262,6 +262,20 @@ def test_default_records_by_window(spark):
     assert len(raw) == len(read) == 12 and {tuple(r.q) for r in raw} != {tuple(r.q) for r in read}
 
 
+def test_a_default_record_inside_another_is_that_of_periods(spark):
+    rng = np.random.default_rng(9)
+    hist = spark.createDataFrame([(i, 0, rng.normal(50, 5, 90).tolist()) for i in range(12)], "series long, start long, ys array<double>")
+    low, high = [1000.0] + [0.0] * 99, [0.0] * 99 + [1000.0]
+    records = spark.createDataFrame([("seasonal_naive", 1, low), ("seasonal_naive", 12, high)], "voice string, window int, counts array<double>")
+    at = spark.createDataFrame([(80,)], "origin long")
+    told = lambda name, window: {r.series: r.q[49] for r in backtest.build(name, backtest.Context(hist, at, [1], default=records, window=window)).collect()}
+    raw, periods, totals = told("seasonal_naive", 12), told("dcal:seasonal_naive", 1), told("dcal:seasonal_naive", 12)
+    assert all(periods[s] < raw[s] < totals[s] for s in raw)
+    # Alone and in a blend the window counts; read through a further record it doesn't.
+    blend, nested = told("blend:dcal:seasonal_naive+dcal:seasonal_naive", 12), told("cal:blend:dcal:seasonal_naive+dcal:seasonal_naive", 12)
+    assert all(blend[s] == pytest.approx(totals[s]) and nested[s] == pytest.approx(periods[s]) for s in raw)
+
+
 def test_burned_origins_feed_scored_horizons_only(spark):
     rng = np.random.default_rng(7)
     hist = spark.createDataFrame([(i, 0, rng.normal(50, 5, 84).tolist()) for i in range(30)], "series long, start long, ys array<double>")
