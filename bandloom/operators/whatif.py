@@ -48,6 +48,8 @@ def grade(world: DataFrame, cut: int, factors: list[float] = FACTORS, elasticity
 
 #: Rows of a world that its backend reads.
 CONTEXT = 3000
+#: Rows that are called with one copy of a context, about.
+CALLED = 20_000
 WORLD = ["world", "member"]
 
 
@@ -102,25 +104,27 @@ def called(seen: DataFrame, asked: DataFrame, backend: Backend, context: int = C
     """``world, member, t, factor, q``: a backend's percentiles for the rows ``asked``, from the rows ``seen`` of their world.
 
     Rows have ``size, usual, price, t``, those seen also ``revenue``, which is read in units of the size. At most ``context`` rows
-    of a world are read, those of least digest; worlds are few, so all contexts are sent to all tasks.
+    of a world are read, those of least digest. What a world asks is dealt in parts of about CALLED rows, each of which gets
+    the context, so that no task holds a world.
     """
     features = lambda pdf: np.column_stack([np.log(pdf["size"]), pdf["t"] % 12 + 1, pdf["price"], pdf["usual"]])
     place = F.row_number().over(W.partitionBy("world").orderBy(digest("context", *[F.col(c) for c in (*WORLD, "t")]), "member", "t"))
-    held = {world: pdf for world, pdf in seen.withColumn("k", place).where(F.col("k") <= context).toPandas().groupby("world")}
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for world, mine in pdf.groupby("world"):
-                if world in held:
-                    train = held[world]
-                    q = np.sort(backend(features(train), (train["revenue"] / train["size"]).to_numpy(), features(mine), GRID), axis=1)
-                    out.append(mine[[*WORLD, "t", "factor"]].assign(q=list(q * mine["size"].to_numpy()[:, None])))
-            if out:
-                yield pd.concat(out)
+    held = seen.withColumn("k", place).where(F.col("k") <= context).select("world", "t", "price", "size", "usual", "revenue")
+    parts = asked.groupBy("world").agg(F.ceil(F.count("*") / CALLED).cast("int").alias("parts"))
+    dealt = asked.join(parts, "world").withColumn("part", F.pmod(F.xxhash64("member", "t", "factor"), F.col("parts")).cast("int"))
+    held = held.join(parts, "world").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def run(train: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if not len(train) or not len(mine):
+            return pd.DataFrame({c: [] for c in (*WORLD, "t", "factor", "q")}, dtype=object)
+        train = train.sort_values([*train.columns])  # rows come in any order
+        q = np.sort(backend(features(train), (train["revenue"] / train["size"]).to_numpy(), features(mine), GRID), axis=1)
+        return mine[[*WORLD, "t", "factor"]].assign(q=list(q * mine["size"].to_numpy()[:, None]))
 
     kinds = dict(asked.dtypes)
-    return asked.select(*WORLD, "t", "factor", "price", "size", "usual").mapInPandas(run, f"world {kinds['world']}, member {kinds['member']}, t long, factor double, q array<double>")
+    held = held.toDF(*held.columns)  # columns of its own, where both sides come from one table
+    both = held.groupBy("world", "part").cogroup(dealt.select(*WORLD, "t", "factor", "price", "size", "usual", "part").groupBy("world", "part"))
+    return both.applyInPandas(run, f"world {kinds['world']}, member {kinds['member']}, t long, factor double, q array<double>")
 
 
 def grade_worlds(world: DataFrame, backend: Backend, cut: int, lean: float = 0.0, factors: list[float] = FACTORS, draws: int = 101, elasticity: float = ELASTICITY) -> DataFrame:
