@@ -23,6 +23,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_templates": op4_templates.ORACLE,
     "op4_whole_lines": op4_templates.ORACLE,
+    "op5_suffixes": op5_suffixes.ORACLE,
     "op6_randomness": op6_randomness.ORACLE,
     "op7_mixing": op7_mixing.ORACLE,
     "op8_positional": op8_positional.ORACLE,

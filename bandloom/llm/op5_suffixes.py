@@ -199,3 +199,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return df.select("doc_id", "n_words", covered.alias("n_repeated"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias("spans"))
+
+
+#: Each window is spelled out, so this is for small tables.
+ORACLE = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT rid, i, md5(array_to_string(w[i:i + {MIN_WORDS - 1}], ' ')) AS x FROM (SELECT *, unnest(range(1, len(w) - {MIN_WORDS - 2})) AS i FROM d)),
+f AS (SELECT x FROM s GROUP BY x HAVING count(DISTINCT rid) > 1),
+covered AS (SELECT DISTINCT rid, unnest(range(i, i + {MIN_WORDS})) AS p FROM s SEMI JOIN f USING (x)),
+runs AS (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS run FROM covered),
+spans AS (SELECT rid, min(p) - 1 AS start, max(p) AS stop FROM runs GROUP BY rid, run),
+told AS (SELECT rid, sum(stop - start)::BIGINT AS n, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (rid)
+"""

@@ -121,6 +121,10 @@ def test_templates_need_evidence_and_documents(spark):
     assert got[200] == [0, 1, 2, 3, 4] and all(got[201 + i] == [0] for i in range(4))
 
 
+def test_passages_equal_sql(spark):
+    assert same(op5_suffixes.query(spark, SMALL), SMALL, op5_suffixes.ORACLE) == ""
+
+
 def repeats(rows, n=op5_suffixes.MIN_WORDS):
     words = [(i, (t or "").encode().lower().split()) for i, (_, t) in enumerate(rows)]
     seen = {}
