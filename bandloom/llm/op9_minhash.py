@@ -8,9 +8,14 @@ Jaccard similarity of the full shingle sets confirms them.
   least half of a sketch, but for a chance below 1e-5 at k = 64. So a class needs only its rarest
   ``k/2 + 1`` retained values as list entries (the prefix filter); values that only one class retains
   count as entries but need no list. What many texts share is frequent and seldom enters a prefix.
+  What this and the sketches of unions miss costs no link: the last step is exact.
 * Each list has a hub, its member whose retained values are the most frequent ones: the most central of the
   copies. All members are tested against their hubs, as a star. So a group of n near copies costs about n tests.
-* What confirmed links leave in different components of a group is searched again, by its full sets and for links
+* A longer sketch, in proportion to the set, finds every class that may still have a link to another component
+  (``_open``). With s values, of which alike sets of at least that size miss m at most, the l-th least value in common
+  is among the m + l least of both sets. So of the m + s/12 + 1 least values of a class about a fifth must occur
+  in such sketches of other components, or it has no link there. A shared line or passage is no such fifth of a long text.
+* These classes are searched again, by their full sets and for links
   between components only (``_between``). The values are ordered by how many of these texts hold them, those
   of a single component first; alike texts then share one of the first quarter of their values, and the smaller of two
   one of its first seventh. A passage that many otherwise different texts share comes last in that order, so
@@ -26,8 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WordHashes, ascii_words, bounded, counted_join, materialize, shingle_set
+from .shared import HOT_KEYS, WordHashes, ascii_words, bounded, counted_join, materialize, shingle_set
 
+#: A class shows one value in EXTRA more than the least common one needs: see _open.
+EXTRA = 12
 #: Members that are verified against one hub in one group.
 CHUNK = 64
 #: Members of a list that meet in one key of a join.
@@ -38,22 +45,27 @@ HELD = 100_000
 PICKED = 1_000_000
 
 
-def _sketches(k: int, n: int):
+def _shown(size: int, percent: int) -> int:
+    """How many of its least values a set of ``size`` shows in the search for links that sketches missed."""
+    return size * (100 - percent) // 100 + size // EXTRA + 1
+
+
+def _sketches(k: int, n: int, percent: int):
     def run(batches):
         table = WordHashes()
         for b in batches:
-            nodes, sizes, sketches = [], [], []
+            nodes, sizes, least = [], [], []
             for text in b.column(1).to_pylist():
                 words = ascii_words(text)
                 full = shingle_set(table.array(words), n)
                 nodes.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(full))
-                sketches.append(full[:k])
-            ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int64), *sketches])
+                least.append(full[: max(k, _shown(len(full), percent))])
+            ends = np.cumsum([0, *map(len, least)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *least])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
-                ["doc_id", "node", "size", "sketch"],
+                ["doc_id", "node", "size", "least"],
             )
 
     return run
@@ -109,6 +121,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.unionByName(hubs).groupBy("u", "chunk").applyInArrow(_confirm(percent), "u long, v long")
 
 
+def _open(placed: DataFrame, percent: int) -> DataFrame:
+    """``(rid, root)`` of the classes ``placed(rid, root, size, least)`` that may be alike to one of another root.
+
+    Sets of a >= b values that are alike share at least b' = ceil(percent * a / 100) of them, and b >= b'. Each misses a share of
+    (100 - percent) / 100 of its own values at most, so the first b' / EXTRA + 1 values in common are among those shown by both.
+    """
+    shown = F.expr(f"cast(size * {100 - percent} div 100 + size div {EXTRA} + 1 as int)")
+    values = placed.select("rid", "root", F.explode(F.slice("least", F.lit(1), shown)).alias("value"))
+    mixed = values.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    mixed = materialize(mixed.select("value", "n"), "met")
+    met = counted_join(values.select("rid", "value"), mixed, "value", "n", "left_semi", HELD).groupBy("rid").agg(F.count("*").alias("met"))
+    need = f"met > (size * {percent} + 99) div 100 div {EXTRA}"
+    return met.join(placed.select("rid", "root", "size"), "rid").where(need).select("rid", "root")
+
+
 def _between(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of ``apart(rid, root)`` of different roots that may be alike, by prefixes of ``sets(rid, full)``.
 
@@ -120,7 +147,7 @@ def _between(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Values of one root come first and need no list; then the rarest.
     mixed = values.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     mixed = materialize(mixed.select("value", "n"), "mixed")
-    many = values.select("rid", "value").join(mixed, "value").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("many"))
+    many = counted_join(values.select("rid", "value"), mixed, "value", "n", held=HELD).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("many"))
     rows = many.join(known.drop("full"), "rid").withColumn("own", F.col("size") - F.size("many"))
     need = F.expr(f"size - cast(ceil(size * {percent} / 100.0D) as int) + 1 - own")
     rows = rows.withColumn("need", need).where("need > 0").select("rid", "root", "size", "own", F.posexplode(F.slice("many.value", F.lit(1), F.col("need"))).alias("at", "value"))
@@ -169,7 +196,8 @@ def _alike(k: int, similarity: float) -> str:
 def _told_alike(pairs: DataFrame, cands: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (u, v) that the sketches of their union do not rule out."""
     side = lambda name: cands.select(F.col("rid").alias(f"{name}_rid"), F.struct("size", "sketch").alias(name))
-    both = pairs.join(side("a"), F.col("u") == F.col("a_rid")).join(side("b"), F.col("v") == F.col("b_rid"))
+    hubs = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")).join(side("a"), F.col("u") == F.col("a_rid")).select("u", "a", "n"), "told")
+    both = counted_join(pairs, hubs, "u", "n", held=HOT_KEYS).join(side("b"), F.col("v") == F.col("b_rid"))
     return both.where(_alike(k, similarity)).select("u", "v")
 
 
@@ -181,33 +209,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. Rows that repeat a doc_id each get the component of their text. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = materialize(docs.mapInArrow(_sketches(k, shingle), "doc_id long, node binary, size long, sketch array<long>"), "sketches")
-    reps = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    percent = round(similarity * 100)
+    base = materialize(docs.mapInArrow(_sketches(k, shingle, percent), "doc_id long, node binary, size long, least array<long>"), "sketches")
+    reps = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("least").alias("least"))
     # The number of a class is fixed once the table is written.
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")
-    entries = reps.select("rid", F.explode("sketch").alias("value"))
-    shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    many = entries.join(shared, "value").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("many"), F.sum(F.log2("df")).alias("central"))
+    sketched = reps.withColumn("sketch", F.slice("least", 1, k)).drop("least")
+    entries = sketched.select("rid", F.explode("sketch").alias("value"))
+    shared = materialize(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    many = counted_join(entries, shared, "value", "df", held=HELD).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("many"), F.sum(F.log2("df")).alias("central"))
     # The rarest values come first: those of one class, then by (df, value); half the sketch and one are needed.
     held = reps.select("rid", F.least(F.col("size"), F.lit(k)).cast("int").alias("held"))
     need = F.col("held") - F.ceil(F.col("held") / 2).cast("int") + 1 - (F.col("held") - F.size("many"))
     first = materialize(many.join(held, "rid").withColumn("need", need).where("need > 0").select("rid", "central", F.slice("many.value", F.lit(1), F.col("need")).alias("values")), "prefixes")
-    cands = materialize(reps.join(bounded(first.select("rid"), PICKED), "rid"), "candidates")
     lists = first.select("rid", "central", F.explode("values").alias("value"))
     hubs = lists.groupBy("value").agg(F.max_by("rid", F.struct("central", "rid")).alias("u"), F.count("*").alias("n")).where("n > 1")
     hubs = materialize(hubs, "hubs")
     stars = materialize(counted_join(lists, hubs, "value", "n", held=HELD).where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
-    percent = round(similarity * 100)
+    cands = materialize(sketched.join(bounded(first.select("rid"), PICKED), "rid"), "candidates")
     near = materialize(_told_alike(stars, cands, k, similarity), "near")
-    sets = _full_sets(near.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, cands, shingle)
+    sets = _full_sets(near.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, sketched, shingle)
     links = materialize(_verified(near, sets, percent), "links")
-    roots = components(links)
-    groups = stars.select("u", F.col("v").alias("rid")).unionByName(stars.select("u", F.col("u").alias("rid")).distinct())
-    groups = materialize(groups.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "groups")
-    split = groups.groupBy("u").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("u", "n")
-    apart = materialize(counted_join(groups, materialize(split, "split"), "u", "n", "left_semi", HELD).select("rid", "root").distinct(), "apart")
-    sets = _full_sets(apart.select("rid"), docs, cands, shingle)
-    rest = materialize(_told_alike(_between(apart, sets, percent), cands, k, similarity), "rest")
+    roots = materialize(components(links).withColumnRenamed("node", "rid"), "roots")
+    placed = reps.select("rid", "size", "least").join(bounded(roots, PICKED), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    apart = materialize(_open(placed, percent), "apart")
+    sets = _full_sets(apart.select("rid"), docs, sketched, shingle)
+    rest = materialize(_between(apart, sets, percent), "rest")
     roots = components(links.unionByName(_verified(rest, sets, percent)))
     named = reps.select("rid", "node", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

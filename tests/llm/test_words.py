@@ -76,6 +76,23 @@ def test_near_duplicates_around_a_passage_at_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op9_minhash.near_duplicates(docs).collect()} == near(rows)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_no_link_is_lost_by_small_sketches(spark, k):
+    # Texts of 30 to 200 words, each with words changed so that similarities lie on both sides of the threshold, in chains.
+    rng = np.random.default_rng(k)
+    rows = []
+    for g in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 50_000, 30 + int(rng.integers(170)))]
+        for _ in range(6):
+            rows.append((int(rng.integers(1 << 40)), " ".join(w)))
+            for i in rng.integers(0, len(w), max(1, len(w) // 33)):
+                w[i] = f"n{rng.integers(1 << 40)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op9_minhash.near_duplicates(docs, k=k).collect()} == want
+    assert 40 < sum(kept for *_, kept in want.values()) < 240
+
+
 def test_near_duplicates_of_many_unlike_texts_around_a_passage(spark):
     rng = np.random.default_rng(9)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10_000_000, n)]
