@@ -172,13 +172,14 @@ def _written(spec, end_id: int, bits: bool):
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The files of all rows of ``docs`` in ascending doc_id order (null first; ties by text), as a written table.
 
-    A null text is empty: its document has the end id only. ``bits``: 32 bit planes rather than 4 byte planes.
+    A null text is empty: its document has the end id only. Rows that repeat are a document each, and a very long text is
+    one document of one shard. The files mark a null doc_id by -2^63, so that id is read back as null. ``bits``: 32 bit planes rather than 4 byte planes.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    # Some partitions more than usual: a range holds whole documents, and their lengths differ.
-    dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id are dealt by how their texts begin, which keeps the order.
+    dealt = docs.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return materialize(dealt.mapInArrow(_written(spec, end_id, bits), "part int, shard int, n_ids long, payload binary"), "planes")
 
 
