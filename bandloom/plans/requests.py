@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -292,17 +293,46 @@ def misfit_cost(x: Column, folds: Column) -> Column:
     return 2 * width * width * F.size(x) * folds
 
 
+#: Rows of answers that a task makes at a time.
+TOGETHER = 10_000
+
+
+def _matrix(rows: pa.ListScalar) -> np.ndarray:
+    """Rows of one length as a matrix, NaN for null, without a Python object a cell."""
+    return rows.values.flatten().to_numpy(zero_copy_only=False).reshape(len(rows.values), -1)
+
+
 def _frames(batches):
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples():
-            shares = frame_shares(np.array([[np.nan if v is None else v for v in row] for row in r.x], float), int(r.folds))
-            cells = [[None if np.isnan(v) else float(v) for v in row] for row in shares]
-            out += [(r.caller, r.request_id, i, float(np.nansum(s)), c if r.columns else None) for i, (s, c) in enumerate(zip(shares, cells, strict=True))]
-        yield pd.DataFrame(out, columns=["caller", "request_id", "row", "score", "shares"])
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        """The answers of some frames ``(caller, request_id, shares, columns)``."""
+        n = [len(shares) for _, _, shares, _ in rows]
+        scores = np.concatenate([np.nansum(shares, 1) for _, _, shares, _ in rows])
+        told = [shares if columns else shares[:, :0] for _, _, shares, columns in rows]
+        flat = np.concatenate([t.ravel() for t in told])
+        ends = np.concatenate([[0], np.cumsum(np.repeat([t.shape[1] for t in told], n))])
+        absent = np.repeat([not columns for *_, columns in rows], n)
+        shares = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, mask=np.isnan(flat)), mask=pa.array(absent))
+        names = [pa.array([r[c] for r in rows], kinds[c]).take(pa.array(np.repeat(np.arange(len(rows)), n))) for c in (0, 1)]
+        place = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+        return pa.RecordBatch.from_arrays([*names, pa.array(place), pa.array(scores), shares], ["caller", "request_id", "row", "score", "shares"])
+
+    for b in batches:
+        held, n = [], 0
+        for i in range(len(b)):
+            caller, name, x, columns, folds = (c[i] for c in b.columns)
+            shares = frame_shares(_matrix(x), folds.as_py())
+            held.append((caller.as_py(), name.as_py(), shares, columns.as_py()))
+            n += len(shares)
+            if n >= TOGETHER:
+                yield made(held)
+                held, n = [], 0
+        if held:
+            yield made(held)
 
 
 def misfit_answers(requests: DataFrame) -> DataFrame:
     """``caller, request_id, row, score, shares`` of the frames without refusal; ``shares`` by column where asked, else null."""
     good = requests.where("refusal is null").select("caller", "request_id", "x", "columns", "folds")
-    return good.mapInPandas(_frames, "caller string, request_id string, row int, score double, shares array<double>")
+    return good.mapInArrow(_frames, "caller string, request_id string, row int, score double, shares array<double>")
