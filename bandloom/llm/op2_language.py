@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import mix
+from .shared import mix, pieces
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
@@ -103,7 +103,7 @@ def train(rows: list[tuple[str, np.ndarray]], idf: np.ndarray) -> Model:
 
 def _frequencies(batches):
     letters, df, docs = _letters(), np.zeros(BUCKETS, np.int64), 0
-    for b in batches:
+    for b in pieces(batches):
         for text in b.column(0).to_pylist():
             df += counts(text, letters) > 0
             docs += 1
@@ -118,7 +118,7 @@ def _sparse(total: np.ndarray) -> bytes:
 
 def _sampled(batches):
     letters = _letters()
-    for b in batches:
+    for b in pieces(batches):
         raw = [_sparse(counts(t, letters)) if has_letter(t) else None for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["place", "lang", "raw"])
 
@@ -146,7 +146,7 @@ def fit(docs: DataFrame) -> Model | None:
 def _predicted(shared):
     def run(batches):
         model, letters = shared.value, _letters()
-        for b in batches:
+        for b in pieces(batches):
             langs, scores = [], []
             for text in b.column(1).to_pylist():
                 if model is None or not has_letter(text):
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def _accepted(shared, floor: float, at: int):
     def run(batches):
         model, letters = shared.value, _letters()
-        for b in batches:
+        for b in pieces(batches):
             keep = [model is not None and has_letter(t) and float(softmax(model.logits(counts(t, letters)).astype(np.float64) / model.temperature).max()) >= floor for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import HOT_KEYS, WordHashes, ascii_words, bounded, counted_join, materialize, shingle_set
+from .shared import HOT_KEYS, WordHashes, ascii_words, bounded, counted_join, materialize, pieces, shingle_set
 
 #: A class shows one value in EXTRA more than the least common one needs: see _open.
 EXTRA = 12
@@ -53,14 +53,14 @@ def _shown(size: int, percent: int) -> int:
 def _sketches(k: int, n: int, percent: int):
     def run(batches):
         table = WordHashes()
-        for b in batches:
+        for b in pieces(batches):
             nodes, sizes, least = [], [], []
             for text in b.column(1).to_pylist():
                 words = ascii_words(text)
                 full = shingle_set(table.array(words), n)
                 nodes.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(full))
-                least.append(full[: max(k, _shown(len(full), percent))])
+                least.append(full[: max(k, _shown(len(full), percent))].copy())  # a view would keep the whole set
             ends = np.cumsum([0, *map(len, least)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *least])
             yield pa.RecordBatch.from_arrays(
@@ -76,7 +76,7 @@ def _sets(n: int):
 
     def run(batches):
         table = WordHashes()
-        for b in batches:
+        for b in pieces(batches):
             for text in b.column(0).to_pylist():
                 if words := ascii_words(text):
                     full = pa.array([shingle_set(table.array(words), n)], pa.list_(pa.int64()))

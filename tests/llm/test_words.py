@@ -7,10 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from bandloom.llm import op7_mixing, op8_positional, op9_minhash, op10_bitplanes
+from bandloom.llm import op7_mixing, op8_positional, op9_minhash, op10_bitplanes, shared
 from tests.llm.cases import documents
 from tests.oracle import same
 
@@ -226,3 +227,13 @@ def test_mixing_cases(spark):
         taken[sources[r.doc_id]] += r.taken
         want[sources[r.doc_id]] = r.target
     assert all(abs(taken[s] - want[s]) <= 4 for s in want) and abs(sum(want.values()) - 1.5 * sum(1 + i % 7 for i in range(900))) < 1e-6
+
+
+def test_texts_are_worked_on_in_pieces():
+    """What a task makes of the texts of a large batch is never held for all of them."""
+    texts = [f"words of document {i} and some that they share" for i in range(3 * shared.PIECE + 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    made = list(op9_minhash._sketches(4, 5, 75)([batch]))
+    assert [len(b) for b in made] == [shared.PIECE] * 3 + [1]
+    assert pa.Table.from_batches(made).column("doc_id").to_pylist() == list(range(len(texts)))
+    assert not list(op9_minhash._sketches(4, 5, 75)([batch.slice(0, 0)]))
