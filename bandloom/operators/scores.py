@@ -53,15 +53,29 @@ def uniformity(df: DataFrame, keys: list[str], exact: bool = False) -> DataFrame
     return _distance(keys, counts).groupBy(*keys).agg(F.max("gap").alias("pit_ks"))
 
 
-def score(df: DataFrame, keys: list[str] | None = None, places: int | None = None, exact: bool = False) -> DataFrame:
-    """``keys, n, wql, coverage80, coverage90, width80, pit_ks, wql_vs_naive``; rounded half to even if asked."""
-    keys = keys or ["voice"]
+#: What scores sum over points.
+TERMS = ["lost", "size", "in80", "in90", "width"]
+
+
+def terms(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Points with what scores need of each, its PIT ``p`` and TERMS, in place of its quantiles."""
     pinball = sum((F.greatest(F.lit(a) * (F.col("y") - at(a)), F.lit(a - 1) * (F.col("y") - at(a))) for a in BANDS), F.lit(0.0))
     inside = lambda lo, hi: ((F.col("y") >= at(lo)) & (F.col("y") <= at(hi))).cast("double")
     told = {"lost": pinball, "size": F.abs("y"), "in80": inside(0.10, 0.90), "in90": inside(0.05, 0.95), "width": at(0.90) - at(0.10)}
+    return df.select(*[c for c in df.columns if c != "q"], _placed(exact).alias("p"), *[told[n].alias(n) for n in TERMS])
+
+
+def score(df: DataFrame, keys: list[str] | None = None, places: int | None = None, exact: bool = False) -> DataFrame:
+    """``keys, n, wql, coverage80, coverage90, width80, pit_ks, wql_vs_naive``; rounded half to even if asked."""
+    return score_terms(terms(df, exact), keys, places)
+
+
+def score_terms(df: DataFrame, keys: list[str] | None = None, places: int | None = None) -> DataFrame:
+    """The scores of points that have their ``terms``."""
+    keys = keys or ["voice"]
     # Summed by PIT first, so the points are read once and the ranks are taken among few rows.
-    sums = df.select(*keys, _placed(exact).alias("p"), *[c.alias(n) for n, c in told.items()]).groupBy(*keys, "p").agg(F.count("*").alias("c"), *[F.sum(n).alias(n) for n in told])
-    out = _distance(keys, sums).groupBy(*keys).agg(F.sum("c").alias("n"), F.max("gap").alias("pit_ks"), *[F.sum(n).alias(n) for n in told])
+    sums = df.groupBy(*keys, "p").agg(F.count("*").alias("c"), *[F.sum(n).alias(n) for n in TERMS])
+    out = _distance(keys, sums).groupBy(*keys).agg(F.sum("c").alias("n"), F.max("gap").alias("pit_ks"), *[F.sum(n).alias(n) for n in TERMS])
     wql = 2 * F.col("lost") / (F.greatest("size", F.lit(1e-12)) * len(BANDS))
     out = out.select(*keys, "n", wql.alias("wql"), (F.col("in80") / F.col("n")).alias("coverage80"), (F.col("in90") / F.col("n")).alias("coverage90"), F.try_divide("width", "size").alias("width80"), "pit_ks")
     if places is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bandloom.functions.draws import digest, normal
 from bandloom.functions.quantiles import GRID
 from bandloom.functions.tables import written
-from bandloom.operators.scores import score
+from bandloom.operators.scores import score_terms, terms
 from bandloom.operators.voices import Backend
 
 FACTORS, ELASTICITY = [1.0, 0.9, 1.1, 1.5], 1.5
@@ -100,9 +100,11 @@ def outcomes(rows: DataFrame, cut: int, factors: list[float] = FACTORS, draws: i
     return df.select(*WORLD, "t", "factor", F.col("pulled").alias("price"), F.get("runs", F.lit(0)).alias("actual"), median.alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
 
 
-def called(seen: DataFrame, asked: DataFrame, backend: Backend, context: int = CONTEXT) -> DataFrame:
+def called(seen: DataFrame, asked: DataFrame, backend: Backend, context: int = CONTEXT, keep: list[str] | None = None) -> DataFrame:
     """``world, member, t, factor, q``: a backend's percentiles for the rows ``asked``, from the rows ``seen`` of their world.
 
+    ``keep`` names columns of ``asked``, doubles, that stay, so that the percentiles need no join to them.
+
     Rows have ``size, usual, price, t``, those seen also ``revenue``, which is read in units of the size. At most ``context`` rows
     of a world are read, those of least digest. What a world asks is dealt in parts of about CALLED rows, each of which gets
     the context, so that no task holds a world.
@@ -110,21 +112,22 @@ def called(seen: DataFrame, asked: DataFrame, backend: Backend, context: int = C
     features = lambda pdf: np.column_stack([np.log(pdf["size"]), pdf["t"] % 12 + 1, pdf["price"], pdf["usual"]])
     place = F.row_number().over(W.partitionBy("world").orderBy(digest("context", *[F.col(c) for c in (*WORLD, "t")]), "member", "t"))
     held = seen.withColumn("k", place).where(F.col("k") <= context).select("world", "t", "price", "size", "usual", "revenue")
-    parts = asked.groupBy("world").agg(F.ceil(F.count("*") / CALLED).cast("int").alias("parts"))
-    dealt = asked.join(parts, "world").withColumn("part", F.pmod(F.xxhash64("member", "t", "factor"), F.col("parts")).cast("int"))
-    held = held.join(parts, "world").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    parts = asked.groupBy("world").agg(F.ceil(F.count("*") / CALLED).cast("int").alias("parts"))  # a row a world
+    keep = keep or []
+    dealt = asked.join(F.broadcast(parts), "world").withColumn("part", F.pmod(F.xxhash64("member", "t", "factor"), F.col("parts")).cast("int"))
+    held = held.join(F.broadcast(parts), "world").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def run(train: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         if not len(train) or not len(mine):
-            return pd.DataFrame({c: [] for c in (*WORLD, "t", "factor", "q")}, dtype=object)
+            return pd.DataFrame({c: [] for c in (*WORLD, "t", "factor", *keep, "q")}, dtype=object)
         train = train.sort_values([*train.columns])  # rows come in any order
         q = np.sort(backend(features(train), (train["revenue"] / train["size"]).to_numpy(), features(mine), GRID), axis=1)
-        return mine[[*WORLD, "t", "factor"]].assign(q=list(q * mine["size"].to_numpy()[:, None]))
+        return mine[[*WORLD, "t", "factor", *keep]].assign(q=list(q * mine["size"].to_numpy()[:, None]))
 
     kinds = dict(asked.dtypes)
     held = held.toDF(*held.columns)  # columns of its own, where both sides come from one table
-    both = held.groupBy("world", "part").cogroup(dealt.select(*WORLD, "t", "factor", "price", "size", "usual", "part").groupBy("world", "part"))
-    return both.applyInPandas(run, f"world {kinds['world']}, member {kinds['member']}, t long, factor double, q array<double>")
+    both = held.groupBy("world", "part").cogroup(dealt.select(*WORLD, "t", "factor", *{"price": 0, "size": 0, "usual": 0} | dict.fromkeys(keep), "part").groupBy("world", "part"))
+    return both.applyInPandas(run, f"world {kinds['world']}, member {kinds['member']}, t long, factor double, {"".join(f"`{c}` double, " for c in keep)}q array<double>")
 
 
 def grade_worlds(world: DataFrame, backend: Backend, cut: int, lean: float = 0.0, factors: list[float] = FACTORS, draws: int = 101, elasticity: float = ELASTICITY) -> DataFrame:
@@ -134,20 +137,27 @@ def grade_worlds(world: DataFrame, backend: Backend, cut: int, lean: float = 0.0
     before ``cut`` (size, month, price and usual price, revenue in units of the size) and calls the later ones with the
     price moved. The rounded grades of the worlds are averaged.
     """
-    rows = written(simulated(fitted(world, cut, elasticity), lean, elasticity=elasticity), "worlds")
+    return grade_fitted(fitted(world, cut, elasticity), backend, cut, lean, factors, draws, elasticity)
+
+
+def grade_fitted(rows: DataFrame, backend: Backend, cut: int, lean: float = 0.0, factors: list[float] = FACTORS, draws: int = 101, elasticity: float = ELASTICITY) -> DataFrame:
+    """The grades of ``grade_worlds`` from what ``fitted`` says; of each call only what they sum is written."""
+    rows = written(simulated(rows, lean, elasticity=elasticity), "worlds")
     seen = rows.where(F.col("t") < cut)
     own = seen.groupBy(*WORLD).agg(F.avg("revenue").alias("size"), F.exp(F.avg(F.ln("price"))).alias("usual"))
-    truth = written(outcomes(rows, cut, factors, draws, elasticity=elasticity), "outcomes")
-    calls = called(seen.drop("usual").join(own, WORLD), truth.join(own, WORLD), backend)
+    truth = written(outcomes(rows, cut, factors, draws, elasticity=elasticity).join(own, WORLD), "outcomes")
+    kept = ["price", "actual", "true_median", "replay"]
+    calls = called(seen.drop("usual").join(own, WORLD), truth, backend, keep=kept).withColumnRenamed("actual", "y")
+    points = terms(calls.select("world", "factor", "price", "true_median", "replay", "y", "q", F.get("q", F.lit(49)).alias("median")))
     support = seen.groupBy("world").agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    graded = written(truth.join(calls, [*WORLD, "t", "factor"]).withColumn("y", F.col("actual")).withColumn("voice", F.lit("called")), "calls")
+    graded = written(points.withColumn("voice", F.lit("called")), "calls")
     keys = ["world", "factor"]
     off = lambda x: F.bround(F.avg(F.abs(x - F.col("true_median")) / F.col("true_median")), 3)
-    near = graded.join(support, "world").groupBy(*keys).agg(
+    near = graded.join(F.broadcast(support), "world").groupBy(*keys).agg(
         F.bround(F.avg(F.col("price").between(F.col("low"), F.col("high")).cast("double")), 2).alias("in_support"),
-        off(F.get("q", F.lit(49))).alias("median_off"), off(F.col("replay")).alias("replay_off"),
+        off(F.col("median")).alias("median_off"), off(F.col("replay")).alias("replay_off"),
     )
-    told = score(graded, ["voice", *keys], places=4).drop("voice", "wql_vs_naive").join(near, keys)
+    told = score_terms(graded, ["voice", *keys], places=4).drop("voice", "wql_vs_naive").join(near, keys)
     told = told.withColumn("true_move", F.bround(F.pow("factor", F.lit(1 - elasticity)), 3)).withColumn("replay_move", F.col("factor"))
     names = ["n", "in_support", "true_move", "replay_move", "wql", "coverage80", "coverage90", "width80", "pit_ks", "median_off", "replay_off"]
     return told.groupBy("factor").agg(*[F.bround(F.avg(c), 3).alias(c) for c in names])

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,30 @@ def test_answers_as_json_and_records_on_disk(spark, tmp_path):
     records = spark.createDataFrame([("linear", 1, [1.0] * 100)], "voice string, window int, counts array<double>")
     calibration.save_records(records, f"{tmp_path}/records")
     assert calibration.load_records(spark, f"{tmp_path}/records").collect() == records.collect()
+
+
+def test_misfit_answers_come_in_pieces():
+    """A batch of many frames is answered some rows at a time, from its arrays."""
+    n, rows = 40, [[[float(i * k % 7), float(i), None if i == 3 else float(i * i % 5)] for i in range(600)] for k in range(1, 41)]
+    names = [str(i) for i in range(n)]
+    x = pa.array(rows, pa.list_(pa.list_(pa.float64())))
+    batch = pa.RecordBatch.from_arrays([pa.array(["c"] * n), pa.array(names), x, pa.array([i % 2 == 0 for i in range(n)]), pa.array([2] * n, pa.int32())], ["caller", "request_id", "x", "columns", "folds"])
+    made = list(requests._frames([batch]))
+    assert len(made) > 1 and max(map(len, made)) < 2 * requests.TOGETHER
+    got = pa.Table.from_batches(made).to_pylist()
+    assert [r["request_id"] for r in got] == [name for name in names for _ in range(600)]
+    assert all((r["shares"] is None) == (int(r["request_id"]) % 2 == 1) for r in got)
+    want = misfit.frame_shares(np.array(rows[2], float), 2)
+    mine = [r for r in got if r["request_id"] == "2"]
+    assert [r["row"] for r in mine] == list(range(600)) and mine[3]["shares"][2] is None
+    assert np.allclose(np.array([r["shares"] for r in mine], float), want, equal_nan=True) and np.allclose([r["score"] for r in mine], np.nansum(want, 1))
+
+
+def test_worlds_write_no_percentiles(spark, monkeypatch):
+    """The percentiles of calls are neither written nor joined: what is written of a call is of constant size."""
+    held = []
+    keep = whatif.written
+    monkeypatch.setattr(whatif, "written", lambda df, tag: held.append((tag, df.dtypes)) or keep(df, tag))
+    got = whatif.grade_worlds(_made(spark, noise=0.05), voices.linear, 24).collect()
+    assert {t for t, _ in held} == {"worlds", "outcomes", "calls"} and all("array" not in kind for _, kinds in held for _, kind in kinds)
+    assert sorted(r.factor for r in got) == [0.9, 1.0, 1.1, 1.5]
