@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.functions.quantiles import BINS, GRID, bin_of, merged_counts, pit, pit_untied, reread, salt_of, with_levels
+from bandloom.functions.quantiles import BINS, GRID, bin_of, literal, merged_counts, pit, pit_untied, reread, salt_of, with_levels
 
 
 #: Periods that a total sums where records of totals are built.
@@ -47,10 +47,17 @@ def calibrated(bands: DataFrame, rows: DataFrame, at: DataFrame, default: DataFr
     record; left out, the bands themselves.
     """
     record = as_counts(record_as_of(pits(bands if past is None else past, rows, exact), at), ["origin", "h"])
-    asked = bands.select("origin", "h").distinct().join(record, ["origin", "h"], "left")  # a row per origin and horizon
-    asked = asked.crossJoin(F.broadcast(default.select(F.col("counts").alias("default")))) if default is not None else asked.withColumn("default", F.lit(None).cast("array<double>"))
-    levels = with_levels(asked, merged_counts(F.col("counts"), F.col("default")), GRID).select("origin", "h", "levels")
-    df = bands.withColumn("q", F.sort_array("q")).join(F.broadcast(levels), ["origin", "h"])
+    kind = "array<double>"
+    record = record.crossJoin(F.broadcast(default.select(F.col("counts").alias("default")))) if default is not None else record.withColumn("default", F.lit(None).cast(kind))
+    levels = with_levels(record, merged_counts(F.col("counts"), F.col("default")), GRID).select("origin", "h", "levels")
+    # Where an origin knows no PIT yet: what the default record says by itself. So the bands are not made once more to list what they ask.
+    df = bands.withColumn("q", F.sort_array("q")).join(F.broadcast(levels), ["origin", "h"], "left")
+    if default is None:
+        alone = literal(GRID)
+    else:
+        told = with_levels(default.select("counts"), merged_counts(F.lit(None).cast(kind), F.col("counts")), GRID, "alone").select("alone")  # one row
+        df, alone = df.crossJoin(F.broadcast(told)), F.col("alone")
+    df = df.withColumn("levels", F.coalesce("levels", alone))
     return df.select("series", "origin", "h", reread(F.col("q"), F.col("levels")).alias("q"))
 
 

@@ -47,8 +47,8 @@ def _past(name: str, c: Context) -> DataFrame:
     made = build(name, c, 1)
     if c.early is None:
         return made
-    late = made.where(~F.col("h").isin(c.early)).join(F.broadcast(c.scored), "origin", "left_semi")
-    return made.where(F.col("h").isin(c.early)).unionByName(late.select(*made.columns))
+    scored = F.broadcast(c.scored.withColumn("late", F.lit(True)))
+    return made.join(scored, "origin", "left").where(F.col("h").isin(c.early) | F.col("late").isNotNull()).select(*made.columns)
 
 
 def build(name: str, c: Context, window: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from bandloom.functions import tabled
 from bandloom.functions.quantiles import GRID, pit_at_or_under
 from bandloom.functions.tables import running
 from bandloom.operators import misfit, voices
+from bandloom.plans import backtest
 from bandloom.plans import requests
 from bandloom.sources import panels
 
@@ -188,3 +189,13 @@ def test_running_sums_over_ranges(spark):
 def test_pinned_pits_count_ties_below(spark):
     df = spark.createDataFrame([([1.0, 2.0, 2.0, 3.0], 2.0), ([1.0], None)], "g array<double>, y double")
     assert [r[0] for r in df.select(pit_at_or_under(F.col("g"), F.col("y"))).collect()] == [0.6, None]
+
+
+def test_calls_are_made_twice_to_be_read_through_their_record(spark):
+    """Once for the record and once to be read: which origins and horizons ask is not a pass of its own."""
+    hist = spark.createDataFrame([(i, 0, [float((i * k) % 17) for k in range(60)]) for i in range(1, 5)], "series long, start long, ys array<double>")
+    scored, at = backtest.projection_origins(hist, 6, 2, 4)
+    c = backtest.Context(hist, at, [1, 3, 6], 12, exact=False, early=[1, 3], scored=scored)
+    made = backtest.build("cal:seasonal_naive", c)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert made.count() == backtest.build("seasonal_naive", c).count()
