@@ -2,12 +2,14 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from bandloom.functions.draws import normal, uniform
+from bandloom.functions.quantiles import BANDS
 from bandloom.operators import calibration, misfit, parity, voices, whatif
 from bandloom.plans import requests
 from bandloom.sources import panels
@@ -85,6 +87,17 @@ def test_parity(spark):
     assert (told.fits, told.flips80, told.max_rel_dev, told.median_rel_dev) == (2, 0, pytest.approx(0.2), pytest.approx(0.15))
 
 
+def test_parity_counts_ties_as_sql(spark):
+    """A band that ends a last bit above the actual value, as SQL rounds it, does not cover it."""
+    ys = [float(v) for v in (4, 39, 6, 43, 47, 22, 27, 26, 3, 18, 33, 7, 8, 42, 34, 40, 38, 32, 49, 37, 15, 33, 4, 13, 43, 25)]
+    hist = spark.createDataFrame([(0, 0, ys)], "series long, start long, ys array<double>")
+    pinned = voices.seasonal_naive(hist, spark.createDataFrame([(25,)], "origin long"), [1], BANDS)
+    calls = spark.createDataFrame([(0, 25, 1, [25.0, 25.0, 25.0, 90.0, 90.0])], "series long, origin long, h int, q array<double>")
+    told = parity.report(parity.deviations(calls, pinned, panels.panel(hist))).first()
+    (low,) = duckdb.execute("SELECT ? + quantile_cont(a - b, 0.05) FROM (SELECT unnest(?::DOUBLE[]) AS a, unnest(?::DOUBLE[]) AS b) WHERE a - b IS NOT NULL", [ys[13], ys[12:25], ys[:13]]).fetchone()
+    assert low > ys[25] and told.flips90 == 1
+
+
 def test_head_is_a_sample_that_stays(spark):
     hist = spark.createDataFrame([(i, 0, [float(i)]) for i in range(40)], "series long, start long, ys array<double>")
     pick = lambda n, seed: sorted(r.series for r in panels.head(hist, n, seed).collect())
