@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import HOT_KEYS, WordHashes, ascii_words, bounded, counted_join, materialize, pieces, shingle_set
+from .shared import HOT_KEYS, WordHashes, ascii_words, bounded, counted_join, materialize, pieces, scratch, shingle_set
 
 #: A class shows one value in EXTRA more than the least common one needs: see _open.
 EXTRA = 12
@@ -201,6 +201,25 @@ def _told_alike(pairs: DataFrame, cands: DataFrame, k: int, similarity: float) -
     return both.where(_alike(k, similarity)).select("u", "v")
 
 
+def _sketch_links(docs: DataFrame, sketched: DataFrame, k: int, n: int, similarity: float) -> DataFrame:
+    """The links (u, v) between classes ``sketched(rid, node, doc_id, size, sketch)`` that sketches find, verified."""
+    entries = sketched.select("rid", F.explode("sketch").alias("value"))
+    shared = materialize(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    many = counted_join(entries, shared, "value", "df", held=HELD).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("many"), F.sum(F.log2("df")).alias("central"))
+    # The rarest values come first: those of one class, then by (df, value); half the sketch and one are needed.
+    held = sketched.select("rid", F.least(F.col("size"), F.lit(k)).cast("int").alias("held"))
+    need = F.col("held") - F.ceil(F.col("held") / 2).cast("int") + 1 - (F.col("held") - F.size("many"))
+    first = materialize(many.join(held, "rid").withColumn("need", need).where("need > 0").select("rid", "central", F.slice("many.value", F.lit(1), F.col("need")).alias("values")), "prefixes")
+    lists = first.select("rid", "central", F.explode("values").alias("value"))
+    hubs = lists.groupBy("value").agg(F.max_by("rid", F.struct("central", "rid")).alias("u"), F.count("*").alias("n")).where("n > 1")
+    hubs = materialize(hubs, "hubs")
+    stars = materialize(counted_join(lists, hubs, "value", "n", held=HELD).where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
+    cands = materialize(sketched.join(bounded(first.select("rid"), PICKED), "rid"), "candidates")
+    near = materialize(_told_alike(stars, cands, k, similarity), "near")
+    sets = _full_sets(near.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, sketched, n)
+    return _verified(near, sets, round(similarity * 100))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 64, shingle: int = 5, similarity: float = 0.75) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -215,28 +234,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The number of a class is fixed once the table is written.
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")
     sketched = reps.withColumn("sketch", F.slice("least", 1, k)).drop("least")
-    entries = sketched.select("rid", F.explode("sketch").alias("value"))
-    shared = materialize(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    many = counted_join(entries, shared, "value", "df", held=HELD).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("many"), F.sum(F.log2("df")).alias("central"))
-    # The rarest values come first: those of one class, then by (df, value); half the sketch and one are needed.
-    held = reps.select("rid", F.least(F.col("size"), F.lit(k)).cast("int").alias("held"))
-    need = F.col("held") - F.ceil(F.col("held") / 2).cast("int") + 1 - (F.col("held") - F.size("many"))
-    first = materialize(many.join(held, "rid").withColumn("need", need).where("need > 0").select("rid", "central", F.slice("many.value", F.lit(1), F.col("need")).alias("values")), "prefixes")
-    lists = first.select("rid", "central", F.explode("values").alias("value"))
-    hubs = lists.groupBy("value").agg(F.max_by("rid", F.struct("central", "rid")).alias("u"), F.count("*").alias("n")).where("n > 1")
-    hubs = materialize(hubs, "hubs")
-    stars = materialize(counted_join(lists, hubs, "value", "n", held=HELD).where("rid <> u").select("u", F.col("rid").alias("v")).distinct(), "stars")
-    cands = materialize(sketched.join(bounded(first.select("rid"), PICKED), "rid"), "candidates")
-    near = materialize(_told_alike(stars, cands, k, similarity), "near")
-    sets = _full_sets(near.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), docs, sketched, shingle)
-    links = materialize(_verified(near, sets, percent), "links")
-    roots = materialize(components(links).withColumnRenamed("node", "rid"), "roots")
-    placed = reps.select("rid", "size", "least").join(bounded(roots, PICKED), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    apart = materialize(_open(placed, percent), "apart")
-    sets = _full_sets(apart.select("rid"), docs, sketched, shingle)
-    rest = materialize(_between(apart, sets, percent), "rest")
-    roots = components(links.unionByName(_verified(rest, sets, percent)))
-    named = reps.select("rid", "node", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    with scratch(docs.sparkSession):
+        links = materialize(_sketch_links(docs, sketched, k, shingle, similarity), "links", keep=True)
+    with scratch(docs.sparkSession):
+        roots = materialize(components(links).withColumnRenamed("node", "rid"), "roots")
+        placed = reps.select("rid", "size", "least").join(bounded(roots, PICKED), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        with scratch(docs.sparkSession):
+            apart = materialize(_open(placed, percent), "apart", keep=True)
+        sets = _full_sets(apart.select("rid"), docs, sketched, shingle)
+        with scratch(docs.sparkSession):
+            rest = materialize(_between(apart, sets, percent), "rest", keep=True)
+        roots = materialize(components(links.unionByName(_verified(rest, sets, percent))).withColumnRenamed("node", "rid"), "components", keep=True)
+    named = reps.select("rid", "node", "doc_id").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
     out = base.select("doc_id", "size", "node").join(named, "node", "left")
@@ -250,7 +259,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that repeat the doc_id that stays stay with it.
     """
-    gone = materialize(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
+    with scratch(docs.sparkSession):
+        gone = materialize(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped", keep=True)
     return docs.join(bounded(gone, PICKED), id_col, "left_anti").select(*docs.columns)
 
 

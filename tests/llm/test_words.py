@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +107,18 @@ def test_near_duplicates_of_many_unlike_texts_around_a_passage(spark):
     assert got == {i: i for i in range(2000)} | {2000: 7, 2001: 1999}
 
 
+def test_dropping_duplicates_leaves_no_tables_but_what_is_dropped(spark):
+    rows = [(i, f"one two three four five six seven eight nine {'ten' if i < 3 else 'end'} {i // 6}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    found = op9_minhash.drop_duplicates(docs)
+    made = {p.name.split("-")[1] for p in folder.iterdir() if p.name.startswith("bandloom-") and p.name not in before}
+    assert made == {"dropped"}
+    kept = {r.doc_id for r in op9_minhash.near_duplicates(docs).collect() if r.kept}
+    assert {r.doc_id for r in found.collect()} == kept and 0 < len(kept) < 12
+
+
 def test_near_duplicates_cases(spark):
     got = defaultdict(list)
     for r in op9_minhash.near_duplicates(documents(spark)).collect():
