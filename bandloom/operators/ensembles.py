@@ -18,63 +18,74 @@ OUTLIER = 4.0
 POWERS, STEPS = (-3.0, 5.0), 60
 
 
-def power(x: np.ndarray, lam: float) -> np.ndarray:
+def power(x: np.ndarray, lam: np.ndarray | float) -> np.ndarray:
     """The Yeo-Johnson transform."""
-    out = np.empty_like(x)
     up = x >= 0
-    out[up] = np.log1p(x[up]) if abs(lam) < 1e-12 else ((x[up] + 1) ** lam - 1) / lam
-    out[~up] = -np.log1p(-x[~up]) if abs(lam - 2) < 1e-12 else -((1 - x[~up]) ** (2 - lam) - 1) / (2 - lam)
-    return out
+    share = np.where(up, lam, 2 - lam)
+    flat = np.abs(share) < 1e-12
+    size = np.abs(x)
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = ((1 + size) ** share - 1) / np.where(flat, 1.0, share)
+    if flat.any():
+        out = np.where(flat, np.log1p(size), out)
+    return np.where(up, out, -out)
 
 
-def likelihood(x: np.ndarray, lam: float) -> float:
-    """Log likelihood of a column whose transform is normal, but for a constant."""
-    var = power(x, lam).var()
-    return -np.inf if var <= 0 or not np.isfinite(var) else -0.5 * len(x) * np.log(var) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+def likelihood(x: np.ndarray, lam: np.ndarray | float, logs: np.ndarray | None = None) -> np.ndarray:
+    """Log likelihood of rows whose transforms are normal, each by its power, but for a constant; ``logs`` are their ``_logs``."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        var = power(x, np.asarray(lam)[..., None]).var(-1)
+        told = -0.5 * x.shape[-1] * np.log(var) + (lam - 1) * (_logs(x) if logs is None else logs)
+    return np.where((var <= 0) | ~np.isfinite(var), -np.inf, told)
 
 
-def best_power(x: np.ndarray) -> float:
-    """The power of greatest likelihood, by golden section."""
-    lo, hi = POWERS
+def _logs(x: np.ndarray) -> np.ndarray:
+    return (np.sign(x) * np.log1p(np.abs(x))).sum(-1)
+
+
+def best_power(x: np.ndarray) -> np.ndarray:
+    """The power of greatest likelihood of each row, by golden section, all rows side by side."""
+    logs = _logs(x)
+    lo, hi = (np.full(x.shape[:-1], end) for end in POWERS)
     ratio = (5**0.5 - 1) / 2
     a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-    fa, fb = likelihood(x, a), likelihood(x, b)
+    fa, fb = likelihood(x, a, logs), likelihood(x, b, logs)
     for _ in range(STEPS):
-        if fa >= fb:
-            hi, b, fb = b, a, fa
-            a = hi - ratio * (hi - lo)
-            fa = likelihood(x, a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + ratio * (hi - lo)
-            fb = likelihood(x, b)
+        left = fa >= fb
+        lo, hi = np.where(left, lo, a), np.where(left, b, hi)
+        at = np.where(left, hi - ratio * (hi - lo), lo + ratio * (hi - lo))
+        told = likelihood(x, at, logs)
+        a, b, fa, fb = np.where(left, at, b), np.where(left, a, at), np.where(left, told, fb), np.where(left, fa, told)
     return (lo + hi) / 2
 
 
 def _standard(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mean, std = train.mean(0), train.std(0)
+    mean, std = train.mean(1, keepdims=True), train.std(1, keepdims=True)
     std = np.where(std == 0, 1.0, std)
     return (train - mean) / std, (test - mean) / std
 
 
+def views(train_x: np.ndarray, test_x: np.ndarray, members: int):
+    """What each member of several sees of reads ``(reads, rows, columns)``: columns standardised and cut at OUTLIER; of every
+    second member made as normal as a power makes them, which is found once a read; and in the member's own order, a row of a
+    cyclic latin square."""
+    plain = tuple(np.clip(x, -OUTLIER, OUTLIER) for x in _standard(train_x, test_x))
+    columns = lambda x: np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
+    rows = lambda x, like: x.reshape(like.shape[0], like.shape[2], -1).transpose(0, 2, 1)
+    train = columns(plain[0])
+    lam = np.ones(len(train))
+    varies = train.std(1) > 0
+    lam[varies] = best_power(train[varies])
+    normal = _standard(*(np.ascontiguousarray(rows(power(columns(x), lam[:, None]), x)) for x in plain))
+    for member in range(members):
+        order = (np.arange(train_x.shape[2]) + member // 2) % train_x.shape[2]
+        yield tuple(x[:, :, order] for x in (normal if member % 2 else plain))
+
+
 def view(train_x: np.ndarray, test_x: np.ndarray, member: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a member of several sees: columns standardised and cut at OUTLIER; of every second member made as normal as a
-    power makes them; and in the member's own order, a row of a cyclic latin square."""
-    train, test = (np.clip(x, -OUTLIER, OUTLIER) for x in _standard(train_x, test_x))
-    if member % 2:
-        powers = [best_power(c) if c.std() > 0 else 1.0 for c in train.T]
-        train, test = _standard(*(np.column_stack([power(c, lam) for c, lam in zip(x.T, powers, strict=True)]) for x in (train, test)))
-    order = (np.arange(train.shape[1]) + member // 2) % train.shape[1]
-    return train[:, order], test[:, order]
-
-
-def member_table(train_x: np.ndarray, train_y: np.ndarray, test_x: np.ndarray, member: int, members: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """The table of a member, with the mean and the deviation that its answers are scaled back by; alone it is the read's own."""
-    if members == 1:
-        return train_x, train_y, test_x, 0.0, 1.0
-    mean, std = float(train_y.mean()), float(train_y.std()) or 1.0
-    train, test = view(train_x, test_x, member)
-    return train, (train_y - mean) / std, test, mean, std
+    """What one member sees of one read."""
+    *_, (train, test) = views(train_x[None], test_x[None], member + 1)
+    return train[0], test[0]
 
 
 #: (histories, furthest, levels) -> for each history, (furthest, levels)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bandloom.functions.quantiles import BINS, GRID, literal, merged_counts, pit, place, quantile, with_levels
 from bandloom.functions.tables import checkpointed, running, written
 from bandloom.operators.calibration import TOTAL_WINDOW
-from bandloom.operators.ensembles import member_table
+from bandloom.operators.ensembles import views
 from bandloom.operators.misfit import frame_shares
 from bandloom.operators.voices import linear_reads, naive_calls
 
@@ -146,38 +146,54 @@ def turns(jobs: DataFrame, budget: int) -> DataFrame:
     return till.select("caller", "seq", "n_cells", "round", F.floor((F.col("till") - 1) / F.lit(budget)).cast("long").alias("cycle"))
 
 
+def _matrix(rows: pa.ListScalar) -> np.ndarray:
+    """Rows of one length as a matrix, NaN for null, without a Python object a cell."""
+    return rows.values.flatten().to_numpy(zero_copy_only=False).reshape(len(rows.values), -1)
+
+
+#: Training cells that are fitted together.
+CELLS = 2_000_000
+
+
+def _told(train_x: np.ndarray, train_y: np.ndarray, test_x: np.ndarray, levels: list[float], members: int) -> np.ndarray:
+    """The mean over the members of what each says, scaled back: (reads, test rows, levels); not finite where one's answer is not."""
+    if members == 1:
+        return linear_reads(train_x, train_y, test_x, levels)
+    mean, std = train_y.mean(1, keepdims=True), train_y.std(1, keepdims=True)
+    std[std == 0] = 1.0
+    total = 0.0
+    for train, test in views(train_x, test_x, members):
+        total = total + (linear_reads(train, (train_y - mean) / std, test, levels) * std[..., None] + mean[..., None])
+    return total / members
+
+
 def _linear_answers(batches):
-    """``row, both``: what each member says at the levels of the read and at the percentiles, scaled back.
+    """``row, both``: what the voice says at the levels of the read and at the percentiles, of several members their mean.
 
     Tables of equal shape and levels are fitted together, as one stacked solve.
     """
-    matrix = lambda rows: np.array([[np.nan if v is None else v for v in row] for row in rows], float)
-    for pdf in batches:
-        alike, out = defaultdict(list), []
-        for r in pdf.itertuples():
-            x, y, test = matrix(r.train_x), matrix([r.train_y])[0], matrix(r.test_x)
+    for b in batches:
+        alike = defaultdict(list)
+        for i in range(len(b)):
+            members, train_x, train_y, test_x, ask = (b.column(c)[i] for c in ("members", "train_x", "train_y", "test_x", "ask"))
+            x, test = _matrix(train_x), _matrix(test_x)
+            y = train_y.values.to_numpy(zero_copy_only=False)
             x, y = x[~np.isnan(y)], y[~np.isnan(y)]
-            fill = np.array([np.median(c) if len(c := col[~np.isnan(col)]) else 0.0 for col in x.T])
             if len(y) >= 2:
-                table = member_table(np.where(np.isnan(x), fill, x), y, np.where(np.isnan(test), fill, test), r.member, r.members)
-                alike[x.shape, len(test), tuple(r.ask)].append(((r.caller, r.request_id, r.read, r.members), *table))
-        for (_, _, ask), reads in alike.items():
-            keys, train_x, train_y, test_x, means, stds = zip(*reads, strict=True)
-            found = linear_reads(*map(np.stack, (train_x, train_y, test_x)), [*ask, *GRID])
-            found = found * np.array(stds)[:, None, None] + np.array(means)[:, None, None]
-            out += [(*key[:3], i, q.tolist(), key[3]) for key, rows in zip(keys, found, strict=True) for i, q in enumerate(rows) if np.isfinite(q).all()]
-        yield pd.DataFrame(out, columns=["caller", "request_id", "read", "row", "both", "members"])
-
-
-def _members_mean(answers: DataFrame) -> DataFrame:
-    """``asked, grid`` of each row of a read: the mean over its members, level by level. Nothing moves where no read has several."""
-    alone = answers.where("members = 1").select("caller", "request_id", "read", "row", "both")
-    levels = answers.where("members > 1").select("caller", "request_id", "read", "row", "members", F.posexplode("both").alias("k", "v"))
-    means = levels.groupBy("caller", "request_id", "read", "row", "k").agg(F.avg("v").alias("v"), F.count("*").alias("n"), F.first("members").alias("members")).where("n = members")
-    means = means.groupBy("caller", "request_id", "read", "row").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("b"))
-    both = alone.unionByName(means.select("caller", "request_id", "read", "row", F.col("b.v").alias("both")))
-    n = F.size("both") - len(GRID)
-    return both.select("caller", "request_id", "read", "row", F.slice("both", F.lit(1), n).alias("asked"), F.sort_array(F.slice("both", n + 1, F.lit(len(GRID)))).alias("grid"))
+                if np.isnan(x).any() or np.isnan(test).any():
+                    fill = np.array([np.median(c) if len(c := col[~np.isnan(col)]) else 0.0 for col in x.T])
+                    x, test = np.where(np.isnan(x), fill, x), np.where(np.isnan(test), fill, test)
+                alike[x.shape, len(test), tuple(ask.as_py()), members.as_py()].append((i, x, y, test))
+        for (shape, _, ask, members), reads in alike.items():
+            step = max(1, CELLS // max(1, shape[0] * shape[1]))
+            for some in (reads[k : k + step] for k in range(0, len(reads), step)):
+                at, *tables = zip(*some, strict=True)
+                found = _told(*map(np.stack, tables), [*ask, *GRID], members)
+                read, row = np.nonzero(np.isfinite(found).all(2))
+                keys = [b.column(c).take(pa.array(np.array(at)[read])) for c in ("caller", "request_id", "read")]
+                ends = np.arange(len(read) + 1, dtype=np.int32) * found.shape[2]
+                both = pa.ListArray.from_arrays(ends, found[read, row].ravel())
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(row.astype(np.int32)), both], ["caller", "request_id", "read", "row", "both"])
 
 
 def _through_records(df: DataFrame, defaults: DataFrame | None) -> DataFrame:
@@ -214,7 +230,7 @@ def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     request's window: alone it is asked once more, at the levels that the record says (within OUTER); of several the
     percentiles are read there. ``raw`` is then its answer as it was, else null. The blend is the mean of the voices as read,
     and may have a history of its own. The PIT is against the raw percentiles, ties by salt (else the row). With ``members``
-    a read is fitted once for each of them, on a view of its own (``ensembles.view``), and the answer is their mean.
+    a read is fitted once for each of them, on a view of its own (``ensembles.views``), and the answer is their mean.
     """
     read, key = ["caller", "request_id", "read"], ["caller", "request_id", "read", "row"]
     reads = requests.where("refusal is null").select("caller", "request_id", "alphas", "members", "voices", "season", "window", "counts", F.posexplode("reads").alias("read", "r"))
@@ -224,9 +240,11 @@ def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     once_more = F.transform("alphas_at", lambda a: F.least(F.greatest(a, F.lit(OUTER[0])), F.lit(OUTER[1])))
     reads = written(reads.withColumn("ask", F.when(F.col("several") | F.col("own").isNull(), F.col("alphas")).otherwise(F.concat("alphas", once_more))), "reads")
 
-    asked = reads.where("voice = 'linear'").select(*read, "members", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("member"), "train_x", "train_y", "test_x", "ask")
-    fitted = asked.mapInPandas(_linear_answers, "caller string, request_id string, read int, row int, both array<double>, members int")
-    fitted = _members_mean(written(fitted, "fitted")).withColumn("voice", F.lit("linear"))
+    # Reads are dealt anew: files of few bytes would be the work of few tasks.
+    asked = reads.where("voice = 'linear'").select(*read, "members", "train_x", "train_y", "test_x", "ask").repartition(*read)
+    fitted = asked.mapInArrow(_linear_answers, "caller string, request_id string, read int, row int, both array<double>")
+    n = F.size("both") - len(GRID)
+    fitted = fitted.select(*key, F.slice("both", F.lit(1), n).alias("asked"), F.sort_array(F.slice("both", n + 1, F.lit(len(GRID)))).alias("grid"), F.lit("linear").alias("voice"))
     asked = reads.where("voice = 'seasonal_naive'").select(*read, "season", "history", "ask", F.posexplode(F.coalesce("horizon", F.array_repeat(F.lit(1), F.size("test_x")))).alias("row", "h"))
     series = asked.withColumn("from", F.expr("array_position(transform(history, y -> y is not null), true)")).where(F.col("from") > 0)
     series = series.select(F.struct(*key, "ask").alias("series"), "season", "h", F.expr("slice(history, `from`, size(history))").alias("ys"))
@@ -297,11 +315,6 @@ def misfit_cost(x: Column, folds: Column) -> Column:
 TOGETHER = 10_000
 
 
-def _matrix(rows: pa.ListScalar) -> np.ndarray:
-    """Rows of one length as a matrix, NaN for null, without a Python object a cell."""
-    return rows.values.flatten().to_numpy(zero_copy_only=False).reshape(len(rows.values), -1)
-
-
 def _frames(batches):
     kinds = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
 

@@ -54,6 +54,17 @@ def test_orders_are_a_latin_square():
     assert all(sorted(row) == [0, 1, 2, 3] for row in (*seen, *zip(*seen, strict=True)))
 
 
+def test_powers_are_searched_once_for_all_reads_and_members(monkeypatch):
+    rng, searched = np.random.default_rng(5), []
+    x, test = np.exp(rng.normal(size=(6, 30, 2))), np.exp(rng.normal(size=(6, 3, 2)))
+    alone = [[ensembles.view(a, b, m) for a, b in zip(x, test, strict=True)] for m in range(5)]
+    found = ensembles.best_power
+    monkeypatch.setattr(ensembles, "best_power", lambda c: searched.append(c.shape) or found(c))
+    for member, (train, seen) in enumerate(ensembles.views(x, test, 5)):
+        assert all(np.allclose(train[i], a) and np.allclose(seen[i], b) for i, (a, b) in enumerate(alone[member]))
+    assert searched == [(12, 30)]
+
+
 def test_powers_undo_a_skew():
     z = np.random.default_rng(3).normal(size=400)
     assert abs(ensembles.best_power(np.expm1(z + 4))) < 0.2 and abs(ensembles.best_power(z) - 1) < 0.2
