@@ -28,8 +28,8 @@ MOST_BYTES = 32_000_000
 OUTER = (0.001, 0.999)
 
 
-def parsed(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Rows of the schema from a column ``value``, with its size and whether it was JSON at all; parsed once, in their order.
+def rows_of(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Rows of the schema from a column ``value``, with its size and whether it was JSON at all.
 
     ``keep`` names columns of ``lines`` that stay.
 
@@ -37,7 +37,12 @@ def parsed(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     size = F.octet_length("value")
     doc = F.from_json(F.when(size <= MOST_BYTES, F.col("value")), f"{SCHEMA}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return checkpointed(lines.select(*(keep or []), size.alias("n_bytes"), doc.alias("r")).select(*(keep or []), "n_bytes", "r.*"))
+    return lines.select(*(keep or []), size.alias("n_bytes"), doc.alias("r")).select(*(keep or []), "n_bytes", "r.*")
+
+
+def parsed(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """As ``rows_of``, for what is used more than once: parsed once, and kept in its order."""
+    return checkpointed(rows_of(lines, keep))
 
 
 def context_id(train_x: Column, train_y: Column, members: Column) -> Column:
