@@ -66,7 +66,8 @@ def from_arrays(table: DataFrame, id_col: str = "id", timestamp_col: str = "time
     at = "struct(cast(year(x) * 12 + month(x) - 1 as bigint) as t, k, nanvl(cast(get(_y, k) as double), cast(null as double)) as y)"
     own = table.select(F.col(id_col).alias("series"), F.col(timestamp_col).alias("_at"), F.col(target_col).alias("_y"))
     own = own.withColumn("_all", F.expr(f"array_sort(filter(transform(_at, (x, k) -> {at}), s -> s.t is not null))"))
-    own = own.select("series", F.expr("filter(_all, (s, k) -> k + 1 = size(_all) or _all[k + 1].t <> s.t)").alias("seen"))
+    # Each beside the next one: a step that named the whole array would sort it anew, once the optimizer has put it in.
+    own = own.select("series", F.expr("filter(zip_with(_all, slice(_all, 2, size(_all)), (s, n) -> if(n.t = s.t, null, s)), s -> s is not null)").alias("seen"))
     return aligned(own.where("size(seen) > 0"))
 
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -149,6 +150,16 @@ def test_wide_tables_compile(spark):
     assert len(got) == 300 and all(math.isfinite(r.score) for r in got)
 
 
+def test_long_arrays_are_sorted_once(spark):
+    """Sorting 6,000 months anew for each of them would take minutes."""
+    months = "transform(sequence(0, 5999), k -> make_timestamp(1500 + k div 12, k % 12 + 1, 1, 0, 0, 0))"
+    table = spark.range(1).selectExpr("id", f"{months} AS timestamp", "transform(sequence(0, 5999), k -> cast(k as double)) AS target")
+    table = spark.createDataFrame(table.collect(), table.schema)
+    began = time.time()
+    (found,) = panels.from_arrays(table).collect()
+    assert found.ys == [float(k) for k in range(6000)] and time.time() - began < 15
+
+
 def test_panels_from_arrays(spark):
     rows = [("a", ["2020-01-15", "2020-02-01", "2020-05-01"], [1.0, float("nan"), 3.0]), ("b", ["2020-03-01", "2020-03-09", "2020-05-02"], [7.0, 8.0, None]), ("c", ["2020-01-01"], [1.0]), ("d", [], []), ("e", None, None)]
     df = spark.createDataFrame(rows, "id string, timestamp array<string>, target array<double>").withColumn("timestamp", F.col("timestamp").cast("array<timestamp>"))
