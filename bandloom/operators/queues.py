@@ -93,7 +93,8 @@ class Queue:
 
 def _in_order(log: DataFrame, columns: list[str]) -> DataFrame:
     order = ["queue", "at", "step", "job"]
-    return log.select(*columns).repartition("queue").sortWithinPartitions(*order)
+    # No fold reads the time, which may be a struct: Python would make an object of each.
+    return log.select(*columns).repartition("queue").sortWithinPartitions(*order).drop("at")
 
 
 def admitted(log: DataFrame, max_cells: int, share: float = 0.5) -> DataFrame:

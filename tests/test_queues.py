@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from bandloom.operators.queues import ARRIVE, LEAVE, TAKE, admitted, served
+from bandloom.operators.queues import ARRIVE, LEAVE, TAKE, _in_order, admitted, served
 from bandloom.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -95,3 +95,9 @@ def test_the_query_equals_the_twin(spark):
         if r.cycle:
             riders[r.queue, r.cycle].append(r)
     assert max(map(len, riders.values())) > 1
+
+
+def test_times_stay_where_logs_are_sorted(spark):
+    log = spark.createDataFrame([("q", (2, 0), ARRIVE, 1, 1, 5), ("q", (1, 0), ARRIVE, 2, 1, 7)], "queue string, at struct<day:int,late:int>, step int, job long, caller long, cells long")
+    columns = ["queue", "at", "step", "job", "caller", "cells"]
+    assert [tuple(r) for r in _in_order(log, columns).collect()] == [("q", ARRIVE, 2, 1, 7), ("q", ARRIVE, 1, 1, 5)]
