@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import BINS, GRID, bin_of, literal, merged_counts, pit, pit_untied, reread, salt_of, with_levels
-
+from bandloom.sources.panels import came_true
 
 #: Periods that a total sums where records of totals are built.
 TOTAL_WINDOW = 12
@@ -14,7 +14,7 @@ TOTAL_WINDOW = 12
 
 def pits(bands: DataFrame, rows: DataFrame, exact: bool = True) -> DataFrame:
     """``series, origin, h, pit`` of the calls whose period is known, always against the raw answer."""
-    known = bands.withColumn("t", F.col("origin") + F.col("h") - 1).join(rows.where("y is not null").select("series", "t", "y"), ["series", "t"])
+    known = came_true(bands.withColumn("t", F.col("origin") + F.col("h") - 1), rows)
     q, y = F.sort_array("q"), F.col("y")
     return known.select("series", "origin", "h", (pit(q, y, salt_of("series", "origin")) if exact else pit_untied(q, y)).alias("pit"))
 

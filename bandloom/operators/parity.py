@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import BANDS
+from bandloom.sources.panels import came_true
 
 KEY = ["series", "origin", "h"]
 
@@ -20,7 +21,7 @@ def deviations(calls: DataFrame, pinned: DataFrame, rows: DataFrame | None = Non
     if rows is None:
         both = both.withColumn("y", F.lit(None).cast("double"))
     else:
-        both = both.withColumn("t", F.col("origin") + F.col("h") - 1).join(rows.select("series", "t", "y"), ["series", "t"], "left")
+        both = came_true(both.withColumn("t", F.col("origin") + F.col("h") - 1), rows, "left")
     dev = F.array_max(F.zip_with("q", "e", lambda q, e: F.abs(q - e) / F.greatest(F.lit(1.0), F.abs(e))))
 
     def flip(low: int, high: int):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bandloom.functions.quantiles import BANDS, pit, pit_at_or_under, pit_untied, salt_of
+from bandloom.sources.panels import came_true
 
 FLOOR = "seasonal_naive"
 
@@ -17,7 +18,7 @@ def points(voices: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
     for name, bands in voices.items():
         one = bands.select(F.lit(name).alias("voice"), "series", "origin", "h", F.sort_array("q").alias("q"), (F.col("origin") + F.col("h") - 1).alias("t"))
         out = one if out is None else out.unionByName(one)
-    known = out.join(rows.where("y is not null").select("series", "t", "y"), ["series", "t"])
+    known = came_true(out, rows)
     made = F.count("*").over(W.partitionBy("series", "t", "origin", "h"))
     return known.withColumn("made", made).where(F.col("made") == len(voices)).drop("made")
 

@@ -86,6 +86,15 @@ def panel(hist: DataFrame, season: int = 12) -> DataFrame:
     return rows.select("series", "i", t.alias("t"), (F.pmod(t, F.lit(season)) + 1).cast("int").alias("moy"), "y")
 
 
+def came_true(calls: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """Calls ``(series, t, ..)`` with the known ``y`` of their period.
+
+    Both sides are shuffled: the rows of a panel take many times the room of the small files of arrays that they are made
+    from, and by the size of those they would be broadcast.
+    """
+    return calls.join(rows.where("y is not null").select("series", "t", "y").hint("merge"), ["series", "t"], how)
+
+
 def supplier_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return summed(li, F.col("l_suppkey"), month("l_shipdate"), F.col("l_quantity"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import tabled
 from bandloom.functions.quantiles import GRID, pit_at_or_under
-from bandloom.functions.tables import running
-from bandloom.operators import misfit, voices
+from bandloom.functions.tables import running, written
+from bandloom.operators import calibration, misfit, parity, scores, voices
 from bandloom.plans import backtest
 from bandloom.plans import requests
 from bandloom.sources import panels
@@ -210,3 +210,13 @@ def test_calls_are_made_twice_to_be_read_through_their_record(spark):
     made = backtest.build("cal:seasonal_naive", c)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
     assert made.count() == backtest.build("seasonal_naive", c).count()
+
+
+def test_rows_of_a_panel_are_never_broadcast(spark):
+    """A panel's file of arrays is small; the rows that calls are held against are not."""
+    hist = written(spark.createDataFrame([(i, 0, [float((i + t) % 7) for t in range(40)]) for i in range(5)], "series long, start long, ys array<double>"), "few")
+    rows = panels.panel(hist)
+    calls = voices.seasonal_naive(hist, spark.createDataFrame([(38,), (40,)], "origin long"), [1], GRID)
+    for df, many in ((scores.points({"a": calls}, rows), 5), (calibration.pits(calls, rows, exact=False), 5), (parity.deviations(calls, calls, rows), 10)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert any("SortMergeJoin [series" in line and ", t" in line for line in plan.splitlines()) and df.count() == many
