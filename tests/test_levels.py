@@ -3,6 +3,7 @@
 import json
 import math
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -220,3 +221,17 @@ def test_rows_of_a_panel_are_never_broadcast(spark):
     for df, many in ((scores.points({"a": calls}, rows), 5), (calibration.pits(calls, rows, exact=False), 5), (parity.deviations(calls, calls, rows), 10)):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert any("SortMergeJoin [series" in line and ", t" in line for line in plan.splitlines()) and df.count() == many
+
+
+def test_percentiles_are_read_as_densities_a_few_rows_at_a_time():
+    rng = np.random.default_rng(5)
+    q, y = np.sort(rng.normal(size=(20_000, 99)), 1), rng.normal(size=20_000) * 2
+    tracemalloc.start()
+    told = misfit.log_density(q, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < q.nbytes / 4
+    assert (told == misfit.log_density(rng.permuted(q, axis=1), y)).all()
+    i = int(np.flatnonzero((y > q[:, 0]) & (y < q[:, -1]))[-1])
+    at = int((q[i] <= y[i]).sum())
+    assert told[i] == pytest.approx(-math.log(100 * max(q[i, at] - q[i, at - 1], 1e-9)))
