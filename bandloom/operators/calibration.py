@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.functions.quantiles import BINS, GRID, bin_of, literal, merged_counts, pit, pit_untied, reread, salt_of, with_levels
+from bandloom.functions.quantiles import BINS, GRID, bin_of, literal, merged_counts, pit, pit_untied, reread_rows, salt_of, with_levels
 from bandloom.sources.panels import came_true
 
 #: Periods that a total sums where records of totals are built.
@@ -57,8 +59,19 @@ def calibrated(bands: DataFrame, rows: DataFrame, at: DataFrame, default: DataFr
     else:
         told = with_levels(default.select("counts"), merged_counts(F.lit(None).cast(kind), F.col("counts")), GRID, "alone").select("alone")  # one row
         df, alone = df.crossJoin(F.broadcast(told)), F.col("alone")
-    df = df.withColumn("levels", F.coalesce("levels", alone))
-    return df.select("series", "origin", "h", reread(F.col("q"), F.col("levels")).alias("q"))
+    df = df.select("series", "origin", "h", "q", F.coalesce("levels", alone).alias("levels"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.mapInArrow(_reread, f"series {kinds['series']}, origin {kinds['origin']}, h {kinds['h']}, q array<double>")
+
+
+#: Bands that are read together: small steps keep a task's arrays small.
+TOGETHER = 1000
+
+
+def _reread(batches):
+    for batch in batches:
+        for b in (batch.slice(k, TOGETHER) for k in range(0, len(batch), TOGETHER)):
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("series", "origin", "h")], reread_rows(b.column("q"), b.column("levels"))], ["series", "origin", "h", "q"])
 
 
 def default_record(bands: DataFrame, rows: DataFrame, exact: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandloom.functions import tabled
-from bandloom.functions.quantiles import GRID, pit_at_or_under
+from bandloom.functions.quantiles import GRID, literal, pit_at_or_under, reread, with_levels
 from bandloom.functions.tables import running, written
 from bandloom.operators import calibration, misfit, parity, scores, voices
 from bandloom.plans import backtest
@@ -235,3 +235,18 @@ def test_percentiles_are_read_as_densities_a_few_rows_at_a_time():
     i = int(np.flatnonzero((y > q[:, 0]) & (y < q[:, -1]))[-1])
     at = int((q[i] <= y[i]).sum())
     assert told[i] == pytest.approx(-math.log(100 * max(q[i, at] - q[i, at - 1], 1e-9)))
+
+
+def test_bands_are_read_through_records_by_arrays(spark):
+    """Bit for bit as the expression reads them, and without its step for each level of each row."""
+    rng = np.random.default_rng(8)
+    bands = spark.createDataFrame([(i, 40 + i % 3, 1, np.sort(rng.normal(size=99) * 50).tolist()) for i in range(300)], "series long, origin long, h int, q array<double>")
+    rows = spark.createDataFrame([(i, 40 + i % 3, float(rng.normal() * 90)) for i in range(300)], "series long, t long, y double")
+    at = spark.createDataFrame([(40,), (41,), (42,)], "origin long")
+    read = calibration.calibrated(bands, rows, at, exact=False)
+    assert "transform(" not in read._jdf.queryExecution().analyzed().toString().split("MapInArrow")[0]
+    record = calibration.as_counts(calibration.record_as_of(calibration.pits(bands, rows, False), at), ["origin", "h"])
+    levels = with_levels(record, F.col("counts"), GRID)
+    plain = bands.join(levels, ["origin", "h"], "left").select("series", reread(F.col("q"), F.coalesce("levels", literal(GRID))).alias("e"))
+    found = read.join(plain, "series").collect()
+    assert len(found) == 300 and all(r.q == r.e for r in found) and any(r.q != b.q for r, b in zip(sorted(found), bands.orderBy("series").collect(), strict=True))
