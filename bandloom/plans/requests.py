@@ -228,7 +228,13 @@ def _as_read(df: DataFrame) -> DataFrame:
 
 
 def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
-    """``caller, request_id, read, row, voice, level, q, raw, pit`` of the requests without refusal; ``blend`` where several call.
+    """``caller, request_id, read, row, voice, level, q, raw, pit``: a row a level of ``calls``."""
+    df = calls(requests, defaults).select("caller", "request_id", "read", "row", "voice", "pit", F.explode("levels").alias("l"))
+    return df.select("caller", "request_id", "read", "row", "voice", "l.level", "l.q", "l.raw", "pit")
+
+
+def calls(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """``caller, request_id, read, row, voice, pit, levels (level, q, raw)`` of the requests without refusal; ``blend`` where several call.
 
     Every voice is asked at the request's own levels, so none is cut off at the first or last percentile. A voice with a
     history in ``pit_history`` is read through it, and through the record of ``defaults (voice, window, counts)`` for the
@@ -263,24 +269,32 @@ def answers(requests: DataFrame, defaults: DataFrame | None = None) -> DataFrame
     spoke = _as_read(fitted.unionByName(naive).join(told, [*key, "voice"]))
     spoke = written(spoke.withColumn("as_read", F.when(F.col("own").isNull(), F.col("grid")).otherwise(F.transform("read_at", lambda a: quantile(F.col("grid"), place(a))))), "spoke")
     # The answers and the percentiles are two sets of levels, and are blended apart; all voices must have called.
-    levels = spoke.where("several").select(*key, F.size("voices").alias("n_voices"), F.posexplode(F.concat(F.sort_array("q"), "as_read")).alias("k", "v"))
-    means = levels.groupBy(*key, "n_voices", "k").agg(F.avg("v").alias("v"), F.count("*").alias("n")).where("n = n_voices")
-    means = means.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("both")).join(told.where("voice = 'blend'"), key)
-    blend = means.withColumn("asked", F.slice("both.v", F.lit(1), F.size("alphas"))).withColumn("grid", F.slice("both.v", F.size("alphas") + 1, F.lit(len(GRID))))
+    # Those of a row meet as whole arrays: a row a level and voice would be a hundred times as many.
+    each = spoke.where("several").select(*key, F.size("voices").alias("n_voices"), F.concat(F.sort_array("q"), "as_read").alias("v"))
+    met = each.groupBy(*key).agg(F.first("n_voices").alias("n_voices"), F.collect_list("v").alias("vs")).where("size(vs) = n_voices")
+    total = F.aggregate("vs", F.array_repeat(F.lit(0.0), F.size(F.get("vs", F.lit(0)))), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    means = met.select(*key, F.transform(total, lambda v: v / F.col("n_voices")).alias("both")).join(told.where("voice = 'blend'"), key)
+    blend = means.withColumn("asked", F.slice("both", F.lit(1), F.size("alphas"))).withColumn("grid", F.slice("both", F.size("alphas") + 1, F.lit(len(GRID))))
     columns = [*key, "voice", "alphas", "y", "salt", "grid", "q", "raw"]
     df = spoke.select(*columns).unionByName(_as_read(blend).select(*columns)).withColumn("pit", pit(F.col("grid"), F.col("y"), F.col("salt")))
     # Without a history raw is null, and so is each of its levels.
     df = df.withColumn("raw", F.coalesce("raw", F.array_repeat(F.lit(None).cast("double"), F.size("alphas"))))
-    df = df.select(*key, "voice", "pit", F.explode(F.arrays_zip("alphas", "q", "raw")).alias("l"))
-    return df.select(*key, "voice", F.col("l.alphas").alias("level"), "l.q", "l.raw", "pit")
+    return df.select(*key, "voice", "pit", F.arrays_zip(F.col("alphas").alias("level"), "q", "raw").alias("levels"))
 
 
 def encoded(answered: DataFrame) -> DataFrame:
     """``caller, request_id, value``: the answers of a request as one JSON text, by read, row and voice; no number but finite ones."""
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)).alias(c)
-    call = F.struct("level", finite("q"), finite("raw"))
-    calls = answered.groupBy("caller", "request_id", "read", "row", "voice").agg(F.first(finite("pit")).alias("pit"), F.array_sort(F.collect_list(call)).alias("levels"))
-    lines = calls.groupBy("caller", "request_id").agg(F.array_sort(F.collect_list(F.struct("read", "row", "voice", "levels", "pit"))).alias("answers"))
+    return encoded_calls(answered.select("caller", "request_id", "read", "row", "voice", "pit", F.array(F.struct("level", "q", "raw")).alias("levels")))
+
+
+def encoded_calls(called: DataFrame) -> DataFrame:
+    """As ``encoded``, from rows of ``calls``."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    levels = F.transform("levels", lambda c: F.struct(c["level"].alias("level"), finite(c["q"]).alias("q"), finite(c["raw"]).alias("raw")))
+    # Dealt by request once, for both steps.
+    whole = called.select("caller", "request_id", "read", "row", "voice", finite(F.col("pit")).alias("pit"), levels.alias("levels")).repartition("caller", "request_id")
+    each = whole.groupBy("caller", "request_id", "read", "row", "voice").agg(F.first("pit").alias("pit"), F.array_sort(F.flatten(F.collect_list("levels"))).alias("levels"))
+    lines = each.groupBy("caller", "request_id").agg(F.array_sort(F.collect_list(F.struct("read", "row", "voice", "levels", "pit"))).alias("answers"))
     return lines.select("caller", "request_id", F.to_json(F.struct("answers"), {"ignoreNullFields": "false"}).alias("value"))
 
 
