@@ -23,7 +23,7 @@ def replies(batch: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     A sound request that no voice could answer has status 200 and no value.
     """
     checked = requests.checked(requests.parsed(batch))
-    answered = requests.encoded(requests.answers(checked, defaults))
+    answered = requests.encoded_calls(requests.calls(checked, defaults))
     told = checked.select("caller", "request_id", F.coalesce("refusal.status", F.lit(200)).alias("status"), "refusal.reason")
     key = (told["caller"].eqNullSafe(answered["caller"])) & (told["request_id"].eqNullSafe(answered["request_id"])) & (told["status"] == 200)
     return told.join(answered, key, "left").select(told["caller"], told["request_id"], "status", "reason", "value")
