@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bandloom.functions.draws import digest, normal
-from bandloom.functions.quantiles import GRID
-from bandloom.functions.tables import written
+from bandloom.functions.quantiles import GRID, literal
+from bandloom.functions.tables import running, written
 from bandloom.operators.scores import score_terms, terms
-from bandloom.operators.voices import Backend
+from bandloom.operators.voices import Backend, linear
 
 FACTORS, ELASTICITY = [1.0, 0.9, 1.1, 1.5], 1.5
 
@@ -46,9 +47,7 @@ def grade(world: DataFrame, cut: int, factors: list[float] = FACTORS, elasticity
     return moved.groupBy("factor").agg(F.pow(F.first("factor"), F.lit(1 - elasticity)).alias("true_move"), off(F.col("replay")).alias("replay_off"), off(median).alias("median_off"))
 
 
-#: Rows of a world that its backend reads.
-CONTEXT = 3000
-#: Rows that are called with one copy of a context, about.
+#: Rows that are called with one copy of a context, about; as many as the context has, where that is more.
 CALLED = 20_000
 WORLD = ["world", "member"]
 
@@ -100,20 +99,94 @@ def outcomes(rows: DataFrame, cut: int, factors: list[float] = FACTORS, draws: i
     return df.select(*WORLD, "t", "factor", F.col("pulled").alias("price"), F.get("runs", F.lit(0)).alias("actual"), median.alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
 
 
-def called(seen: DataFrame, asked: DataFrame, backend: Backend, context: int = CONTEXT, keep: list[str] | None = None) -> DataFrame:
+def _row() -> list[Column]:
+    """What a backend reads of a row."""
+    return [F.ln("size"), F.pmod("t", F.lit(12)) + F.lit(1.0), F.col("price"), F.col("usual")]
+
+
+def _solved(batches):
+    """Ridge weights of standardised features, and the inverse of what they are solved from, by the moments of each world."""
+    for pdf in batches:
+        rows = []
+        for world, n, level, mean, across, along in pdf.itertuples(index=False, name=None):
+            across = np.asarray(across).reshape(len(mean), len(mean))
+            std = np.sqrt(np.maximum(across.diagonal(), 0.0))
+            std[std == 0] = 1.0
+            inverse = np.linalg.inv(n * across / np.outer(std, std) + np.eye(len(mean)))
+            rows.append((world, n, mean, std, level * n / (n + 1e-9), inverse @ (n * np.asarray(along) / std), inverse.ravel()))
+        yield pd.DataFrame(rows, columns=["world", "_n", "_mean", "_std", "_constant", "_w", "_inverse"])
+
+
+def _around(batches):
+    """Rows with their percentiles, from the centre of each, its size and what lies around it."""
+    for batch in batches:
+        centre, size, r = batch.columns[-3:]
+        q = centre.to_numpy(zero_copy_only=False)[:, None] + r.flatten().to_numpy().reshape(batch.num_rows, len(GRID))
+        q *= size.to_numpy(zero_copy_only=False)[:, None]
+        ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(GRID)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.ListArray.from_arrays(ends, q.ravel())], [*batch.schema.names[:-3], "q"])
+
+
+def _percentiles(left: DataFrame) -> DataFrame:
+    """``world, _r``: the percentiles (linear, type 7) of ``left`` in each world, by their ranks in an order of all rows."""
+    ranked = running(left, ["world", "left"], F.lit(1), "place")
+    ends = ranked.groupBy("world").agg(F.min("place").alias("first"), (F.count("*") - 1).alias("last"))
+    asks = ends.select("*", F.posexplode(F.transform(literal(GRID), lambda a: F.col("last") * a)).alias("k", "at")).withColumn("low", F.floor("at"))
+    high = F.least(F.col("low") + 1, F.col("last"))
+    asks = asks.select("world", "k", (F.col("at") - F.col("low")).alias("share"), F.posexplode(F.array(F.col("first") + F.col("low"), F.col("first") + high)).alias("side", "place"))
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("left")))
+    read = ranked.join(asks, ["world", "place"]).groupBy("world", "k").agg((at(0) + F.max("share") * (at(1) - at(0))).alias("r"))
+    return read.groupBy("world").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]).alias("_r"))
+
+
+def _linear(seen: DataFrame, asked: DataFrame, keep: list[str]) -> DataFrame:
+    """``called`` with ``voices.linear``: a world is fitted by sums over its rows, and what the fit leaves is ranked, so that no
+    task holds a world."""
+    d = range(len(_row()))
+    train = seen.select("world", *[c.cast("double").alias(f"x{i}") for i, c in enumerate(_row())], (F.col("revenue") / F.col("size")).alias("y"))
+    sums = train.groupBy("world").agg(
+        F.count("*").alias("n"), F.avg("y").alias("level"), F.array(*[F.avg(f"x{i}") for i in d]).alias("mean"),
+        F.array(*[F.covar_pop(f"x{min(i, j)}", f"x{max(i, j)}") for i in d for j in d]).alias("across"), F.array(*[F.covar_pop(f"x{i}", "y") for i in d]).alias("along"),
+    )
+    kind = dict(seen.dtypes)["world"]
+    fits = sums.mapInPandas(_solved, f"world {kind}, _n long, _mean array<double>, _std array<double>, _constant double, _w array<double>, _inverse array<double>")  # a row a world
+    get = lambda name, i: F.get(name, F.lit(i))
+    scaled = lambda xs: [(x - get("_mean", i)) / get("_std", i) for i, x in enumerate(xs)]
+    centre = lambda zs: F.col("_constant") + sum(get("_w", i) * z for i, z in enumerate(zs))
+
+    held = train.join(F.broadcast(fits), "world")
+    held = held.select("*", *[z.alias(f"z{i}") for i, z in enumerate(scaled([F.col(f"x{i}") for i in d]))])
+    zs = [F.col(f"z{i}") for i in d]
+    hat = 1 / (F.col("_n") + F.lit(1e-9)) + sum(zs[i] * sum(get("_inverse", len(d) * i + j) * zs[j] for j in d) for i in d)
+    levels = _percentiles(held.select("world", ((F.col("y") - centre(zs)) / F.greatest(1 - hat, F.lit(1e-3))).alias("left")))
+
+    names = list(dict.fromkeys([*WORLD, "t", "factor", *keep]))
+    told = asked.select(*dict.fromkeys([*names, "price", "size", "usual"])).join(F.broadcast(fits.join(levels, "world")), "world")
+    told = told.select(*names, centre(scaled(_row())).alias("_centre"), F.col("size").alias("_size"), "_r")
+    return told.mapInArrow(_around, "".join(f"`{c}` {k}, " for c, k in told.dtypes[:-3]) + "q array<double>")
+
+
+def called(seen: DataFrame, asked: DataFrame, backend: Backend, context: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """``world, member, t, factor, q``: a backend's percentiles for the rows ``asked``, from the rows ``seen`` of their world.
 
     ``keep`` names columns of ``asked``, doubles, that stay, so that the percentiles need no join to them.
 
-    Rows have ``size, usual, price, t``, those seen also ``revenue``, which is read in units of the size. At most ``context`` rows
-    of a world are read, those of least digest. What a world asks is dealt in parts of about CALLED rows, each of which gets
-    the context, so that no task holds a world.
+    Rows have ``size, usual, price, t``, those seen also ``revenue``, which is read in units of the size. All rows seen of a
+    world are read, or, if a caller asks for it, ``context`` of them, those of least digest. ``voices.linear`` is fitted by sums. Any other
+    backend reads its context in one piece: what a world asks is dealt in parts of about CALLED rows, or as many as the
+    context has, each of which gets the context, so that the copies are no more than what is asked and seen.
     """
-    features = lambda pdf: np.column_stack([np.log(pdf["size"]), pdf["t"] % 12 + 1, pdf["price"], pdf["usual"]])
-    place = F.row_number().over(W.partitionBy("world").orderBy(digest("context", *[F.col(c) for c in (*WORLD, "t")]), "member", "t"))
-    held = seen.withColumn("k", place).where(F.col("k") <= context).select("world", "t", "price", "size", "usual", "revenue")
-    parts = asked.groupBy("world").agg(F.ceil(F.count("*") / CALLED).cast("int").alias("parts"))  # a row a world
     keep = keep or []
+    if backend is linear and context is None:
+        return _linear(seen, asked, keep)
+    features = lambda pdf: np.column_stack([np.log(pdf["size"]), pdf["t"] % 12 + 1, pdf["price"], pdf["usual"]])
+    held = seen
+    if context is not None:
+        place = F.row_number().over(W.partitionBy("world").orderBy(digest("context", *[F.col(c) for c in (*WORLD, "t")]), "member", "t"))
+        held = seen.withColumn("k", place).where(F.col("k") <= context)
+    held = held.select("world", "t", "price", "size", "usual", "revenue")
+    parts = asked.groupBy("world").count().join(held.groupBy("world").agg(F.count("*").alias("held")), "world")  # a row a world
+    parts = parts.select("world", F.ceil(F.col("count") / F.greatest(F.lit(CALLED), F.col("held"))).cast("int").alias("parts"))
     dealt = asked.join(F.broadcast(parts), "world").withColumn("part", F.pmod(F.xxhash64("member", "t", "factor"), F.col("parts")).cast("int"))
     held = held.join(F.broadcast(parts), "world").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 

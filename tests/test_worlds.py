@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandloom.functions.draws import normal, uniform
-from bandloom.functions.quantiles import BANDS
+from bandloom.functions.quantiles import BANDS, GRID
 from bandloom.operators import calibration, misfit, parity, voices, whatif
 from bandloom.plans import requests
 from bandloom.sources import panels
@@ -194,3 +194,62 @@ def test_worlds_write_no_percentiles(spark, monkeypatch):
     got = whatif.grade_worlds(_made(spark, noise=0.05), voices.linear, 24).collect()
     assert {t for t, _ in held} == {"worlds", "outcomes", "calls"} and all("array" not in kind for _, kinds in held for _, kind in kinds)
     assert sorted(r.factor for r in got) == [0.9, 1.0, 1.1, 1.5]
+
+
+def _rows(worlds=2, members=100, periods=32):
+    """Rows seen and asked of worlds of more than 3,000 rows, as ``whatif.called`` reads them."""
+    rng, seen, asked = np.random.default_rng(4), [], []
+    for w in range(worlds):
+        for m in range(members):
+            size, usual = float(rng.uniform(100, 5000)), 2.0 if w else float(rng.uniform(1, 3))
+            seen += [(w, m, t, float(rng.uniform(0.5, 4)), float(size * rng.uniform(0.2, 2) ** 2), size, usual) for t in range(periods)]
+            asked += [(w, m, periods, f, f * usual, size, usual) for f in (1.0, 1.5)]
+    return seen, asked
+
+
+SEEN, ASKED = "world long, member long, t long, price double, revenue double, size double, usual double", "world long, member long, t long, factor double, price double, size double, usual double"
+
+
+def test_calls_read_all_rows_seen_of_their_world(spark):
+    """Neither a backend that takes arrays nor the linear one reads less than the whole world."""
+    seen, asked = _rows()
+    frames = spark.createDataFrame(seen, SEEN), spark.createDataFrame(asked, ASKED)
+
+    def spy(train_x, train_y, test_x, levels):
+        return np.full((len(test_x), len(levels)), float(len(train_x)))
+
+    assert {round(r.q[0] / r.size, 6) for r in whatif.called(*frames, spy, keep=["size"]).collect()} == {3200.0}
+    got = {(r.world, r.member, r.factor): r.q for r in whatif.called(*frames, voices.linear).collect()}
+    assert len(got) == len(asked)
+    features = lambda rows: np.array([[np.log(r[5]), r[2] % 12 + 1, r[3], r[6]] for r in rows])
+    for w in (0, 1):  # in the second world one feature never varies
+        mine, ask = [r for r in seen if r[0] == w], [r for r in asked if r[0] == w]
+        x = np.array([[np.log(size), t % 12 + 1, price, usual] for _, _, t, _, price, size, usual in ask])
+        want = voices.linear(features(mine), np.array([r[4] / r[5] for r in mine]), x, GRID) * np.array([r[5] for r in ask])[:, None]
+        assert np.allclose([got[w, r[1], r[3]] for r in ask], want, rtol=1e-9, atol=1e-9)
+
+
+def test_small_worlds_are_fitted_by_sums(spark):
+    """Worlds of one, two and five rows, and one that is asked but not seen."""
+    rng = np.random.default_rng(5)
+    seen = [(w, m, m, float(rng.uniform(1, 2)), float(rng.uniform(1, 2)), float(rng.uniform(1, 2)), 1.5) for w, n in enumerate((1, 2, 5)) for m in range(n)]
+    asked = [(w, 0, 9, 1.0, 1.7, 1.2, 1.5) for w in range(4)]
+    got = {r.world: r.q for r in whatif.called(spark.createDataFrame(seen, SEEN), spark.createDataFrame(asked, ASKED), voices.linear).collect()}
+    assert set(got) == {0, 1, 2}
+    for w in got:
+        mine = [r for r in seen if r[0] == w]
+        x = np.array([[np.log(r[5]), r[2] % 12 + 1, r[3], r[6]] for r in mine])
+        want = voices.linear(x, np.array([r[4] / r[5] for r in mine]), np.array([[np.log(1.2), 10, 1.7, 1.5]]), GRID)[0] * 1.2
+        assert np.allclose(got[w], want, rtol=1e-9, atol=1e-9)
+
+
+def test_copies_of_contexts_stay_in_proportion(spark, monkeypatch):
+    """A context that no cap bounds is not copied more often than what is asked has room for it."""
+    monkeypatch.setattr(whatif, "CALLED", 50)
+    seen, asked = _rows(worlds=1, members=50, periods=10)
+
+    def spy(train_x, train_y, test_x, levels):
+        return np.full((len(test_x), len(levels)), float(len(test_x)))
+
+    found = whatif.called(spark.createDataFrame(seen, SEEN), spark.createDataFrame(asked * 6, ASKED), spy, keep=["size"]).collect()
+    assert len(found) == 600 and round(sum(r.size / r.q[0] for r in found)) <= 2  # parts
