@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bandloom.functions.draws import digest, normal
+from bandloom.functions.draws import digest, middle, normal
 from bandloom.functions.quantiles import GRID, literal
 from bandloom.functions.tables import running, written
 from bandloom.operators.scores import score_terms, terms
@@ -54,7 +54,8 @@ WORLD = ["world", "member"]
 
 def fitted(world: DataFrame, cut: int, elasticity: float = ELASTICITY) -> DataFrame:
     """Rows ``(world, member, t, price, revenue)`` with what moves them, in logs: ``usual`` (price) and ``base`` (volume) of the
-    member before ``cut``, ``season`` of the world's month of the year, also before it, and ``shock`` of its period.
+    member before ``cut``, ``season`` of the world's month of the year, also before it, and ``shock`` of its period; ``landed`` is
+    the draw of its noise.
 
     A volume is the member's base times season and shock, times a power of the price in units of the usual one; what is
     left is noise. Members without a row before ``cut`` take no part.
@@ -67,7 +68,8 @@ def fitted(world: DataFrame, cut: int, elasticity: float = ELASTICITY) -> DataFr
     season = rows.where(F.col("t") < cut).groupBy("world", "moy").agg(F.avg("rest").alias("season"))
     rows = rows.join(season, ["world", "moy"], "left").withColumn("season", F.coalesce("season", F.lit(0.0)))
     shock = rows.groupBy("world", "t").agg(F.avg(F.col("rest") - F.col("season")).alias("shock"))
-    return rows.join(shock, ["world", "t"]).select(*WORLD, "t", "price", "usual", "base", "season", "shock")
+    rows = rows.join(shock, ["world", "t"]).select(*WORLD, "t", "price", "usual", "base", "season", "shock")
+    return rows.withColumn("landed", normal("landed", *[F.col(c) for c in (*WORLD, "t")]))
 
 
 def volume(price: Column, noise: Column, elasticity: float) -> Column:
@@ -76,27 +78,38 @@ def volume(price: Column, noise: Column, elasticity: float) -> Column:
 
 
 def simulated(rows: DataFrame, lean: float = 0.0, noise: float = 0.05, elasticity: float = ELASTICITY) -> DataFrame:
-    """The rows of ``fitted`` once more, with ``revenue`` as the structure says and a draw of noise.
+    """The rows of ``fitted`` once more, with ``revenue`` as the structure and their draw of noise say.
 
     With ``lean`` the prices also follow the shock of their period, which no column tells a backend.
     """
     df = rows.withColumn("price", F.col("price") * F.exp(lean * F.col("shock")))
-    return df.withColumn("revenue", F.col("price") * volume(F.col("price"), noise * normal("landed", *[F.col(c) for c in (*WORLD, "t")]), elasticity))
+    return df.withColumn("revenue", F.col("price") * volume(F.col("price"), noise * F.col("landed"), elasticity))
 
 
-def outcomes(rows: DataFrame, cut: int, factors: list[float] = FACTORS, draws: int = 101, noise: float = 0.05, elasticity: float = ELASTICITY) -> DataFrame:
-    """``world, member, t, factor, price, actual, true_median, replay`` from ``cut`` on: the simulated rows at other prices,
-    drawn ``draws`` times.
+def drawn(rows: DataFrame, cut: int, factors: list[float] = FACTORS, draws: int = 101) -> DataFrame:
+    """The rows from ``cut`` on once for each factor, with what is drawn for it: ``first, low, high``, the draw that lands and the
+    two in the middle of ``draws``.
 
-    The draws of a row are an array in it, so they are never shuffled; the first is what lands.
+    Draws go by names only, so they hold for any lean. A volume grows with its noise: the middle of the outcomes is that
+    of the draws. Rows are dealt anew, as a small table takes many draws.
     """
+    n = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    moved = rows.where(F.col("t") >= cut).repartition(n, *WORLD, "t").select("*", F.explode(F.array(*[F.lit(float(x)) for x in factors])).alias("factor"))
     names = [F.col(c) for c in (*WORLD, "t", "factor")]
-    moved = rows.where(F.col("t") >= cut).select("*", F.explode(F.array(*[F.lit(float(x)) for x in factors])).alias("factor"))
+    return moved.withColumn("drawn", middle(draws, "pulled", *names)).select("*", "drawn.*").drop("drawn")
+
+
+def ran(moved: DataFrame, noise: float = 0.05, elasticity: float = ELASTICITY) -> DataFrame:
+    """``world, member, t, factor, price, actual, true_median, replay``: simulated rows at other prices, by what ``drawn`` says."""
     moved = moved.withColumn("pulled", F.col("price") * F.col("factor"))
-    runs = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.col("pulled") * volume(F.col("pulled"), noise * normal("pulled", *names, k), elasticity))
-    df = moved.withColumn("runs", runs).withColumn("sorted", F.sort_array("runs"))
-    median = (F.get("sorted", F.lit((draws - 1) // 2)) + F.get("sorted", F.lit(draws // 2))) / 2
-    return df.select(*WORLD, "t", "factor", F.col("pulled").alias("price"), F.get("runs", F.lit(0)).alias("actual"), median.alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
+    run = lambda z: F.col("pulled") * volume(F.col("pulled"), noise * F.col(z), elasticity)
+    return moved.select(*WORLD, "t", "factor", F.col("pulled").alias("price"), run("first").alias("actual"), ((run("low") + run("high")) / 2).alias("true_median"), (F.col("revenue") * F.col("factor")).alias("replay"))
+
+
+def outcomes(rows: DataFrame, cut: int, factors: list[float] = FACTORS, draws: int = 101, noise: float = 0.05, elasticity: float = ELASTICITY) -> DataFrame:
+    """``world, member, t, factor, price, actual, true_median, replay`` from ``cut`` on: the simulated rows at other prices,
+    drawn ``draws`` times. The first draw is what lands."""
+    return ran(drawn(rows, cut, factors, draws), noise, elasticity)
 
 
 def _row() -> list[Column]:
@@ -213,12 +226,16 @@ def grade_worlds(world: DataFrame, backend: Backend, cut: int, lean: float = 0.0
     return grade_fitted(fitted(world, cut, elasticity), backend, cut, lean, factors, draws, elasticity)
 
 
-def grade_fitted(rows: DataFrame, backend: Backend, cut: int, lean: float = 0.0, factors: list[float] = FACTORS, draws: int = 101, elasticity: float = ELASTICITY) -> DataFrame:
-    """The grades of ``grade_worlds`` from what ``fitted`` says; of each call only what they sum is written."""
+def grade_fitted(rows: DataFrame, backend: Backend, cut: int, lean: float = 0.0, factors: list[float] = FACTORS, draws: int = 101, elasticity: float = ELASTICITY, moved: DataFrame | None = None) -> DataFrame:
+    """The grades of ``grade_worlds`` from what ``fitted`` says; of each call only what they sum is written.
+
+    ``moved``: the rows as ``drawn`` has them, where they serve more than one lean.
+    """
     rows = written(simulated(rows, lean, elasticity=elasticity), "worlds")
     seen = rows.where(F.col("t") < cut)
     own = seen.groupBy(*WORLD).agg(F.avg("revenue").alias("size"), F.exp(F.avg(F.ln("price"))).alias("usual"))
-    truth = written(outcomes(rows, cut, factors, draws, elasticity=elasticity).join(own, WORLD), "outcomes")
+    moved = drawn(rows, cut, factors, draws) if moved is None else simulated(moved, lean, elasticity=elasticity)
+    truth = written(ran(moved, elasticity=elasticity).join(own, WORLD), "outcomes")
     kept = ["price", "actual", "true_median", "replay"]
     calls = called(seen.drop("usual").join(own, WORLD), truth, backend, keep=kept).withColumnRenamed("actual", "y")
     points = terms(calls.select("world", "factor", "price", "true_median", "replay", "y", "q", F.get("q", F.lit(49)).alias("median")))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.functions.draws import normal, uniform
+from bandloom.functions.draws import middle, normal, uniform
 from bandloom.functions.quantiles import BANDS, GRID
 from bandloom.operators import calibration, misfit, parity, voices, whatif
 from bandloom.plans import requests
@@ -253,3 +253,21 @@ def test_copies_of_contexts_stay_in_proportion(spark, monkeypatch):
 
     found = whatif.called(spark.createDataFrame(seen, SEEN), spark.createDataFrame(asked * 6, ASKED), spy, keep=["size"]).collect()
     assert len(found) == 600 and round(sum(r.size / r.q[0] for r in found)) <= 2  # parts
+
+
+def test_the_middle_of_draws(spark):
+    """The draws of a batch made as arrays are those of ``normal``, also of long names and names of several lengths."""
+    names = spark.createDataFrame([(1, "a"), (20, "é"), (-7, "x" * 48), (300, "y" * 70), (4, "")], "i long, s string")
+    for draws in (1, 4, 25):
+        each = F.array_sort(F.array(*[normal("n", F.col("i"), F.col("s"), F.lit(k)) for k in range(draws)]))
+        want = names.select("i", normal("n", F.col("i"), F.col("s"), F.lit(0)).alias("first"), F.get(each, F.lit((draws - 1) // 2)).alias("low"), F.get(each, F.lit(draws // 2)).alias("high"))
+        got = {r.i: r.m for r in names.select("i", middle(draws, "n", F.col("i"), F.col("s")).alias("m")).collect()}
+        assert all(tuple(got[r.i]) == pytest.approx((r.first, r.low, r.high), abs=1e-12) for r in want.collect()) and len(got) == 5
+
+
+def test_draws_are_made_as_arrays_by_all_tasks(spark):
+    """A world in one file is dealt to all cores, and its draws are neither sorted nor digested row by row."""
+    found = whatif.outcomes(whatif.simulated(whatif.fitted(_made(spark), 30)).coalesce(1), 30)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "sort_array" not in plan
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
