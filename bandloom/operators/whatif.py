@@ -131,13 +131,13 @@ def _solved(batches):
 
 
 def _around(batches):
-    """Rows with their percentiles, from the centre of each, its size and what lies around it."""
+    """Rows with their percentiles, from the centre of each, its size and what lies around it; what is no number is null."""
     for batch in batches:
         centre, size, r = batch.columns[-3:]
-        q = centre.to_numpy(zero_copy_only=False)[:, None] + r.flatten().to_numpy().reshape(batch.num_rows, len(GRID))
+        q = centre.to_numpy(zero_copy_only=False)[:, None] + r.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(GRID))
         q *= size.to_numpy(zero_copy_only=False)[:, None]
         ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(GRID)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.ListArray.from_arrays(ends, q.ravel())], [*batch.schema.names[:-3], "q"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.ListArray.from_arrays(ends, pa.array(q.ravel(), from_pandas=True))], [*batch.schema.names[:-3], "q"])
 
 
 def _percentiles(left: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _linear(seen: DataFrame, asked: DataFrame, keep: list[str]) -> DataFrame:
 
     names = list(dict.fromkeys([*WORLD, "t", "factor", *keep]))
     told = asked.select(*dict.fromkeys([*names, "price", "size", "usual"])).join(F.broadcast(fits.join(levels, "world")), "world")
-    told = told.select(*names, centre(scaled(_row())).alias("_centre"), F.col("size").alias("_size"), "_r")
+    told = told.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in keep else c for c in names], centre(scaled(_row())).alias("_centre"), F.col("size").alias("_size"), "_r")
     return told.mapInArrow(_around, "".join(f"`{c}` {k}, " for c, k in told.dtypes[:-3]) + "q array<double>")
 
 
@@ -231,22 +231,21 @@ def grade_fitted(rows: DataFrame, backend: Backend, cut: int, lean: float = 0.0,
 
     ``moved``: the rows as ``drawn`` has them, where they serve more than one lean.
     """
-    rows = written(simulated(rows, lean, elasticity=elasticity), "worlds")
+    rows = written(simulated(rows, lean, elasticity=elasticity).drop("landed"), "worlds")
     seen = rows.where(F.col("t") < cut)
     own = seen.groupBy(*WORLD).agg(F.avg("revenue").alias("size"), F.exp(F.avg(F.ln("price"))).alias("usual"))
     moved = drawn(rows, cut, factors, draws) if moved is None else simulated(moved, lean, elasticity=elasticity)
-    truth = written(ran(moved, elasticity=elasticity).join(own, WORLD), "outcomes")
-    kept = ["price", "actual", "true_median", "replay"]
-    calls = called(seen.drop("usual").join(own, WORLD), truth, backend, keep=kept).withColumnRenamed("actual", "y")
-    points = terms(calls.select("world", "factor", "price", "true_median", "replay", "y", "q", F.get("q", F.lit(49)).alias("median")))
     support = seen.groupBy("world").agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    graded = written(points.withColumn("voice", F.lit("called")), "calls")
+    off = lambda c: F.abs(F.col(c) - F.col("true_median")) / F.col("true_median")
+    truth = ran(moved, elasticity=elasticity).join(own, WORLD).join(F.broadcast(support), "world")
+    truth = truth.withColumn("in_support", F.when(~F.isnan("price"), F.col("price").between(F.col("low"), F.col("high")).cast("double"))).withColumn("replay_off", off("replay"))
+    truth = written(truth.drop("low", "high", "replay"), "outcomes")
+    kept = ["actual", "true_median", "in_support", "replay_off"]
+    calls = called(seen.drop("usual").join(own, WORLD), truth, backend, keep=kept).withColumnRenamed("actual", "y")
+    calls = calls.select(F.lit("called").alias("voice"), "world", "factor", "y", "q", "in_support", "replay_off", "true_median", F.get("q", F.lit(49)).alias("median"))
+    graded = written(terms(calls.withColumn("median_off", off("median")).drop("true_median", "median")).drop("y"), "calls")
     keys = ["world", "factor"]
-    off = lambda x: F.bround(F.avg(F.abs(x - F.col("true_median")) / F.col("true_median")), 3)
-    near = graded.join(F.broadcast(support), "world").groupBy(*keys).agg(
-        F.bround(F.avg(F.col("price").between(F.col("low"), F.col("high")).cast("double")), 2).alias("in_support"),
-        off(F.col("median")).alias("median_off"), off(F.col("replay")).alias("replay_off"),
-    )
+    near = graded.groupBy(*keys).agg(*[F.bround(F.avg(c), places).alias(c) for c, places in (("in_support", 2), ("median_off", 3), ("replay_off", 3))])
     told = score_terms(graded, ["voice", *keys], places=4).drop("voice", "wql_vs_naive").join(near, keys)
     told = told.withColumn("true_move", F.bround(F.pow("factor", F.lit(1 - elasticity)), 3)).withColumn("replay_move", F.col("factor"))
     names = ["n", "in_support", "true_move", "replay_move", "wql", "coverage80", "coverage90", "width80", "pit_ks", "median_off", "replay_off"]

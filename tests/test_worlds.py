@@ -271,3 +271,12 @@ def test_draws_are_made_as_arrays_by_all_tasks(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "sort_array" not in plan
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_what_is_no_number_is_null_in_calls(spark):
+    """A price that is no number has no percentiles, nor has a world in which a revenue is none."""
+    nan = float("nan")
+    seen = [(w, m, t, 1.0 + m + t / 9, nan if (w, m, t) == (1, 2, 3) else 5.0 + m * t, 5.0, 2.0) for w in (0, 1) for m in range(4) for t in range(9)]
+    asked = [(w, 1, 9, 1.0, x, 5.0, 2.0) for w in (0, 1) for x in (1.0, nan)]
+    got = whatif.called(spark.createDataFrame(seen, SEEN), spark.createDataFrame(asked, ASKED), voices.linear, keep=["price"]).collect()
+    assert len(got) == 4 and all((None in r.q) == (r.price is None or r.world == 1) for r in got)
